@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .sequence import CHUNK_HOURS, time_chunk
+from ..session import cut
+from .revisions import latest, top_k
+from .sequence import CHUNK_HOURS, last_known, merge_intervals, previous, running, time_chunk
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, effective: str,
@@ -85,3 +87,162 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str,
     home = F.col("_b") == time_chunk(F.greatest(F.col(s1), F.col(s2)), hours)
     out = x.join(y, on & touch & home & (extra if extra is not None else F.lit(True)))
     return out.drop("_b", "_y__b", *[f"_y_{k}" for k in keys])
+
+
+def bracket(requests: DataFrame, facts: DataFrame, keys: list[str], t: str, at: str, value: str, *,
+            hours: int = CHUNK_HOURS) -> DataFrame:
+    """Nearest fact at or before and nearest fact after each request, as structs
+    ``before`` and ``after`` of (at, value)."""
+    f = facts.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"),
+                     F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("_f"))
+    r = requests.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*requests.columns).alias("_row"))
+    both = f.unionByName(r, allowMissingColumns=True)
+    both = last_known(both, keys, ["_t", "_side"], {"before": F.col("_f")}, hours=hours)
+    both = last_known(both, keys, ["_t", "_side"], {"after": F.col("_f")}, hours=hours, forward=True)
+    return both.filter(F.col("_row").isNotNull()).select("_row.*", "before", "after")
+
+
+def run_index(rows: DataFrame, group: list[str], run: list[str], issue: str, received: str) -> DataFrame:
+    """One row per forecast run with the time its last record arrived."""
+    return rows.groupBy(*group, *run, issue).agg(F.max(received).alias("completed"))
+
+
+def coherent_run_asof(requests: DataFrame, runs: DataFrame, group: list[str], origin: str, issue: str, run: list[str],
+                      max_age: str, *, hours: int = CHUNK_HOURS) -> DataFrame:
+    """Newest run per group that is complete at each origin and not too old.
+
+    The choice is made at run grain: in order of completion the best issue so far
+    is a running maximum, so one as-of lookup gives the run.  Rows of different
+    runs are never mixed."""
+    best = F.struct(issue, "completed", *run)
+    d = running(runs.withColumn("_best", best), group, ["completed", issue, *run], "_best", "_top", how="max",
+                hours=hours).select(*group, "completed", "_top")
+    hit = asof_backward(requests, d, group, origin, "completed", ["_top"], tie=["_top"], hours=hours)
+    fresh = F.col(f"_top.{issue}") >= F.col(origin) - F.expr(f"interval {max_age}")
+    return hit.filter(fresh).select(*requests.columns, *[F.col(f"_top.{c}").alias(c) for c in [issue, *run]],
+                                    F.col("_top.completed").alias("completed"))
+
+
+def complete_runs(rows: DataFrame, run: list[str], region: str, n_regions: int) -> DataFrame:
+    """Runs that carry every region."""
+    return rows.groupBy(*run).agg(F.countDistinct(region).alias("_n")).filter(F.col("_n") == n_regions).drop("_n")
+
+
+def preferred_product(requests: DataFrame, runs: DataFrame, keys: list[str], product: str, order: list[str],
+                      origin: str, available: str, payload: list[str], *, hours: int = CHUNK_HOURS) -> DataFrame:
+    """Newest available run of the first product in ``order`` that has one."""
+    ranked = F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(p).alias(product)) for i, p in enumerate(order)])
+    r = requests.withColumn("_p", F.explode(ranked)).select(*requests.columns, "_p.*")
+    hit = asof_backward(r, runs, [*keys, product], origin, available, payload, tie=payload, hours=hours)
+    hit = hit.filter(F.col(available).isNotNull())
+    return top_k(hit, requests.columns, [F.col("_rank")], 1).drop("_rank")
+
+
+def known_intervals(revisions: DataFrame, key: str, known: list[str], newest: list[str], payload: list[str], *,
+                    hours: int = CHUNK_HOURS) -> DataFrame:
+    """Revisions to (key, payload, known_from, known_to): the revision in force at
+    every moment is the newest by ``newest`` among those already known."""
+    d = revisions.withColumn("known_from", F.greatest(*known) if len(known) > 1 else F.col(known[0]))
+    d = d.withColumn("_best", F.struct(*newest, *[p for p in payload if p not in newest]))
+    d = d.groupBy(key, "known_from").agg(F.max("_best").alias("_best"))
+    d = running(d, [key], ["known_from"], "_best", "_top", how="max", hours=hours)
+    d = previous(d, [key], ["known_from"], {"known_to": "known_from"}, hours=hours, forward=True)
+    return d.select(key, "known_from", "known_to", *[F.col(f"_top.{p}").alias(p) for p in payload])
+
+
+def asof_revision(revisions: DataFrame, key: list[str], origin: Column, known: list[str], newest: list[str]) -> DataFrame:
+    """Newest revision per key known at one origin."""
+    ok = F.lit(True)
+    for c in known:
+        ok = ok & (F.col(c) <= origin)
+    return latest(revisions.filter(ok), key, newest)
+
+
+def covered(points: DataFrame, spells: DataFrame, keys: list[str], t: str, start: str, end: str, *,
+            gap: str = "5 minutes", name: str = "covered", hours: int = CHUNK_HOURS) -> DataFrame:
+    """Is t inside any spell (both ends inclusive): merge, then look up the last start."""
+    merged = merge_intervals(spells.select(*keys, start, end), keys, start, end, gap=gap, hours=hours)
+    merged = merged.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    hit = asof_backward(points, merged, keys, t, "_s", ["_e"], hours=hours)
+    return hit.withColumn(name, F.coalesce(F.col(t) <= F.col("_e"), F.lit(False)).cast("int")).drop("_s", "_e")
+
+
+def many_to_one_violations(right: DataFrame, keys: list[str]) -> DataFrame:
+    return right.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+def valid_else_latest(rows: DataFrame, versions: DataFrame, key: str, t: str, start: str, end: str, rid: list[str],
+                      payload: list[str], *, hours: int = 24 * 30) -> DataFrame:
+    """Newest version valid at t, else the newest version of the key at all."""
+    v = versions.select(key, F.col(start).alias("_vs"), F.col(end).alias("_ve"), *payload)
+    hits = points_in_intervals(rows.select(*rid, key, t).distinct(), v, [key], t, "_vs", "_ve", hours=hours, right_open=True)
+    best = top_k(hits, rid, [F.desc("_vs"), *[F.desc(p) for p in payload]], 1).select(
+        *rid, *[F.col(p).alias(f"_a_{p}") for p in payload], F.lit("valid").alias("_m"))
+    newest = latest(v, [key], ["_vs", *payload]).select(key, *[F.col(p).alias(f"_b_{p}") for p in payload],
+                                                        F.lit("latest").alias("_n"))
+    out = rows.join(best, rid, "left").join(newest, key, "left")
+    return out.select(*rows.columns, F.coalesce("_m", "_n").alias("method"), *[
+        F.when(F.col("_m").isNotNull(), F.col(f"_a_{p}")).otherwise(F.col(f"_b_{p}")).alias(p) for p in payload])
+
+
+def final_of_chain(links: DataFrame, key: str, successor: str, *, depth: int = 64) -> DataFrame:
+    """Follow successor ids to the last one; null for cycles and longer chains.
+
+    Pointer doubling: each round joins the map with itself, so 64 hops take six
+    equi-joins.  The map is written out between rounds to cut the plan."""
+    d = links.filter(F.col(successor).isNotNull()).select(F.col(key).alias("_k"), F.col(successor).alias("_to"))
+    hops = 1
+    while hops < depth:
+        nxt = d.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"))
+        d = cut(d.join(nxt, "_to", "left").select("_k", F.coalesce("_next", "_to").alias("_to")), "chain")
+        hops *= 2
+    still = links.filter(F.col(successor).isNotNull()).select(F.col(key).alias("_to"), F.lit(True).alias("_open"))
+    done = d.join(still, "_to", "left").select("_k", F.when(F.col("_open").isNull(), F.col("_to")).alias("_final"),
+                                               F.lit(True).alias("_linked"))
+    return links.join(done, F.col(key) == F.col("_k"), "left").select(
+        *links.columns, F.when(F.col("_linked"), F.col("_final")).otherwise(F.col(key)).alias("final_id"))
+
+
+def reconcile(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float) -> DataFrame:
+    """Full outer comparison row by row; null equals null."""
+    x = a.select(*keys, F.lit(True).alias("_a"), *[F.col(v).alias(f"a_{v}") for v in values])
+    y = b.select(*keys, F.lit(True).alias("_b"), *[F.col(v).alias(f"b_{v}") for v in values])
+    d = x.join(y, keys, "full_outer")
+    same = F.lit(True)
+    for v in values:
+        p, q = F.col(f"a_{v}"), F.col(f"b_{v}")
+        same = same & (p.eqNullSafe(q) | F.coalesce(F.abs(p - q) <= tolerance, F.lit(False)))
+    status = (F.when(F.col("_b").isNull(), "left only").when(F.col("_a").isNull(), "right only")
+              .when(same, "equal").otherwise("different"))
+    return d.withColumn("status", status).drop("_a", "_b")
+
+
+def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat: str, slon: str, km: float,
+                   degrees: float = 0.75) -> DataFrame:
+    """Pairs within km, as an equi-join on grid cells of ``degrees``.  A cell must be at
+    least km wide, which 0.75 degrees is for 50 km below 53 degrees of latitude."""
+    from ..functions.maths import great_circle_km
+    cell = lambda c: F.floor(F.col(c) / degrees)
+    p = points.withColumns({"_cy": cell(lat), "_cx": cell(lon)})
+    around = F.array(*[F.struct((cell(slat) + dy).alias("_cy"), (cell(slon) + dx).alias("_cx"))
+                       for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    s = sites.withColumn("_c", F.explode(around)).select(*sites.columns, "_c.*")
+    d = great_circle_km(F.col(lat), F.col(lon), F.col(slat), F.col(slon))
+    return p.join(s, ["_cy", "_cx"]).withColumn("km", d).filter(F.col("km") <= km).drop("_cy", "_cx")
+
+
+def name_match(left: DataFrame, points: DataFrame, keys: list[str], order: list[str], lat: str, lon: str, pid: str,
+               max_km: float) -> DataFrame:
+    """Match on normalised name and region; the best-ranked candidate is taken and the
+    match refused when any candidate lies further than max_km from it.  Candidates are
+    reduced per key before the join, so a common name costs one row."""
+    from ..functions.maths import great_circle_km
+    best = top_k(points, keys, [F.col(c) for c in order], 1).select(
+        *keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col(pid).alias("_pid"))
+    spread = points.join(best, keys).groupBy(*keys).agg(
+        F.max(great_circle_km(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))).alias("spread"),
+        F.max("_lat").alias("match_lat"), F.max("_lon").alias("match_lon"), F.max("_pid").alias("match_id"))
+    ok = F.col("spread") <= max_km
+    return left.join(spread, keys, "left").withColumns(
+        {c: F.when(ok, F.col(c)) for c in ("match_id", "match_lat", "match_lon")}).withColumn(
+        "method", F.when(ok, "name_match").otherwise("unmatched")).drop("spread")

@@ -65,17 +65,20 @@ def dense_grid(df: DataFrame, keys: list[str], t: str, step: str) -> DataFrame:
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], *,
-             hours: int = CHUNK_HOURS) -> DataFrame:
-    """Previous row's values on an irregular series; columns maps new name -> source."""
-    t = order[0]
-    d = df.withColumn("_chunk", time_chunk(F.col(t), hours))
+             hours: int = CHUNK_HOURS, forward: bool = False) -> DataFrame:
+    """Previous (or, with forward, next) row's values on an irregular series;
+    columns maps new name -> source."""
+    d = df.withColumn("_chunk", time_chunk(F.col(order[0]), hours))
     pack = F.struct(*[F.col(s).alias(n) for n, s in columns.items()])
-    last = d.groupBy(*keys, "_chunk").agg(F.max_by(pack, F.struct(*order)).alias("_last"))
-    carried = last.select(*keys, "_chunk", F.lag("_last").over(
+    pick = F.min_by if forward else F.max_by
+    edge = d.groupBy(*keys, "_chunk").agg(pick(pack, F.struct(*order)).alias("_edge"))
+    step = F.lead if forward else F.lag
+    carried = edge.select(*keys, "_chunk", step("_edge").over(
         Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    d = d.join(carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(w) == 1)
-    return d.withColumns({n: F.when(F.col("_first"), F.col("_carry")[n]).otherwise(F.lag(s).over(w))
+    ends = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order]) if forward else w
+    d = d.join(carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(ends) == 1)
+    return d.withColumns({n: F.when(F.col("_first"), F.col("_carry")[n]).otherwise(step(s).over(w))
                           for n, s in columns.items()}).drop("_chunk", "_carry", "_first")
 
 
