@@ -42,3 +42,35 @@ def spells(t):
     return t.lineitem.select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("s"),
                              (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("e"),
                              "l_orderkey", "l_linenumber", "l_partkey")
+
+# Price-like panel: the hourly grid as prices of five regions, with origin/destination pairs.
+PAIRS = GRID + """, pr as (select * from (values ('view', 'click'), ('view', 'purchase'), ('signup', 'error'), ('purchase', 'error')) x(o, d)),
+pp as (select o, d, a.time, date_trunc('week', a.time - interval 1 microsecond) as week, a.v as po, b.v as pd, a.k as ko, b.k as kd, a.setter as so
+  from pr join grid a on a.key = o join grid b on b.key = d and b.time = a.time)"""
+
+
+def week(t="time"):
+    return F.date_trunc("week", F.col(t) - F.expr("interval 1 microsecond")).cast("timestamp_ntz")
+
+
+def pair_panel(t):
+    g = grid(t).select("key", "time", "v", "k", "setter")
+    pr = t.spark.createDataFrame([("view", "click"), ("view", "purchase"), ("signup", "error"), ("purchase", "error")], "o string, d string")
+    a = g.select(F.col("key").alias("o"), "time", F.col("v").alias("po"), F.col("k").alias("ko"), F.col("setter").alias("so"))
+    b = g.select(F.col("key").alias("d"), "time", F.col("v").alias("pd"), F.col("k").alias("kd"))
+    return pr.join(a, "o").join(b, ["d", "time"]).withColumn("week", week())
+
+
+# Equation solutions: one row per (interval, equation), factor a, side from its sign.
+EQ = """eq as (select l_orderkey, l_linenumber, l_partkey as eq, l_suppkey as unit, l_shipdate as time, round(l_discount - l_tax, 2) as a,
+  l_quantity as flow, l_extendedprice as rhs, l_quantity * 100 as lhs, l_tax as mv, l_returnflag as flag, l_linestatus as status from lineitem),
+st as (select *, case when a > 0 then 'upper' when a < 0 then 'lower' end as side, case when a <> 0 then round(flow + (rhs - lhs) / a, 6) end as bound from eq)"""
+
+
+def equations(t):
+    a = F.round(F.col("l_discount") - F.col("l_tax"), 2)
+    d = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("eq"), F.col("l_suppkey").alias("unit"),
+                          F.col("l_shipdate").alias("time"), a.alias("a"), F.col("l_quantity").alias("flow"),
+                          F.col("l_extendedprice").alias("rhs"), (F.col("l_quantity") * 100).alias("lhs"), F.col("l_tax").alias("mv"),
+                          F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return d
