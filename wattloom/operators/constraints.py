@@ -15,3 +15,168 @@ def solution_state(eq: DataFrame) -> DataFrame:
                            "bound": F.round(bound_from_solution(F.col("flow"), F.col("rhs"), F.col("lhs"), a), 6)})
 
 
+
+
+def envelope(st: DataFrame, t: str, eq: str, tie: list[str] = ()) -> DataFrame:
+    """Tightest upper and lower bound per interval, gap to the runner-up, counts,
+    setter ids and whether the two bounds cross.  Two rows per (interval, side) survive
+    the map-side group limit; counts are plain aggregates."""
+    ok = st.filter(F.col("bound").isNotNull() & F.col("side").isNotNull())
+    toward = F.when(F.col("side") == "upper", F.col("bound")).otherwise(-F.col("bound"))
+    top = top_k(ok.withColumn("_o", toward), [t, "side"], [F.col("_o"), F.col(eq), *[F.col(c) for c in tie]], 2, rank="_rn")
+
+    def at(side, rn, c):
+        return F.max(F.when((F.col("side") == side) & (F.col("_rn") == rn), F.col(c)))
+    out = top.groupBy(t).agg(at("upper", 1, "bound").alias("upper"), at("lower", 1, "bound").alias("lower"),
+                             (at("upper", 2, "bound") - at("upper", 1, "bound")).alias("upper_gap"),
+                             (at("lower", 1, "bound") - at("lower", 2, "bound")).alias("lower_gap"),
+                             at("upper", 1, eq).alias("upper_setter"), at("lower", 1, eq).alias("lower_setter"))
+    n = st.groupBy(t).agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.count(F.when((F.col("side") == s) & F.col("bound").isNotNull(), 1)).alias(f"n_{s}") for s in ("upper", "lower")])
+    return n.join(out, t, "left").withColumn("inconsistent", F.coalesce(F.col("lower") > F.col("upper"), F.lit(False)).cast("int"))
+
+
+def unit_sensitivity(terms: DataFrame, factors: DataFrame, version: list[str], unit: str, factor: str, link_factor: str) -> DataFrame:
+    """-(unit factor) / (link factor), factors summed over connection points."""
+    b = terms.groupBy(*version, unit).agg(F.sum(factor).alias("_b"))
+    return b.join(factors.select(*version, link_factor), version).withColumn(
+        "sensitivity", -F.col("_b") / F.nullif(F.col(link_factor), F.lit(0.0))).drop("_b", link_factor)
+
+
+def pressure(present: DataFrame, sens: DataFrame, moves: DataFrame, version: list[str], unit: str, t: str, delta: str) -> DataFrame:
+    """Movement of units through the sensitivities of the equations present in each
+    interval: the matrix product as a join and a sum, restricted to present rows.
+    Incomplete when any unit with a coefficient has an unknown movement."""
+    s, d = F.col("sensitivity"), F.col(delta)
+    j = present.join(sens, version).join(moves.select(unit, t, delta), [unit, t], "left")
+    impact = s * d
+    return j.groupBy(t, *version).agg(
+        F.sum(impact).alias("bound_move"), F.sum(F.greatest(-impact, F.lit(0.0))).alias("upper_tightening"),
+        F.sum(F.greatest(impact, F.lit(0.0))).alias("upper_relief"),
+        (F.count(F.when(d.isNull() & (s != 0), 1)) == 0).cast("int").alias("complete"))
+
+
+def available_relief(present: DataFrame, sens: DataFrame, units: DataFrame, version: list[str], unit: str, t: str, minutes: int = 30) -> DataFrame:
+    """Headroom the units could give each side: raise limited by availability and ramp up,
+    lower by output and ramp down.  units: unit, t, mw, availability, ramp_up, ramp_down."""
+    zero = F.lit(0.0)
+    up = F.least(F.greatest(F.col("availability") - F.col("mw"), zero), F.greatest(F.col("ramp_up"), zero) * minutes)
+    down = F.least(F.greatest(F.col("mw"), zero), F.greatest(F.col("ramp_down"), zero) * minutes)
+    s = F.col("sensitivity")
+    j = present.join(sens, version).join(units, [unit, t])
+    pos, neg = F.greatest(s, zero), F.greatest(-s, zero)
+    return j.groupBy(t, *version).agg(F.sum(up * pos + down * neg).alias("upper_relief_mw"), F.sum(up * neg + down * pos).alias("lower_relief_mw"))
+
+
+def structural_zero(grid: DataFrame, unit: str, t: str, value: str) -> DataFrame:
+    """Zero before the first and after the last published row; inner gaps stay null."""
+    span = grid.filter(F.col(value).isNotNull()).groupBy(unit).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
+    outside = (F.col(t) < F.col("_a")) | (F.col(t) > F.col("_b"))
+    return grid.join(span, unit).withColumn(value, F.when(outside, F.lit(0.0)).otherwise(F.col(value))).drop("_a", "_b")
+
+
+def influence_scores(present: DataFrame, sens: DataFrame, moves: DataFrame, version: list[str], unit: str, delta: str) -> DataFrame:
+    """Typical movement times the sum over equations of frequency times sensitivity."""
+    freq = present.groupBy(*version).agg(F.count(F.lit(1)).alias("_f"))
+    w = sens.join(freq, version).groupBy(unit).agg(F.sum(F.abs("sensitivity") * F.col("_f")).alias("_w"))
+    m = moves.groupBy(unit).agg(F.avg(F.abs(delta)).alias("movement"))
+    return w.join(m, unit).select(unit, "movement", (F.col("_w") * F.col("movement")).alias("influence_score"))
+
+
+def leader_contributions(leaders: DataFrame, sens: DataFrame, moves: DataFrame, version: list[str], unit: str, t: str, delta: str) -> DataFrame:
+    """Effect of each unit's movement on the leading equation of either side.  leaders
+    carry t, side, version, limit_change."""
+    j = leaders.join(sens, version).join(moves.select(unit, t, delta), [unit, t], "left")
+    b = F.col("sensitivity") * F.col(delta)
+    cap = F.when(F.col("side") == "upper", b).otherwise(-b)
+    return j.withColumns({"bound_impact": b, "capacity_impact": cap, "tightening": -cap}).withColumn(
+        "aligned", F.coalesce(F.signum("capacity_impact") == F.signum("limit_change"), F.lit(False)).cast("int"))
+
+
+def binding_panel(solutions: DataFrame, factors: DataFrame, version: list[str], rid: list[str], near: float) -> DataFrame:
+    """Solutions that bind, or sit within 0..near of binding on any link.  Links stay rows."""
+    slack = (F.col("rhs") - F.col("lhs")) / F.abs(F.nullif(F.col("factor"), F.lit(0.0)))
+    j = solutions.join(factors, version, "left").withColumn("_s", slack)
+    return j.groupBy(*rid, *[c for c in version if c not in rid]).agg(
+        F.max((F.abs("mv") > 1e-9).cast("int")).alias("binding"), F.max(F.coalesce(F.col("_s").between(0, near), F.lit(False)).cast("int")).alias("near"),
+        F.count("factor").alias("links")).filter("binding = 1 or near = 1")
+
+
+def activity_layer(active: DataFrame, available: DataFrame, keys: list[str], bucket: str, t: str, eq: str) -> DataFrame:
+    """Share of a bucket's available intervals in which each equation is active."""
+    n = available.groupBy(*keys, bucket).agg(F.countDistinct(t).alias("available"))
+    d = active.groupBy(*keys, bucket, eq).agg(F.countDistinct(t).alias("_n"))
+    return d.join(n, [*keys, bucket]).withColumn("share", F.col("_n") / F.col("available")).drop("_n")
+
+
+def any_active(active: DataFrame, available: DataFrame, keys: list[str], bucket: str, t: str, eq: str) -> DataFrame:
+    """Share of intervals with at least one active row, and the last active equation."""
+    n = available.groupBy(*keys, bucket).agg(F.countDistinct(t).alias("available"))
+    d = active.groupBy(*keys, bucket).agg(F.countDistinct(t).alias("_n"), F.max_by(eq, F.struct(t, eq)).alias("last_active"))
+    return n.join(d, [*keys, bucket], "left").withColumn("any_share", F.coalesce(F.col("_n"), F.lit(0)) / F.col("available")).drop("_n")
+
+
+def agreement(intervals: DataFrame, sets: DataFrame, binds: DataFrame, keys: list[str], t: str, arm: str) -> DataFrame:
+    """Two-by-two of 'a member sets the limit' and 'a member binds' by arm."""
+    on = [*keys, t]
+    j = (intervals.join(sets.select(*on).distinct().withColumn("_s", F.lit(1)), on, "left")
+         .join(binds.select(*on).distinct().withColumn("_b", F.lit(1)), on, "left"))
+    s, b = F.col("_s").isNotNull(), F.col("_b").isNotNull()
+
+    def share(c):
+        return F.avg(F.when(c, 1.0).otherwise(0.0))
+    return j.groupBy(*keys, arm).agg(F.count(F.lit(1)).alias("intervals"), share(s & b).alias("binds_and_sets"), share(b & ~s).alias("binds_only"),
+                                     share(s & ~b).alias("sets_only"), share(~s & ~b).alias("neither"))
+
+
+def strongest_units(sens: DataFrame, keys: list[str], unit: str, eq: str, floor: float, k: int) -> DataFrame:
+    """Top k units per key by their largest absolute sensitivity, with the equation it comes from."""
+    d = sens.filter(F.abs("sensitivity") >= floor)
+    per = d.groupBy(*keys, unit).agg(F.max_by(F.struct("sensitivity", eq), F.struct(F.abs("sensitivity"), "sensitivity", eq)).alias("_m"))
+    return top_k(per.select(*keys, unit, "_m.*"), keys, [F.desc(F.abs("sensitivity")), F.col(unit)], k)
+
+
+def electrical_groups(sens: DataFrame, key: str, unit: str, k: int) -> DataFrame:
+    """Median sensitivity per unit; the k strongest of either sign with weights adding to one."""
+    from .ranks import quantiles
+    m = quantiles(sens, [key, unit], "sensitivity", {"sensitivity": 0.5}).drop("n_values").filter("sensitivity <> 0")
+    m = m.withColumn("group", F.when(F.col("sensitivity") > 0, "positive").otherwise("negative"))
+    top = top_k(m, [key, "group"], [F.desc(F.abs("sensitivity")), F.col(unit)], k)
+    total = top.groupBy(key, "group").agg(F.sum(F.abs("sensitivity")).alias("_t"))
+    return top.join(total, [key, "group"]).withColumn("weight", F.abs("sensitivity") / F.col("_t")).drop("_t")
+
+
+def weighted_output(groups: DataFrame, output: DataFrame, key: str, unit: str, t: str, mw: str) -> DataFrame:
+    """Weighted group output per interval; null when any unit of the group is missing."""
+    n = groups.groupBy(key, "group").agg(F.countDistinct(unit).alias("_need"))
+    d = output.filter(F.col(mw).isNotNull()).join(groups.select(key, "group", unit, "weight"), unit).groupBy(key, "group", t).agg(
+        F.sum(F.col(mw) * F.col("weight")).alias("_v"), F.countDistinct(unit).alias("_n"))
+    return d.join(n, [key, "group"]).select(key, "group", t, F.when(F.col("_n") == F.col("_need"), F.col("_v")).alias("weighted_mw"))
+
+
+def coefficient_audit(rows: DataFrame, version: str, link_factor: str, factor: str, sensitivity: str, *, weak: float, extreme: float,
+                      rtol: float = 1e-7) -> DataFrame:
+    """Status per equation version: available only with one consistent, strong link factor
+    and no corrupt coefficient row; a bad row makes the version unavailable, never zero."""
+    a, f, s = F.col(link_factor), F.col(factor), F.col(sensitivity)
+    strong = a.isNotNull() & ~F.isnan(a) & (F.abs(a) >= weak)
+    good = strong & f.isNotNull() & s.isNotNull() & (F.abs(s + f / a) <= rtol * F.abs(f / a) + 1e-10) & (F.abs(s) <= extreme)
+    d = rows.groupBy(version).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(strong, 1)).alias("_strong"), F.min(F.when(strong, a)).alias("_lo"),
+        F.max(F.when(strong, a)).alias("_hi"), F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("bad_rows"))
+    return d.withColumn("status", F.when(F.col("_strong") == 0, "weak link factor").when(
+        F.col("_hi") - F.col("_lo") > rtol * F.abs("_lo") + 1e-10, "conflicting link factor").when(
+        F.col("bad_rows") > 0, "corrupt coefficient").otherwise("available")).drop("_strong", "_lo", "_hi")
+
+
+def excess_pressure(rows: DataFrame, keys: list[str], unit: str, arm: str, n_treated: DataFrame, k: int) -> DataFrame:
+    """Tightening and relief per treated interval less per base interval, top k units.
+    rows: keys, unit, arm ('treated' | 'base'), tight, relief; n_treated: keys, treated_n, base_n."""
+    def part(a, c):
+        return F.coalesce(F.sum(F.when(F.col(arm) == a, F.col(c))), F.lit(0.0))
+    d = rows.groupBy(*keys, unit).agg(*[part(a, c).alias(f"_{c}_{a}") for a in ("treated", "base") for c in ("tight", "relief")])
+    d = d.join(n_treated, keys)
+    per = {f"excess_{c}": F.col(f"_{c}_treated") / F.col("treated_n") - F.col(f"_{c}_base") / F.greatest(F.col("base_n"), F.lit(1)) for c in ("tight", "relief")}
+    d = d.withColumns(per)
+    score = F.round(F.abs("excess_tight") + F.abs("excess_relief"), 9)
+    return top_k(d, keys, [F.desc(score), F.col(unit)], k).select(*keys, unit, "excess_tight", "excess_relief")

@@ -3,7 +3,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates")
+MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping")
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")
