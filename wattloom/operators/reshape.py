@@ -14,9 +14,14 @@ def tagged_union(parts: dict[str, DataFrame], key: list[str], tag: str) -> DataF
     return both.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("_w")), ";").alias(tag))
 
 
+def hash_order(columns: list[str], seed: int) -> Column:
+    """Repeatable pseudo-random order of rows: a text hash, the same in any engine."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+
+
 def one_per_stratum(df: DataFrame, strata: list[str], unique: list[str], seed: int) -> DataFrame:
     """A repeatable pick: lowest seeded hash of the row id."""
-    return top_k(df, strata, [F.xxhash64(*unique, F.lit(seed)), *[F.col(c) for c in unique]], 1)
+    return top_k(df, strata, [hash_order(unique, seed), *[F.col(c) for c in unique]], 1)
 
 
 def fallback_levels(requests: DataFrame, table: DataFrame, rid: list[str], levels: dict[str, list[str]], payload: list[str]) -> DataFrame:
@@ -76,12 +81,12 @@ def systematic_sample(df: DataFrame, keys: list[str], order: list[str], share_of
 
 def hashed_sample(df: DataFrame, keys: list[str], unique: list[str], size: int, seed: int) -> DataFrame:
     """size rows per group with the lowest seeded hash."""
-    return top_k(df, keys, [F.xxhash64(*unique, F.lit(seed)), *[F.col(c) for c in unique]], size)
+    return top_k(df, keys, [hash_order(unique, seed), *[F.col(c) for c in unique]], size)
 
 
 def ranked_controls(pairs: DataFrame, unit: list[str], offset: str, unique: list[str], k: int, seed: int) -> DataFrame:
     """Up to k controls per unit by slot offset, then a seeded hash."""
-    return top_k(pairs, unit, [F.col(offset), F.pmod(F.xxhash64(*unique, F.lit(seed)), F.lit(1 << 31)), *[F.col(c) for c in unique]], k, rank="rank")
+    return top_k(pairs, unit, [F.col(offset), hash_order(unique, seed), *[F.col(c) for c in unique]], k, rank="rank")
 
 
 def token_counts(df: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:

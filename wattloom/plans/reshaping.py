@@ -30,14 +30,20 @@ def selection_union(t):
     return op.tagged_union(parts, ["o_orderkey"], "reasons")
 
 
-@query("t2_representative_pick")
+@query("t2_representative_pick", """
+select y, o_orderpriority, o_orderkey from (select *, year(o_orderdate) as y, row_number() over (partition by year(o_orderdate), o_orderpriority
+  order by md5(concat_ws('|', o_orderkey, 741)), o_orderkey) as rn from orders) where rn = 1""")
 def representative_pick(t):
-    """One repeatable case per stratum; the pick is by Spark's hash, so no oracle form."""
+    """One repeatable case per stratum."""
     return op.one_per_stratum(t.orders.withColumn("y", F.year("o_orderdate")), ["y", "o_orderpriority"], ["o_orderkey"], 741).select(
         "y", "o_orderpriority", "o_orderkey")
 
 
-@query("t3_ranked_k_controls")
+@query("t3_ranked_k_controls", """
+with p as (select a.l_partkey as key, a.l_orderkey as tk, a.l_linenumber as tl, b.l_orderkey as ck, b.l_linenumber as cl, abs(date_diff('day', a.l_shipdate, b.l_shipdate))::int as off
+  from lineitem a join lineitem b on a.l_partkey = b.l_partkey and b.l_shipdate between a.l_shipdate - interval 21 days and a.l_shipdate + interval 21 days
+  where a.l_returnflag = 'R' and b.l_returnflag = 'N')
+select * from (select *, row_number() over (partition by key, tk, tl order by off, md5(concat_ws('|', ck, cl, 17)), ck, cl) as rank from p) where rank <= 5""")
 def ranked_k_controls(t):
     """At most five controls per treated unit: same part, shipped within 21 days, by closeness and seeded hash."""
     from ..operators.lookups import points_in_intervals
@@ -161,7 +167,8 @@ def systematic_sample(t):
     return op.systematic_sample(t.events, ["event_type"], ["ts", "event_id"], 1, 100)
 
 
-@query("t14_hashed_sample")
+@query("t14_hashed_sample", """
+select event_type, event_id from (select *, row_number() over (partition by event_type order by md5(concat_ws('|', event_id, 260921)), event_id) as rn from events) where rn <= 30""")
 def hashed_sample(t):
     """A fixed number of rows per group by seeded hash (the reference's seeded sample)."""
     return op.hashed_sample(t.events, ["event_type"], ["event_id"], 30, 260921).select("event_type", "event_id")
