@@ -154,3 +154,33 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, *, minimum:
     rho = (n * F.col("_ab") - F.col("_a") * F.col("_b")) / F.sqrt(va * vb)
     return s.select(*keys, "n_pairs",
                     F.when((n >= minimum) & (va > 0) & (vb > 0), rho).alias(name))
+
+
+def quantile_grid(df: DataFrame, keys: list[str], value: str, cells: int, *, split_from: int = SPLIT_FROM) -> DataFrame:
+    """cells + 1 equally spaced exact quantiles per group as rows (keys, knot, value).
+
+    Every distinct value emits only the knots whose bracketing ranks it covers, in
+    integer arithmetic, so the work is the group's distinct values plus cells."""
+    d = prefix_weights(df, keys, [value], split_from=split_from)
+    b, m, one = F.col("below"), cells, F.col("total") == 1
+    lo_a = F.when(one, 0).otherwise(F.expr(f"(below * {m} + total - 2) div (total - 1)"))
+    lo_b = F.when(one, m).otherwise(F.expr(f"((below + weight) * {m} + total - 2) div (total - 1)") - 1)
+    hi_a = F.when(one, 0).otherwise(F.when(b == 0, 0).otherwise(F.expr(f"((below - 1) * {m}) div (total - 1)") + 1))
+    hi_b = F.when(one, m).otherwise(F.expr(f"((below + weight - 1) * {m}) div (total - 1)"))
+
+    def emit(a, z, side):
+        z = F.least(z, F.lit(m))
+        return d.filter(a <= z).select(*keys, F.explode(F.sequence(a.cast("long"), z.cast("long"))).alias("knot"),
+                                       "total", F.col(value).alias(side))
+    both = emit(lo_a, lo_b, "_lo").unionByName(emit(hi_a, hi_b, "_hi"), True)
+    g = both.groupBy(*keys, "knot").agg(F.max("total").alias("n_values"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    frac = F.pmod(F.col("knot") * (F.col("n_values") - 1), F.lit(m)) / m
+    return g.select(*keys, "knot", "n_values", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(value))
+
+
+def interpolated_cdf(knots: Column, x: Column, cells: int) -> Column:
+    """Share of an equally spaced quantile array at or below x, linear between knots."""
+    i = _find_range(knots, x)
+    left, right = F.get(knots, i - 1), F.get(knots, i)
+    return (F.when(i == 0, 0.0).when(i > cells, 1.0)
+            .otherwise((i - 1 + (x - left) / (right - left)) / cells))

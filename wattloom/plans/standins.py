@@ -74,3 +74,32 @@ def equations(t):
                           F.col("l_extendedprice").alias("rhs"), (F.col("l_quantity") * 100).alias("lhs"), F.col("l_tax").alias("mv"),
                           F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
     return d
+
+
+# Forecast rows on the hourly grid: origin x lead with actual, persistence, seasonal and a blend.
+FC = GRID + """, pub as (select *, time + to_hours(coalesce(n, 1)::int) as published from grid), ends as (select key, max(time) as last from grid group by 1),
+oo as (select g.key, g.time as origin, lead, g.time + to_hours(lead::int) as time from grid g join ends using (key), (select unnest([1, 3, 6, 24, 48, 170]) as lead) where g.time + to_hours(lead::int) <= last),
+fc as (select oo.*, a.v as actual, case when p1.published > origin then p2.v else p1.v end as persistence, s.v as seasonal from oo
+  left join pub a on a.key = oo.key and a.time = oo.time left join pub p1 on p1.key = oo.key and p1.time = origin - interval 1 hour left join pub p2 on p2.key = oo.key and p2.time = origin - interval 2 hours
+  left join pub s on s.key = oo.key and s.time = oo.time - to_hours(case when lead >= 168 then 336 else 168 end)),
+fb as (select *, persistence * 0.5 + seasonal * 0.5 as blend, case when lead <= 3 then 'short' when lead <= 24 then 'day' else 'long' end as band from fc)"""
+
+
+def published_grid(t):
+    return grid(t).withColumn("published", F.col("time") + F.make_dt_interval(hours=F.coalesce("n", F.lit(1)).cast("int")))
+
+
+def forecast_rows_grid(t):
+    from ..operators import forecast as fo
+    g = published_grid(t)
+    last = g.groupBy("key").agg(F.max("time").alias("last"))
+    o = g.select("key", F.col("time").alias("origin")).join(last, "key")
+    rows = fo.origin_lead_grid(o, "origin", [1, 3, 6, 24, 48, 170], "1 hour", F.col("last")).drop("last")
+    rows = fo.at_offset(rows, g, ["key"], F.col("time"), {"actual": "v"})
+    return fo.naive_forecasts(rows, g, ["key"], "v", "published", "1 hour", 168).select("key", "origin", "lead", "time", "actual", "persistence", "seasonal")
+
+
+def blended(t):
+    lead = F.col("lead")
+    return forecast_rows_grid(t).withColumns({"blend": F.col("persistence") * 0.5 + F.col("seasonal") * 0.5,
+                                              "band": F.when(lead <= 3, "short").when(lead <= 24, "day").otherwise("long")})
