@@ -3,7 +3,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping", "constraints", "events", "forecasts", "resampling", "markets")
+MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping", "constraints", "events", "forecasts", "resampling", "markets", "outages")
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")

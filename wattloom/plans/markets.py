@@ -32,9 +32,9 @@ def residues(t):
     return d.withColumn("r", op.residue(F.col("pf"), F.col("pt"), F.col("f"), F.col("l"), F.col("s")))
 
 
-@query("m1_asset_residue", f"with {SHARED} select l_orderkey, l_linenumber, l_partkey, l_suppkey, s, round(r, 9) as residue from rs")
+@query("m1_asset_residue", f"with {SHARED} select l_orderkey, l_linenumber, l_partkey, l_suppkey, s, round(r * 12, 9) as hourly from rs")
 def asset_residue(t):
-    return residues(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s", r6("r", 9).alias("residue"))
+    return residues(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s", r6(F.col("r") * 12, 9).alias("hourly"))
 
 
 @query("m2_directional_pool", f"""with {SHARED}, p as (select time, pair, sum(r) as r, sum(f) as n from rs group by 1, 2)
