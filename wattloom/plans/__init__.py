@@ -3,7 +3,8 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping", "constraints", "events", "forecasts", "resampling", "markets", "outages")
+MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping", "constraints", "events", "forecasts", "resampling", "markets", "outages",
+           "feeds", "streams")
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")
