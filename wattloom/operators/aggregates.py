@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranks import null_safe_join, quantiles, rank_correlation
+from .ranks import null_safe_join, quantile_table, quantiles, rank_correlation
 from .revisions import top_k
 
 
@@ -146,9 +146,7 @@ def quantile_profile(df: DataFrame, schemes: dict[str, Column], keys: list[str],
     d = df.withColumn("_s", F.explode(tags)).select(*df.columns, "_s.*")
     by = ["scheme", "block", *keys]
     out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(a) for a, c in means.items()])
-    for value, probs in measures.items():
-        out = null_safe_join(out, quantiles(d, by, value, probs).drop("n_values"), by, "left")
-    return out
+    return null_safe_join(out, quantile_table(d, by, measures), by, "left")
 
 
 def regime_table(df: DataFrame, strata: list[str], variable: str, response: dict[str, str], minimum: int) -> DataFrame:
@@ -159,9 +157,7 @@ def regime_table(df: DataFrame, strata: list[str], variable: str, response: dict
         "regime", F.when(x <= F.col("p20"), "low").when(x <= F.col("p80"), "normal").otherwise("high"))
     by = [*strata, "regime"]
     out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("p20").alias("p20"), F.max("p80").alias("p80"))
-    for name, c in response.items():
-        out = null_safe_join(out, quantiles(d, by, c, {name: 0.5}).drop("n_values"), by, "left")
-    return out
+    return null_safe_join(out, quantile_table(d, by, {c: {name: 0.5} for name, c in response.items()}), by, "left")
 
 
 def ranked_shares(df: DataFrame, keys: list[str], item: str, k: int) -> DataFrame:

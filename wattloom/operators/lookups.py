@@ -59,15 +59,15 @@ def points_in_intervals(points: DataFrame, spells: DataFrame, keys: list[str], t
                         *, hours: int = 24, right_open: bool = False, how: str = "inner") -> DataFrame:
     """Range join as an equi-join on (keys, time bucket) plus the exact test.
     Spells must be clipped to the studied span before they are bucketed."""
-    p = points.withColumn("_b", time_chunk(F.col(t), hours))
-    s = spells.filter(F.col(start) <= F.col(end)).withColumn("_b", _buckets(F.col(start), F.col(end), hours))
-    s = s.select(*[F.col(c).alias(f"_s_{c}") if c in keys + ["_b"] else F.col(c) for c in s.columns])
-    on = F.col("_b") == F.col("_s__b")
+    p = points.withColumn("__bucket", time_chunk(F.col(t), hours))
+    s = spells.filter(F.col(start) <= F.col(end)).withColumn("__bucket", _buckets(F.col(start), F.col(end), hours))
+    s = s.select(*[F.col(c).alias(f"_s_{c}") if c in keys + ["__bucket"] else F.col(c) for c in s.columns])
+    on = F.col("__bucket") == F.col("_s___bucket")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_s_{k}"))
     upper = F.col(t) < F.col(end) if right_open else F.col(t) <= F.col(end)
     out = p.join(s, on & (F.col(t) >= F.col(start)) & upper, how)
-    return out.drop("_b", "_s__b", *[f"_s_{k}" for k in keys])
+    return out.drop("__bucket", "_s___bucket", *[f"_s_{k}" for k in keys])
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str],
@@ -75,18 +75,18 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str,
     """Pairs of overlapping intervals.  Either side is spread over time buckets
     and a pair is taken only in the bucket where the later one starts, so it
     appears once without a distinct.  Columns of a and b must differ but for keys."""
-    x = a.withColumn("_b", _buckets(F.col(a_span[0]), F.col(a_span[1]), hours))
-    y = b.withColumn("_b", _buckets(F.col(b_span[0]), F.col(b_span[1]), hours))
-    y = y.select(*[F.col(c).alias(f"_y_{c}") if c in keys + ["_b"] else F.col(c) for c in y.columns])
-    on = F.col("_b") == F.col("_y__b")
+    x = a.withColumn("__bucket", _buckets(F.col(a_span[0]), F.col(a_span[1]), hours))
+    y = b.withColumn("__bucket", _buckets(F.col(b_span[0]), F.col(b_span[1]), hours))
+    y = y.select(*[F.col(c).alias(f"_y_{c}") if c in keys + ["__bucket"] else F.col(c) for c in y.columns])
+    on = F.col("__bucket") == F.col("_y___bucket")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_y_{k}"))
     (s1, e1), (s2, e2) = a_span, b_span
     touch = ((F.col(s1) < F.col(e2)) & (F.col(s2) < F.col(e1))) if strict else (
         (F.col(s1) <= F.col(e2)) & (F.col(s2) <= F.col(e1)))
-    home = F.col("_b") == time_chunk(F.greatest(F.col(s1), F.col(s2)), hours)
+    home = F.col("__bucket") == time_chunk(F.greatest(F.col(s1), F.col(s2)), hours)
     out = x.join(y, on & touch & home & (extra if extra is not None else F.lit(True)))
-    return out.drop("_b", "_y__b", *[f"_y_{k}" for k in keys])
+    return out.drop("__bucket", "_y___bucket", *[f"_y_{k}" for k in keys])
 
 
 def bracket(requests: DataFrame, facts: DataFrame, keys: list[str], t: str, at: str, value: str, *,

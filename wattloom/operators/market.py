@@ -65,30 +65,35 @@ def net_trade(df: DataFrame) -> DataFrame:
     f, a, p = (lambda k: F.coalesce(F.col(f"f_{k}"), F.lit(0.0))), (lambda k: F.coalesce(F.col(f"a_{k}"), F.lit(0.0))), (lambda k: F.col(f"p_{k}"))
     d = df.withColumns({"e_NSW": f("NS") - f("VN"), "e_VIC": f("VN") + f("VS"), "e_SA": -f("VS") - f("NS"), "net_loop": a("VN") + a("VS") + a("NS")})
     d = d.withColumn("n_exporting", sum(((F.col(f"e_{r}") >= 0).cast("int") for r in ("NSW", "VIC", "SA")), F.lit(0)))
-    cols = {}
+    # one step per withColumns, so that shared terms are computed once and not inlined
+    sent = {}
     for arm, (x, y) in ARMS.items():
         ex, ey = F.col(f"e_{x}"), F.col(f"e_{y}")
-        sent = F.when(F.col("n_exporting") == 3, F.signum(f(arm))).when((ex >= 0) & (ey < 0), 1.0).when((ey >= 0) & (ex < 0), -1.0).otherwise(0.0)
-        from_e, to_e = F.when(sent > 0, ex).otherwise(ey), F.when(sent > 0, ey).otherwise(ex)
-        qty = F.when(sent == 0, 0.0).when(F.col("n_exporting") == 1, -to_e).otherwise(from_e)
-        gap = F.when(sent > 0, p(y) - p(x)).otherwise(p(x) - p(y))
-        cols.update({f"dir_{arm}": sent, f"net_trade_{arm}": qty * sent, f"amount_{arm}": F.when(sent != 0, qty * gap).otherwise(0.0)})
-    d = d.withColumns(cols)
+        sent[f"dir_{arm}"] = F.when(F.col("n_exporting") == 3, F.signum(f(arm))).when((ex >= 0) & (ey < 0), 1.0).when((ey >= 0) & (ex < 0), -1.0).otherwise(0.0)
+    d = d.withColumns(sent)
+    qty = {}
+    for arm, (x, y) in ARMS.items():
+        to_y = F.col(f"dir_{arm}") > 0
+        from_e, to_e = F.when(to_y, F.col(f"e_{x}")).otherwise(F.col(f"e_{y}")), F.when(to_y, F.col(f"e_{y}")).otherwise(F.col(f"e_{x}"))
+        qty[f"net_trade_{arm}"] = F.col(f"dir_{arm}") * F.when(F.col("n_exporting") == 1, -to_e).otherwise(from_e)
+    d = d.withColumns(qty)
+    d = d.withColumns({f"amount_{arm}": F.col(f"net_trade_{arm}") * (p(y) - p(x)) for arm, (x, y) in ARMS.items()})
     amt = [F.col(f"amount_{k}") for k in ARMS]
-    total, gain = sum(amt[1:], amt[0]), sum((F.greatest(x, F.lit(0.0)) for x in amt), F.lit(0.0))
-    nl = F.col("net_loop")
-    bad = (F.abs(total) <= 1e-9) | (F.signum(total) != F.signum(nl))
-    d = d.withColumns({f"provisional_{k}": F.when(bad & (gain > 0), nl * F.greatest(F.col(f"amount_{k}"), F.lit(0.0)) / gain)
+    d = d.withColumns({"_total": sum(amt[1:], amt[0]), "_gain": sum((F.greatest(x, F.lit(0.0)) for x in amt), F.lit(0.0))})
+    total, gain, nl = F.col("_total"), F.col("_gain"), F.col("net_loop")
+    d = d.withColumn("_bad", (F.abs(total) <= 1e-9) | (F.signum(total) != F.signum(nl)))
+    d = d.withColumns({f"provisional_{k}": F.when(F.col("_bad") & (gain > 0), nl * F.greatest(F.col(f"amount_{k}"), F.lit(0.0)) / gain)
                        .when(F.abs(total) > 1e-9, nl * F.col(f"amount_{k}") / F.nullif(total, F.lit(0.0))).otherwise(0.0) for k in ARMS})
-    kept = [F.greatest(F.col(f"provisional_{k}"), F.lit(0.0)) for k in ARMS]
-    whole = sum(kept[1:], kept[0])
+    d = d.withColumn("_kept", sum((F.greatest(F.col(f"provisional_{k}"), F.lit(0.0)) for k in ARMS), F.lit(0.0)))
+    whole = F.col("_kept")
+    d = d.withColumns({f"_share_{k}": F.when((nl > 0) & (whole > 0), nl * F.greatest(F.col(f"provisional_{k}"), F.lit(0.0)) / F.nullif(whole, F.lit(0.0))).otherwise(0.0) for k in ARMS})
     pay = {}
     for arm, (x, y) in ARMS.items():
-        share = F.when((nl > 0) & (whole > 0), nl * F.greatest(F.col(f"provisional_{arm}"), F.lit(0.0)) / F.nullif(whole, F.lit(0.0))).otherwise(0.0)
+        share = F.col(f"_share_{arm}")
         flow = f(arm)
         pay.update({f"loop_{x}{y}": F.when(F.col(f"dir_{arm}") > 0, share).otherwise(0.0), f"loop_{y}{x}": F.when(F.col(f"dir_{arm}") < 0, share).otherwise(0.0),
                     f"sq_{x}{y}": F.when(flow > 0, F.greatest(a(arm), F.lit(0.0))).otherwise(0.0), f"sq_{y}{x}": F.when(flow < 0, F.greatest(a(arm), F.lit(0.0))).otherwise(0.0)})
-    return d.withColumns(pay)
+    return d.withColumns(pay).drop("_total", "_gain", "_bad", "_kept", *[f"_share_{k}" for k in ARMS])
 
 
 def margins(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -104,6 +104,27 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         for n in probs])
 
 
+def quantile_table(df: DataFrame, keys: list[str], measures: dict[str, dict[str, float]], *,
+                   split_from: int = SPLIT_FROM) -> DataFrame:
+    """Quantiles of several columns at once: measures maps column -> {name: p}.  The
+    columns become rows first, so all of them share one pass."""
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in measures]).unpivot(list(keys), list(measures), "_measure", "_x")
+    names = [(c, n) for c, probs in measures.items() for n in probs]
+    if len({n for _, n in names}) != len(names):
+        raise ValueError("quantile names must differ")
+    d = prefix_weights(long, [*keys, "_measure"], ["_x"], split_from=split_from)
+    aggs = []
+    for c, n in names:
+        at = F.lit(float(measures[c][n])) * (F.col("total") - 1)
+        mine = F.col("_measure") == c
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = mine & (F.col("below") <= pos) & (pos < F.col("below") + F.col("weight"))
+            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{n}_{side}"))
+        aggs.append(F.max(F.when(mine, at - F.floor(at))).alias(f"_{n}_f"))
+    out = d.groupBy(*keys).agg(*aggs)
+    return out.select(*keys, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n) for _, n in names])
+
+
 def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, tie: str,
                        probs: dict[str, float], *, split_from: int = SPLIT_FROM) -> DataFrame:
     """Quantiles by interpolating between the mid-points of cumulative weight."""

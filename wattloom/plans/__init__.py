@@ -4,7 +4,7 @@ from importlib import import_module
 from .registry import ORACLE, QUERIES
 
 MODULES = ("cleaning", "scalars", "joins", "windows", "aggregates", "reshaping", "constraints", "events", "forecasts", "resampling", "markets", "outages",
-           "feeds", "streams", "regimes")
+           "feeds", "streams", "regimes", "extras")
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")
