@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import slot_distance
+from ..session import cut
 from .ranks import quantiles, weighted_quantiles
 from .revisions import top_k
 
@@ -34,13 +35,14 @@ def select_analogues(conditions: DataFrame, panel: DataFrame, cid: str, keys: li
         exact = exact & (~asked | F.coalesce(F.abs(delta) <= scale, F.lit(False)))
     n = reduce(lambda a, b: a + b, [F.col(f"q_{f}").isNotNull().cast("int") for f in features], F.lit(1))
     d = d.filter(F.col(target).isNotNull()).withColumns({"_d2": reduce(lambda a, b: a + b, terms) / n, "_x": exact})
+    d = cut(d.select(cid, day, target, rid, "_d2", "_x"), "candidates")      # read four times below
     days = d.groupBy(cid).agg(F.countDistinct(F.when(F.col("_x"), F.col(day))).alias("exact_days"))
     d = d.join(days, cid).filter(F.col("_x") | (F.col("exact_days") < min_days))
     near = d.groupBy(cid, day).agg(F.min("_d2").alias("_m"))
     d = d.join(top_k(near, [cid], [F.round("_m", 9), F.col(day)], neighbour_days).select(cid, day), [cid, day], "left_semi")
     d = d.withColumn("_w", F.exp(-0.5 * F.least(F.sqrt("_d2"), F.lit(20.0)) ** 2))
     tot = d.groupBy(cid, day).agg(F.sum("_w").alias("_t"))
-    d = d.join(tot, [cid, day]).withColumn("_w", F.col("_w") / F.col("_t"))
+    d = cut(d.join(tot, [cid, day]).withColumn("_w", F.col("_w") / F.col("_t")).drop("_t"), "analogues")
     s = d.groupBy(cid).agg(F.max("exact_days").alias("exact_days"), F.countDistinct(day).alias("analogue_days"),
                            (F.sum(F.when(F.col(target) < threshold, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("restricted_share"), F.count(F.lit(1)).alias("rows"))
     q = weighted_quantiles(d, [cid], target, "_w", rid, probs)

@@ -145,6 +145,13 @@ MATCH = PANEL + ", " + matched_sql()
 
 
 def panel(t):
+    """The supplier-day panel; it feeds treated rows, controls and values, so it is written once."""
+    if "panel_rows" not in t.__dict__:
+        t.panel_rows = cut(_panel(t), "panel")
+    return t.panel_rows
+
+
+def _panel(t):
     fam = F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber").cast("string")))
     time = F.col("time")
     return t.lineitem.groupBy(F.col("l_suppkey").alias("link"), F.col("l_shipdate").alias("time")).agg(
