@@ -130,7 +130,8 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
             hours: int = CHUNK_HOURS) -> DataFrame:
     """Number runs from 1: ``starts`` is true on the first row of each run."""
     d = df.withColumn("_new", F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0).cast("long"))
-    return running(d, keys, order, "_new", name, hours=hours).drop("_new")
+    d = d.withColumn("_later", 1 - F.col("_new"))      # among equal stamps the start comes first
+    return running(d, keys, [*order, "_later"], "_new", name, hours=hours).drop("_new", "_later")
 
 
 def gap_islands(df: DataFrame, keys: list[str], order: list[str], gap: str, name: str = "island", *,
@@ -144,6 +145,8 @@ def gap_islands(df: DataFrame, keys: list[str], order: list[str], gap: str, name
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str] = (), *,
                     gap: str = "0 seconds", aggs: list[Column] = (), hours: int = CHUNK_HOURS) -> DataFrame:
     """Union of overlapping or nearly adjacent spells, with payload aggregates."""
+    if not tie and not aggs:
+        df = df.select(*keys, start, end).distinct()
     order = [start, end, *tie]
     d = running(df, keys, order, end, "_reach", how="max", inclusive=False, hours=hours)
     first = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.expr(f"interval {gap}"))

@@ -10,7 +10,7 @@ from ..operators import revisions as rev
 from ..operators import sequence as seq
 from ..operators import windows as win
 from .registry import query
-from .standins import EQ, GRID, PAIRS, equations, grid, hourly, pair_panel, r6, ts, week
+from .standins import EQ, GRID, OFF, PAIRS, equations, grid, hourly, pair_panel, r6, steady, ts, week
 
 
 def rounded(d, cols, n=6):
@@ -35,9 +35,9 @@ def halfhour_targets(t):
     return rounded(monthly(t), ["q"])
 
 
-@query("a2_regional_halfhour", """
-select n_regionkey as region, date_trunc('month', l_shipdate) as month, case when count(distinct l_shipdate) >= 20 then round(avg(l_quantity), 6) end as demand,
-  case when count(distinct l_shipdate) >= 20 then round(avg(l_extendedprice), 4) end as wind
+@query("a2_regional_halfhour", f"""
+select n_regionkey as region, date_trunc('month', l_shipdate) as month, case when count(distinct l_shipdate) >= 20 then round(avg(l_quantity) + {OFF}, 6) end as demand,
+  case when count(distinct l_shipdate) >= 20 then round(avg(l_extendedprice) + {OFF}, 6) end as wind
 from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2""")
 def regional_halfhour(t):
     place = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("region"))
@@ -45,7 +45,8 @@ def regional_halfhour(t):
     g = d.groupBy("region", cal.month_start(F.col("l_shipdate")).alias("month")).agg(
         F.countDistinct("l_shipdate").alias("n"), F.avg("l_quantity").alias("demand"), F.avg("l_extendedprice").alias("wind"))
     whole = F.col("n") >= 20
-    return g.select("region", "month", F.when(whole, r6("demand")).alias("demand"), F.when(whole, r6("wind", 4)).alias("wind"))
+    g = steady(g, ["demand", "wind"])
+    return g.select("region", "month", F.when(whole, F.col("demand")).alias("demand"), F.when(whole, F.col("wind")).alias("wind"))
 
 
 @query("a3_seasonal_reference", f"""with {MONTHLY}, p as (select key, month, floor(month(month) % 12 / 3)::int as season, case when n = 6 then hi - 20000 end as cap from m),
@@ -193,7 +194,7 @@ def regime_table(t):
 with m as (select date_trunc('month', o_orderdate) as month, case when avg(o_totalprice) > 255000 then 1 when avg(o_totalprice) < 245000 then -1 else 0 end as s from orders group by 1),
 i as (select *, sum((s is distinct from p)::int) over (order by month) as g from (select *, lag(s) over (order by month) as p from m)),
 st as (select month, case when s = 1 and c >= 2 then 'El Niño' when s = -1 and c >= 2 then 'La Niña' else 'Neutral' end as state from (select *, count(*) over (partition by g) as c from i))
-select state, count(*) as n, count(distinct month) as months, round(avg(o_totalprice), 3) as mean from orders join st on date_trunc('month', o_orderdate) = month group by 1""")
+select state, count(*) as n, count(distinct month) as months, round(avg(o_totalprice), 6) as mean from orders join st on date_trunc('month', o_orderdate) = month group by 1""")
 def spell_count_index(t):
     month = cal.month_start(F.col("o_orderdate"))
     o = t.orders.withColumn("month", month)
@@ -204,7 +205,7 @@ def spell_count_index(t):
     size = m.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     st = m.join(size, "g").select("month", F.when((F.col("s") == 1) & (F.col("c") >= 2), "El Niño").when(
         (F.col("s") == -1) & (F.col("c") >= 2), "La Niña").otherwise("Neutral").alias("state"))
-    return o.join(st, "month").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("month").alias("months"), r6(avg, 3).alias("mean"))
+    return o.join(st, "month").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("month").alias("months"), r6(avg).alias("mean"))
 
 
 @query("a16_counterprice", """with d as (select event_type as key, strftime(ts - interval 1 microsecond, '%Y-%m-%d') as day, (value - 20) * (json_extract(props, '$.k')::int - 50) as r,

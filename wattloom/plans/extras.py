@@ -334,12 +334,12 @@ def article_event_statistics(t):
 
 
 @query("x42_largest_regime_delta", """with d as (select l_returnflag as key, floor(month(l_shipdate) % 12 / 3)::int as season, case when l_discount <= 0.02 then 'low' when l_discount >= 0.08 then 'high' end as regime, l_extendedprice as x from lineitem),
-p as (select key, season, avg(x) filter (regime = 'low') as low, avg(x) filter (regime = 'high') as high from d group by 1, 2), r as (select *, high - low as delta, row_number() over (partition by key order by round(abs(high - low), 9) desc, season) as rn from p where low is not null and high is not null) select key, season, round(low, 4) as low, round(high, 4) as high, round(delta, 4) as delta from r where rn = 1""")
+p as (select key, season, avg(x) filter (regime = 'low') as low, avg(x) filter (regime = 'high') as high from d group by 1, 2), r as (select *, high - low as delta, row_number() over (partition by key order by round(abs(high - low), 9) desc, season) as rn from p where low is not null and high is not null) select key, season, round(low, 6) as low, round(high, 6) as high, round(delta, 6) as delta from r where rn = 1""")
 def largest_regime_delta(t):
     x = F.col("l_discount")
     d = t.lineitem.select(F.col("l_returnflag").alias("key"), cal.season(F.col("l_shipdate")).alias("season"), F.when(x <= 0.02, "low").when(x >= 0.08, "high").alias("regime"), "l_extendedprice")
     m = d.filter("regime is not null").groupBy("key", "season", "regime").agg(F.avg("l_extendedprice").alias("x"))
-    return rounded(op.largest_delta(m, ["key"], "season", "regime", "x"), ["low", "high", "delta"], 4)
+    return rounded(op.largest_delta(m, ["key"], "season", "regime", "x"), ["low", "high", "delta"])
 
 
 @query("x43_recorded_forecast_score", """with a as (select o_custkey as key, o_orderdate as delivery, arg_max(o_totalprice / 10000, (o_orderkey)) as actual from orders group by 1, 2) select l_returnflag, count(*) as recorded, count(actual) as scored, round(avg(abs(l_quantity - actual)), 6) as mae from lineitem left join a on key = l_suppkey and delivery = l_shipdate group by 1""")

@@ -11,7 +11,7 @@ from .aggregates import rounded
 from .cleaning import BOOK, FORECAST, bookings, forecast_rows
 from .joins import ORIGINS, VINTAGE, origins, vintage
 from .registry import query
-from .standins import FC, GRID, blended, forecast_rows_grid, grid, published_grid, r6, ts
+from .standins import FC, GRID, OFF, blended, forecast_rows_grid, grid, published_grid, r6, steady, ts
 
 
 @query("f1_origin_lead_grid", f"with {FC} select key, origin, lead, time from oo")
@@ -136,11 +136,11 @@ def origin_weights(t):
 
 
 @query("f12_point_metrics", f"""with {FC}, s as (select *, unnest(['all', band, 'p' || (hour(time) // 6)]) as slice from fb where actual is not null and persistence is not null), e as (select *, persistence - actual as e from s)
-select key, slice, count(*) as n, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(avg(e), 6) as bias, round(avg(greatest(e, 0)), 6) as overstatement, round(avg(abs(e) / greatest(abs(actual), 50)), 6) as mape,
-  round(quantile_cont(abs(e), 0.95), 6) as p95, round(quantile_cont(abs(e), 0.99), 6) as p99 from e group by 1, 2""")
+select key, slice, count(*) as n, round(avg(abs(e)) + {OFF}, 6) as mae, round(sqrt(avg(e * e)) + {OFF}, 6) as rmse, round(avg(e) + {OFF}, 6) as bias, round(avg(greatest(e, 0)) + {OFF}, 6) as overstatement, round(avg(abs(e) / greatest(abs(actual), 50)) + {OFF}, 6) as mape,
+  round(quantile_cont(abs(e), 0.95) + {OFF}, 6) as p95, round(quantile_cont(abs(e), 0.99) + {OFF}, 6) as p99 from e group by 1, 2""")
 def point_metrics(t):
     d = blended(t).withColumn("slice", F.explode(F.array(F.lit("all"), F.col("band"), F.concat(F.lit("p"), F.floor(F.hour("time") / 6).cast("string")))))
-    return rounded(op.point_metrics(d, ["key", "slice"], "actual", "persistence"), ["mae", "rmse", "bias", "overstatement", "mape", "p95", "p99"])
+    return steady(op.point_metrics(d, ["key", "slice"], "actual", "persistence"), ["mae", "rmse", "bias", "overstatement", "mape", "p95", "p99"])
 
 
 @query("f13_interval_metrics", """
@@ -187,8 +187,8 @@ def quantile_grid(t):
 
 
 WARN = """wn as (select l_suppkey % 3 as cell, case when l_linestatus = 'O' then 'forward' else 'reverse' end as direction, round(l_discount * 8 + l_tax * 2, 4) as p, (l_returnflag = 'R' and l_quantity > 25)::int as y from lineitem),
-cf as (select cell, direction, c as cutoff, count(*) filter (p >= c and y = 1) as tp, count(*) filter (p >= c and y = 0) as fp, count(*) filter (p < c and y = 1) as fn from wn, (select unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::double[]) as c) group by 1, 2, 3)"""
-CUTS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+cf as (select cell, direction, c as cutoff, count(*) filter (p >= c and y = 1) as tp, count(*) filter (p >= c and y = 0) as fp, count(*) filter (p < c and y = 1) as fn from wn, (select unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 2.0]::double[]) as c) group by 1, 2, 3)"""
+CUTS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 2.0]
 
 
 def confusion(t):

@@ -11,7 +11,7 @@ from ..operators import ranks
 from ..operators import revisions as rev
 from .aggregates import rounded
 from .registry import query
-from .standins import PAIRS, pair_panel, r6
+from .standins import OFF, PAIRS, pair_panel, r6, steady
 
 # One asset interval per line: signed flow, losses, two prices.
 ASSET = """asset as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate as time, l_suppkey % 5 as pair, l_returnflag as dir, l_quantity - 25 as f, l_tax * 10 as l,
@@ -74,7 +74,7 @@ def unit_registry(t):
 x as (select year(time - interval 1 microsecond) || 'Q' || quarter(time - interval 1 microsecond) as quarter, dir, variant, case variant when 'dated' then r when 'share_0' then (pt * (f - l) - pf * f) / 12 when 'share_1' then (pt * f - pf * (f + l)) / 12 else (pt - pf) * f / 12 end as r from v),
 g as (select quarter, dir, variant, sum(greatest(r, 0)) as p, sum(least(r, 0)) as n, count(*) as c from x group by 1, 2, 3)
 select quarter, dir, variant, round(p, 4) as residue_pos, round(n, 4) as residue_neg, c as intervals, coalesce(prop / 100, 1 / 500) as proportion, coalesce(mu::double, 500) as max_units, case when prop is null then 'fallback' else 'registry' end as units_source,
-  round(p * coalesce(prop / 100, 1 / 500), 6) as per_unit, round(p * coalesce(prop / 100, 1 / 500) - coalesce(fee, 0), 6) as per_unit_net_fee from g left join ureg using (quarter, dir)""")
+  round(p * coalesce(prop / 100, 1 / 500) + {OFF}, 6) as per_unit, round(p * coalesce(prop / 100, 1 / 500) - coalesce(fee, 0) + {OFF}, 6) as per_unit_net_fee from g left join ureg using (quarter, dir)""")
 def quarterly_ledger(t):
     pf, pt, f, l = F.col("pf"), F.col("pt"), F.col("f"), F.col("l")  # noqa: E741
     def v(n, r):
@@ -82,7 +82,7 @@ def quarterly_ledger(t):
     kinds = F.array(v("dated", F.col("r")), v("share_0", op.residue(pf, pt, f, l, F.lit(0.0))), v("share_1", op.residue(pf, pt, f, l, F.lit(1.0))), v("lossless", op.residue(pf, pt, f, l * 0, F.lit(0.0))))
     d = residues(t).withColumn("_v", F.explode(kinds)).select(cal.quarter_of(F.col("time")).alias("quarter"), "dir", "_v.variant", F.greatest("_v.r", F.lit(0.0)).alias("p"), F.least("_v.r", F.lit(0.0)).alias("n"))
     d = op.quarterly_ledger(d, registry(t), ["quarter", "dir", "variant"], "p", "n", 500.0).drop("fee")
-    return rounded(rounded(d, ["residue_pos", "residue_neg"], 4), ["per_unit", "per_unit_net_fee"])
+    return steady(rounded(d, ["residue_pos", "residue_neg"], 4), ["per_unit", "per_unit_net_fee"])
 
 
 @query("m6_reconcile", f"""with {SHARED}, x as (select pair, case when f > 0 then 'from' when f < 0 then 'to' end as side, year(time - interval 1 microsecond) || 'Q' || quarter(time - interval 1 microsecond) as quarter, r, case when l_linenumber <> 7 then (pt - pf) * f / 12 end as settled from rs where f <> 0)
@@ -236,7 +236,7 @@ def futures_premia(t):
 @query("m15_cap_normalised", """
 with c as (select o_orderpriority, year(o_orderdate) as y, o_totalprice as p, case when o_orderdate >= '1999-07-01' then 450000 when o_orderdate >= '1997-07-01' then 430000 else 400000 end as cap from orders),
 n as (select *, case when p >= cap * 0.999 then p * 450000.0 / cap else p end as pn from c)
-select o_orderpriority, y, round(avg(greatest(p - 300, 0)), 3) as raw, round(avg(greatest(pn - 300, 0)), 3) as normalised, count(*) filter (p >= cap * 0.999) as at_cap from n group by 1, 2""")
+select o_orderpriority, y, round(avg(greatest(p - 300, 0)), 6) as raw, round(avg(greatest(pn - 300, 0)), 6) as normalised, count(*) filter (p >= cap * 0.999) as at_cap from n group by 1, 2""")
 def cap_normalised(t):
     from ..operators.cleaning import dated_step
     p, cap = F.col("o_totalprice"), dated_step(F.col("o_orderdate"), [("1990-01-01", 400000), ("1997-07-01", 430000), ("1999-07-01", 450000)])
@@ -244,7 +244,7 @@ def cap_normalised(t):
     pn = F.when(at, p * 450000.0 / cap).otherwise(p)
     zero = F.lit(0.0)
     return t.orders.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(
-        r6(F.avg(F.greatest(p - 300, zero)), 3).alias("raw"), r6(F.avg(F.greatest(pn - 300, zero)), 3).alias("normalised"), F.count(F.when(at, 1)).alias("at_cap"))
+        r6(F.avg(F.greatest(p - 300, zero))).alias("raw"), r6(F.avg(F.greatest(pn - 300, zero))).alias("normalised"), F.count(F.when(at, 1)).alias("at_cap"))
 
 
 @query("m16_tail_dependence", """
@@ -293,11 +293,11 @@ def structural_changes(t):
     return op.change_points(registry(t).select("dir", "quarter", "max_units"), ["dir"], "quarter", "max_units")
 
 
-@query("m21_suspension_sensitivity", f"""with {PAIRS} select o, d, week, round(avg(pd - po), 6) as every, round(avg(pd - po) filter (not coalesce(so = 3, false)), 6) as without_flagged, count(*) filter (so = 3) as flagged from pp where po is not null and pd is not null group by 1, 2, 3""")
+@query("m21_suspension_sensitivity", f"""with {PAIRS} select o, d, week, round(avg(pd - po) + {OFF}, 6) as every, round(avg(pd - po) filter (not coalesce(so = 3, false)) + {OFF}, 6) as without_flagged, count(*) filter (so = 3) as flagged from pp where po is not null and pd is not null group by 1, 2, 3""")
 def suspension_sensitivity(t):
     x, flag = F.col("pd") - F.col("po"), F.coalesce(F.col("so") == 3, F.lit(False))
-    return pair_panel(t).filter("po is not null and pd is not null").groupBy("o", "d", "week").agg(
-        r6(F.avg(x)).alias("every"), r6(F.avg(F.when(~flag, x))).alias("without_flagged"), F.count(F.when(flag, 1)).alias("flagged"))
+    return steady(pair_panel(t).filter("po is not null and pd is not null").groupBy("o", "d", "week").agg(
+        F.avg(x).alias("every"), F.avg(F.when(~flag, x)).alias("without_flagged"), F.count(F.when(flag, 1)).alias("flagged")), ["every", "without_flagged"])
 
 
 @query("x48_management_flag_latest", """
