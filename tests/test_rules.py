@@ -224,3 +224,10 @@ def test_analogue_never_relaxes_outage_state(spark):
     c = spark.createDataFrame([("a", "k", "on", 10, 5.0), ("b", "k", "gone", 10, 5.0)], "cid string, key string, state string, q_slot int, q_x double")
     r = {x["cid"]: x for x in regimes.select_analogues(c, h, "cid", ["key", "state"], "slot", 24, 1, {"x": 1.0}, "v", "day", "rid", neighbour_days=5, min_days=2, threshold=50, probs={"p50": 0.5}).collect()}
     assert r["b"]["status"] == "unavailable" and r["a"]["status"] == "supported_analogue" and r["a"]["p50"] == 50.0
+
+
+def test_merge_intervals_with_equal_spells(spark):
+    rows = [("a", "2024-01-01", "2024-01-05"), ("a", "2024-01-01", "2024-01-05"), ("a", "2024-01-04", "2024-03-09"), ("a", "2024-03-09", "2024-03-10"), ("a", "2024-04-01", "2024-04-02")]
+    d = times(spark, rows, "k string, s string, e string", "s", "e")
+    got = sequence.merge_intervals(d, ["k"], "s", "e", hours=48).orderBy("s").collect()
+    assert [(str(r.s)[:10], str(r.e)[:10]) for r in got] == [("2024-01-01", "2024-03-10"), ("2024-04-01", "2024-04-02")]

@@ -1,15 +1,17 @@
 """Forecast tables, scoring, calibration and alerts."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import interval_score, pinball
 from .lookups import bracket
 from .ranks import interpolated_cdf, null_safe_join, prefix_weights, quantile_grid, quantiles
 from .revisions import top_k
-from .sequence import islands, previous
+from .sequence import islands, micros, previous
 
 
 def uniform(*parts: Column) -> Column:
@@ -230,18 +232,30 @@ def refractory_alarms(df: DataFrame, keys: list[str], t: str, wait: str) -> Data
     """Alarms at least ``wait`` apart, taken greedily in time order.
 
     A silence of ``wait`` or more resets the rule, so candidates are cut into islands at
-    such gaps and each island's distinct stamps fold independently inside the JVM."""
+    such gaps; islands are spread over tasks, which pass once over sorted rows keeping only
+    the last alarm in memory."""
     step = F.expr(f"interval {wait}")
     d = df.select(*keys, t).distinct()
     d = previous(d, keys, [t], {"_p": t})
     d = islands(d, keys, [t], F.col("_p").isNull() | (F.col(t) >= F.col("_p") + step), "_i")
-    empty = F.array().cast("array<timestamp_ntz>")
-    g = d.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-
-    def take(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when(last.isNull() | (x >= last + step), F.concat(acc, F.array(x))).otherwise(acc)
-    return g.select(*keys, F.explode(F.aggregate("_ts", empty, take)).alias(t))
+    wait_us = int(pd.Timedelta(wait).total_seconds() * 1_000_000)
+    d = d.withColumn("_us", micros(F.col(t)))
+
+    by = [*keys, "_i"]
+
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for b in batches:
+            keep = []
+            for *group, us in b.itertuples(index=False, name=None):
+                if group != now:
+                    now, last = group, None
+                keep.append(last is None or us - last >= wait_us)
+                last = us if keep[-1] else last
+            yield b.loc[keep, [*keys, "_us"]]
+    d = d.select(*by, "_us").repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, "_us")
+    out = d.mapInPandas(greedy, d.select(*keys, "_us").schema)
+    return out.select(*keys, F.timestamp_micros("_us").cast("timestamp_ntz").alias(t))
 
 
 def match_alarms(alarms: DataFrame, incidents: DataFrame, keys: list[str], t: str, at: str, lo: str, hi: str) -> DataFrame:

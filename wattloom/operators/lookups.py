@@ -45,12 +45,6 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, ef
         *[F.col(f"_hit.{p}").alias(p) for p in payload])
 
 
-def validity(df: DataFrame, keys: list[str], effective: str, until: str = "valid_to") -> DataFrame:
-    """Effective-dated rows to [effective, next effective) per key; one key's
-    version list is a dimension and small."""
-    return df.withColumn(until, F.lead(effective).over(Window.partitionBy(*keys).orderBy(effective)))
-
-
 def _buckets(start: Column, end: Column, hours: int) -> Column:
     return F.explode(F.sequence(time_chunk(start, hours), time_chunk(end, hours)))
 

@@ -1,6 +1,7 @@
 """Parquet and CSV reading with differing columns, and the sinks."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,8 +43,9 @@ def write_by_content(df: DataFrame, folder: str) -> str:
     spark = df.sparkSession
     cid = content_id(df).first()["content_id"]
     path = f"{folder}/content={cid}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
         write_parquet(df, path)
     return path
 
