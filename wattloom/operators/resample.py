@@ -66,7 +66,8 @@ def weighted_median_ci(units: DataFrame, keys: list[str], day: str, value: str,
 
 def binomial_interval(df: DataFrame, keys: list[str], n: str, hits: str, reps: int, seed: int) -> DataFrame:
     """Recall interval: each replicate draws every incident's outcome by its hit rate."""
-    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*[F.col(k) for k in keys], F.col("rep"))   # spread replicates over tasks
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     u = uniform(*[F.col(k) for k in keys], F.col("rep"), F.col("_i"), F.lit(seed))
     r = d.groupBy(*keys, "rep").agg(F.avg((u < F.col(hits) / F.col(n)).cast("double")).alias("_r"))
     ci = r.groupBy(*keys).agg(F.percentile("_r", F.lit(0.025)).alias("ci_low"), F.percentile("_r", F.lit(0.975)).alias("ci_high"))

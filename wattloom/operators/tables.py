@@ -54,7 +54,8 @@ def paired_power(df: DataFrame, keys: list[str], n: str, base: str, gains: list[
     b, cand = F.col(base), F.least(F.col(base) + F.col("gain"), F.lit(0.99))
     both = b * cand + correlation * (F.least(b, cand) - b * cand)
     g = g.withColumns({"_p10": cand - both, "_p01": b - both})
-    d = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    d = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*[F.col(k) for k in keys], F.col("rep"))   # spread replicates over tasks
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     u = uniform(*[F.col(k) for k in keys], F.col("gain"), F.col("rep"), F.col("_i"), F.lit(seed))
     d = d.withColumn("_u", u)
     by = [*keys, "gain"]
