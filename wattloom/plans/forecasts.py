@@ -218,7 +218,7 @@ def model_choice(t):
 
 
 ALARM = """with recursive cd as (select distinct event_type as key, time_bucket(interval '30 minutes', ts) as t from events where value > 20),
-nx as (select key, t, (select min(b.t) from cd b where b.key = a.key and b.t >= a.t + interval 120 minutes) as nt from cd a),
+nx as (select key, t, min(t) over (partition by key order by t range between interval '120 minutes' following and unbounded following) as nt from cd),
 al as (select key, min(t) as t from cd group by 1 union all select al.key, nx.nt from al join nx on nx.key = al.key and nx.t = al.t where nx.nt is not null)"""
 
 
