@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Tables
-from . import decontaminate, licences, linededup, mixing, sharding
+from . import decontaminate, licences, linededup, mixing, quality, sharding, simhash, topk
 from .oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,13 @@ def query(f):
     return f
 
 
+@query
+def op1_quality(t):
+    model = quality.quality_model(t.documents, t.labels)
+    out = quality.rate(t.documents.select("doc_id", "text"), model, 2)
+    return out.select("doc_id", "expected_grade", F.col("tail").alias("p_sound"), (F.col("tail") >= quality.KEEP).alias("kept"))
+
+
 @query
 def op3_licence_scan(t):
     out = licences.licence_scan(t.documents)
@@ -33,6 +40,12 @@ def op5_line_dedup(t):
     return linededup.line_dedup(t.documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op7_simhash(t):
+    out = simhash.near_duplicates(t.documents)
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op8_fair_mix(t):
     sized = t.documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -45,3 +58,8 @@ def op9_decontaminate(t):
     out = decontaminate.contamination(t.documents, t.benchmark)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op10_top_k(t):
+    return topk.top_k(t.embeddings, F.col("vec_id") % 20 == 0)
