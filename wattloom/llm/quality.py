@@ -100,10 +100,6 @@ class Ordinal:
     thresholds: np.ndarray
     scale: np.ndarray
 
-    def tails(self, score: np.ndarray) -> np.ndarray:
-        """Column k - 1: P(grade >= k)."""
-        return _sigmoid(score[:, None] - self.thresholds[None, :])
-
 
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
@@ -214,18 +210,18 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
 
 def rate(docs: DataFrame, model: Ordinal, tail: int, names: tuple[str, str] = ("expected_grade", "tail")) -> DataFrame:
     """docs with the expected grade and P(grade >= tail) of ``text``; every other column is carried along."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)        # 2 x DIM doubles
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.scale))        # 2 x DIM doubles
     columns = docs.columns
 
     def run(batches):
         cache: dict = {}
-        m = shared.value
+        weights, thresholds, scale = shared.value
         for b in batches:
             score = np.empty(b.num_rows)
             for i, text in enumerate(b.column("text")):
-                at, value = features(text.as_py(), cache, m.scale)
-                score[i] = m.weights[at] @ value
-            p = m.tails(score)
+                at, value = features(text.as_py(), cache, scale)
+                score[i] = weights[at] @ value
+            p = _sigmoid(score[:, None] - thresholds[None, :])      # column k - 1: P(grade >= k)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(p.sum(axis=1)), pa.array(p[:, tail - 1])], names=[*columns, *names])
 
     added = [T.StructField(n, T.DoubleType()) for n in names]
