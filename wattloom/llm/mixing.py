@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
-from .common import SPACES, positions, words_of
+from .common import SPACES, free_names, positions, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -106,3 +106,15 @@ def fair_queue(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: flo
     # end is one row
     return (rows.join(F.broadcast(end), how="left").withColumn("copies", F.coalesce(copies, F.lit(0)))
             .drop("_cut", "_ef", "_er", "_mix", "_after", "_rank"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it; columns as they are.  Rows equal in id, source and
+    text are one document standing in the queue more than once."""
+    digest, d, g, s, n = free_names(docs, "_digest", "_d", "_g", "_s", "_n")
+    keyed = docs.withColumn(digest, F.md5("text"))
+    queue = fair_queue(keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest), **options)
+    taken = queue.groupBy("doc_id", "source", digest).agg(F.sum("copies").cast("int").alias(n)).filter(F.col(n) > 0).toDF(d, s, g, n)
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(digest) == F.col(g))
+    kept = keyed.join(taken, same).dropDuplicates(["doc_id", "source", digest])
+    return kept.withColumn(d, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(digest, d, g, s, n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Tables
-from . import decontaminate, licences, linededup, mixing, quality, sharding, simhash, topk
+from . import decontaminate, html, licences, linededup, mixing, quality, sharding, simhash, tokencount, topk
 from .oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_quality(t):
     return out.select("doc_id", "expected_grade", F.col("tail").alias("p_sound"), (F.col("tail") >= quality.KEEP).alias("kept"))
 
 
+@query
+def op2_main_text(t):
+    return html.extract(t.pages)
+
+
 @query
 def op3_licence_scan(t):
     out = licences.licence_scan(t.documents)
@@ -40,6 +45,14 @@ def op5_line_dedup(t):
     return linededup.line_dedup(t.documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op6_token_counts(t):
+    """Counts before and after masking the personal data of every document, by edits."""
+    trees = tokencount.build(tokencount.with_edits(t.documents.select("doc_id", "text"), tokencount.MASKS))
+    out = tokencount.edit(trees)
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_encoded", F.length("text").cast("long").alias("n_chars_after"))
+
+
 @query
 def op7_simhash(t):
     out = simhash.near_duplicates(t.documents)

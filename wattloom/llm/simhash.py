@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut
+from .common import free_names
 from .graph import components
 
 SHINGLE = 3
@@ -71,15 +72,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of docs(doc_id, text); fp is the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), *, shingle: int = SHINGLE) -> DataFrame:
+    """The key columns of docs and fp, the 64 bits of text's fingerprint as a long."""
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("_text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(fp, pa.int64())], names=[*keys, "fp"])
+    d = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
+    return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def pairs_within(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,20 +191,31 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, block: int = BLOCK) -> D
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text); component_id is the least doc_id of its group.
+def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), *, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """The keys (doc_id among them), fp, root and component_id for each row of docs; root is the least fp (as a
+    long) of its group and component_id the least doc_id.
 
     Texts without words, null and empty ones have fingerprint 0 and are linked like any other.  Repeated
     rows are in one group.  A null doc_id counts as none in the minimum.  An empty table gives no rows.
     """
-    f = cut(fingerprints(docs, shingle=shingle), "simhash")
+    f = cut(fingerprints(docs, keys, shingle=shingle), "simhash")
     once = f.groupBy("fp").agg(F.min("doc_id").alias("first"))
     label = components(links(once.select("fp"), radius=radius, block=block))
     rooted = once.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    group = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "component_id")
-    return f.join(group, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    group = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "root", "component_id")
+    return f.join(group, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the least (doc_id, text digest), nulls first; all columns as they are."""
+    digest, d, g = free_names(docs, "_digest", "_d", "_g")
+    keyed = docs.withColumn(digest, F.md5("text"))
+    found = near_duplicates(keyed, ("doc_id", digest), **options)
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", digest)).alias("_b")).select(F.col("_b.doc_id").alias(d), F.col(f"_b.{digest}").alias(g))
+    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(digest).eqNullSafe(F.col(g)), "left_semi")
+    return kept.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def hex_digits(fp):
