@@ -76,7 +76,7 @@ def fair_queue(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: flo
     rows = cut(rows.drop("_here", "_carried", "_slice"), "queue")
 
     def entry(i):
-        return (F.col("_after") + F.lit(i) * F.col("source_size")) / F.col("target")
+        return (F.col("_after") + F.lit(i) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
 
     def slice_at(finish):
         return F.least(F.floor(finish * SLICES), F.lit(TAIL * SLICES)).cast("long")
