@@ -1,47 +1,52 @@
-"""Streams fed file by file equal the batch rules."""
-import pandas as pd
+"""Stream rules give the same rows for any cut of the table into files and any order of them."""
+import pytest
 from pyspark.sql import functions as F
 
-from wattloom.session import shared_folder
+from tests.oracle import compare, connect
+from wattloom.plans import ORACLE, QUERIES
 from wattloom.streaming import rules
 
+SF = "/root/testdata/sf0.001"
+NAMES = sorted(n for n in QUERIES if n[0] == "r" and n[1].isdigit())
 
-def slices(spark, n=4):
-    """events split by time into n files named events-*.parquet, read one per micro-batch."""
-    e = pd.read_parquet("/root/testdata/sf0.001/events.parquet").sort_values("ts")
-    path = shared_folder(spark, "slices")
-    import os
-    os.makedirs(path)
-    for i in range(n):
-        part = e.iloc[i * len(e) // n:(i + 1) * len(e) // n]
-        f = f"{path}/events-{i}.parquet"
-        part.to_parquet(f, index=False, coerce_timestamps="us")
-        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
-    e.to_parquet(f"{path}/events.parquet.schema", index=False, coerce_timestamps="us")
-    return path, e
-
-
-def stream(spark, path):
-    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events-*.parquet").option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def test_refractory_across_batches(spark):
-    path, e = slices(spark)
-    d = stream(spark, path).filter("value > 5").select(F.col("event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    got = rules.run_available(rules.refractory(d, "key", "us", 7_200_000_000), "t4").toPandas()
-    want = 0
-    for _, g in e[e.value > 5].groupby("event_type"):
-        last = None
-        for t in g.ts.drop_duplicates():
-            if last is None or t - last >= pd.Timedelta("2h"):
-                want, last = want + 1, t
-    assert len(got) == want
-
-
-def test_upsert_across_batches(spark):
-    path, e = slices(spark)
-    d = stream(spark, path).select("user_id", "event_type", "ts", "value", "event_id")
-    got = rules.upserted(d, ["user_id", "event_type"], ["ts", "event_id"], "t2").toPandas()
-    want = e.sort_values(["ts", "event_id"]).groupby(["user_id", "event_type"]).tail(1)
-    assert set(got.event_id) == set(want.event_id)
+
+@pytest.fixture(scope="module")
+def layouts(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("layouts")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(130, F.xxhash64("event_id")).write.parquet(f"{root}/shuffled/events.parquet")
+    events.orderBy(F.desc("ts")).coalesce(1).write.option("maxRecordsPerFile", 150).parquet(f"{root}/backward/events.parquet")
+    return {"file": SF, "shuffled": f"{root}/shuffled", "backward": f"{root}/backward"}
+
+
+@pytest.mark.parametrize("layout", ["file", "shuffled", "backward"])
+@pytest.mark.parametrize("name", NAMES)
+def test_any_layout(spark, layouts, name, layout):
+    assert compare(QUERIES[name](spark, layouts[layout]), connect(SF), ORACLE[name]) == ""
+
+
+def alarms(spark, folder, per_trigger, late, root=None):
+    half = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_800_000_000) * 1_800_000_000
+    d = rules.table_stream(spark, folder, "events", per_trigger).filter("value > 20").select(F.col("event_type").alias("key"), half.alias("us"))
+    out = rules.in_order(d, "us", late, rules.refractory("key", "us", 7_200_000_000), "key string, last long", "alarms", root)
+    return sorted((r.key, r.us) for r in out.collect())
+
+
+def test_many_batches_hold_rows_back(spark, layouts, tmp_path):
+    """Files in reverse order, a few a batch: with room for the disorder nothing changes; without it rows are named late."""
+    whole = alarms(spark, layouts["backward"], None, 0)
+    month = 40 * 86_400_000_000
+    assert alarms(spark, layouts["backward"], 2, month) == whole
+    alarms(spark, layouts["backward"], 2, 0, str(tmp_path / "tight"))
+    assert spark.read.parquet(str(tmp_path / "tight" / "late")).count() > 0
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    schema = "k long, v long, n long"
+    for i, rows in enumerate([[(k, 0, 1) for k in range(100)], [(5, 50, 3), (200, 1, 1)], [(5, 7, 2), (6, 60, 2)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        # each turn is a new query on the same folder, as after a restart
+        d = rules.table_stream(spark, f"{tmp_path}/in", "events", 1)
+        out = rules.upserted(d, ["k"], ["n"], "up", str(tmp_path / "table"))
+    got = {r.k: r.v for r in out.collect()}
+    assert got == {**{k: 0 for k in range(100)}, 5: 50, 6: 60, 200: 1}

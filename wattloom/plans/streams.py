@@ -16,6 +16,7 @@ def ntz(d, *cols):
     return d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
+LATE_US = 7_200_000_000     # how long rows wait for earlier ones
 WM = "wm as (select max(ts) - interval 2 hours as wm from events)"
 
 
@@ -39,7 +40,7 @@ select row_id, i, 1 as present from nx where p is null or p < i - 1 union all se
 def snapshot_changes(t):
     d = rules.table_stream(t.spark, t.folder, "events").filter("event_type = 'purchase'").select(
         F.col("user_id").alias("row_id"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("i"))
-    return rules.run_available(rules.presence_changes(d, "row_id", "i"), "r3")
+    return rules.in_order(d, "i", 1, rules.presence_changes("row_id", "i"), "row_id long, last long", "r3")
 
 
 @query("r4_refractory_alarms", """with recursive cd as (select distinct event_type as key, time_bucket(interval '30 minutes', ts) as t from events where value > 20),
@@ -48,7 +49,7 @@ al as (select key, min(t) as t from cd group by 1 union all select al.key, nx.nt
 def refractory_alarms(t):
     half = F.floor(F.unix_micros("at") / 1_800_000_000) * 1_800_000_000
     d = stream(t).filter("value > 20").select(F.col("event_type").alias("key"), half.alias("us"))
-    out = rules.run_available(rules.refractory(d, "key", "us", 7_200_000_000), "r4")
+    out = rules.in_order(d, "us", LATE_US, rules.refractory("key", "us", 7_200_000_000), "key string, last long", "r4")
     return out.select("key", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"))
 
 
@@ -59,20 +60,25 @@ def session_episodes(t):
 
 
 @query("r6_first_receipts", """
-select distinct user_id, event_type from events where event_id % 7 <> 0 and value <= 60""")
+with d as (select user_id, event_type, event_id, ts, case when event_id % 7 = 0 then ts - interval 1 minute when value > 60 then ts + interval 3 hours else ts + to_minutes(floor(value)::int) end as received
+  from events where value is not null), ok as (select * from d where ts <= received and ts >= received - interval 1 hour)
+select user_id, event_type, event_id, received from ok qualify row_number() over (partition by user_id, event_type order by received, event_id) = 1""")
 def first_receipts(t):
-    minutes = F.make_interval(mins=F.floor("value").cast("int"))
-    d = stream(t).withColumn("received", F.when(F.col("event_id") % 7 == 0, F.col("at") - F.expr("interval 1 minute")).otherwise(F.col("at") + minutes)).filter("value is not null")
-    d = d.withColumn("received", F.when((F.col("value") > 60) & (F.col("event_id") % 7 != 0), F.col("at") + F.expr("interval 3 hours")).otherwise(F.col("received")))
-    return rules.run_available(rules.first_receipts(d, ["user_id", "event_type"], "at", "received", "60 minutes", "40 days").select("user_id", "event_type"), "r6")
+    """Which receipt stands is part of the result."""
+    minute = 60_000_000
+    received = (F.when(F.col("event_id") % 7 == 0, F.col("us") - minute).when(F.col("value") > 60, F.col("us") + 180 * minute)
+                .otherwise(F.col("us") + F.floor("value") * minute))
+    d = stream(t).filter("value is not null").withColumn("us", F.unix_micros("at")).withColumn("received", received).select("user_id", "event_type", "event_id", "us", "received")
+    out = rules.in_order(d, "received", LATE_US, rules.first_receipts(["user_id", "event_type"], "us", "received", 60 * minute, "event_id"), "user_id long, event_type string", "r6")
+    return out.select("user_id", "event_type", "event_id", F.timestamp_micros("received").cast("timestamp_ntz").alias("received"))
 
 
 @query("r7_freshness_join", """
 select a.event_id, (b.ts is not null and b.ts >= a.ts - interval 90 minutes)::int as fresh from events a asof left join (select distinct ts from events where event_type = 'signup') b on a.ts >= b.ts""")
 def freshness_join(t):
-    d = rules.table_stream(t.spark, t.folder, "events").select("event_id", F.lit(1).alias("feed"), "ts")
-    reports = t.events.filter("event_type = 'signup'").select(F.lit(1).alias("feed"), F.col("ts").alias("report")).distinct()
-    return rules.fresh_only(d, reports, ["feed"], "ts", "report", "90 minutes", "r7").select("event_id", "fresh")
+    d = rules.table_stream(t.spark, t.folder, "events").select("event_id", "ts")
+    reports = t.events.filter("event_type = 'signup'").select(F.col("ts").alias("report"))
+    return rules.fresh_only(d, reports, "ts", "report", 5_400_000_000, "r7").select("event_id", "fresh")
 
 
 @query("r8_setter_age", """
@@ -80,7 +86,7 @@ with d as (select distinct event_type as key, ts, user_id % 4 as setter from eve
 s as (select *, last_value(case when sw then ts end ignore nulls) over (partition by key order by ts, setter rows unbounded preceding) as since from c) select key, ts as t, setter, date_diff('microsecond', since, ts) as age_us from s""")
 def setter_age(t):
     d = stream(t).select(F.col("event_type").alias("key"), F.unix_micros("at").alias("us"), (F.col("user_id") % 4).alias("setter"))
-    out = rules.run_available(rules.switch_age(d, "key", "us", "setter"), "r8")
+    out = rules.in_order(d, "us", LATE_US, rules.switch_age("key", "us", "setter"), "key string, setter long, since long", "r8")
     return out.select("key", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"), "setter", "age_us")
 
 

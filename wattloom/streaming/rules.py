@@ -1,22 +1,33 @@
 """Stream rules: each takes a streaming DataFrame whose event time is TIMESTAMP
-(watermarks reject the zone-free type; the session zone is UTC, so the cast is exact)."""
+(watermarks reject the zone-free type; the session zone is UTC, so the cast is exact).
+
+``availableNow`` runs without a limit on files put all input there is into one batch, so the result of a
+backfill does not depend on how the table is cut into files or in which order they are listed.
+Rules that need time order are run by ``in_order``, which holds rows until they can no longer be preceded.
+"""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.lookups import asof_backward
 from ..operators.revisions import latest
+from ..operators.sequence import last_known, previous
 from ..session import shared_folder
 
+BUCKETS = 64
+
 
-def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 64) -> DataFrame:
-    """A table's files as a stream, with the schema of the files."""
+def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int | None = None) -> DataFrame:
+    """A table's files as a stream, with their schema.  The last letter is a glob, which matches a
+    single file and a folder of part files alike."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").option("maxFilesPerTrigger", per_trigger).parquet(folder))
+    reader = spark.readStream.schema(schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_available(df: DataFrame, purpose: str) -> DataFrame:
@@ -46,96 +57,175 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: str, late: str) -> Dat
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def first_receipts(df: DataFrame, keys: list[str], t: str, received: str, stale: str, late: str) -> DataFrame:
-    """Drop observations from the future or older than ``stale`` when received; the first
-    receipt of a key stands."""
-    ok = (F.col(t) <= F.col(received)) & (F.col(t) >= F.col(received) - F.expr(f"interval {stale}"))
-    return df.filter(ok).withWatermark(t, late).dropDuplicatesWithinWatermark(keys)
+Rule = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
 
+def in_order(df: DataFrame, t: str, late: int, rule: Rule, kept: str, purpose: str, root: str | None = None) -> DataFrame:
+    """Apply ``rule`` to the rows of a stream in the order of the long column t, however they arrive.
 
-def upserted(df: DataFrame, keys: list[str], newest: list[str], purpose: str) -> DataFrame:
-    """Newer revisions replace older ones: every micro-batch merges into the next version
-    of a table in the shared folder."""
+    Each batch joins the rows still waiting; those at most ``late`` below the newest stamp seen go on
+    waiting, the rest are ready.  rule(ready, kept rows) gives output rows and the rows to keep (schema
+    ``kept``), which are one or few a key.  A row at or below the horizon of an earlier batch is too late
+    and goes to the folder ``late``; rows with a null stamp too.  At the end of the input the waiting rows are flushed.
+
+    Horizon, waiting and kept rows are written by epoch in the shared folder; an epoch that is run again
+    starts from its forerunner's, so a restart with the same ``root`` changes nothing.
+    """
     spark = df.sparkSession
-    root = shared_folder(spark, purpose)
-    state = {"version": None}
+    root = root or shared_folder(spark, purpose)
+
+    def state(epoch: int) -> tuple[DataFrame, DataFrame, int | None]:
+        if epoch < 0:
+            return spark.createDataFrame([], df.schema), spark.createDataFrame([], kept), None
+        at = f"{root}/state/epoch={epoch}"
+        horizon = spark.read.schema("horizon long, epoch_done long").parquet(f"{at}/horizon").first()[0]
+        return spark.read.schema(df.schema).parquet(f"{at}/waiting"), spark.read.schema(kept).parquet(f"{at}/kept"), horizon
+
+    def advance(rows: DataFrame, epoch: int, flush: bool) -> None:
+        waiting, carried, horizon = state(epoch - 1)
+        past = F.lit(False) if horizon is None else F.col(t) <= horizon
+        late_rows = F.col(t).isNull() | past
+        rows.filter(late_rows).write.mode("overwrite").parquet(f"{root}/late/epoch={epoch}")
+        both = rows.filter(~F.coalesce(late_rows, F.lit(True))).unionByName(waiting)
+        newest = both.agg(F.max(t)).first()[0]
+        if newest is None:
+            until = horizon
+        else:
+            until = newest if flush else max(newest - late, horizon) if horizon is not None else newest - late
+        ready = both.filter(F.lit(False) if until is None else F.col(t) <= until)
+        out, keep = rule(ready, carried)
+        at = f"{root}/state/epoch={epoch}"
+        out.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+        keep.write.mode("overwrite").parquet(f"{at}/kept")
+        both.filter(F.lit(True) if until is None else F.col(t) > until).write.mode("overwrite").parquet(f"{at}/waiting")
+        spark.createDataFrame([(until, epoch)], "horizon long, epoch_done long").write.mode("overwrite").parquet(f"{at}/horizon")
+        seen["last"] = max(seen["last"], epoch)
+
+    seen = {"last": -1}
+    q = (df.writeStream.foreachBatch(lambda batch, epoch: advance(batch, epoch, False)).option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if seen["last"] >= 0:
+        advance(spark.createDataFrame([], df.schema), seen["last"] + 1, True)
+        return spark.read.parquet(f"{root}/out").drop("epoch")
+    return rule(*state(-1)[:2])[0]
+
+
+def first_receipts(keys: list[str], t: str, received: str, stale_us: int, tie: str) -> Rule:
+    """The first receipt of a key stands, by (received, tie); receipts of the future or older than
+    ``stale_us`` when received are left out.  Kept: the keys that have one."""
+    def rule(ready, kept):
+        ok = ready.filter((F.col(t) <= F.col(received)) & (F.col(t) >= F.col(received) - stale_us))
+        firsts = latest(ok.withColumns({"_r": -F.col(received), "_i": -F.col(tie)}), keys, ["_r", "_i"]).drop("_r", "_i")
+        new = firsts.join(kept, keys, "left_anti")
+        return new, kept.unionByName(new.select(*keys))
+    return rule
+
+
+def refractory(key: str, t_us: str, wait_us: int) -> Rule:
+    """Alarms at least ``wait`` apart.  Kept: the last alarm of a key.  Equal stamps of a key are one row before
+    they meet, so a key's task holds at most as many rows as there are stamps in the calendar."""
+    def spaced(a: pa.Table, b: pa.Table) -> pa.Table:
+        stamps = np.sort(a.column(t_us).to_numpy()) if a.num_rows else np.zeros(0, np.int64)
+        last = b.column("last").to_numpy().max() if b.num_rows else None
+        name = (a if a.num_rows else b).column(key)[0].as_py()
+        out, at = [], 0 if last is None else int(np.searchsorted(stamps, last + wait_us))
+        while at < len(stamps):
+            last = stamps[at]
+            out.append(int(last))
+            at = int(np.searchsorted(stamps, last + wait_us))
+        rows = [(name, v, False) for v in out] + ([(name, int(last), True)] if last is not None else [])
+        return pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=[key, t_us, "kept"])
+
+    def rule(ready, kept):
+        both = (ready.select(key, t_us).distinct().groupBy(key).cogroup(kept.groupBy(key))
+                .applyInArrow(spaced, f"{key} string, {t_us} long, kept boolean"))
+        return both.filter("not kept").drop("kept"), both.filter("kept").select(key, F.col(t_us).alias("last"))
+    return rule
+
+
+def presence_changes(key: str, idx: str) -> Rule:
+    """Appear / disappear events of a row id from its snapshot numbers.  Kept: the last number seen; a row
+    still present has no disappear event yet."""
+    def rule(ready, kept):
+        rows = ready.select(key, idx).distinct().withColumn("_old", F.lit(False)).unionByName(kept.select(key, F.col("last").alias(idx)).withColumn("_old", F.lit(True)))
+        d = rows.withColumn("_p", F.lag(idx).over(Window.partitionBy(key).orderBy(idx, F.desc("_old"))))
+        fresh = d.filter(~F.col("_old") & (F.col("_p").isNull() | (F.col(idx) > F.col("_p") + 1)))
+        appear = F.struct(F.col(idx).alias("i"), F.lit(1).alias("present"))
+        vanish = F.when(F.col("_p").isNotNull(), F.struct((F.col("_p") + 1).alias("i"), F.lit(0).alias("present")))
+        events = fresh.select(key, F.explode(F.array(appear, vanish)).alias("e")).filter("e is not null")
+        return events.select(key, F.col("e.i").alias(idx), F.col("e.present").alias("present")), rows.groupBy(key).agg(F.max(idx).alias("last"))
+    return rule
+
+
+def switch_age(key: str, t_us: str, setter: str) -> Rule:
+    """Microseconds since the setter last changed.  Kept: setter of a key and time of its change."""
+    def rule(ready, kept):
+        old = kept.select(key, F.col("since").alias(t_us), setter).withColumn("_old", F.lit(1))
+        rows = ready.select(key, t_us, setter).distinct().withColumn("_old", F.lit(0)).unionByName(old)
+        rows = rows.withColumns({"_t": F.timestamp_micros(t_us).cast("timestamp_ntz"), "_new": 1 - F.col("_old")})
+        order = ["_t", "_new", setter]
+        d = previous(rows, [key], order, {"_p": setter})
+        d = d.withColumn("_switch", F.col("_p").isNull() | (F.col("_p") != F.col(setter)))
+        d = last_known(d, [key], order, {"_since": F.when(F.col("_switch"), F.col(t_us))})
+        keep = d.groupBy(key).agg(F.max_by(F.struct(setter, F.col("_since").alias("since")), F.struct(*order)).alias("s")).select(key, f"s.{setter}", "s.since")
+        return d.filter("_old = 0").select(key, t_us, setter, (F.col(t_us) - F.col("_since")).alias("age_us")), keep
+    return rule
+
+
+def upserted(df: DataFrame, keys: list[str], newest: list[str], purpose: str, root: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Newer revisions replace older ones.  The table is kept in buckets of the key's hash; a micro-batch
+    rewrites only the buckets that it touches, under its epoch, and a bucket's rows are those of its newest epoch.
+
+    What there was before an epoch is read from storage, so a restart with the same ``root`` goes on from there."""
+    spark = df.sparkSession
+    root = root or shared_folder(spark, purpose)
+    table = f"{root}/table"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+    schema = StructType([*df.schema.fields, StructField("_epoch", LongType()), StructField("_bucket", IntegerType())])
+
+    def current(before: int | None = None) -> DataFrame:
+        d = spark.read.schema(schema).parquet(table)
+        d = d if before is None else d.filter(F.col("_epoch") < before)
+        # partition columns only; at most one row for each bucket
+        top = d.groupBy("_bucket").agg(F.max("_epoch").alias("_epoch"))
+        return d.join(F.broadcast(top), ["_bucket", "_epoch"], "left_semi")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = latest(batch, keys, newest)
-        if state["version"] is not None:
-            rows = latest(spark.read.schema(batch.schema).parquet(state["version"]).unionByName(rows), keys, newest)
-        path = f"{root}/epoch={epoch}"
-        rows.write.mode("overwrite").parquet(path)
-        state["version"] = path
-    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", shared_folder(spark, f"{purpose}-state")).trigger(availableNow=True).start()
+        rows = latest(batch, keys, newest).withColumn("_bucket", bucket)
+        if epoch > 0:
+            touched = rows.select("_bucket").distinct()                     # at most ``buckets`` rows
+            old = current(epoch).join(F.broadcast(touched), "_bucket", "left_semi").drop("_epoch")
+            rows = latest(old.unionByName(rows), keys, newest)
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/_epoch={epoch}")
+
+    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(state["version"])
+    return current().drop("_epoch", "_bucket")
+
 
+def fresh_only(df: DataFrame, reports: DataFrame, t: str, at: str, limit_us: int, purpose: str) -> DataFrame:
+    """Rows with a report at most ``limit`` old.
 
-def fresh_only(df: DataFrame, reports: DataFrame, keys: list[str], t: str, at: str, limit: str, purpose: str) -> DataFrame:
-    """Rows with a report at most ``limit`` old: each micro-batch looks up a static table."""
+    Of the static reports a micro-batch reads the span that can matter to it.  It is an existence test by
+    buckets as wide as the limit: a row is fresh if its bucket's first report is not after it, or the last
+    of the bucket before is recent enough; a bucket's reports are reduced to these two (and, in the
+    row's own bucket, being first suffices since the bucket is no wider than the limit)."""
     spark = df.sparkSession
     out = shared_folder(spark, purpose)
+    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / limit_us)     # noqa: E731
 
     def check(batch: DataFrame, epoch: int) -> None:
-        asof_backward(batch, reports, keys, t, at, [], tolerance=limit).withColumn("fresh", F.col(at).isNotNull().cast("int")).drop(at).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        low, high = batch.agg(F.min(t), F.max(t)).first()
+        span = reports.filter(F.col(at).between(F.lit(low) - F.make_interval(secs=F.lit(limit_us / 1e6)), F.lit(high))) if low is not None else reports.limit(0)
+        edge = span.groupBy(number(at).alias("_b")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+        own = edge.select("_b", "_first")
+        before = edge.select((F.col("_b") + 1).alias("_b"), "_last")
+        d = batch.withColumn("_b", number(t)).join(own, "_b", "left").join(before, "_b", "left")
+        recent = F.unix_micros(F.col("_last").cast("timestamp")) >= F.unix_micros(F.col(t).cast("timestamp")) - limit_us
+        fresh = F.coalesce(F.col("_first") <= F.col(t), F.lit(False)) | F.coalesce(recent, F.lit(False))
+        d.withColumn("fresh", fresh.cast("int")).drop("_b", "_first", "_last").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     q = df.writeStream.foreachBatch(check).option("checkpointLocation", shared_folder(spark, f"{purpose}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).drop("epoch")
-
-
-def _sorted(batches: Iterator[pd.DataFrame], column: str) -> pd.Series:
-    parts = [b[column] for b in batches]
-    return pd.concat(parts).drop_duplicates().sort_values() if parts else pd.Series(dtype="int64")
-
-
-def refractory(df: DataFrame, key: str, t_us: str, wait_us: int) -> DataFrame:
-    """Alarms at least ``wait`` apart.  State: the last alarm of the key.  Input is reduced
-    to distinct alarm stamps before it reaches the key's group."""
-    def step(k, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        out = []
-        for t in _sorted(batches, t_us):
-            if last is None or t - last >= wait_us:
-                out.append(int(t))
-                last = int(t)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), t_us: out})
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} string, {t_us} long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def presence_changes(df: DataFrame, key: str, idx: str) -> DataFrame:
-    """Appear / disappear events of a row id from its snapshot numbers.  State: the last
-    number seen; a row still present has no disappear event yet."""
-    def step(k, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        ids, kinds = [], []
-        for i in _sorted(batches, idx):
-            if last is None or i > last + 1:
-                if last is not None:
-                    ids.append(int(last) + 1)
-                    kinds.append(0)
-                ids.append(int(i))
-                kinds.append(1)
-            last = int(i)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(ids), idx: ids, "present": kinds})
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} long, {idx} long, present int", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def switch_age(df: DataFrame, key: str, t_us: str, setter: str) -> DataFrame:
-    """Microseconds since the setter last changed.  State: setter and time of its change."""
-    def step(k, batches, state: GroupState):
-        cur, since = state.get if state.exists else (None, None)
-        parts = list(batches)
-        b = pd.concat(parts).sort_values([t_us, setter])
-        ages = []
-        for t, s in zip(b[t_us], b[setter]):
-            if cur is None or s != cur:
-                cur, since = int(s), int(t)
-            ages.append(int(t) - since)
-        state.update((cur, since))
-        yield pd.DataFrame({key: [k[0]] * len(ages), t_us: b[t_us].to_numpy(), setter: b[setter].to_numpy(), "age_us": ages})
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} string, {t_us} long, {setter} long, age_us long", "setter long, since long", "append", GroupStateTimeout.NoTimeout)
