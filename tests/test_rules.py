@@ -192,7 +192,7 @@ def test_crps_matches_pairs(spark):
 
 def test_chain_cycle_is_null(spark):
     d = spark.createDataFrame([(1, 2), (2, 3), (3, None), (7, 8), (8, 7), (9, None)], "id long, nxt long")
-    got = {r["id"]: r["final_id"] for r in lookups.final_of_chain(d, "id", "nxt", depth=8).collect()}
+    got = {r["id"]: r["final_id"] for r in lookups.final_of_chain(d, "id", "nxt").collect()}
     assert got == {1: 3, 2: 3, 3: 3, 7: None, 8: None, 9: 9}
 
 
@@ -231,3 +231,79 @@ def test_merge_intervals_with_equal_spells(spark):
     d = times(spark, rows, "k string, s string, e string", "s", "e")
     got = sequence.merge_intervals(d, ["k"], "s", "e", hours=48).orderBy("s").collect()
     assert [(str(r.s)[:10], str(r.e)[:10]) for r in got] == [("2024-01-01", "2024-03-10"), ("2024-04-01", "2024-04-02")]
+
+
+def test_records_of_any_width(spark, tmp_path):
+    wide = [f"F{i}" for i in range(200)]
+    lines = ["C,SETTLE,PREDISPATCHIS,A,B,2024/01/02,03:30:00", "I,T,X,1," + ",".join(wide), "I,T,Y,1,A,B", "D,T,X,1," + ",".join(str(i) for i in range(200)),
+             'D,T,Y,1,"a ""b"", c",2', "I,T,Y,1,B,A", "D,T,Y,1,,9", "C,END"]
+    (tmp_path / "f.csv").write_text("\n".join(lines))
+    from wattloom.sources import records
+    got = records.tagged_scan(records.tagged_lines(spark, str(tmp_path)), "T_X", ["F0", "F76", "F199", "NONE"], "PREDISPATCHIS").collect()
+    assert [(r.F0, r.F76, r.F199, r.NONE, r.ISSUED_AT) for r in got] == [("0", "76", "199", None, "2024/01/02 03:30:00")]
+    # the last header of a table version stands
+    got = records.tagged_scan(records.tagged_lines(spark, str(tmp_path)), "T_Y", ["A", "B"]).collect()
+    assert sorted((r.A, r.B) for r in got if r.B) == [("2", 'a "b", c')] and [(r.A, r.B) for r in got if not r.B] == [("9", None)]
+
+
+def test_archives_of_any_depth_in_parts(spark):
+    import io
+    import zipfile
+
+    from wattloom.sources import records
+    blob = ("line\n" * 1000).encode()
+    name = "a.txt"
+    for depth in range(6):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            z.writestr(name, blob)
+        blob, name = b.getvalue(), f"z{depth}.zip"
+    d = spark.createDataFrame([("p", bytearray(blob))], "path string, content binary")
+    rows = records.expand_archives(d, piece=700).orderBy("part").collect()
+    assert len(rows) > 3 and "".join(r.text for r in rows) == "line\n" * 1000 and all(r.text.endswith("\n") for r in rows)
+    assert rows[0].member == "z4.zip/z3.zip/z2.zip/z1.zip/z0.zip/a.txt"
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    from wattloom.operators.lookups import final_of_chain
+    links = [(i, i + 1) for i in range(500)] + [(500, None), (900, 901), (901, 902), (902, 900), (899, 900), (950, 950)] + [(1000 + i, 1000 + (i + 1) % 37) for i in range(37)]
+    d = spark.createDataFrame(links, "id long, nxt long")
+    got = {r.id: r.final_id for r in final_of_chain(d, "id", "nxt").collect()}
+    assert got == {**{i: 500 for i in range(501)}, **{i: None for i in (899, 900, 901, 902, 950)}, **{1000 + i: None for i in range(37)}}
+    got = {r.id: r.final_id for r in final_of_chain(d, "id", "nxt", cycle="member").collect()}
+    assert got == {**{i: 500 for i in range(501)}, **{i: 900 for i in (899, 900, 901, 902)}, 950: 950, **{1000 + i: 1000 for i in range(37)}}
+
+
+def test_points_near_anywhere(spark):
+    import itertools
+    import math
+    import random
+
+    from wattloom.operators.lookups import nearest_place, nearest_within
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 12742 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+    rnd = random.Random(1)
+    places = [(65.0, 10.0), (65.2, 11.0), (-30.0, 179.99), (-30.0, -179.95), (89.9, 0.0), (89.9, 180.0), (0.0, 0.0)]
+    places += [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(60)]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(places)], "i int, lat double, lon double")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(places)], "j int, slat double, slon double")
+    for reach in (30.0, 500.0, 6000.0, 21000.0):
+        got = sorted((r.i, r.j) for r in nearest_within(p, s, "lat", "lon", "slat", "slon", reach).collect())
+        assert got == sorted((i, j) for i, j in itertools.product(range(len(places)), repeat=2) if km(*places[i], *places[j]) <= reach), reach
+    towns = spark.createDataFrame([("Alpha", 0.0, 0.0, "R1"), ("Beta", 10.0, 0.0, "R2")], "name string, plat double, plon double, region string")
+    at = spark.createDataFrame([(1, 0.05, 0.0), (2, 3.0, 0.0), (3, 10.0, 60.0)], "i int, lat double, lon double")
+    got = {r.i: (r.label, r.area) for r in nearest_place(at, towns, "i", "lat", "lon", "name", "plat", "plon", "region").collect()}
+    assert got[1] == ("central Alpha", "R1:Alpha") and got[2] == ("north of Alpha (334 km)", "R1:north Alpha") and got[3][1] == "R2:east Beta"
+
+
+def test_null_stamps_and_keys_stay(spark):
+    from pyspark.sql import functions as F
+
+    from wattloom.operators import sequence
+    d = spark.createDataFrame([(1, "a", "2024-01-01", 1), (2, "a", None, 2), (3, None, "2024-01-02", 4), (4, None, "2024-03-02", 8)], "i int, k string, t string, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert {r.i: r.s for r in sequence.running(d, ["k"], ["t", "i"], "v", "s").collect()} == {2: 2, 1: 3, 3: 4, 4: 12}
+    assert sequence.previous(d, ["k"], ["t", "i"], {"p": "v"}).count() == 4
+    assert sequence.windowed(d, ["k"], "t", lambda w: {"p": F.lag("v").over(w)}, before="1 day").count() == 4
+    assert {r.i: r.x for r in sequence.last_known(d, ["k"], ["t", "i"], {"x": F.col("v")}).collect()} == {1: 1, 2: 2, 3: 4, 4: 8}

@@ -179,21 +179,37 @@ def valid_else_latest(rows: DataFrame, versions: DataFrame, key: str, t: str, st
         F.when(F.col("_m").isNotNull(), F.col(f"_a_{p}")).otherwise(F.col(f"_b_{p}")).alias(p) for p in payload])
 
 
-def final_of_chain(links: DataFrame, key: str, successor: str, *, depth: int = 64) -> DataFrame:
-    """Follow successor ids to the last one; null for cycles and longer chains.
+def final_of_chain(links: DataFrame, key: str, successor: str, *, cycle: str = "null") -> DataFrame:
+    """Follow successor ids to the last one, however far.
 
-    Pointer doubling: each round joins the map with itself, so 64 hops take six
-    equi-joins.  The map is written out between rounds to cut the plan."""
+    Ids that lead into a cycle get null, or with cycle="member" the least id of that cycle.  Pointer doubling:
+    each round joins the map with itself, so after round r an id is open only if its chain has more than 2^r
+    hops.  A round that closes no id has only cycles left.  The map is written out between rounds."""
     d = links.filter(F.col(successor).isNotNull()).select(F.col(key).alias("_k"), F.col(successor).alias("_to"))
-    hops = 1
-    while hops < depth:
-        nxt = d.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"))
-        d = cut(d.join(nxt, "_to", "left").select("_k", F.coalesce("_next", "_to").alias("_to")), "chain")
-        hops *= 2
-    still = links.filter(F.col(successor).isNotNull()).select(F.col(key).alias("_to"), F.lit(True).alias("_open"))
-    done = d.join(still, "_to", "left").select("_k", F.when(F.col("_open").isNull(), F.col("_to")).alias("_final"),
-                                               F.lit(True).alias("_linked"))
-    return links.join(done, F.col(key) == F.col("_k"), "left").select(
+    d = cut(d.withColumns({"_least": F.least("_k", "_to"), "_open": F.lit(True)}), "chain")
+    before, done = None, 0
+    while True:
+        nxt = d.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"), F.col("_least").alias("_l2"))
+        d = cut(d.drop("_open").join(nxt, "_to", "left").select("_k", F.coalesce("_next", "_to").alias("_to"), F.least("_least", F.coalesce("_l2", "_least")).alias("_least"),
+                                                               F.col("_next").isNotNull().alias("_open")), "chain")
+        still = d.filter("_open").count()
+        # once no id closes, the pointers stand inside cycles; as many rounds again let each pointer pass its whole cycle
+        if still == 0:
+            break
+        if before == still:
+            if cycle == "null" or done >= still.bit_length():
+                break
+            done += 1
+        before = still
+    ends = d.select("_k", "_to", "_open")
+    if cycle == "member":
+        # a pointer that stands in a cycle has its whole cycle ahead of it
+        inside = d.select(F.col("_k").alias("_to"), F.col("_least").alias("_m"))
+        ends = ends.join(inside, "_to", "left").select("_k", F.when(F.col("_open"), F.col("_m")).otherwise(F.col("_to")).alias("_final"))
+    else:
+        ends = ends.select("_k", F.when(~F.col("_open"), F.col("_to")).alias("_final"))
+    ends = ends.withColumn("_linked", F.lit(True))
+    return links.join(ends, F.col(key) == F.col("_k"), "left").select(
         *links.columns, F.when(F.col("_linked"), F.col("_final")).otherwise(F.col(key)).alias("final_id"))
 
 
@@ -211,20 +227,49 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], to
     return d.withColumn("status", status).drop("_a", "_b")
 
 
-def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat: str, slon: str, km: float,
-                   degrees: float = 0.75) -> DataFrame:
-    """Pairs within km, as an equi-join on grid cells of ``degrees``.  A cell must be at
-    least km wide, which 0.75 degrees is for 50 km below 53 degrees of latitude."""
+def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat: str, slon: str, km: float) -> DataFrame:
+    """Pairs within km at any latitude, as an equi-join on grid cells.
+
+    Cells are about as high as km.  A site is sent to the row above and below and, since a degree of
+    longitude shrinks towards the poles, to as many cells to either side as km spans at the nearer pole end of
+    its reach; longitudes wrap, and a reach over a pole takes the whole ring."""
     from ..functions.maths import great_circle_km
-    cell = lambda c: F.floor(F.col(c) / degrees)
-    p = points.withColumns({"_cy": cell(lat), "_cx": cell(lon)})
-    around = F.array(*[F.struct((cell(slat) + dy).alias("_cy"), (cell(slon) + dx).alias("_cx"))
-                       for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    s = sites.withColumn("_c", F.explode(around)).select(*sites.columns, "_c.*")
+    per_degree = 111.0                                   # a little under a degree of latitude, so that reach errs to the far side
+    reach = km / per_degree
+    ring = max(1, min(480, int(360 // max(reach, 1e-9))))
+    size = 360.0 / ring
+    around = lambda c: F.pmod(F.floor((F.col(c) + 180) / size), F.lit(ring)).cast("long")     # noqa: E731
+    p = points.withColumns({"_cy": F.floor(F.col(lat) / size), "_cx": around(lon)})
+    edge = F.abs(F.col(slat)) + reach
+    span = F.when(edge >= 89.9, F.lit(ring)).otherwise(F.least(F.ceil(reach / F.cos(F.radians(F.least(edge, F.lit(89.9)))) / size) + 1, F.lit(ring))).cast("long")
+    rows = F.sequence(F.floor((F.col(slat) - reach) / size), F.floor((F.col(slat) + reach) / size))
+    cols = F.when(2 * span + 1 >= ring, F.sequence(F.lit(0).cast("long"), F.lit(ring - 1).cast("long"))).otherwise(
+        F.transform(F.sequence(-span, span), lambda i: F.pmod(F.col("_sx") + i, F.lit(ring))))
+    s = sites.withColumn("_sx", around(slon)).withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols)).drop("_sx")
     d = great_circle_km(F.col(lat), F.col(lon), F.col(slat), F.col(slon))
     return p.join(s, ["_cy", "_cx"]).withColumn("km", d).filter(F.col("km") <= km).drop("_cy", "_cx")
 
 
+def nearest_place(points: DataFrame, places: DataFrame, pid: str, lat: str, lon: str, name: str, plat: str, plon: str, region: str, *, most: int = 10_000) -> DataFrame:
+    """Points with the nearest reference place at any distance, its label and area.
+
+    Places are a gazetteer of at most ``most`` rows (checked), which each point is held against in one task without
+    a shuffle; ties go to the first name.  Within 15 km a point is central."""
+    from ..functions.maths import great_circle_km, octant
+    if places.count() > most:
+        raise ValueError(f"more than {most} reference places")
+    row = places.agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), F.col(plat).alias("y"), F.col(plon).alias("x"), F.col(region).alias("r")))).alias("_places"))
+    d = points.join(F.broadcast(row))                    # one row
+    near = F.array_min(F.transform("_places", lambda p: F.struct(great_circle_km(F.col(lat), F.col(lon), p["y"], p["x"]).alias("km"), p["n"].alias("n"),
+                                                                p["r"].alias("r"), p["y"].alias("y"), p["x"].alias("x"))))
+    d = d.withColumn("_n", near)
+    where = octant(F.pmod(F.degrees(F.atan2((F.col(lon) - F.col("_n.x")) * F.cos(F.radians(F.col("_n.y"))), F.col(lat) - F.col("_n.y"))), F.lit(360.0)))
+    far = F.col("_n.km") >= 15
+    label = F.when(far, F.concat(where, F.lit(" of "), F.col("_n.n"), F.lit(" ("), F.format_string("%.0f", F.col("_n.km")), F.lit(" km)"))).otherwise(F.concat(F.lit("central "), F.col("_n.n")))
+    area = F.when(far, F.concat(F.col("_n.r"), F.lit(":"), where, F.lit(" "), F.col("_n.n"))).otherwise(F.concat(F.col("_n.r"), F.lit(":"), F.col("_n.n")))
+    return d.select(*points.columns, F.col("_n.n").alias("place"), label.alias("label"), area.alias("area"), F.col("_n.km").alias("km"))
+
+
 def name_match(left: DataFrame, points: DataFrame, keys: list[str], order: list[str], lat: str, lon: str, pid: str,
                max_km: float) -> DataFrame:
     """Match on normalised name and region; the best-ranked candidate is taken and the

@@ -8,12 +8,15 @@ A key's series is cut into time chunks and windows run inside (key, chunk):
 * unbounded reach (previous row, running sum or maximum, last known value): a
   per-chunk summary is carried forward over the chunks of the key, which are few.
 
-Keys must not be null; the order must be total (add an id column).
+A null key is a key of its own; rows with a null stamp are kept and stand in a chunk of their own, before all
+others.  The order must be total (add an id column).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import null_safe_join
+
 CHUNK_HOURS = 24 * 7
 
 
@@ -44,8 +47,8 @@ def with_halo(df: DataFrame, t: str, *, before: str | None = None, after: str |
     c = F.col(t)
     last = time_chunk(c + F.expr(f"interval {before}"), hours) if before else time_chunk(c, hours)
     first = time_chunk(c - F.expr(f"interval {after}"), hours) if after else time_chunk(c, hours)
-    return (df.withColumn("_chunk", F.explode(F.sequence(first, last)))
-            .withColumn("_own", F.col("_chunk") == time_chunk(c, hours)))
+    return (df.withColumn("_chunk", F.explode_outer(F.sequence(first, last)))
+            .withColumn("_own", F.col("_chunk").eqNullSafe(time_chunk(c, hours))))
 
 
 def windowed(df: DataFrame, keys: list[str], t: str, columns, *, tie: list[str] = (),
@@ -77,7 +80,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str
         Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     ends = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order]) if forward else w
-    d = d.join(carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(ends) == 1)
+    d = null_safe_join(d, carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(ends) == 1)
     return d.withColumns({n: F.when(F.col("_first"), F.col("_carry")[n]).otherwise(step(s).over(w))
                           for n, s in columns.items()}).drop("_chunk", "_carry", "_first")
 
@@ -96,7 +99,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     inside = f(value).over(w)
-    d = d.join(carried, [*keys, "_chunk"])
+    d = null_safe_join(d, carried, [*keys, "_chunk"])
     if how == "sum":
         both = F.when(inside.isNull() & F.col("_carry").isNull(), F.lit(None)).otherwise(
             F.coalesce(inside, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)))
@@ -121,7 +124,7 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], columns: dict[s
     order_by = [F.col(c).desc() for c in order] if forward else order
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
               .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.join(carried, [*keys, "_chunk"])
+    d = null_safe_join(d, carried, [*keys, "_chunk"])
     return d.withColumns({n: F.coalesce(F.last(f"_v_{n}", True).over(inside), F.col(f"_c_{n}"))
                           for n in columns}).drop("_chunk", *[f"_{p}_{n}" for n in columns for p in "vc"])
 

@@ -43,9 +43,11 @@ def boundary_jumps(df: DataFrame, origin: list[str], lead: str, band: str, forec
 
 
 def supported_incidents(origins: DataFrame, incidents: DataFrame, keys: list[str], origin: str, at: str, lo: str, hi: str, iid: list[str]) -> DataFrame:
-    """Incidents with at least one origin lo..hi ahead of them."""
-    span = incidents.withColumns({"_a": F.col(at) - F.expr(f"interval {hi}"), "_b": F.col(at) - F.expr(f"interval {lo}")})
-    return points_in_intervals(origins.select(*keys, origin), span, keys, origin, "_a", "_b", hours=24).select(*keys, *iid).distinct()
+    """Incidents with at least one origin lo..hi ahead of them: the last origin at or before the near edge is
+    looked up, and no pair beside it is formed."""
+    near = incidents.withColumn("_b", F.col(at) - F.expr(f"interval {lo}"))
+    d = asof_backward(near, origins.select(*keys, F.col(origin).alias("_o")).distinct(), keys, "_b", "_o", [])
+    return d.filter(F.col("_o") >= F.col(at) - F.expr(f"interval {hi}")).select(*keys, *iid)
 
 
 def paired_power(df: DataFrame, keys: list[str], n: str, base: str, gains: list[float], correlation: float, reps: int, seed: int) -> DataFrame:

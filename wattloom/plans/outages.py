@@ -146,9 +146,7 @@ MATCH = PANEL + ", " + matched_sql()
 
 def panel(t):
     """The supplier-day panel; it feeds treated rows, controls and values, so it is written once."""
-    if "panel_rows" not in t.__dict__:
-        t.panel_rows = cut(_panel(t), "panel")
-    return t.panel_rows
+    return t.once("panel", _panel)
 
 
 def _panel(t):
@@ -333,7 +331,7 @@ def as_of_evidence(t):
 
 
 @query("o19_outlook_build", f"""with {PANEL}, {LAY}, ef as (select f, avg(v) - (select avg(v) from pn) as eff, count(*) as n from tr group by 1), wr as (select l_linenumber as f, avg((l_linestatus = 'F')::int) as w from lineitem group by 1),
-cell as (select f, season, avg(v) as own from tr group by 1, 2), b as (select o_orderkey as id, (o_orderkey % 7 + 1)::int as f, o_orderdate as s, floor(month(o_orderdate) % 12 / 3)::int as season from orders where o_orderdate >= '2001-01-01')
+cell as (select f, season, avg(v) as own from tr group by 1, 2), b as (select o_orderkey as id, (o_orderkey % 7 + 1)::int as f, o_orderdate as s, floor(month(o_orderdate) % 12 / 3)::int as season from orders)
 select id, b.f, round((1 - w), 6) as occurrence_weight, round(eff, 6) as limit_change, round((1 - w) * eff, 6) as expected_change, round(own, 6) as timing_rate from b join ef using (f) join wr using (f) left join cell on cell.f = b.f and cell.season = b.season""")
 def outlook_build(t):
     tr = treated_rows(t)
@@ -341,7 +339,7 @@ def outlook_build(t):
     ef = tr.groupBy("f").agg(F.avg("v").alias("_m")).join(F.broadcast(base)).select("f", (F.col("_m") - F.col("_all")).alias("eff"))
     wr = t.lineitem.groupBy(F.col("l_linenumber").alias("f")).agg((1 - F.avg((F.col("l_linestatus") == "F").cast("int"))).alias("q"))
     cell = tr.groupBy("f", "season").agg(F.avg("v").alias("own"))
-    b = t.orders.filter(F.col("o_orderdate") >= ts("2001-01-01")).select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("f"), cal.season(F.col("o_orderdate")).alias("season"))
+    b = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("f"), cal.season(F.col("o_orderdate")).alias("season"))
     d = b.join(ef, "f").join(wr, "f").join(cell, ["f", "season"], "left")
     return d.select("id", "f", r6("q").alias("occurrence_weight"), r6("eff").alias("limit_change"), r6(F.col("q") * F.col("eff")).alias("expected_change"), r6("own").alias("timing_rate"))
 

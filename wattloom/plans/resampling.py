@@ -12,14 +12,14 @@ from .standins import PAIRS, pair_panel
 U = "('0x' || left(md5(concat_ws('|', {0})), 8))::bigint / 4294967296"
 
 # Daily paired losses per return flag: challenger error and control error sums with counts.
-DAYS = """dl as (select l_returnflag as key, l_shipdate as day, sum(abs(l_quantity - 25)) as a, sum(abs(l_quantity - l_discount * 500)) as b, count(*) as n from lineitem where l_shipdate >= '1999-01-01' and l_shipdate < '1999-07-01' group by 1, 2),
+DAYS = """dl as (select l_returnflag as key, l_shipdate as day, sum(abs(l_quantity - 25)) as a, sum(abs(l_quantity - l_discount * 500)) as b, count(*) as n from lineitem group by 1, 2),
 sp as (select key, min(day) as lo, unnest(generate_series(min(day), max(day), interval 1 day)) as day from dl group by 1),
 dd as (select sp.key, date_diff('day', lo, sp.day) as idx, coalesce(a, 0) as a, coalesce(b, 0) as b, coalesce(n, 0) as n from sp left join dl on dl.key = sp.key and dl.day = sp.day),
 nn as (select key, count(*) as nd from dd group by 1)"""
 
 
 def days(t):
-    d = t.lineitem.filter("l_shipdate >= timestamp_ntz'1999-01-01' and l_shipdate < timestamp_ntz'1999-07-01'")
+    d = t.lineitem
     q = F.col("l_quantity")
     d = d.groupBy(F.col("l_returnflag").alias("key"), F.col("l_shipdate").alias("day")).agg(
         F.sum(F.abs(q - 25)).alias("a"), F.sum(F.abs(q - F.col("l_discount") * 500)).alias("b"), F.count(F.lit(1)).alias("n"))
@@ -28,7 +28,7 @@ def days(t):
 
 def draws(block, reps, seed, circular=False):
     start = U.format(f"r, s, {seed}")
-    return f"""dr as (select key, r, (floor({start} * ({'nd' if circular else f'nd - {block} + 1'}))::int + o) {'% nd' if circular else ''} as idx from nn, range(0, {reps}) a(r), range(0, 1000) b(s), range(0, {block}) c(o)
+    return f"""dr as (select key, r, (floor({start} * ({'nd' if circular else f'nd - {block} + 1'}))::int + o) {'% nd' if circular else ''} as idx from nn, range(0, {reps}) a(r), (select unnest(range((select max(nd) from nn))) as s) b, range(0, {block}) c(o)
   where s < ceil(nd / {block}) and s * {block} + o < nd and nd >= {block})"""
 
 
@@ -77,7 +77,7 @@ def day_multinomial(t):
 
 
 @query("b5_incident_bootstrap", f"""with e as (select event_type as key, count(*) as n, count(*) filter (user_id % 3 > 0) as hits from events where value > 45 group by 1),
-u as (select key, r, avg(({U.format('key, r, i, 741')} < hits / n)::int) as s from e, range(0, 200) a(r), range(1, 100000) b(i) where i <= n group by 1, 2)
+u as (select key, r, avg(({U.format('key, r, i, 741')} < hits / n)::int) as s from e, range(0, 200) a(r), (select unnest(range(1, (select max(n) from e) + 1)) as i) b where i <= n group by 1, 2)
 select e.key, n, hits, round(hits / n, 6) as recall, round(quantile_cont(s, 0.025), 6) as ci_low, round(quantile_cont(s, 0.975), 6) as ci_high from e join u using (key) group by 1, 2, 3, 4""")
 def incident_bootstrap(t):
     e = t.events.filter("value > 45").groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("user_id") % 3 > 0, 1)).alias("hits"))
@@ -94,7 +94,7 @@ def holm(t):
     return rounded(op.holm(p, ["family"], "p", ["cell"]), ["p", "adjusted"])
 
 
-@query("b7_block_evidence", f"""with o as (select l_returnflag as key, l_shipdate as day, l_orderkey, avg(abs(l_quantity - 25) - abs(l_quantity - l_discount * 500)) as x, avg(greatest(l_discount * 500 - l_quantity, 0) - 12) as z from lineitem where l_shipdate >= '1999-01-01' and l_shipdate < '2000-01-01' group by 1, 2, 3),
+@query("b7_block_evidence", f"""with o as (select l_returnflag as key, l_shipdate as day, l_orderkey, avg(abs(l_quantity - 25) - abs(l_quantity - l_discount * 500)) as x, avg(greatest(l_discount * 500 - l_quantity, 0) - 12) as z from lineitem group by 1, 2, 3),
 d as (select key, day, avg(x) as x, avg(z) as z from o group by 1, 2), f as (select key, min(day) as lo from d group by 1), b as (select key, date_diff('day', lo, day) // 14 as b, avg(x) as x, avg(z) as z from d join f using (key) group by 1, 2),
 i as (select *, row_number() over (partition by key order by b) - 1 as idx from b), nn as (select key, count(*) as nd, avg(x) as mx, avg(z) as mz from i group by 1 having count(*) >= 4), {draws(1, 200, 741)},
 rp as (select key, r, avg(x) as x, avg(z) as z from dr join i using (key, idx) group by 1, 2)
@@ -102,7 +102,7 @@ select key, max(nd)::int as blocks, round((count(*) filter (round(rp.x - mx - mx
 from rp join nn using (key) group by 1""")
 def block_evidence(t):
     q, f = F.col("l_quantity"), F.col("l_discount") * 500
-    o = t.lineitem.filter("l_shipdate >= timestamp_ntz'1999-01-01' and l_shipdate < timestamp_ntz'2000-01-01'").groupBy(
+    o = t.lineitem.groupBy(
         F.col("l_returnflag").alias("key"), F.col("l_shipdate").alias("day"), "l_orderkey").agg(F.avg(F.abs(q - 25) - F.abs(q - f)).alias("x"), F.avg(F.greatest(f - q, F.lit(0.0)) - 12).alias("z"))
     d = o.groupBy("key", "day").agg(F.avg("x").alias("x"), F.avg("z").alias("z"))
     lo = d.groupBy("key").agg(F.min("day").alias("lo"))
@@ -132,7 +132,7 @@ def quarter_bootstrap(t):
 def confidence_set(t):
     """Sequential elimination over bootstrap means; the loop itself has no SQL form."""
     q = F.col("l_quantity")
-    d = t.lineitem.filter("l_shipdate >= timestamp_ntz'1999-01-01' and l_shipdate < timestamp_ntz'2000-01-01'").groupBy(F.col("l_shipdate").alias("day")).agg(
+    d = t.lineitem.groupBy(F.col("l_shipdate").alias("day")).agg(
         F.avg(F.abs(q - 25)).alias("mean"), F.avg(F.abs(q - 20)).alias("low"), F.avg(F.abs(q - F.col("l_discount") * 500)).alias("scaled"))
     d = op.day_index(d.withColumn("k", F.lit(0)), ["k"], "day", ["mean", "low", "scaled"])
     return op.confidence_set(d, ["mean", "low", "scaled"], 7, 200, 741)

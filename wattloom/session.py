@@ -2,11 +2,17 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions that run in Python workers travel with their code, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 
 def session(app: str = "wattloom", master: str | None = None, **conf) -> SparkSession:
     """A session with the zone pinned to UTC; market time itself is TIMESTAMP_NTZ."""
@@ -28,13 +34,15 @@ def session(app: str = "wattloom", master: str | None = None, **conf) -> SparkSe
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach.  Only where
-    it is unset (tests on one machine) does a temporary folder stand in.
+    ``spark.checkpoint.dir`` names storage every executor can reach.  Where it is unset a cluster is
+    refused; only a local master, whose tasks run in this process, gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")       # one machine: driver and tasks share it
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
@@ -55,7 +63,13 @@ class Tables:
     """Attribute access to the parquet tables of one data directory."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._kept = spark, folder, {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """make(tables), written at its first use and read from then on."""
+        if name not in self._kept:
+            self._kept[name] = cut(make(self), name)
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
