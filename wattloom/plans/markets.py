@@ -10,7 +10,7 @@ from ..operators import market as op
 from ..operators import ranks
 from ..operators import revisions as rev
 from .aggregates import rounded
-from .registry import query
+from .registry import normal_cdf_sql, query
 from .standins import OFF, PAIRS, pair_panel, r6, steady
 
 # One asset interval per line: signed flow, losses, two prices.
@@ -271,13 +271,18 @@ def walk_forward(t):
         F.col("auction_id").alias("id"), "dir", "quarter", "history", "last_quarter", "trailing_4q", "trailing_8q", "trailing_12q", "same_season", "error_4q")
 
 
-@query("m18_regime_option")
+@query("m18_regime_option", f"""with b as (select l_returnflag as dir, (floor((month(l_shipdate) % 12) / 3) * 10 + floor(l_quantity / 17))::bigint as regime, year(l_shipdate) * 4 + quarter(l_shipdate) as period, l_discount * 100 - 4 as x, greatest(l_quantity - 10, 0) as f from lineitem),
+m as (select dir, regime, period, count(*) as n, sum(x) as s, sum(x * x) as ss, sum(f) as f from b group by 1, 2, 3),
+p as (select dir, regime, q as period, sum(n) as n, sum(s) as s, sum(ss) as ss, sum(f) as f from (select *, unnest(range(period + 1, period + 5)) as q from m) group by 1, 2, 3),
+v as (select m.dir, m.period, m.n, coalesce(p.f / p.n, 0) as flow, coalesce(p.s / p.n, 0) as mu, coalesce(case when p.n > 1 then sqrt(greatest((p.ss - p.s * p.s / p.n) / (p.n - 1), 0)) end, 1) as sd from m left join p using (dir, regime, period)),
+z as (select *, mu / nullif(sd, 0) as z from v),
+c as (select *, case when sd > 0 then sd * exp(-z * z / 2) / sqrt(2 * pi()) + mu * {normal_cdf_sql('z')} else greatest(mu, 0) end as call from z)
+select dir, period, round(sum(n * flow * call) / 12, 4) as option_value, sum(n)::bigint as intervals from c group by 1, 2""")
 def regime_option(t):
-    """Needs the normal distribution function, which the oracle engine lacks; the tests
-    rebuild it with numpy on a small fixture."""
+    """The tests also rebuild it with numpy on a small fixture."""
     d = t.lineitem.select(F.col("l_returnflag").alias("dir"), (cal.season(F.col("l_shipdate")) * 10 + F.floor(F.col("l_quantity") / 17)).alias("regime"),
                           (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("period"), (F.col("l_discount") * 100 - 4).alias("x"), (F.col("l_quantity") - 10).alias("f"))
-    return op.regime_option(d, ["dir"], "regime", "period", "x", "f", 4)
+    return rounded(op.regime_option(d, ["dir"], "regime", "period", "x", "f", 4), ["option_value"], 4)
 
 
 @query("m19_offer_steepness", """
