@@ -30,11 +30,11 @@ DIM = 2 ** 17
 SHARES = 2 ** 12
 SAMPLE = 30_000          # rated rows the fit may use, those of the least hash of the id
 PARTS = 8
-STEPS = 50
+STEPS = 80
 RATE = 0.1
-PENALTY = 3e-4
+PENALTY = 1e-3
 RARE = 8
-Z = 5.0
+Z = 4.0
 SHARE = 18.0             # value of a share of 1, beside presences of about 1
 LETTERS = (4, 5)
 CACHE = 200_000          # words whose places a task remembers
