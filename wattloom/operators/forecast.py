@@ -83,14 +83,15 @@ def feature_screen(df: DataFrame, features: list[str], parents: dict[str, list[s
     one = df.agg(*[F.avg(F.when(F.col(f).isNull(), 1.0).otherwise(0.0)).alias(f"n_{f}") for f in features],
                  *[(F.min(f) == F.max(f)).alias(f"c_{f}") for f in features]).first()
     usable = [f for f in features if one[f"n_{f}"] <= null_share and not one[f"c_{f}"]]
-    base = df.withColumn("_g", F.lit(0))
     keep: list[str] = []
     reason = {f: ("null" if one[f"n_{f}"] > null_share else "constant") for f in features if f not in usable}
     rho = {}
     pairs = [(a, b) for i, b in enumerate(usable) for a in usable[:i]]
     if pairs:
-        parts = [rank_correlation(base, ["_g"], a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho") for a, b in pairs]
-        rho = {(r["a"], r["b"]): abs(r["rho"] or 0.0) for r in reduce(DataFrame.unionByName, parts).collect()}
+        # one long table keyed by pair, so the number of shuffles does not grow with the features
+        cells = F.array(*[F.struct(F.lit(k).alias("_pair"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for k, (a, b) in enumerate(pairs)])
+        long = df.select(F.explode(cells).alias("_s")).select("_s.*").filter("_x is not null and _y is not null")
+        rho = {pairs[r["_pair"]]: abs(r["rho"] or 0.0) for r in rank_correlation(long, ["_pair"], "_x", "_y").collect()}      # one number a pair
     for f in usable:
         twin = next((a for a in keep if rho.get((a, f), 0.0) > same), None)
         if twin is None:

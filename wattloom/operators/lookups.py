@@ -45,6 +45,21 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, ef
         *[F.col(f"_hit.{p}").alias(p) for p in payload])
 
 
+def recently(rows: DataFrame, facts: DataFrame, t: str, at: str, limit_us: int, name: str) -> DataFrame:
+    """Adds whether a fact stands at most ``limit`` before each row; an existence test without a key.
+
+    Buckets are as wide as the limit: a row has one if its bucket's first fact is not after it, or if the last fact of
+    the bucket before is recent enough.  A bucket's facts are reduced to these two before they meet the
+    rows, so a busy bucket costs a plain equi-join and no window."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))     # noqa: E731
+    edge = facts.groupBy(F.floor(micros(at) / limit_us).alias("_b")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    own = edge.select("_b", "_first")
+    before = edge.select((F.col("_b") + 1).alias("_b"), "_last")
+    d = rows.withColumn("_b", F.floor(micros(t) / limit_us)).join(own, "_b", "left").join(before, "_b", "left")
+    hit = F.coalesce(F.col("_first") <= F.col(t), F.lit(False)) | F.coalesce(micros("_last") >= micros(t) - limit_us, F.lit(False))
+    return d.withColumn(name, hit).drop("_b", "_first", "_last")
+
+
 def _buckets(start: Column, end: Column, hours: int) -> Column:
     return F.explode(F.sequence(time_chunk(start, hours), time_chunk(end, hours)))
 

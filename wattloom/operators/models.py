@@ -33,16 +33,28 @@ def _matrix(features: list[str], scale: bool = False) -> list:
     return [a, StandardScaler(inputCol="_v", outputCol="_x", withMean=True, withStd=True)] if scale else [a.setOutputCol("_x")]
 
 
+def _scored(model, rows: DataFrame, features: list[str], drop: list[str], scored: list[str]) -> DataFrame:
+    """rows with the model's columns; a row with an unknown feature keeps its place, with null scores and the
+    status ``unknown feature``."""
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    known = F.coalesce(known, F.lit(False))
+    out = model.transform(rows.filter(known)).drop(*drop).withColumn("status", F.lit("scored"))
+    rest = rows.filter(~known).withColumns({c: F.lit(None).cast("double") for c in scored} | {"status": F.lit("unknown feature")})
+    return out.select(*rows.columns, *scored, "status").unionByName(rest)
+
+
 def boosted_regressor(train: DataFrame, rows: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 4) -> DataFrame:
     m = Pipeline(stages=[*_matrix(features), GBTRegressor(featuresCol="_x", labelCol=target, lossType="absolute", maxIter=trees, maxDepth=depth, seed=741, predictionCol="prediction")]).fit(train)
-    return m.transform(rows).drop("_x")
+    return _scored(m, rows, features, ["_x"], ["prediction"])
 
 
 def ridge(train: DataFrame, rows: DataFrame, features: list[str], target: str, alpha: float, weight: str | None = None) -> DataFrame:
     lr = LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha, elasticNetParam=0.0, predictionCol="prediction")
     if weight:
         lr = lr.setWeightCol(weight)
-    return Pipeline(stages=[*_matrix(features, True), lr]).fit(train).transform(rows).drop("_v", "_x")
+    return _scored(Pipeline(stages=[*_matrix(features, True), lr]).fit(train), rows, features, ["_v", "_x"], ["prediction"])
 
 
 def anchored_ridge(train: DataFrame, rows: DataFrame, features: list[str], target: str, anchor: str, alpha: float) -> DataFrame:
@@ -80,7 +92,12 @@ def event_probability(train: DataFrame, calibrate: DataFrame, rows: DataFrame, f
     def logit(d):
         return first.transform(d).withColumn("_l", F.element_at(vector_to_array("_raw"), 2)).drop("_v", "_x", "_raw", "_p", "_c")
     second = Pipeline(stages=[VectorAssembler(inputCols=["_l"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_c")]).fit(logit(calibrate))
-    return second.transform(logit(rows)).withColumn("probability", F.element_at(vector_to_array("_p"), 2)).drop("_x", "_raw", "_p", "_c", "_l")
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    out = second.transform(logit(rows)).withColumn("probability", F.element_at(vector_to_array("_p"), 2)).drop("_x", "_raw", "_p", "_c", "_l")
+    # a row with an unknown feature stays, with a null probability
+    return out.unionByName(rows.filter(~known).withColumn("probability", F.lit(None).cast("double")))
 
 
 def cross_fitted(df: DataFrame, folds: list[tuple[Column, Column]], features: list[str], label: str) -> DataFrame:

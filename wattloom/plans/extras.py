@@ -55,10 +55,10 @@ def boundary_jumps(t):
 @query("x5_freshness_gate", """with o as (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-27', interval 30 minutes)) as origin), r as (select distinct ts from events where event_type = 'view'), j as (select origin, r.ts >= origin - interval 90 minutes as fresh from o asof left join r on origin >= r.ts)
 select case when origin < '2024-01-15' then 'train' else 'test' end as part, count(*) as n, round(avg(coalesce(fresh, false)::int), 6) as fresh_share from j group by 1""")
 def freshness_gate(t):
-    o = t.spark.range(1).select(F.explode(F.sequence(ts("2024-01-02"), ts("2024-01-27"), F.expr("interval 30 minutes"))).alias("origin"), F.lit(1).alias("g"))
-    r = t.events.filter("event_type = 'view'").select(F.lit(1).alias("g"), F.col("ts").alias("report")).distinct()
-    d = lk.asof_backward(o, r, ["g"], "origin", "report", [], tolerance="90 minutes")
-    return d.groupBy(F.when(F.col("origin") < ts("2024-01-15"), "train").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("report").isNotNull().cast("int"))).alias("fresh_share"))
+    o = t.spark.range(1).select(F.explode(F.sequence(ts("2024-01-02"), ts("2024-01-27"), F.expr("interval 30 minutes"))).alias("origin"))
+    r = t.events.filter("event_type = 'view'").select(F.col("ts").alias("report"))
+    d = lk.recently(o, r, "origin", "report", 5_400_000_000, "fresh")
+    return d.groupBy(F.when(F.col("origin") < ts("2024-01-15"), "train").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("fresh").cast("int"))).alias("fresh_share"))
 
 
 @query("x6_incident_support", """with i as (select event_type as key, event_id, ts from events where value > 40), o as (select event_type as key, ts as origin from events where value > 15)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.lookups import recently
 from ..operators.revisions import latest
 from ..operators.sequence import last_known, previous
 from ..session import shared_folder
@@ -206,26 +207,14 @@ def upserted(df: DataFrame, keys: list[str], newest: list[str], purpose: str, ro
 
 
 def fresh_only(df: DataFrame, reports: DataFrame, t: str, at: str, limit_us: int, purpose: str) -> DataFrame:
-    """Rows with a report at most ``limit`` old.
-
-    Of the static reports a micro-batch reads the span that can matter to it.  It is an existence test by
-    buckets as wide as the limit: a row is fresh if its bucket's first report is not after it, or the last
-    of the bucket before is recent enough; a bucket's reports are reduced to these two (and, in the
-    row's own bucket, being first suffices since the bucket is no wider than the limit)."""
+    """Rows with a report at most ``limit`` old; of the static reports a micro-batch reads the span that can matter to it."""
     spark = df.sparkSession
     out = shared_folder(spark, purpose)
-    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / limit_us)     # noqa: E731
 
     def check(batch: DataFrame, epoch: int) -> None:
         low, high = batch.agg(F.min(t), F.max(t)).first()
         span = reports.filter(F.col(at).between(F.lit(low) - F.make_interval(secs=F.lit(limit_us / 1e6)), F.lit(high))) if low is not None else reports.limit(0)
-        edge = span.groupBy(number(at).alias("_b")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-        own = edge.select("_b", "_first")
-        before = edge.select((F.col("_b") + 1).alias("_b"), "_last")
-        d = batch.withColumn("_b", number(t)).join(own, "_b", "left").join(before, "_b", "left")
-        recent = F.unix_micros(F.col("_last").cast("timestamp")) >= F.unix_micros(F.col(t).cast("timestamp")) - limit_us
-        fresh = F.coalesce(F.col("_first") <= F.col(t), F.lit(False)) | F.coalesce(recent, F.lit(False))
-        d.withColumn("fresh", fresh.cast("int")).drop("_b", "_first", "_last").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        recently(batch, span, t, at, limit_us, "fresh").withColumn("fresh", F.col("fresh").cast("int")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     q = df.writeStream.foreachBatch(check).option("checkpointLocation", shared_folder(spark, f"{purpose}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).drop("epoch")
