@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 
@@ -44,6 +45,9 @@ PARAGRAPH = set("p pre td blockquote li dd".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
 
+LEVELS = 8          # ancestors that a paragraph passes points to
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children", "chars", "linked", "score", "depth")
 
@@ -60,9 +64,19 @@ def _attributes(raw: str) -> dict:
 
 def parse(page: str) -> Node:
     root = here = Node("html", {}, None)
+    opened: Counter = Counter()              # open elements by tag, so that no search goes up a deep tree in vain
+
+    def leave(at, to):
+        """Ends the open elements from ``at`` up to, not with, its ancestor ``to``."""
+        while at is not to:
+            opened[at.tag] -= 1
+            at = at.parent
+        return to
 
     def closed(node, tags, scope):
         """Where to go on if an open element of ``tags`` within ``scope`` ends here."""
+        if not any(opened[x] for x in tags):
+            return node
         at = node
         while at.parent is not None and at.tag not in scope:
             if at.tag in tags:
@@ -84,24 +98,24 @@ def parse(page: str) -> Node:
             continue
         if m[1]:
             at = here
-            while at.parent is not None and at.tag != tag and (tag in BLOCK or at.tag not in BLOCK):
+            while opened[tag] and at.parent is not None and at.tag != tag and (tag in BLOCK or at.tag not in BLOCK):
                 at = at.parent
-            if at.parent is not None and at.tag == tag:
-                here = at.parent
+            if opened[tag] and at.parent is not None and at.tag == tag:
+                here = leave(here, at.parent)
             continue
         attrs = _attributes(m[3])
         if tag in ("html", "body") and not any(isinstance(c, Node) and c.tag == "body" for c in root.children):
             if tag == "html":
                 root.attrs = attrs
                 continue
-            here = root                      # a body ends an open head
+            here = leave(here, root)         # a body ends an open head
         elif tag in ("html", "body"):
             continue
         if tag in BLOCK:
-            here = closed(here, {"p"}, P_SCOPE)
+            here = leave(here, closed(here, {"p"}, P_SCOPE))
         if tag in CLOSES:
             while (up := closed(here, CLOSES[tag], SCOPE[tag])) is not here:
-                here = up
+                here = leave(here, up)
         node = Node(tag, attrs, here)
         here.children.append(node)
         if tag in RAW:
@@ -111,6 +125,7 @@ def parse(page: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID:
             here = node
+            opened[tag] += 1
     return root
 
 
@@ -193,7 +208,7 @@ def best_container(nodes: list[Node]) -> tuple[Node, list[Node]]:
             continue
         points = (1 + _commas(node) + min(node.chars / 100, 3)) * min(1.0, node.chars / 25) * (1 - _density(node))
         up, level = node.parent if node.tag in PARAGRAPH else node, 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
     best = None

@@ -15,6 +15,7 @@ once, each step sums the gradient in tasks, and the driver holds a few vectors o
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -37,6 +38,7 @@ RARE = 8
 Z = 4.0
 SHARE = 18.0             # value of a share of 1, beside presences of about 1
 LETTERS = (4, 5)
+LONG = 4_000_000         # characters
 CACHE = 200_000          # words whose places a task remembers
 KEEP = 0.3               # least P(grade >= 2) of a row that selection keeps
 
@@ -66,7 +68,9 @@ def _word_places(w: str) -> tuple[tuple[int, ...], str, bool]:
 def features(text: str | None, cache: dict, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text; a null text has those of an empty one.  With scale, only places of a scale
     above 0, and their values times it.  cache belongs to one scale."""
-    words = Counter((text or "").split())
+    text = text or ""
+    # the words of a very long text are not held as a list
+    words = Counter(text.split() if len(text) < LONG else (m.group() for m in re.finditer(r"\S+", text)))
     total, present, signs, capitals = sum(words.values()), set(), Counter(), 0
     for w, c in words.items():
         got = cache.get(w)

@@ -29,7 +29,8 @@ from ..session import cut
 K = 20
 SCALE = 64
 DEPTHS = (0.5, 0.75, 1.0)
-QUERIES, CANDIDATES = 1024, 2048     # rows of a block, about
+QUERIES, CANDIDATES = 1024, 2048     # rows of a block, about, of up to DIMENSIONS components
+DIMENSIONS = 128
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -122,8 +123,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCAL
     """(query_id, rank, vec_id, score): each query's k highest inner products with all other vectors of its length
     (all, if fewer), ties to the smaller vec_id.  No query or no candidate gives no rows."""
     v = cut(quantised(vectors, scale).withColumn("width", F.size("v")).filter("width > 0"), "vectors")
-    nq, nc = v.agg(F.count(F.when(is_query, 1)), F.count("*")).first()
-    rows, cols = max(1, math.ceil(nq / queries)), max(1, math.ceil(nc / candidates))
+    nq, nc, width = v.agg(F.count(F.when(is_query, 1)), F.count("*"), F.max("width")).first()
+    share = max(1.0, (width or 1) / DIMENSIONS)         # longer vectors, smaller blocks
+    rows, cols = max(1, math.ceil(nq * share / queries)), max(1, math.ceil(nc * share / candidates))
     mine = F.xxhash64("vec_id")
     q = v.filter(is_query).withColumn("row", F.pmod(mine, F.lit(rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     c = v.withColumn("col", F.pmod(mine, F.lit(cols)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
