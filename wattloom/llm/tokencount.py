@@ -166,7 +166,7 @@ def with_edits(docs: DataFrame, masks) -> DataFrame:
 
 def gather(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with the rows of edits(doc_id, start, length, insert) as the sorted list ``edits``."""
-    per = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int"), F.col("length").cast("int"), "insert"))).alias("edits"))
+    per = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), F.col("insert").alias("insert")))).alias("edits"))
     return docs.join(per, "doc_id", "left")
 
 
