@@ -6,6 +6,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 EARTH_DIAMETER_KM = 12742.0
+# Names of the eight directions, clockwise from north.
 OCTANTS = ("north", "north-east", "east", "south-east", "south", "south-west", "west", "north-west")
 
 

@@ -49,25 +49,47 @@ def named_voltage(description: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(description), r"([0-9]+)\s*kv", 1), F.lit(""))
 
 
+# What an equation id has to show (how, mark), in the order it is looked for, and the label it then has.
+FAMILY_MARKS = [
+    ("starts", "NRM", "negative residue management"),
+    ("starts", "#", "manual/ramp"),
+    ("has", ">>", "thermal"),
+    ("early", ">", "thermal"),
+    ("has", "^^", "voltage stability"),
+    ("has", "::", "transient stability"),
+    ("has", "<<", "oscillatory"),
+    ("plain", "^([VNQSTI]-)?[A-Z0-9]+[-_]", "interconnector limit"),
+]
+STATE_MARKS = [
+    ("starts", "NRM", "system normal"),
+    ("starts", "#", "other"),
+    ("holds", "NIL", "system normal"),
+]
+NO_FAMILY, NO_STATE, NO_ID = "other", "outage/other", "unreported"
+
+_SHOWS = {
+    "starts": lambda cid, mark: F.upper(cid).startswith(mark),
+    "holds": lambda cid, mark: F.upper(cid).contains(mark),
+    "has": lambda cid, mark: cid.contains(mark),
+    "early": lambda cid, mark: F.left(cid, F.lit(3)).contains(mark),
+    "plain": lambda cid, mark: cid.rlike(mark) & ~cid.rlike("[>^:<]"),
+}
+
+
+def _labelled(cid: Column, marks: list[tuple[str, str, str]], otherwise: str) -> Column:
+    """The label of the first mark that an id shows."""
+    found = F.array(*[F.when(_SHOWS[how](cid, mark), F.lit(label)) for how, mark, label in marks])
+    return F.when(F.coalesce(cid, F.lit("")) == "", F.lit(NO_ID)).otherwise(F.coalesce(F.get(F.array_compact(found), F.lit(0)), F.lit(otherwise)))
+
+
 def equation_family(cid: Column) -> Column:
     """Limit family from the marks inside an equation id."""
-    return (F.when(cid.isNull() | (cid == ""), "unreported")
-            .when(F.upper(cid).startswith("NRM"), "negative residue management")
-            .when(cid.startswith("#"), "manual/ramp")
-            .when(cid.contains(">>") | F.substring(cid, 1, 3).contains(">"), "thermal")
-            .when(cid.contains("^^"), "voltage stability")
-            .when(cid.contains("::"), "transient stability")
-            .when(cid.contains("<<"), "oscillatory")
-            .when(cid.rlike("^([VNQSTI]-)?[A-Z0-9]+[-_]") & ~cid.rlike("[>^:<]"), "interconnector limit")
-            .otherwise("other"))
+    return _labelled(cid, FAMILY_MARKS, NO_FAMILY)
 
 
 def network_state(cid: Column) -> Column:
-    return (F.when(cid.isNull() | (cid == ""), "unreported")
-            .when(F.upper(cid).startswith("NRM"), "system normal")
-            .when(cid.startswith("#"), "other")
-            .when(F.upper(cid).contains("NIL"), "system normal")
-            .otherwise("outage/other"))
+    """Whether an equation belongs to the system-normal set."""
+    return _labelled(cid, STATE_MARKS, NO_STATE)
 
 
 def contract_quarter(cid: Column) -> Column:
