@@ -15,8 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranks import null_safe_join
-
 CHUNK_HOURS = 24 * 7
 
 
@@ -67,22 +65,26 @@ def dense_grid(df: DataFrame, keys: list[str], t: str, step: str) -> DataFrame:
     return grid.join(df, [*keys, t], "left")
 
 
+def _with_heads(d: DataFrame, keys: list[str], carried: DataFrame, flag: int) -> DataFrame:
+    """d and one row for each (key, chunk) that something is carried into; it stands before (-1) or after (1) the
+    chunk's rows.  A union with a window needs one shuffle and no join, and takes null keys as they are."""
+    return d.withColumn("_head", F.lit(0)).unionByName(carried.withColumn("_head", F.lit(flag)), allowMissingColumns=True)
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], *,
              hours: int = CHUNK_HOURS, forward: bool = False) -> DataFrame:
     """Previous (or, with forward, next) row's values on an irregular series;
     columns maps new name -> source."""
-    d = df.withColumn("_chunk", time_chunk(F.col(order[0]), hours))
-    pack = F.struct(*[F.col(s).alias(n) for n, s in columns.items()])
+    d = df.withColumn("_chunk", time_chunk(F.col(order[0]), hours)).withColumns({f"_s_{n}": F.col(s) for n, s in columns.items()})
+    pack = F.struct(*[F.col(s).alias(f"_s_{n}") for n, s in columns.items()])
     pick = F.min_by if forward else F.max_by
     edge = d.groupBy(*keys, "_chunk").agg(pick(pack, F.struct(*order)).alias("_edge"))
     step = F.lead if forward else F.lag
     carried = edge.select(*keys, "_chunk", step("_edge").over(
-        Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    ends = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order]) if forward else w
-    d = null_safe_join(d, carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(ends) == 1)
-    return d.withColumns({n: F.when(F.col("_first"), F.col("_carry")[n]).otherwise(step(s).over(w))
-                          for n, s in columns.items()}).drop("_chunk", "_carry", "_first")
+        Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry")).filter("_carry is not null").select(*keys, "_chunk", "_carry.*")
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_head", *order)
+    out = _with_heads(d, keys, carried, 1 if forward else -1).withColumns({n: step(f"_s_{n}").over(w) for n in columns})
+    return out.filter("_head = 0").drop("_chunk", "_head", *[f"_s_{n}" for n in columns])
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -92,20 +94,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
             how: str = "sum", inclusive: bool = True, hours: int = CHUNK_HOURS) -> DataFrame:
     """Running sum, max or min per key in the given order."""
     f = _COMBINE[how]
-    d = df.withColumn("_chunk", time_chunk(F.col(order[0]), hours))
+    d = df.withColumn("_chunk", time_chunk(F.col(order[0]), hours)).withColumn("_val", F.col(value))
     part = d.groupBy(*keys, "_chunk").agg(f(value).alias("_part"))
     carried = part.select(*keys, "_chunk", f("_part").over(
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_val")).filter("_val is not null")
+    w = (Window.partitionBy(*keys, "_chunk").orderBy("_head", *order)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    inside = f(value).over(w)
-    d = null_safe_join(d, carried, [*keys, "_chunk"])
-    if how == "sum":
-        both = F.when(inside.isNull() & F.col("_carry").isNull(), F.lit(None)).otherwise(
-            F.coalesce(inside, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)))
-    else:
-        both = (F.greatest if how == "max" else F.least)(inside, F.col("_carry"))
-    return d.withColumn(name, both).drop("_chunk", "_carry")
+    return _with_heads(d, keys, carried, -1).withColumn(name, f("_val").over(w)).filter("_head = 0").drop("_chunk", "_val", "_head")
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], *,
@@ -119,14 +114,13 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], columns: dict[s
         pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), key)).alias(f"_p_{n}") for n in columns])
     w = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc() if forward else F.col("_chunk"))
     carried = part.select(*keys, "_chunk", *[
-        F.last(f"_p_{n}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}")
+        F.last(f"_p_{n}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_v_{n}")
         for n in columns])
     order_by = [F.col(c).desc() for c in order] if forward else order
-    inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
+    inside = (Window.partitionBy(*keys, "_chunk").orderBy("_head", *order_by)
               .rowsBetween(Window.unboundedPreceding, 0))
-    d = null_safe_join(d, carried, [*keys, "_chunk"])
-    return d.withColumns({n: F.coalesce(F.last(f"_v_{n}", True).over(inside), F.col(f"_c_{n}"))
-                          for n in columns}).drop("_chunk", *[f"_{p}_{n}" for n in columns for p in "vc"])
+    out = _with_heads(d, keys, carried, -1).withColumns({n: F.last(f"_v_{n}", True).over(inside) for n in columns})
+    return out.filter("_head = 0").drop("_chunk", "_head", *[f"_v_{n}" for n in columns])
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island", *,
