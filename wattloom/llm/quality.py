@@ -39,53 +39,71 @@ Z = 4.0
 SHARE = 18.0             # value of a share of 1, beside presences of about 1
 LETTERS = (4, 5)
 LONG = 4_000_000         # characters
-CACHE = 200_000          # words whose places a task remembers
+CACHE = 400_000          # words whose places a task remembers
 KEEP = 0.3               # least P(grade >= 2) of a row that selection keeps
 
 
-def _presence(kind: bytes, s: bytes) -> int:
-    return SHARES + zlib.crc32(s, zlib.crc32(kind)) % (DIM - SHARES)
+WORD, PREFIX = zlib.crc32(b"w"), {k: zlib.crc32(b"p%d" % k) for k in LETTERS}
+
+
+def _presence(kind: int, s: bytes) -> int:
+    return SHARES + zlib.crc32(s, kind) % (DIM - SHARES)
 
 
 def _share(kind: bytes, s: bytes) -> int:
     return zlib.crc32(s, zlib.crc32(kind)) % SHARES
 
 
-def _word_places(w: str) -> tuple[tuple[int, ...], str, bool]:
-    """Places of a raw word's presences, the signs at its end, and whether it is all capitals."""
-    end = len(w)
-    while end and not w[end - 1].isalnum():
-        end -= 1
-    start = 0
-    while start < end and not w[start].isalnum():
-        start += 1
+def _word_places(w: str, cache: dict, mask: bytes | None):
+    """Places of a raw word's presences, the signs at its end, and whether it is all capitals; None if there is nothing of
+    these.  With mask, only places that it marks.  Prefixes are kept in the cache under (letters, prefix)."""
+    start, end = 0, len(w)
+    if not w.isalnum():
+        while end and not w[end - 1].isalnum():
+            end -= 1
+        while start < end and not w[start].isalnum():
+            start += 1
     core = w[start:end].lower()
-    places = [_presence(b"w", core.encode())] if core else []
-    places += [_presence(b"p%d" % k, core[:k].encode()) for k in LETTERS if len(core) > k]
-    return tuple(places), w[end:], core != "" and w.isupper()
-
-
-def features(text: str | None, cache: dict, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, values) of a text; a null text has those of an empty one.  With scale, only places of a scale
-    above 0, and their values times it.  cache belongs to one scale."""
+    places = [_presence(WORD, core.encode())] if core else []
+    for k in LETTERS:
+        if len(core) > k:
+            prefix = (k, core[:k])
+            p = cache.get(prefix)
+            if p is None:
+                p = cache[prefix] = _presence(PREFIX[k], core[:k].encode())
+            places.append(p)
+    if mask is not None:
+        places = [p for p in places if mask[p]]
+    capitals = core != "" and w.isupper()
+    return (tuple(places), w[end:], capitals) if places or end < len(w) or capitals else None
+
+
+def features(text: str | None, cache: dict, scale: np.ndarray | None = None, mask: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of a text; a null text has those of an empty one.  With scale and its mask (a byte for each place,
+    1 where scale is above 0), only places of the mask, and their values times the scale.  cache belongs to one mask."""
     text = text or ""
     # the words of a very long text are not held as a list
     words = Counter(text.split() if len(text) < LONG else (m.group() for m in re.finditer(r"\S+", text)))
-    total, present, signs, capitals = sum(words.values()), set(), Counter(), 0
+    total, present, signs, capitals, look = sum(words.values()), set(), Counter(), 0, cache.get
     for w, c in words.items():
-        got = cache.get(w)
-        if got is None:
+        got = look(w, 0)
+        if got is None:                     # nothing to count in this word
+            continue
+        if got == 0:
             if len(cache) >= CACHE:
                 cache.clear()
-            got = _word_places(w[:200])
-            if scale is not None:
-                got = (tuple(p for p in got[0] if scale[p] > 0), *got[1:])
-            cache[w[:200]] = got
-        if got[0]:
-            present.update(got[0])
-        if got[1]:
-            signs[got[1]] += c
-        capitals += c * got[2]
+            got = _word_places(w[:200], cache, mask)
+            if len(w) <= 200:
+                cache[w] = got
+            if got is None:
+                continue
+        places, sign, upper = got
+        if places:
+            present.update(places)
+        if sign:
+            signs[sign] += c
+        if upper:
+            capitals += c
     shares: dict[int, int] = {_share(b"x", b"capitals"): capitals, _share(b"x", b"repeats"): total - len(words)}
     for s, c in signs.items():
         p = _share(b"s", s.encode())
@@ -220,10 +238,11 @@ def rate(docs: DataFrame, model: Ordinal, tail: int, names: tuple[str, str] = ("
     def run(batches):
         cache: dict = {}
         weights, thresholds, scale = shared.value
+        mask = (scale > 0).astype(np.uint8).tobytes()
         for b in batches:
             score = np.empty(b.num_rows)
             for i, text in enumerate(b.column("text")):
-                at, value = features(text.as_py(), cache, scale)
+                at, value = features(text.as_py(), cache, scale, mask)
                 score[i] = weights[at] @ value
             p = _sigmoid(score[:, None] - thresholds[None, :])      # column k - 1: P(grade >= k)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(p.sum(axis=1)), pa.array(p[:, tail - 1])], names=[*columns, *names])
