@@ -86,6 +86,14 @@ def test_long_text_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+def test_long_texts_of_few_words():
+    """Over 800,000 bytes in one, two and three words: read in blocks, hashed like any other."""
+    a, b = "A" * 900_000, "b" * 800_001
+    for text in (a, b, f" {a} ", f"{a} {b}", f"{b}\n{a}", f"{a} {b} c", " " * 900_000):
+        assert simhash.fingerprint(text.encode()) == print_by_hand(text), len(text)
+    assert len({simhash.fingerprint(t.encode()) for t in ("", a, b, f"{a} {b}")}) == 4
+
+
 def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.one_of_each(empty(spark)).count() == 0

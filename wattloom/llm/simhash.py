@@ -40,13 +40,13 @@ def _word_blocks(text: bytes, keep: int):
     if len(text) < 8 * WORDS_AT_ONCE:
         yield text.split()
         return
-    held = []
+    held, first = [], True
     for m in re.finditer(rb"[^\x20\x09-\x0D]+", text):
         held.append(m.group())
         if len(held) == WORDS_AT_ONCE:
             yield held
-            held = held[-keep:] if keep else []
-    if len(held) > keep or not held:
+            held, first = held[-keep:] if keep else [], False
+    if first or len(held) > keep:        # few words are a block of their own if nothing came before them
         yield held
 
 
