@@ -8,8 +8,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import empty, table
-from wattloom.llm import graph, mixing, quality, sharding, simhash, tokencount, topk
+from wattloom.llm import graph, mixing, nearcopies, quality, sharding, simhash, tokencount, topk
 
 
 def print_by_hand(text):
@@ -99,6 +100,55 @@ def test_near_duplicates_empty(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def shingles_by_hand(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_copies_by_hand(spark, monkeypatch):
+    """The pipeline's stage against all pairs: edited copies on both sides of 0.8, common passages, a chain, short and odd texts."""
+    monkeypatch.setattr(nearcopies, "ROWS", 500)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))     # noqa: E731
+    common = [word() for _ in range(30)]
+    texts = [(None, "null id"), (1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two three four"), (7, "one two three four five"), (8, "A b c d e f"), (9, "a B c d e g")]
+    for g in range(40):
+        base = [word() for _ in range(rnd.choice((12, 40, 150, 400)))] + common * (g % 2)
+        for k in range(6):
+            own = list(base)
+            for _ in range(k * len(base) // 200 + (k > 0)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append((100 + 10 * g + k, " ".join(own)))
+    chain = [word() for _ in range(60)]
+    for k in range(12):
+        texts.append((1000 - k, " ".join(chain[3 * k:3 * k + 40])))
+    texts.append((100, texts[10][1]))
+    sets = [shingles_by_hand(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    linked = far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+                linked += a != sets[j]
+                far += (print_by_hand(texts[i][1]) ^ print_by_hand(texts[j][1])).bit_count() > 2
+    assert linked > 100 and far > 80
+    least = {}
+    for i, (k, _) in enumerate(texts):
+        r = find(i)
+        least[r] = min(least.get(r, 10 ** 9), -1 if k is None else k)
+    docs = table(spark, texts)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert nearcopies.one_of_each(empty(spark)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     e = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (5, 6)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(e, "u bigint, v bigint")).collect()}
