@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,58 @@ def test_licences(spark):
     assert licences.licence_scan(empty(spark)).count() == 0
 
 
+OFFICIAL = {
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.",
+}
+# the other full texts, from their sentences as printed: wrapped at 60 columns
+GRANTS = {"MIT": ("mit-grant", "mit-notice", "mit-asis", "mit-liability"), "BSD-3-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis"),
+          "BSD-2-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")}
+
+
+def test_official_wrapped_texts(spark):
+    full = OFFICIAL | {name: "\n".join("\n".join(textwrap.wrap(s.capitalize() + (":" if i.endswith("grant") else "."), 60)) for k in ids for s, i in licences.SENTENCES if i == k)
+                       for name, ids in GRANTS.items()}
+    assert set(full) < {name for name, _ in licences.RULES}
+    forms = [lambda t: t, lambda t: "\n".join(f" * {x}" for x in t.split("\n")), lambda t: "/*\n" + t.replace("\n", "\r\n") + "\n*/\n",
+             lambda t: "\n".join(f"//   {x}" for x in t.split("\n")), lambda t: "#" * 3000 + "\n" + t.replace(" ", " " * 40) + "\n" + "#" * 3000]
+    texts = [(k, f(t)) for k, (t, f) in enumerate((t, f) for t in full.values() for f in forms)]
+    want = [name for name in full for _ in forms]
+    for r in licences.licence_scan(table(spark, texts)).collect():
+        assert (r.licences, r.status) == ([want[r.doc_id]], "known"), (want[r.doc_id], r.doc_id % len(forms), r.sentence_ids)
+    ids = {r.doc_id: r.sentence_ids for r in licences.licence_scan(table(spark, texts)).collect()}
+    assert ids[15] == ["apache2-head", "apache-use", "apache-copy", "apache-asis", "apache-see"]
+
+
 def test_rules_are_ordered(spark):
     seq = spark.createDataFrame([(["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "mit-ref"],), (["mit-notice", "mit-grant"],)], "ids array<string>")
     assert [r[0] for r in seq.select(licences.apply_rules(F.col("ids"))).collect()] == [["BSD-2-Clause", "MIT"], []]

@@ -1,17 +1,16 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (case, white space, punctuation, years and holders) and
-looked up among the known licence sentences, which have identifiers.  The identifiers of a document, in
-text order, are matched against ordered licence rules: the first rule whose identifiers stand there in
+A text is normalised (case, white space, punctuation, comment marks), with a mark wherever a line or a clause ends, and
+searched for the known licence sentences, which have identifiers.  A sentence stands between two marks and may have others
+inside, so wrapped texts and sentences with ';', ':' or 'v.' are found whole.  The identifiers of a document, in text order, are matched against ordered licence rules: the first rule whose identifiers stand there in
 one run wins its run, and the rest is matched on.
 
-The sentence table is a constant of this module (under a hundred short rows), so its broadcast is
-bounded.  Null and empty texts have no sentences and so no licence.  Rows equal in id and text are
+The sentences are a constant of this module, so that a row is answered by itself.  Null and empty texts have no sentences and so no licence.  Rows equal in id and text are
 answered alike.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Sentences of public licences (normalised as by `normal`) and their identifiers.
 SENTENCES = [
@@ -71,28 +70,28 @@ RULES = [
     ("CC-BY-4.0", ["ccby4"]),
 ]
 
+# A sentence may start and end where a line, or a clause with its sign, ends; it may also go on there, as wrapped lines do.
 SENTENCE_END = r"(?<=[.!?;:])[\s]+|\n+"
 
 
-def normal(sentence: Column) -> Column:
-    """Lower case, punctuation but inner '.', '-' to spaces, copyright lines to one form, one space between words."""
-    s = F.lower(sentence)
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}.\-]+", " ")
+def normal(text: Column) -> Column:
+    """Lower case, punctuation but inner '.', '-' to spaces (and so comment marks, too), one space between words; a newline
+    at each place where a sentence may start or end, and around the whole."""
+    s = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
+    s = F.regexp_replace(s, r"[^\p{L}\p{N}.\-\n]+", " ")
     s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])[.\-]+|[.\-]+(?![\p{L}\p{N}])", " ")
-    return F.trim(F.regexp_replace(s, r" +", " "))
+    s = F.concat(F.lit("\n"), s, F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(s, r" *\n[ \n]*", "\n"), r" +", " ")
 
 
-def sentence_ids(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENTENCES, "sentence string, id string")
-
-
-def known_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, place, id): the known licence sentences of docs(doc_id, text) in text order."""
-    d = docs.select("doc_id", "text", F.posexplode(F.split("text", SENTENCE_END)).alias("place", "s"))
-    # the longest known sentence and room for punctuation; a longer one equals none of them
-    longest = 2 * max(len(s) for s, _ in SENTENCES)
-    d = d.filter(F.length("s") <= longest).withColumn("sentence", normal(F.col("s")))
-    return d.join(F.broadcast(sentence_ids(docs.sparkSession)), "sentence").select("doc_id", F.md5("text").alias("digest"), "place", "id").distinct()
+def known_sentences(text: Column) -> Column:
+    """Identifiers of the known licence sentences of a text, in text order, the longest one at each place."""
+    ordered = sorted((s for s, _ in SENTENCES), key=len, reverse=True)
+    # lines of these sentences hold letters, digits, '.' and '-' only
+    known = "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in ordered)
+    found = F.regexp_extract_all(normal(text), F.lit(rf"(?<=\n)({known})(?=\n)"), 1)
+    ids = F.create_map(*[F.lit(x) for pair in SENTENCES for x in pair])
+    return F.transform(found, lambda x: ids[F.translate(x, "\n", " ")])
 
 
 def apply_rules(ids: Column, rules=RULES) -> Column:
@@ -110,10 +109,7 @@ def apply_rules(ids: Column, rules=RULES) -> Column:
 def licence_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): sentence identifiers in order, licences (sorted names,
     empty if none) and status: none, known, or unmatched where known sentences fit no rule."""
-    per = known_sentences(docs).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("_p"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), F.col("_p.id").alias("_ids")).withColumn("_l", apply_rules(F.col("_ids")))
-    d = docs.select("doc_id", F.md5("text").alias("digest"))
     none = F.array().cast("array<string>")
-    out = d.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")), "left")
-    out = out.select("doc_id", F.coalesce("_ids", none).alias("sentence_ids"), F.coalesce("_l", none).alias("licences"))
+    out = docs.select("doc_id", F.coalesce(known_sentences(F.col("text")), none).alias("sentence_ids"))
+    out = out.withColumn("licences", apply_rules(F.col("sentence_ids")))
     return out.withColumn("status", F.when(F.size("sentence_ids") == 0, "none").when(F.size("licences") > 0, "known").otherwise("unmatched"))
