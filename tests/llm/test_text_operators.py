@@ -199,6 +199,16 @@ def test_main_text():
     assert html.main_text("<p>" + "long, " * 200000 + "</p>") == ("long, " * 200000).strip()
 
 
+@pytest.mark.parametrize("opening", ["<div class='content has-sidebar'>", "<div class='no-sidebar'>", "<div class='header-fixed'>", "<div class='social-article'>",
+                                     "<div id='page-with-comments'>", "<form action=/x>"])
+def test_wrapped_article_stays(opening):
+    end = "</form>" if "form" in opening else "</div>"
+    paras = [f"Paragraph {k} of the article, with commas, and enough words, to be read as prose by anybody." for k in range(4)]
+    page = f"<body>{opening}" + "".join(f"<p>{x}</p>" for x in paras) + f"<div class='sidebar'><p>Other, things, here.</p></div>{end}<p>Short line.</p></body>"
+    text = html.main_text(page)
+    assert all(x in text for x in paras) and "Other" not in text
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (2, None, None, 1), (None, "v", "", 1), (1, "u", PAGE, 1)], "page_id bigint, url string, html string, text int")
     got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in html.extract(pages).collect())

@@ -41,6 +41,9 @@ UNLIKELY = set("ad ads adv advert adverts advertisement advertising adsense adsl
                "pager pagination paywall popup promo promotion promoted recommended related replies reply respond rss share sharing shoutbox sidebar sidenav signup skip skyscraper "
                "social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget widgets".split())
 CONTENT = set("article main body html".split())
+LIKELY = set("article body content main".split())       # names of containers
+HAS = re.compile(r"(?:(?<=\s)|^|(?<=[-_]))(?:has|with|no|without)[-_]\S*", re.I)
+SHORT = 200             # characters; a shorter text is looked for again under weaker class rules
 PARAGRAPH = set("p pre td blockquote li dd".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
@@ -129,10 +132,26 @@ def parse(page: str) -> Node:
     return root
 
 
-def _cut(node: Node, inside: bool) -> bool:
-    """Whether an element is never part of an article; inside: it stands in an article or main element."""
+def _holds_article(form: Node) -> bool:
+    """Whether a form wraps an article: it has an article or main element, or much text in paragraphs."""
+    chars, todo = 0, [(form, False)]
+    while todo:
+        node, inside = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len(c.strip()) if inside else 0
+            elif c.tag in ("article", "main"):
+                return True
+            elif c.tag == "form" or c.tag not in NEVER:
+                todo.append((c, inside or c.tag == "p"))
+    return chars >= SHORT
+
+
+def _cut(node: Node, inside: bool, rule: int = 0) -> bool:
+    """Whether an element is never part of an article; inside: it stands in an article or main element.  Rule 0 looks at all
+    words of class and id, 1 at names that are one such word, 2 at none of them."""
     a, tag = node.attrs, node.tag
-    if tag in NEVER or (tag == "header" and not inside):
+    if (tag in NEVER and not (tag == "form" and _holds_article(node))) or (tag == "header" and not inside):
         return True
     if not a:
         return False
@@ -142,21 +161,28 @@ def _cut(node: Node, inside: bool) -> bool:
         return True
     if tag in CONTENT or tag in HEADING:
         return tag == "article" and bool({"comment", "comments", "reply"} & _names(a))
-    return bool((UNLIKELY - {"header"} if inside else UNLIKELY) & _names(a))
+    if rule == 2:
+        return False
+    unlikely = UNLIKELY - {"header"} if inside else UNLIKELY
+    whole = {x.lower() for x in f"{a.get('class', '')} {a.get('id', '')}".split()}
+    if rule == 1 or LIKELY & whole:
+        return bool(unlikely & whole) and not LIKELY & whole
+    return bool(unlikely & _names(a))
 
 
 def _names(a: dict) -> set:
-    return {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    """Words of class and id, without those that say what an element has or lacks (has-sidebar, page-with-comments)."""
+    return {w.lower() for w in WORD.findall(HAS.sub(" ", f"{a.get('class', '')} {a.get('id', '')}"))}
 
 
-def _prune(root: Node) -> list[Node]:
+def _prune(root: Node, rule: int = 0) -> list[Node]:
     """Cuts what is never article and lists the elements left, parents first."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         out.append(node)
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _cut(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _cut(c, inside, rule)]
         todo += [(c, inside) for c in reversed(node.children) if not isinstance(c, str)]
     return out
 
@@ -275,10 +301,18 @@ def _blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = _prune(parse(page))
-    _measure(nodes)
-    _, kept = best_container(nodes)
-    return "\n\n".join(b for k in kept for b in _blocks(k))
+    text = ""
+    for rule in range(3):
+        nodes = _prune(parse(page), rule)
+        _measure(nodes)
+        _, kept = best_container(nodes)
+        found = "\n\n".join(b for k in kept for b in _blocks(k))
+        # a second look has to find far more than the first one
+        if not text or len(found) >= max(SHORT, 4 * len(text)):
+            text = found
+        if len(text) >= SHORT:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:
