@@ -307,3 +307,11 @@ def test_null_stamps_and_keys_stay(spark):
     assert sequence.previous(d, ["k"], ["t", "i"], {"p": "v"}).count() == 4
     assert sequence.windowed(d, ["k"], "t", lambda w: {"p": F.lag("v").over(w)}, before="1 day").count() == 4
     assert {r.i: r.x for r in sequence.last_known(d, ["k"], ["t", "i"], {"x": F.col("v")}).collect()} == {1: 1, 2: 2, 3: 4, 4: 8}
+
+
+def test_event_probability_keeps_unknown_features(spark):
+    rows = [(k, float(k % 7), int(k % 7 > 3)) for k in range(70)]
+    train = spark.createDataFrame(rows, "k int, x double, y int")
+    asked = spark.createDataFrame([(1, 2.0, 0), (2, None, 0), (3, float("nan"), 1), (3, float("nan"), 1)], "k int, x double, y int")
+    got = sorted((r.k, r.probability is None) for r in models.event_probability(train, train, asked, ["x"], "y").collect())
+    assert got == [(1, False), (2, True), (3, True), (3, True)]
