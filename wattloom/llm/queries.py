@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Tables
-from . import decontaminate, html, licences, linededup, mixing, quality, sharding, simhash, tokencount, topk
+from . import decontaminate, html, licences, linededup, mixing, quality, sharding, simhash, suffixdedup, tokencount, topk
 from .oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op9_decontaminate(t):
 @query
 def op10_top_k(t):
     return topk.top_k(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_suffix_dedup(t):
+    out = suffixdedup.dedup(t.documents.select("doc_id", "text"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
