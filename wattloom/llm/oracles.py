@@ -142,3 +142,57 @@ pair as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pair)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
 """
+
+# every order is run over the failure masks, and Shapley values are sums over all orders
+ORACLE["op12_filter_audit"] = """
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x from documents),
+w as (select *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') as ws, min(doc_id) over (partition by x) as first from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (select part, case when len(ws) < 100 then 'A' else '' end
+        || case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 'B' else '' end
+        || case when 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) then 'C' else '' end
+        || case when regexp_matches(x, '[#$%&*|]') then 'D' else '' end
+        || case when w.doc_id > first then 'E' else '' end as fails,
+        coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join l on w.doc_id = l.doc_id),
+g as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+c(a) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (select v.a || w.a || x.a || y.a || z.a as filter_order from c v, c w, c x, c y, c z
+      where len(list_distinct([v.a, w.a, x.a, y.a, z.a])) = 5),
+s as (select filter_order, step, filter_order[step] as own, filter_order[1:step - 1] as before from o, range(1, 6) t(step)),
+r as (select part, filter_order, step, own, n, good, toxic, fails,
+        contains(fails, own) as fail, before <> '' and regexp_matches(fails, '[' || before || '!]') as gone from g, s),
+t as (select part, filter_order, step, own,
+        sum(case when not gone and not fail then n else 0 end) as kept,
+        sum(case when not gone and fail then n else 0 end) as removed,
+        sum(case when gone and fail then n else 0 end) as redundant,
+        sum(case when fails = own then n else 0 end) as unique_fails,
+        sum(case when not gone and fail then good else 0 end) as good_lost,
+        sum(case when not gone and fail then toxic else 0 end) as toxic_lost from r group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley from t"""
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """Assignments and updates in turn: parts x(vec_id, p, v), entries b<r>(p, e, c)."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} as materialized (select k, p, v, arg_min(e, (d, e)) as e, min(d) as d from (
+  select k, x.p, v, e, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) as d from x join b{r} on x.p = b{r}.p) group by k, p, v)""")
+        if r < rounds:
+            out.append(f"""
+u{r} as (select p, e, list(m order by i) as c from (select p, e, i, floor(sum(v[i]) / count(*)) as m from a{r}, range(1, 17) t(i) group by p, e, i) group by p, e),
+b{r + 1} as materialized (select b.p, b.e, coalesce(u.c, b.c) as c from b{r} b left join u{r} u on b.p = u.p and b.e = u.e)""")
+    return ",".join(out)
+
+
+ORACLE["op13_ball_codes"] = f"""
+with kept as (select row_number() over (order by vec_id) as k, vec_id, label, [floor(1024 * cast(z as double)) for z in embedding] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+x as materialized (select k, p, v[16 * p + 1:16 * p + 16] as v from kept, range(0, 4) t(p)),
+b0 as materialized (select p, k - 1 as e, v as c from x where k <= 256),{_codebook_rounds(4)},
+coded as (select k, string_agg(printf('%02x', e), '' order by p) as code, sum(d) as error from a4 group by k),
+book as (select sha256(string_agg(array_to_string([cast(cast(z as bigint) as varchar) for z in c], ','), ',' order by p, e)) as s from b4)
+select vec_id, code, cast(error as bigint) as error, cast(sum(error) over (partition by label) as bigint) as label_error, s as codebooks_sha256
+from coded join kept using (k), book"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Tables
-from . import decontaminate, html, licences, linededup, mixing, quality, sharding, simhash, suffixdedup, tokencount, topk
+from . import ballcodes, coalitions, decontaminate, html, licences, linededup, mixing, quality, sharding, simhash, suffixdedup, tokencount, topk
 from .oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,13 @@ def op10_top_k(t):
 def op11_suffix_dedup(t):
     out = suffixdedup.dedup(t.documents.select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op12_filter_audit(t):
+    return coalitions.audit_documents(t.documents, t.labels)
+
+
+@query
+def op13_ball_codes(t):
+    return ballcodes.coded(t.embeddings)
