@@ -46,11 +46,11 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,length,anchor,trigger,every", [(1, 128, 24, 6, 8), (3, 60, 20, 4, 3)])
-def test_by_hand(spark, seed, length, anchor, trigger, every):
+@pytest.mark.parametrize("seed,length,anchor,trigger,every,fine,most_keys", [(1, 128, 24, 6, 8, 4, 9999), (3, 60, 20, 4, 6, 3, 0), (4, 100, 90, 8, 32, 32, 9999)])
+def test_by_hand(spark, seed, length, anchor, trigger, every, fine, most_keys):
     texts = corpus(seed)
     docs = table(spark, list(enumerate(texts)))
-    got = suffixdedup.dedup(docs, length=length, anchor=anchor, trigger=trigger, every=every)
+    got = suffixdedup.dedup(docs, length=length, anchor=anchor, trigger=trigger, every=every, fine=fine, most_keys=most_keys)
     rows = {r.doc_id: r for r in got.collect()}
     want = by_hand(texts, length)
     assert len(rows) == len(texts)

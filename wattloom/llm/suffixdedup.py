@@ -6,16 +6,17 @@ Strings are judged on the input, matches never cross texts, and what is left is
 1. Equal texts are one row of their own; a text that occurs twice goes as a whole.
 2. Only bytes that can be in a repeat are sorted.  Each string of LENGTH bytes has an anchor, the place of its least
    hash of ANCHOR bytes.  Equal strings have equal anchors, so a string whose anchor's bytes stand nowhere else is unique:
-   this loses nothing.  Anchors are about one place in 170, and their counts are summed before the shuffle.
+   this loses nothing.  Anchors are about one place in 120, and their counts are summed before the shuffle.
 3. What is left is parsed into phrases: a phrase runs from one place whose next TRIGGER bytes have a hash divisible by EVERY to the
    end of the next such trigger.  No phrase is the start of another one, so that the order of phrase sequences is
    the order of bytes (prefix-free parsing).  Phrases are named by their rank.
 4. The difference-cover sort (modulo 3) of the phrase strings: triples at places 1 and 2 modulo 3 are sorted and named by their ranks;
    while names repeat within LENGTH bytes, the strings of names are sorted by recursion; suffixes at places 0 modulo 3
    follow from their first name and the rank behind it, and are merged by counting in two sorts.  Ranks count the smaller suffixes.
-5. Bytes between triggers are sorted by (the bytes up to the next trigger, that trigger's rank): equal strings stand next to each other, and
-   adjacent ones are compared by a 64-bit digest.  The first round does so with whole stretches between triggers;
-   only stretches that are not repeated whole, and the first of those that are, go on byte by byte.
+5. Places between triggers are sorted by (the bytes up to the next trigger, that trigger's rank): equal strings stand next to each other, and
+   adjacent ones are compared by a 64-bit digest.  The first round does so with whole stretches of starts between finer triggers
+   (FINE), and with the CORE of bytes behind each of these that all the strings of its stretch share.  Only stretches that are not
+   repeated whole but have a repeated core, and the first of those that are repeated, go on start by start.
 
 All sorts are range partitioned with the place itself as the last key, so that one string that makes up a third of all
 rows is dealt over tasks; the two rows at the ends of each partition are compared in a small table of their own.
@@ -36,9 +37,10 @@ from ..session import cut
 from .common import free_names
 
 LENGTH = 400
-ANCHOR = 64
+ANCHOR = 160
 TRIGGER = 12
-EVERY = 24
+EVERY, FINE = 96, 24     # one place in so many starts a phrase; the first is a multiple of the second
+MOST_KEYS = 2_000_000    # texts with candidates that are broadcast as two hashes each; beyond that the same semi-join shuffles
 PIECE = 1 << 19          # places hashed at one time; fewer than 2 ** SHIFT with what follows them
 SHIFT = 20
 
@@ -126,6 +128,14 @@ def _anchor_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return texts.mapInArrow(run, "k1 long, k2 long, place long, h long, first long, last long")
 
 
+def _runs(first, last):
+    """Starts of candidate strings as disjoint ranges [from, to]."""
+    order = np.argsort(first, kind="stable")
+    a, z = np.asarray(first)[order], np.maximum.accumulate(np.asarray(last)[order])
+    new = np.concatenate([[True], a[1:] > z[:-1] + 1])
+    return a[new], z[np.append(np.nonzero(new)[0][1:] - 1, len(a) - 1)]
+
+
 def _merged(first, last, length: int):
     """Stretches [from, to) of bytes from the starts of strings."""
     order = np.argsort(first, kind="stable")
@@ -142,31 +152,53 @@ def triggers(text: bytes, trigger: int, every: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def stretches(text: bytes, first, last, length: int, trigger: int, every: int):
-    """For each stretch of candidate bytes: its ends and the places of its triggers."""
-    at = triggers(text, trigger, every)
-    for a, z in zip(*_merged(first, last, length)):
-        yield int(a), int(z), at[np.searchsorted(at, a):np.searchsorted(at, z - trigger, "right")]
-
-
-def _phrases(found: DataFrame, length: int, trigger: int, every: int) -> DataFrame:
-    """(u, t, phrase, n): the phrases of each text in order, an empty one behind each stretch."""
+def _stretches(found: DataFrame, length: int) -> DataFrame:
+    """(u, start, body, lo, hi): candidate bytes of each text in disjoint stretches, and in each the ranges of candidate starts."""
     def run(batches):
         for b in batches:
+            out = [[] for _ in range(5)]
             for i in range(b.num_rows):
                 u, text = b.column("u")[i].as_py(), b.column("text")[i].as_py()
-                t, out, size = 0, [], []
-                for a, z, at in stretches(text, b.column("first")[i].values.to_numpy(), b.column("last")[i].values.to_numpy(), length, trigger, every):
-                    ends = np.append(at[1:] + trigger, z)
-                    out += [text[p:min(q, p + length)] for p, q in zip(at.tolist(), ends.tolist())] + [b""]
-                    size += [*np.minimum(np.append(at[1:], z) - at, length).tolist(), 0]
-                    if len(out) > 65_536:
-                        yield pa.RecordBatch.from_arrays([pa.array([u] * len(out)), pa.array(range(t, t + len(out))), pa.array(out, pa.binary()), pa.array(size, pa.int64())], names=["u", "t", "phrase", "n"])
-                        t, out, size = t + len(out), [], []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([u] * len(out)), pa.array(range(t, t + len(out))), pa.array(out, pa.binary()), pa.array(size, pa.int64())], names=["u", "t", "phrase", "n"])
+                a, z = _runs(b.column("first")[i].values.to_numpy(), b.column("last")[i].values.to_numpy())
+                begin, end = _merged(a, z, length)
+                cuts = np.searchsorted(a, begin).tolist() + [len(a)]
+                for k, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
+                    for o, v in zip(out, (u, x, text[x:y], a[cuts[k]:cuts[k + 1]] - x, z[cuts[k]:cuts[k + 1]] - x)):
+                        o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["u", "start", "body", "lo", "hi"])
+
+    return found.select("u", "text", "first", "last").mapInArrow(run, "u long, start long, body binary, lo array<long>, hi array<long>")
+
 
-    return found.select("u", "text", "first", "last").mapInArrow(run, "u long, t long, phrase binary, n long")
+def _phrases(parts: DataFrame, length: int, trigger: int, every: int) -> DataFrame:
+    """(u, t, phrase, n): the phrases of each stretch (u is its number here), at most ``length`` bytes of each."""
+    def run(batches):
+        for b in batches:
+            held, size = [], 0
+            for i in range(b.num_rows):
+                u, body = b.column("v")[i].as_py(), b.column("body")[i].as_py()
+                at = triggers(body, trigger, every)
+                n = np.minimum(np.append(at[1:], len(body))[:len(at)] - at, length)
+                at = at.tolist()
+                ends = [*(x + trigger for x in at[1:]), len(body)]
+                for k in range(0, len(at), 65_536):
+                    more = at[k:k + 65_536]
+                    held.append((u, k, [body[p:min(q, p + length)] for p, q in zip(more, ends[k:])], n[k:k + 65_536]))
+                    size += len(more)
+                    if size >= 65_536:
+                        yield batch(held)
+                        held, size = [], 0
+            if held:
+                yield batch(held)
+
+    def batch(held):
+        sizes = [len(h[2]) for h in held]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.repeat([h[0] for h in held], sizes)), pa.array(np.concatenate([np.arange(h[1], h[1] + m) for h, m in zip(held, sizes)])),
+            pa.array([x for h in held for x in h[2]], pa.binary()), pa.array(np.concatenate([h[3] for h in held]))], names=["u", "t", "phrase", "n"])
+
+    return parts.select("v", "body").mapInArrow(run, "u long, t long, phrase binary, n long")
 
 
 def running(keys: DataFrame, order: list[str], sums: list[str], purpose: str) -> DataFrame:
@@ -228,60 +260,136 @@ class Digests:
         return out
 
 
-def _runs(first, last):
-    """Starts of candidate strings as disjoint ranges [from, to]."""
-    order = np.argsort(first, kind="stable")
-    a, z = np.asarray(first)[order], np.maximum.accumulate(np.asarray(last)[order])
-    new = np.concatenate([[True], a[1:] > z[:-1] + 1])
-    return a[new], z[np.append(np.nonzero(new)[0][1:] - 1, len(a) - 1)]
+class Pack:
+    """Stretches one after the other, with their candidate starts and triggers in the places of the joined bytes."""
+
+    def __init__(self, pieces_, length: int, trigger: int, every: int, fine: int):
+        sizes = np.array([len(p[2]) for p in pieces_])
+        self.end = np.cumsum(sizes)
+        self.begin = self.end - sizes
+        self.data = np.frombuffer(b"".join(p[2] for p in pieces_), dtype=np.uint8)
+        self.v, self.off = np.array([p[0] for p in pieces_]), np.array([p[1] for p in pieces_])
+        lo, hi = (np.concatenate([p[k] + b for p, b in zip(pieces_, self.begin)]) for k in (3, 4))
+        n = hi - lo + 1
+        self.q = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.piece = np.searchsorted(self.end, self.q, "right")
+        h = rolling(self.data, trigger) >> np.uint64(24)
+        at = np.nonzero(h % np.uint64(fine) == 0)[0]
+        at = at[at + trigger <= self.end[np.searchsorted(self.end, at, "right")]]
+        coarse = at[h[at] % np.uint64(every) == 0]
+        ranks = np.concatenate([p[5] for p in pieces_])
+        assert len(ranks) == len(coarse)
+        self.fine, self.coarse, self.rank = np.append(at, len(self.data)), np.append(coarse, len(self.data)), np.append(ranks, 0)
+        self.trigger, self.digests = trigger, Digests(self.data, 2 * length)
+
+    def behind(self, q, piece):
+        """The next fine trigger of each place; the end of its piece where there is none."""
+        return np.minimum(self.fine[np.searchsorted(self.fine, q)], self.end[piece])
+
+    def keyed(self, at, size):
+        """(tail, rank, digest) of the ``size`` bytes from each place on, all within a piece; the tail holds the size, so that only
+        strings of one length are neighbours."""
+        k = np.searchsorted(self.coarse, at)
+        to = self.coarse[k]
+        inside = to + self.trigger <= at + size
+        tail = _mix(self.digests.of(at, np.where(inside, to - at, size)) + size.astype(np.uint64) * np.uint64(_STEP))
+        return tail.view(np.int64), np.where(inside, self.rank[k], 0), self.digests.of(at, size).view(np.int64)
+
+    def place(self, at, piece):
+        return at - self.begin[piece] + self.off[piece]
+
+
+def _packs(b, length: int, trigger: int, every: int, fine: int):
+    """(pack, the row of each of its pieces); long stretches go in pieces of PIECE starts."""
+    held, rows, size = [], [], 0
+    for i in range(b.num_rows):
+        v, body = b.column("v")[i].as_py(), b.column("body")[i].as_py()
+        lo, hi, ranks = (b.column(c)[i].values.to_numpy() for c in ("lo", "hi", "ranks"))
+        at = triggers(body, trigger, every) if len(body) > PIECE else None
+        for p in range(0, max(len(body) - length + 1, 1), PIECE):
+            e = min(p + PIECE + 2 * length, len(body))
+            k = slice(bisect_left(hi, p), bisect_right(lo, p + PIECE - 1))
+            if k.start >= k.stop:
+                continue
+            own = ranks if at is None else ranks[np.searchsorted(at, p):np.searchsorted(at, e - trigger, "right")]
+            held.append((v, p, body[p:e], np.maximum(lo[k], p) - p, np.minimum(hi[k], p + PIECE - 1) - p, own))
+            rows.append(i)
+            size += e - p
+            if size >= PIECE:
+                yield Pack(held, length, trigger, every, fine), np.array(rows)
+                held, rows, size = [], [], 0
+    if held:
+        yield Pack(held, length, trigger, every, fine), np.array(rows)
+
+
+def _share(length: int, fine: int) -> int:
+    """How far before a fine trigger a string may start to be judged by the core behind it."""
+    return min(3 * fine, length // 4)
+
+
+_KEYS = "tail long, rank long, digest long, u long, at long, last long"
+_NAMES = ["tail", "rank", "digest", "u", "at", "last"]
+
 
+def _sliced(*columns):
+    for i in range(0, len(columns[0]), 65_536):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in columns], names=_NAMES)
 
-def _sorted_keys(ranked: DataFrame, whole: bool, length: int, trigger: int, every: int) -> DataFrame:
-    """Rows to sort: (tail, rank, digest, u, at, last).
-
-    whole: a row for each range of starts [at, last] that have the same next trigger, digesting all their strings at once, where
-    the text is at hand; else a row for each single start of the ranges in the columns ``first`` and ``last``."""
-    names = ["tail", "rank", "digest", "u", "at", "last"]
-
-    def rows(u, text, spans, ranks, asked):
-        t = 0
-        for a, z, at in spans:
-            r = np.append(ranks[t:t + len(at)], 0)
-            t += len(at) + 1
-            for k in range(bisect_left(asked[1], a), bisect_right(asked[0], z - length)):
-                lo, hi = max(asked[0][k], a), min(asked[1][k], z - length)
-                for p in range(lo, hi + 1, PIECE):
-                    e = min(p + PIECE, hi + 1)
-                    data = np.frombuffer(text[p:min(e + 2 * length, z)], dtype=np.uint8)
-                    d = Digests(data, 2 * length)
-                    q = np.arange(p, e)
-                    k = np.searchsorted(at, q)
-                    to = np.append(at, z)[k]
-                    inside = to + trigger <= q + length                    # a trigger within the string itself
-                    if whole:
-                        new = np.concatenate([[True], k[1:] != k[:-1]])
-                        end = np.append(np.nonzero(new)[0][1:], len(q)) - 1
-                        q0, q1 = q[new], q[end]
-                        ok = inside[new] & (q1 + length <= z)
-                        q0, q1, to_, k_ = q0[ok], q1[ok], to[new][ok], k[new][ok]
-                        tail = d.of(q0 - p, to_ - q0)
-                        # all of the strings: up to the end of the last one
-                        out = [tail, r[k_], d.of(q0 - p, q1 + length - q0), np.full(len(q0), u), q0, q1]
-                    else:
-                        tail = np.where(inside, to - q, length)
-                        out = [d.of(q - p, tail), np.where(inside, r[k], 0), d.of(q - p, np.full(len(q), length)), np.full(len(q), u), q, q]
-                    for i in range(0, len(out[0]), 65_536):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x[i:i + 65_536]).astype(np.uint64).view(np.int64)) for x in out], names=names)
+
+def _stretch_keys(ranked: DataFrame, length: int, trigger: int, every: int, fine: int) -> DataFrame:
+    """Rows to sort for ranges of starts with the same next fine trigger: one with the bytes of all their strings (at, last), and one with the core
+    behind that trigger (at is the trigger, last -1)."""
+    share = _share(length, fine)
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                u, text = b.column("u")[i].as_py(), b.column("text")[i].as_py()
-                first, last, ranks = (b.column(c)[i].values.to_numpy() for c in ("first", "last", "ranks"))
-                asked = _runs(first, last) if whole else _runs(b.column("from")[i].values.to_numpy(), b.column("to")[i].values.to_numpy())
-                yield from rows(u, text, stretches(text, first, last, length, trigger, every), ranks, [x.tolist() for x in asked])
+            for pack, _ in _packs(b, length, trigger, every, fine):
+                q, piece = pack.q, pack.piece
+                to = pack.behind(q, piece)
+                new = np.concatenate([[True], (to[1:] != to[:-1]) | (q[1:] != q[:-1] + 1) | (piece[1:] != piece[:-1])])
+                end = np.append(np.nonzero(new)[0][1:], len(q)) - 1
+                a, z, w = q[new], q[end], piece[new]
+                ok = z - a < length
+                a, z, w = a[ok], z[ok], w[ok]
+                yield from _sliced(*pack.keyed(a, z - a + length), pack.v[w], pack.place(a, w), pack.place(z, w))
+                near = np.nonzero(to - q <= share)[0]
+                at, first = np.unique(to[near], return_index=True)
+                w = piece[near][first]
+                # the core lies inside the string of the start that led here
+                yield from _sliced(*pack.keyed(at, np.full(len(at), length - share)), pack.v[w], pack.place(at, w), np.full(len(at), -1))
+
+    return ranked.mapInArrow(run, _KEYS)
+
+
+def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: int) -> DataFrame:
+    """Rows to sort for single starts: those outside the settled ranges whose core, if they have one, is in ``cores``."""
+    share = _share(length, fine)
 
-    return ranked.mapInArrow(run, "tail long, rank long, digest long, u long, at long, last long")
+    def run(batches):
+        for b in batches:
+            settled = [(c[i].values.to_numpy() if c[i].is_valid else np.zeros(0, np.int64)) for c in (b.column("from"), b.column("to"), b.column("cores")) for i in range(b.num_rows)]
+            n = b.num_rows
+            for pack, rows in _packs(b, length, trigger, every, fine):
+                # places of all rows on one line
+                wide = np.int64(max((int(x[-1]) for x in settled if len(x)), default=0) + int(pack.off.max()) + len(pack.data) + 1)
+                shift = np.unique(rows)
+                line = lambda k: np.concatenate([settled[k * n + r] + j * wide for j, r in enumerate(shift)])      # noqa: E731
+                base = np.searchsorted(shift, rows) * wide
+                lo, hi, cores = line(0), line(1), line(2)
+                q, piece = pack.q, pack.piece
+                own = pack.place(q, piece) + base[piece]
+                k = np.searchsorted(lo, own, "right")
+                done = (k > 0) & (np.append(hi, -1)[k - 1] >= own)
+                to = pack.behind(q, piece)
+                core = to - q + own
+                at = np.searchsorted(cores, core)
+                shared = np.append(cores, -1)[at] == core
+                go = ~done & ((to - q > share) | shared)
+                q, piece = q[go], piece[go]
+                at = pack.place(q, piece)
+                yield from _sliced(*pack.keyed(q, np.full(len(q), length)), pack.v[piece], at, at)
+
+    return left.mapInArrow(run, _KEYS)
 
 
 def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
@@ -375,53 +483,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(body), "k2": F.xxhash64(F.lit(1), body)})
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trigger: int = TRIGGER, every: int = EVERY) -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trigger: int = TRIGGER, every: int = EVERY, fine: int = FINE, most_keys: int = MOST_KEYS) -> DataFrame:
     """(k1, k2, text, from, to): for each different text with repeated strings, the ranges of their starts."""
+    assert every % fine == 0 and trigger < length // 2 and anchor < length
     texts = _keyed(docs.filter(F.octet_length("text") >= length)).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     marks = cut(_anchor_rows(texts, length, anchor), "anchors")
     who = F.xxhash64("k1", "k2", "place")
     shared = marks.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("z")).filter("a <> z").select("h")
-    wanted = marks.join(shared, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_s"))
+    wanted = cut(marks.join(shared, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_s")), "wanted")
+    if wanted.count() <= most_keys:
+        texts = texts.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
     once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     found = once.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", F.col("_s.first").alias("first"), F.col("_s.last").alias("last"))
     found = cut(found.withColumn("u", F.monotonically_increasing_id()), "candidates")
+    parts = cut(_stretches(found, length).withColumn("v", F.monotonically_increasing_id()), "parts")
 
-    phrases = cut(_phrases(found, length, trigger, every), "phrases")
+    phrases = cut(_phrases(parts, length, trigger, every), "phrases")
     names = running(phrases.groupBy("phrase").agg(F.count("*").alias("c")), ["phrase"], ["c"], "sorted-phrases")
     ranks = suffix_ranks(phrases.join(names, "phrase").select("u", "t", "c", "n"), length)
-    listed = ranks.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("t", "rank"))).alias("_l")).select("u", F.col("_l.rank").alias("ranks"))
-    ranked = cut(found.select("u", "text", "first", "last").join(listed, "u"), "ranked-texts")
-
-    keys = lambda t, whole: _sorted_keys(t, whole, length, trigger, every)      # noqa: E731
-    whole = cut(adjacent(keys(ranked, True), "stretches"), "whole")
-    # starts that go on byte by byte: all candidates but those within a stretch like an earlier one
-    settled = _ranges(whole.filter("not first").select("u", "at", "last"))
-
-    def rest(batches):
-        for b in batches:
-            lo, hi = [], []
-            for i in range(b.num_rows):
-                a, z = _runs(b.column("first")[i].values.to_numpy(), b.column("last")[i].values.to_numpy())
-                if b.column("from")[i].is_valid:
-                    s, e = _runs(b.column("from")[i].values.to_numpy(), b.column("to")[i].values.to_numpy())
-                    # the gaps between settled ranges that each candidate range meets
-                    g0, g1 = np.insert(e + 1, 0, 0), np.append(s - 1, z[-1])
-                    k0, k1 = np.searchsorted(g1, a), np.searchsorted(g0, z, "right")
-                    n = np.maximum(k1 - k0, 0)
-                    own = np.repeat(np.arange(len(a)), n)
-                    gap = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(k0, n)
-                    a, z = np.maximum(a[own], g0[gap]), np.minimum(z[own], g1[gap])
-                    a, z = a[a <= z], z[a <= z]
-                lo.append(a)
-                hi.append(z)
-            t = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("u", "text", "first", "last", "ranks")), pa.array(lo, t), pa.array(hi, t)],
-                                             names=["u", "text", "first", "last", "ranks", "from", "to"])
-
-    left = ranked.join(settled, "u", "left").mapInArrow(rest, "u long, text binary, first array<long>, last array<long>, ranks array<long>, from array<long>, to array<long>")
-    single = adjacent(keys(left.filter(F.size("from") > 0), False), "singles")
-    every_start = _joined_runs(whole.select("u", "at", "last").unionByName(single.select("u", "at", "last")))
-    return found.select("u", "k1", "k2", "text").join(_ranges(every_start), "u")
+    listed = ranks.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_list(F.struct("t", "rank"))).alias("_l")).select("v", F.col("_l.rank").alias("ranks"))
+    none = F.array().cast("array<long>")
+    ranked = cut(parts.select("v", "body", "lo", "hi").join(listed, "v", "left").withColumn("ranks", F.coalesce("ranks", none)), "ranked-parts")
+
+    met = cut(adjacent(_stretch_keys(ranked, length, trigger, every, fine), "stretches"), "met")
+    whole = met.filter("last >= 0")
+    settled = _ranges(_joined_runs(whole.filter("not first").select("u", "at", "last"))).withColumnRenamed("u", "v")
+    cores = met.filter("last < 0").groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_list("at")).alias("cores"))
+    left = ranked.join(settled, "v", "left").join(cores, "v", "left")
+    single = adjacent(_single_keys(left, length, trigger, every, fine), "singles")
+    runs = _joined_runs(whole.select("u", "at", "last").unionByName(single.select("u", "at", "last"))).withColumnRenamed("u", "v")
+    runs = runs.join(parts.select("v", "u", "start"), "v").select("u", (F.col("at") + F.col("start")).alias("at"), (F.col("last") + F.col("start")).alias("last"))
+    return found.select("u", "k1", "k2", "text").join(_ranges(runs), "u")
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = True, **options) -> DataFrame:
