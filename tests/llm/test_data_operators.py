@@ -149,6 +149,43 @@ def test_near_copies_by_hand(spark, monkeypatch):
     assert nearcopies.one_of_each(empty(spark)).count() == 0
 
 
+def test_large_group_of_edited_copies(spark, monkeypatch):
+    """Pairs handed on in both rounds stay a small number a copy, long texts and one very long word included."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))     # noqa: E731
+    base = [word() for _ in range(300)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for _ in range(2):
+            own[rnd.randrange(300)] = word()
+        texts.append((k, " ".join(own)))
+    long = " ".join(word() for _ in range(150_000))
+    texts += [(1000, long), (1001, long[:-9] + "different"), (1002, "x" * 900_000), (1003, "X" * 900_000), (1004, "y" * 900_000)]
+    handed, old = [], nearcopies.cut
+
+    def counted(df, purpose="cut"):
+        out = old(df, purpose)
+        if purpose.endswith("-pairs"):
+            handed.append(out.count())
+        return out
+    monkeypatch.setattr(nearcopies, "cut", counted)
+    kept = sorted(r.doc_id for r in nearcopies.one_of_each(table(spark, texts)).collect())
+    sets = [shingles_by_hand(t) for _, t in texts[:400]]
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(400):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    assert kept == sorted({min(j for j in range(400) if find(j) == find(i)) for i in range(400)}) + [1000, 1002, 1004]
+    assert len(handed) == 2 and sum(handed) < 20 * 400
+
+
 def test_components_of_a_chain(spark):
     e = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (5, 6)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(e, "u bigint, v bigint")).collect()}

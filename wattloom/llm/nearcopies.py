@@ -1,17 +1,21 @@
-"""Near copies by the exact similarity of five-word shingles.
+"""One document of each group of near copies: SimHash and least hashes first, then every other pair of the exact similarity.
 
 A text's shingles are the XXH64 values of its runs of SHINGLE words, as a set (ASCII case aside; a shorter text is one
 shingle).  Texts whose sets have a Jaccard similarity of at least SHARE are linked, and linked texts form groups.
 
 A fingerprint of 64 bits cannot find them all: at a similarity of 0.8 two SimHashes differ in 10 bits on average and in 15
-at times, which no banding covers without comparing about everything.  Candidates come from prefixes instead, which
-lose none: under one order of all shingles, two similar sets of a and b shingles share one among the first a - ceil(0.8 a) + 1
-and b - ceil(0.8 b) + 1.  The order has rare shingles first (by a table of 2 ** COUNTERS counts, so that common passages are
-seldom in a prefix).  A pair is taken only at a place that leaves enough shingles after it for the similarity, as is true at
-the first place it shares.  Candidates are then verified on their whole sets.
-
-A first round links neighbours that share one of the first FEW shingles; the second one takes all other pairs of the rows
-that are not in one group yet, so that a large group of near copies is not compared pair by pair.
+at times, which no banding covers without comparing about everything.  So the work goes in two rounds, and no link is lost:
+
+1. Fingerprints within simhash.RADIUS bits (bit-sliced comparison), equal ones, and neighbours in the order of each of MINS least
+   hashes of the sets (one is shared with the probability of the similarity itself) are verified on their whole sets.  A group of
+   thousands of edited copies collapses here, with at most MINS + 2 pairs a text.
+2. Pairs of texts in different groups: under one order of all shingles, two similar sets of a and b shingles share one among the first
+   a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1.  The order has frequent shingles last (by a table of 2 ** COUNTERS counts), so that common
+   passages are seldom in a prefix.  Shingles of one group only are left out; a bucket is cut into blocks that meet pairwise;
+   a pair is handed on if sizes, places and a SKETCH of the sets leave the similarity possible: the parities of the
+   sets' counts in SKETCH cells differ in no more cells than the sets differ in shingles.  Then pairs are verified.
+
+Null, empty and blank texts are copies of each other.  Repeated rows count as copies.  An empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -24,13 +28,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import cut
 from .common import free_names
 from .graph import components
-from .simhash import SEED, _hashes
+from .simhash import SEED, _hashes, links
 
 SHINGLE = 5
 SHARE = (4, 5)           # least similarity, as a fraction
 COUNTERS = 18
-FEW = 8
+MINS = 4
+SKETCH = 512
+BLOCK = 1024
 ROWS = 65_536            # rows of buckets a task holds at one time, at least
+MOST_KEYS = 2_000_000    # texts that are broadcast as two hashes each; beyond that the same join shuffles
+
+_SALT = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % 2 ** 64) for k in range(MINS)]
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -50,6 +59,21 @@ def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SHARE) -> boo
     return both * share[1] >= (len(a) + len(b) - both) * share[0]
 
 
+def signature(h: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(fingerprint, least hashes, sketch) of a set of shingles; zeros without shingles."""
+    ones, mins = np.zeros(64, dtype=np.int64), np.full(MINS, 2 ** 64 - 1 if len(h) else 0, dtype=np.uint64)
+    cells = np.zeros(SKETCH, dtype=np.int64)
+    for at in range(0, len(h), 65_536):
+        part = h[at:at + 65_536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k, salt in enumerate(_SALT):
+            x = (part ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+            mins[k] = min(mins[k], ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).min())
+        cells += np.bincount((part >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    fp = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]
+    return int(fp), mins.view(np.int64).tolist(), np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
 def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many rows' shingles fall to each counter."""
     shift = np.uint64(64 - COUNTERS)
@@ -69,108 +93,216 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, keys: tuple[str, ...], *, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The key columns of docs, sid (names the set of shingles), n (its size) and prefix (shingles in the common order)."""
+    """The key columns of docs, s1 and s2 (name the set of shingles), n (its size), fp, mins, sketch and prefix (shingles in the common order)."""
     d = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     counts, shift = _counts(d, shingle), np.uint64(64 - COUNTERS)
 
     def run(batches):
         for b in batches:
-            sid, size, first = [], [], []
+            out, first = [[] for _ in range(6)], []
             for t in b.column("_text"):
                 h = shingles(t.as_py(), shingle)
                 order = np.lexsort((h, counts[(h >> shift).astype(np.int64)]))
-                sid.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                size.append(len(h))
+                raw = h.tobytes()
+                both = np.array([xxhash.xxh64_intdigest(raw, s) for s in (SEED, SEED + 1)], dtype=np.uint64).view(np.int64).tolist()
+                for o, v in zip(out, (*both, len(h), *signature(h))):
+                    o.append(v)
                 first.append(h[order[:prefix_length(len(h), share)]].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(np.array(sid, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), lists],
-                                             names=[*keys, "sid", "n", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(o, k) for o, k in zip(out, kinds)), lists],
+                                             names=[*keys, "s1", "s2", "n", "fp", "mins", "sketch", "prefix"])
 
-    more = [T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    long, many = T.LongType(), T.ArrayType(T.LongType())
+    more = [T.StructField(n, t) for n, t in zip(("s1", "s2", "n", "fp", "mins", "sketch", "prefix"), (long, long, long, long, many, T.BinaryType(), many))]
     return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], *more]))
 
 
-def candidates(sets: DataFrame, *, neighbours: bool, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(u, v): pairs of sets(sid, root, n, prefix) of different roots that share a shingle of their prefixes and may be similar;
-    with neighbours, only those next to each other among the sets with one of the first FEW shingles."""
+def _possible(n, m, first, second, share) -> np.ndarray:
+    """Where sizes n, m and sketches of two sets leave the similarity possible."""
     p, q = share
-    first = F.slice("prefix", 1, FEW) if neighbours else F.col("prefix")
-    rows = sets.select("sid", "root", "n", F.posexplode(first).alias("place", "token"))
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "sid")
+    low = np.minimum(n, m) * q >= np.maximum(n, m) * p
+    apart = np.bitwise_count(first ^ second).sum(axis=1, dtype=np.int64)
+    # sets that differ in d shingles have a similarity of (n + m - d) / (n + m + d)
+    return low & ((n + m - apart) * q >= (n + m + apart) * p)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SKETCH // 64)
+
+
+def neighbours(sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(u, v): sets(id, n, mins, sketch) next to each other in the order of one of their least hashes, where they may be similar.
+
+    The order goes over all tasks with the id as its last key, so that thousands of sets with one least hash are dealt over tasks; a pair cut by
+    the end of a task is left to the second round."""
+    rows = sets.select("id", "n", "sketch", "mins", F.posexplode("mins").alias("k", "m"))
+    rows = rows.select("k", "m", F.get("mins", (F.col("k") + 1) % MINS).alias("o"), "id", "n", "sketch")
+    order = ("k", "m", "o", "id")
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, m, i, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "m", "id", "n"))
+            s = _sketches(b.column("sketch"))
+            if last is not None:
+                k, m, i, n, s = (np.concatenate([x, y]) for x, y in zip(last, (k, m, i, n, s)))
+            good = (k[1:] == k[:-1]) & (m[1:] == m[:-1]) & _possible(n[1:], n[:-1], s[1:], s[:-1], share)
+            yield pa.RecordBatch.from_arrays([pa.array(i[:-1][good]), pa.array(i[1:][good])], names=["u", "v"])
+            last = [x[-1:] for x in (k, m, i, n, s)]
+
+    return rows.filter("n > 0").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
+
+
+def fingerprint_links(sets: DataFrame) -> DataFrame:
+    """(u, v): a chain through sets(id, fp) of equal fingerprints, and links between fingerprints within the radius."""
+    least = cut(sets.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    same = sets.join(least.hint("merge"), "fp").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    near = links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(f), F.col("least").alias(n)) for f, n in (("u", "a"), ("v", "b")))
+    return same.unionByName(near.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))).filter("u <> v")
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """The rows(token, root, id, place) whose token others have too, and those at the ends of tasks, where that is not known."""
+    order = ("token", "id")
 
     def run(batches):
-        names, held, size = ("token", "n", "sid", "root", "place"), [], 0
-
-        def pairs(token, n, sid, root, place):
-            at, lag = np.arange(1, len(token)), 1
-            while len(at):
-                # sizes ascend in a bucket: a row whose neighbour at this lag is too small has no larger one further off
-                at = at[at >= lag]
-                before = at - lag
-                go = (token[before] == token[at]) & (n[before] * q >= n[at] * p)
-                at, before = at[go], before[go]
-                left = np.minimum(n[before] - place[before], n[at] - place[at])        # shingles in common, at most
-                good = (root[before] != root[at]) & (left * (p + q) >= (n[before] + n[at]) * p)
-                if good.any():
-                    both = np.unique(np.stack([np.minimum(sid[before], sid[at])[good], np.maximum(sid[before], sid[at])[good]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
-                lag += 1
-                if neighbours:
-                    return
+        held, met = None, True                      # the last row so far, and whether it is known to stay
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            t = x.column("token").to_numpy()
+            same = t[1:] == t[:-1]
+            keep = np.concatenate([[met], same]) | np.append(same, False)
+            yield from x.filter(pa.array(np.append(keep[:-1], False))).to_batches()
+            held, met = x.slice(len(t) - 1).to_batches()[0], bool(keep[-1])
+        if held is not None:
+            yield held
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
+
 
+def candidates(sets: DataFrame, *, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
+    """(u, v): pairs of sets(id, root, n, sketch, prefix) of different roots that share a shingle of their prefixes and may be similar."""
+    p, q = share
+    rows = sets.select("root", "id", F.posexplode("prefix").alias("place", "token")).select("token", "root", "id", "place")
+    rows = cut(shared_tokens(rows), "shared")
+    full = rows.groupBy(F.col("token").alias("_t")).agg(F.min("root").alias("_a"), F.max("root").alias("_z"), F.count("*").alias("_m")).filter("_a <> _z")
+    rows = rows.join(full.hint("merge"), F.col("token") == F.col("_t")).select("token", "root", "id", "place", "_m")
+    rows = rows.join(sets.select(F.col("id").alias("_i"), "n", "sketch").hint("merge"), F.col("id") == F.col("_i")).drop("_i")
+    parts = F.ceil(F.col("_m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    cells = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
+    rows = rows.select("token", "n", "id", "root", "place", "sketch", own.alias("own"), parts.alias("parts"), F.explode(cells).alias("_c"))
+    rows = rows.select("token", "_c.i", "_c.j", "n", "id", "root", "place", "own", "parts", "sketch")
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
+
+    def pairs(x):
+        token, i, j, n, ids, root, place, own, parts, sketch = x
+        cell = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        at, lag = np.arange(1, len(token)), 1
+        while len(at):
+            # sizes ascend in a cell: a row whose neighbour at this lag is too small has no larger one further off
+            at = at[at >= lag]
+            before = at - lag
+            go = (cell[before] == cell[at]) & (n[before] * q >= n[at] * p)
+            at, before = at[go], before[go]
+            left = np.minimum(n[before] - place[before], n[at] - place[at])        # shingles in common, at most
+            good = (root[before] != root[at]) & (left * (p + q) >= (n[before] + n[at]) * p)
+            # rows of one part meet in its cell with the next part only
+            after = (own[at] + 1) % np.maximum(parts[at], 1)
+            good &= (own[before] != own[at]) | (parts[at] == 1) | ((i[at] == np.minimum(own[at], after)) & (j[at] == np.maximum(own[at], after)))
+            a, b = before[good], at[good]
+            ok = _possible(n[a], n[b], sketch[a], sketch[b], share)
+            a, b = ids[a[ok]], ids[b[ok]]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+            lag += 1
+
+    def run(batches):
+        names, held, size = ("token", "i", "j", "n", "id", "root", "place", "own", "parts"), [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+            held.append([*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names), _sketches(b.column("sketch"))])
             size += b.num_rows
             if size >= ROWS:
-                rows_ = [np.concatenate(x) for x in zip(*held)]
-                end = int(np.searchsorted(rows_[0], rows_[0][-1]))                     # the last bucket may go on
-                yield from pairs(*[x[:end] for x in rows_])
-                held, size = [[x[end:] for x in rows_]], 0
+                x = [np.concatenate(c) for c in zip(*held)]
+                # the last cell, of at most about two blocks, may go on
+                other = np.nonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))[0]
+                end = int(other[-1]) + 1 if len(other) else 0
+                yield from pairs([c[:end] for c in x])
+                held, size = [[c[end:] for c in x]], len(x[0]) - end
         if held:
-            yield from pairs(*[np.concatenate(x) for x in zip(*held)])
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The pairs (u, v) whose texts(sid, text) are similar."""
-    a = texts.select(F.col("sid").alias("u"), F.col("text").cast("binary").alias("a"))
-    b = texts.select(F.col("sid").alias("v"), F.col("text").cast("binary").alias("b"))
+    """The pairs (u, v) whose texts(id, text) are similar.  The joins merge: pairs are never broadcast."""
+    a = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
+    b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
         for x in batches:
-            good = [similar(shingles(s.as_py(), shingle), shingles(t.as_py(), shingle), share) for s, t in zip(x.column("a"), x.column("b"))]
+            good, last, mine = [], None, None
+            for u, s, t in zip(x.column("u").to_pylist(), x.column("a"), x.column("b")):
+                if u != last:
+                    last, mine = u, shingles(s.as_py(), shingle)
+                good.append(similar(mine, shingles(t.as_py(), shingle), share))
             yield x.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """docs with one row of each group of near copies: that of the least (doc_id, text digest), nulls first; all columns as
-    they are.  Texts without words, null and empty ones are copies of each other."""
-    digest, d, g = free_names(docs, "_digest", "_d", "_g")
-    keyed = docs.withColumn(digest, F.md5("text"))
-    found = cut(prefixes(keyed, ("doc_id", digest), shingle=shingle, share=share), "shingled")
-    once = found.groupBy("sid").agg(F.min(F.struct("doc_id", digest)).alias("_k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    once = cut(once, "sets")
-
-    def links(sets, neighbours, name):
-        near = cut(candidates(sets, neighbours=neighbours, share=share), f"{name}-pairs")
-        ids = near.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-        keys = once.join(ids, "sid").select("sid", F.col("_k.doc_id").alias(d), F.col(f"_k.{digest}").alias(g))
-        same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col(digest).eqNullSafe(F.col(g))
-        texts = keyed.select("doc_id", digest, "text").join(keys, same).select("sid", "text").dropDuplicates(["sid"])
-        return cut(verified(near, texts, shingle=shingle, share=share), f"{name}-links")
-
-    edges = links(once.withColumn("root", F.col("sid")), True, "first")
-    label = components(edges).withColumnRenamed("node", "sid")
-    sets = once.join(label, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    edges = edges.unionByName(links(sets, False, "second"))
-    label = components(edges).withColumnRenamed("node", "sid")
-    rooted = once.join(label, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "_k")
-    best = rooted.groupBy("root").agg(F.min("_k").alias("_b")).select(F.col("_b.doc_id").alias(d), F.col(f"_b.{digest}").alias(g))
-    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(digest).eqNullSafe(F.col(g)), "left_semi")
-    return kept.dropDuplicates(["doc_id", digest]).drop(digest)
+    return pairs.hint("merge").join(b, "v").join(a.hint("merge"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def among(rows: DataFrame, keys: DataFrame, columns: list[str], how: str, most: int = MOST_KEYS) -> DataFrame:
+    """Semi- or anti-join of wide rows with few keys: broadcast up to ``most`` of them, else by merging."""
+    few = keys.count() <= most
+    return rows.join(F.broadcast(keys) if few else keys.hint("merge"), [F.col(f"{c}").eqNullSafe(keys[f"_{c}"]) for c in columns], how)
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, most_keys: int = MOST_KEYS) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least doc_id, nulls first, then of the least text hash; all columns as they are."""
+    k1, k2 = free_names(docs, "k1", "k2")
+    body = F.col("text").cast("binary")
+    keyed = docs.withColumns({k1: F.xxhash64(body), k2: F.xxhash64(F.lit(1), body)})
+    found = cut(prefixes(keyed, ("doc_id", k1, k2), shingle=shingle, share=share), "shingled")
+    rest = ("n", "fp", "mins", "sketch", "prefix")
+    first = F.struct("doc_id", k1, k2)
+    once = found.groupBy("s1", "s2").agg(F.min(first).alias("_k"), F.first(F.struct(*rest)).alias("_r"))
+    once = cut(once.select("s1", "s2", "_k", *[f"_r.{c}" for c in rest]).withColumn("id", F.monotonically_increasing_id()), "sets")
+
+    def links_of(near, name):
+        near = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-pairs")
+        ids = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        wanted = cut(once.join(ids.hint("merge"), "id").select("id", F.col(f"_k.{k1}").alias(f"_{k1}"), F.col(f"_k.{k2}").alias(f"_{k2}")), f"{name}-wanted")
+        rows = among(keyed.select(k1, k2, body.alias("text")), wanted, [k1, k2], "left_semi", most_keys)
+        texts = rows.groupBy(k1, k2).agg(F.first("text").alias("text")).join(wanted.hint("merge"), (F.col(k1) == F.col(f"_{k1}")) & (F.col(k2) == F.col(f"_{k2}")))
+        return cut(verified(near, texts.select("id", "text"), shingle=shingle, share=share), f"{name}-links")
+
+    def rooted(edges):
+        label = components(edges).withColumnRenamed("node", "id")
+        return once.join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    edges = links_of(neighbours(once, share).unionByName(fingerprint_links(once.filter("n > 0"))), "first")
+    sets = cut(rooted(edges).select("id", "root", "n", "sketch", "prefix"), "rooted")
+    more = links_of(candidates(sets, share=share), "second")
+    group = cut(rooted(edges.unionByName(more)).select("s1", "s2", "root", "_k"), "groups")
+    best = group.groupBy(F.col("root").alias("_root")).agg(F.min("_k").alias("_b"))
+    # the keys of all rows that go, and of rows that stay but are repeated
+    rows = found.select("doc_id", k1, k2, "s1", "s2").join(group.select("s1", "s2", "root").join(best, F.col("root") == F.col("_root")).select("s1", "s2", "_b"), ["s1", "s2"])
+    marks = rows.groupBy("doc_id", k1, k2).agg(F.count("*").alias("_n"), F.first("_b").alias("_b"))
+    stays = F.col("_b.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"_b.{k1}") == F.col(k1)) & (F.col(f"_b.{k2}") == F.col(k2))
+    marks = cut(marks.withColumn("_stays", stays).filter("_n > 1 or not _stays"), "marks")
+    names = [F.col(c).alias(f"_{c}") for c in ("doc_id", k1, k2)]
+    kept = among(keyed, marks.select(*names), ["doc_id", k1, k2], "left_anti", most_keys)
+    again = among(keyed, marks.filter("_stays").select(*names), ["doc_id", k1, k2], "left_semi", most_keys).dropDuplicates(["doc_id", k1, k2])
+    return kept.unionByName(again).drop(k1, k2)
