@@ -144,6 +144,29 @@ def _merged(first, last, length: int):
     return a[new], z[np.append(np.nonzero(new)[0][1:] - 1, len(a) - 1)]
 
 
+def _shared(marks: DataFrame) -> DataFrame:
+    """The rows of marks whose hash another place has too; those at the ends of tasks stay, where that is not known.
+
+    Copies of one text stand next to each other and say nothing about one another: one row of them at least stays."""
+    order = ("h", "k1", "k2", "place")
+
+    def run(batches):
+        held, met = None, True                      # the last row so far, and whether it is known to stay
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            h, *who = (x.column(c).to_numpy() for c in order)
+            same = (h[1:] == h[:-1]) & np.logical_or.reduce([w[1:] != w[:-1] for w in who])
+            keep = np.concatenate([[met], same]) | np.append(same, False)
+            yield from x.filter(pa.array(np.append(keep[:-1], False))).to_batches()
+            held, met = x.slice(len(h) - 1).to_batches()[0], bool(keep[-1])
+        if held is not None:
+            yield held
+
+    return marks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, marks.schema)
+
+
 def triggers(text: bytes, trigger: int, every: int) -> np.ndarray:
     out = []
     for a in range(0, len(text), PIECE):
@@ -322,9 +345,9 @@ def _packs(b, length: int, trigger: int, every: int, fine: int):
         yield Pack(held, length, trigger, every, fine), np.array(rows)
 
 
-def _share(length: int, fine: int) -> int:
-    """How far before a fine trigger a string may start to be judged by the core behind it."""
-    return min(3 * fine, length // 4)
+def _shares(length: int, fine: int) -> list[int]:
+    """How far before a fine trigger strings may start that are judged by one core behind it, ascending."""
+    return [x for x in (fine, 2 * fine, 4 * fine) if x <= length // 2]
 
 
 _KEYS = "tail long, rank long, digest long, u long, at long, last long"
@@ -337,9 +360,9 @@ def _sliced(*columns):
 
 
 def _stretch_keys(ranked: DataFrame, length: int, trigger: int, every: int, fine: int) -> DataFrame:
-    """Rows to sort for ranges of starts with the same next fine trigger: one with the bytes of all their strings (at, last), and one with the core
-    behind that trigger (at is the trigger, last -1)."""
-    share = _share(length, fine)
+    """Rows to sort for ranges of starts with the same next fine trigger: one with the bytes of all their strings (at, last), and for each class of distances
+    to that trigger one with the core behind it that strings of the class hold (at is the trigger, last is -2 less four times the range's first start less the class)."""
+    shares = _shares(length, fine)
 
     def run(batches):
         for b in batches:
@@ -350,20 +373,21 @@ def _stretch_keys(ranked: DataFrame, length: int, trigger: int, every: int, fine
                 end = np.append(np.nonzero(new)[0][1:], len(q)) - 1
                 a, z, w = q[new], q[end], piece[new]
                 ok = z - a < length
-                a, z, w = a[ok], z[ok], w[ok]
-                yield from _sliced(*pack.keyed(a, z - a + length), pack.v[w], pack.place(a, w), pack.place(z, w))
-                near = np.nonzero(to - q <= share)[0]
-                at, first = np.unique(to[near], return_index=True)
-                w = piece[near][first]
-                # the core lies inside the string of the start that led here
-                yield from _sliced(*pack.keyed(at, np.full(len(at), length - share)), pack.v[w], pack.place(at, w), np.full(len(at), -1))
+                yield from _sliced(*pack.keyed(a[ok], (z - a)[ok] + length), pack.v[w[ok]], pack.place(a[ok], w[ok]), pack.place(z[ok], w[ok]))
+                t, least = to[new], -1
+                for kind, share in enumerate(shares):
+                    # ranges with a start whose distance is above the smaller share and at most this one
+                    has = np.maximum(t - z, least + 1) <= np.minimum(t - a, share)
+                    at, w_ = t[has], w[has]
+                    yield from _sliced(*pack.keyed(at, np.full(len(at), length - share)), pack.v[w_], pack.place(at, w_), -2 - 4 * pack.place(a[has], w_) - kind)
+                    least = share
 
     return ranked.mapInArrow(run, _KEYS)
 
 
 def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: int) -> DataFrame:
-    """Rows to sort for single starts: those outside the settled ranges whose core, if they have one, is in ``cores``."""
-    share = _share(length, fine)
+    """Rows to sort for single starts: those outside the settled ranges whose core, if they have one, is in ``cores`` (trigger * 4 + class)."""
+    shares = np.array(_shares(length, fine))
 
     def run(batches):
         for b in batches:
@@ -371,7 +395,7 @@ def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: i
             n = b.num_rows
             for pack, rows in _packs(b, length, trigger, every, fine):
                 # places of all rows on one line
-                wide = np.int64(max((int(x[-1]) for x in settled if len(x)), default=0) + int(pack.off.max()) + len(pack.data) + 1)
+                wide = np.int64(4) * np.int64(max((int(x[-1]) for x in settled if len(x)), default=0) + int(pack.off.max()) + len(pack.data) + 1)
                 shift = np.unique(rows)
                 line = lambda k: np.concatenate([settled[k * n + r] + j * wide for j, r in enumerate(shift)])      # noqa: E731
                 base = np.searchsorted(shift, rows) * wide
@@ -381,10 +405,10 @@ def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: i
                 k = np.searchsorted(lo, own, "right")
                 done = (k > 0) & (np.append(hi, -1)[k - 1] >= own)
                 to = pack.behind(q, piece)
-                core = to - q + own
+                kind = np.searchsorted(shares, to - q)                        # the class of the distance
+                core = 4 * (pack.place(q, piece) + to - q) + kind + base[piece]
                 at = np.searchsorted(cores, core)
-                shared = np.append(cores, -1)[at] == core
-                go = ~done & ((to - q > share) | shared)
+                go = ~done & ((kind == len(shares)) | (np.append(cores, -1)[at] == core))
                 q, piece = q[go], piece[go]
                 at = pack.place(q, piece)
                 yield from _sliced(*pack.keyed(q, np.full(len(q), length)), pack.v[piece], at, at)
@@ -393,7 +417,7 @@ def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: i
 
 
 def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
-    """(u, at, last, first) of the rows whose neighbour in the order of (tail, rank) has the same digest; first: none like it before it.
+    """(u, at, last, first, tail, digest) of the rows whose neighbour in the order of (tail, rank) has the same digest; first: none like it before it.
 
     Equal rows stand together, and the place is the last key, so that many equal ones are dealt over partitions.  Rows at
     the ends of a partition are compared with those of the next one afterwards."""
@@ -443,7 +467,8 @@ def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
     row = F.struct("tail", "digest")
     met = ends.withColumns({"p": F.lag(row).over(w), "n": F.lead(row).over(w)}).filter("kind >= 4")
     met = met.filter(F.coalesce(like("p"), F.lit(False)) | F.coalesce(like("n"), F.lit(False)))
-    return found.filter("kind < 4").select("u", "at", "last", "first").unionByName(met.select("u", "at", "last", "first"))
+    out = ["u", "at", "last", "first", "tail", "digest"]
+    return found.filter("kind < 4").select(*out).unionByName(met.select(*out))
 
 
 def _joined_runs(rows: DataFrame) -> DataFrame:
@@ -488,9 +513,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trig
     assert every % fine == 0 and trigger < length // 2 and anchor < length
     texts = _keyed(docs.filter(F.octet_length("text") >= length)).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     marks = cut(_anchor_rows(texts, length, anchor), "anchors")
-    who = F.xxhash64("k1", "k2", "place")
-    shared = marks.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("z")).filter("a <> z").select("h")
-    wanted = cut(marks.join(shared, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_s")), "wanted")
+    wanted = _shared(marks).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_s"))
+    wanted = cut(wanted, "wanted")
     if wanted.count() <= most_keys:
         texts = texts.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
     once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
@@ -508,7 +532,13 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trig
     met = cut(adjacent(_stretch_keys(ranked, length, trigger, every, fine), "stretches"), "met")
     whole = met.filter("last >= 0")
     settled = _ranges(_joined_runs(whole.filter("not first").select("u", "at", "last"))).withColumnRenamed("u", "v")
-    cores = met.filter("last < 0").groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_list("at")).alias("cores"))
+    # cores that a stretch has which is not repeated whole: its starts, and those of the stretches that share its core, go on
+    cores = met.filter("last < 0").select("u", "tail", "digest", F.col("at").alias("trigger"), F.floor((-2 - F.col("last")) / 4).alias("at"), F.pmod(-2 - F.col("last"), F.lit(4)).alias("kind"))
+    known = whole.select("u", "at").withColumn("whole", F.lit(True))
+    cores = cut(cores.join(known, ["u", "at"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "cores")
+    unsettled = cores.filter("not whole").select("tail", "digest").distinct()
+    cores = cores.join(unsettled.hint("merge"), ["tail", "digest"], "left_semi")
+    cores = cores.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_set(F.col("trigger") * 4 + F.col("kind"))).alias("cores"))
     left = ranked.join(settled, "v", "left").join(cores, "v", "left")
     single = adjacent(_single_keys(left, length, trigger, every, fine), "singles")
     runs = _joined_runs(whole.select("u", "at", "last").unionByName(single.select("u", "at", "last"))).withColumnRenamed("u", "v")
