@@ -189,7 +189,7 @@ text</b> here, and more words to count.</div><div class="comments"><p>I, as a re
 
 
 def test_main_text():
-    assert html.main_text(PAGE).split("\n\n") == ["Head", "First para, with commas, and é things & more. Second line", "one item", "two item", "Short.",
+    assert html.main_text(PAGE).split("\n\n") == ["Head", "First para, with commas, and é things & more. Second line", "one item", "two item", "Short.", "link a", "link b",
                                                   "Last bold text here, and more words to count."]
     cases = {None: "", "": "", "plain, text": "plain, text", "<p": "", "<p>a<p>b": "a\n\nb", "a < b and c > d": "a < b and c > d", "<table><tr><td>x<td>y</table>": "x\n\ny",
              "<p>a<!-- <p>b --> c</p><!-- open": "a c", "<div hidden>no</div><p>yes</p>": "yes", "<p title='a > b'>q</p>": "q", "&lt;b&gt; &#233; &amp": "<b> é &"}
@@ -209,6 +209,65 @@ def test_wrapped_article_stays(opening):
     assert all(x in text for x in paras) and "Other" not in text
 
 
+PROSE = "A paragraph of the article, with commas, and enough words, to be read as prose by anybody who looks at it."
+
+
+@pytest.mark.parametrize("part,words", [
+    ("<h2>Sources</h2><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul>", "First source|Second source|Sources"),
+    ("<table><tr><td><a href=a>Cell one</a><td><a href=b>Cell two</a></table>", "Cell one|Cell two"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>", "Let x=1 hold."), ("<p><label>Labelled words</label> here</p>", "Labelled words here"),
+    ("<p class='share-price'>The price of a share.</p>", "The price of a share."), ("<p class='notice-board'>What stood on the notice board that day, in short.</p>", "What stood on the notice board that day, in short."),
+    ("<div class='related-work'><p>Related work was done before.</p></div>", "Related work was done before."), ("<blockquote>A quote.</blockquote>", "A quote."),
+    ("<div class='table-header'>The head of a table that stands in the article.</div>", "The head of a table that stands in the article."), ("<pre>x  = 1</pre>", "x = 1")])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class=post>{}</div>"])
+def test_all_of_the_article_stays(part, words, wrap):
+    page = "<body><nav><a href=x>Home</a></nav>" + wrap.format(f"<p>{PROSE}</p>{part}<p>{PROSE}</p>") + "<footer>Foot</footer>"
+    blocks = html.main_text(page).split("\n\n")
+    assert blocks[0] == blocks[-1] == PROSE and all(w in blocks for w in words.split("|")) and "Home" not in blocks
+
+
+@pytest.mark.parametrize("beside", ["Bare words of the page.", "<ul><li>Bare words of the page.</ul>", "<blockquote>Bare words of the page.</blockquote>",
+                                    "<section><h2>More</h2><p>Bare words of the page.</p><p>" + PROSE + "</p></section>"])
+def test_parts_beside_the_best_one(beside):
+    page = "<body><section>" + f"<p>{PROSE}</p>" * 30 + f"</section>{beside}<div class=footer>Imprint</div></body>"
+    blocks = html.main_text(page).split("\n\n")
+    assert blocks[:30] == [PROSE] * 30 and "Bare words of the page." in blocks and "Imprint" not in blocks
+
+
+def test_generated_pages():
+    """Articles of known blocks within what is not the article: every block, in order, and nothing else."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))      # noqa: E731
+    prose = lambda n: " ".join(word() + rnd.choice(["", "", "", ","]) for _ in range(n)).strip(",") + "."      # noqa: E731
+    beside = [lambda: f"<nav><ul>{''.join(f'<li><a href=x>{word()}</a>' for _ in range(6))}</ul></nav>", lambda: f"<div class='{rnd.choice(['ad', 'ad-slot', 'adsense'])}'>{prose(8)}</div>",
+              lambda: f"<form action=s><input name=q><select><option>{word()}</select></form>", lambda: f"<aside><p>{prose(30)}</p></aside>", lambda: f"<div id=cookie-notice>{prose(12)}</div>",
+              lambda: f"<script>{word()}</script><style>{word()}</style><!-- {prose(5)} -->", lambda: f"<div class='sidebar left'><p>{prose(40)}</p></div>",
+              lambda: f"<ul class=breadcrumbs><li><a href=x>{word()}</a></ul>"]
+    for _ in range(150):
+        want, parts = [], []
+        for _ in range(rnd.randint(3, 12)):
+            kind = rnd.choice(["p", "p", "p", "h2", "ul", "blockquote", "table", "links"])
+            if kind in ("p", "blockquote"):
+                want.append(prose(rnd.randint(4, 80)))
+                parts.append(f"<{kind}>{want[-1]}</{kind}>")
+            elif kind == "h2":
+                want.append(word())
+                parts.append(f"<h2>{want[-1]}</h2>")
+            else:
+                items = [prose(rnd.randint(1, 6)) for _ in range(rnd.randint(1, 4))]
+                want += items
+                body = [f"<a href=x>{x}</a>" if kind == "links" else x for x in items]
+                parts.append("<table><tr>" + "".join(f"<td>{x}</td>" for x in body) + "</table>" if kind == "table" else "<ul>" + "".join(f"<li>{x}" for x in body) + "</ul>")
+            if rnd.random() < .2:
+                parts.append(rnd.choice(beside[1:6])())
+        want += [prose(60)]
+        parts.append(f"<p>{want[-1]}</p>")
+        wrap = rnd.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class='entry-content'>{}</div>", "<div class=wrap><div id=story>{}</div></div>"])
+        around = lambda: "".join(rnd.choice(beside)() for _ in range(rnd.randint(0, 4)))      # noqa: E731
+        page = f"<html><head><title>{word()}</title></head><body><header><h1>{word()}</h1></header>{around()}{wrap.format(''.join(parts))}<section class=comments><p>{prose(60)}</p></section>{around()}<footer><p>{prose(9)}</p></footer></body></html>"
+        assert html.main_text(page).split("\n\n") == want, page
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (2, None, None, 1), (None, "v", "", 1), (1, "u", PAGE, 1)], "page_id bigint, url string, html string, text int")
     got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in html.extract(pages).collect())

@@ -2,9 +2,9 @@
 
 A page becomes a tree; elements that are never the article (navigation, page headers and footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut by tag, role, hidden state
-and the words of their class and id.  Every paragraph passes points for its length and commas to its
+and the words of their class and id (some only where the element holds no prose or is mostly links).  Every paragraph passes points for its length and commas to its
 ancestors, halved and thirded on the way up; an ancestor's sum is discounted by its link density.  The best
-container is kept with the siblings that score well too, and inside it lists of links are left out.
+container is kept with the siblings that are prose, lists, tables, headings or bare text too; inside it nothing is left out.
 
 A null page has the empty text.  Unclosed and truncated markup is closed as browsers do; a page without
 paragraphs keeps all that was not cut.
@@ -33,16 +33,20 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 P_SCOPE = set("html table td th caption button object template".split())
 
-NEVER = set("head script style noscript template iframe object embed applet svg canvas math audio video nav footer aside dialog menu search form button select input "
-            "textarea label fieldset option datalist title noembed noframes".split())
+NEVER = set("head script style noscript template iframe object embed applet svg canvas audio video nav footer aside dialog menu search form button select input "
+            "textarea option datalist title noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
-UNLIKELY = set("ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies "
-               "disclaimer disqus footer footnav gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay "
-               "pager pagination paywall popup promo promotion promoted recommended related replies reply respond rss share sharing shoutbox sidebar sidenav signup skip skyscraper "
-               "social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget widgets".split())
+# names of parts that are not the article: always cut, wherever the word stands in a name
+BESIDE = set("ad ads adv advert adverts advertisement advertising adsense adslot comment comments commentlist consent cookie cookies disqus footer footnav gdpr login menu menubar "
+             "modal nav navbar navigation newsletter overlay paywall popup replies reply respond shoutbox sidebar sidenav signup sponsor sponsored subscribe subscription".split())
+# cut as a whole name; as part of a longer one only where the element holds no prose
+PERHAPS = set("banner header hidden masthead notice notices notification skip skyscraper toolbar topbar tracking widget widgets".split())
+# cut only where the element is mostly links
+LINKED = set("breadcrumb breadcrumbs pager pagination promo promoted promotion recommended related rss share sharing social tags".split())
 CONTENT = set("article main body html".split())
 LIKELY = set("article body content main".split())       # names of containers
 HAS = re.compile(r"(?:(?<=\s)|^|(?<=[-_]))(?:has|with|no|without)[-_]\S*", re.I)
+PROSE = 40              # characters
 SHORT = 200             # characters; a shorter text is looked for again under weaker class rules
 PARAGRAPH = set("p pre td blockquote li dd".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
@@ -163,11 +167,19 @@ def _cut(node: Node, inside: bool, rule: int = 0) -> bool:
         return tag == "article" and bool({"comment", "comments", "reply"} & _names(a))
     if rule == 2:
         return False
-    unlikely = UNLIKELY - {"header"} if inside else UNLIKELY
+    perhaps = PERHAPS - {"header"} if inside else PERHAPS
     whole = {x.lower() for x in f"{a.get('class', '')} {a.get('id', '')}".split()}
-    if rule == 1 or LIKELY & whole:
-        return bool(unlikely & whole) and not LIKELY & whole
-    return bool(unlikely & _names(a))
+    if LIKELY & whole:
+        return False
+    if (BESIDE | perhaps) & whole:
+        return True
+    if rule == 1:
+        return False
+    names = _names(a)
+    if BESIDE & names:
+        return True
+    links = _density(node)
+    return bool(perhaps & names and (links > 0.25 or node.chars < PROSE)) or bool(LINKED & names and links > 0.5)
 
 
 def _names(a: dict) -> set:
@@ -187,9 +199,18 @@ def _prune(root: Node, rule: int = 0) -> list[Node]:
     return out
 
 
+def _elements(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        out.append(node := todo.pop())
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
+
+
 def _measure(nodes: list[Node]) -> None:
     """Characters of each element's text and those inside links."""
     for node in reversed(nodes):
+        node.chars = node.linked = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(" ".join(c.split()))
@@ -227,8 +248,8 @@ def _commas_inline(node: Node) -> int:
     return total
 
 
-def best_container(nodes: list[Node]) -> tuple[Node, list[Node]]:
-    """The best-scored container and the siblings kept with it, in page order."""
+def best_container(nodes: list[Node]) -> tuple[Node, list[Node | str]]:
+    """The best-scored container and the siblings (elements and bare text) kept with it, in page order."""
     for node in nodes:
         if not _is_paragraph(node) or not node.chars:
             continue
@@ -253,21 +274,25 @@ def best_container(nodes: list[Node]) -> tuple[Node, list[Node]]:
         at = at.parent
     if best.parent is None:
         return best, [best]
-    floor = max(10.0, 0.2 * best.score)
     kept = []
     for c in best.parent.children:
         if isinstance(c, str):
-            continue
-        bonus = 0.2 * best.score if c.attrs.get("class") and c.attrs.get("class") == best.attrs.get("class") else 0.0
-        good = c is best or c.score + bonus >= floor or c.tag in HEADING
-        if not good and c.tag == "p":
-            good = (c.chars >= 80 and _density(c) < 0.25) or (0 < c.chars < 80 and not c.linked)
+            good = c.strip() != ""
+        elif c is best or c.tag in HEADING:
+            good = True
+        elif c.tag in ("div", "section", "form"):
+            # another part of the article: prose, or a box of one that scored
+            bonus = 0.2 * best.score if c.attrs.get("class") and c.attrs.get("class") == best.attrs.get("class") else 0.0
+            good = _density(c) < 0.3 and (c.chars >= 2 * PROSE or c.score + bonus >= max(10.0, 0.2 * best.score))
+        else:
+            good = c.chars > 0 and (_density(c) < 0.5 if c.tag in BLOCK else True)
         if good:
             kept.append(c)
     return best, kept
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(kept: list[Node | str]) -> list[str]:
+    """The text of each block, all of it; white space inside one is a space."""
     out, buffer = [], []
 
     def flush():
@@ -276,7 +301,7 @@ def _blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    todo = [node]
+    todo = list(reversed(kept))
     while todo:
         at = todo.pop()
         if at is None:
@@ -286,10 +311,6 @@ def _blocks(node: Node) -> list[str]:
         elif at.tag == "br":
             buffer.append(" ")
         else:
-            # lists and boxes that are mostly links
-            if at is not node and at.tag in ("ul", "ol", "dl", "div", "section", "table") and at.linked and _density(at) > 0.5:
-                flush()
-                continue
             if at.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -303,10 +324,12 @@ def main_text(page: str | None) -> str:
         return ""
     text = ""
     for rule in range(3):
-        nodes = _prune(parse(page), rule)
+        root = parse(page)
+        _measure(_elements(root))             # names are judged with what the element holds
+        nodes = _prune(root, rule)
         _measure(nodes)
         _, kept = best_container(nodes)
-        found = "\n\n".join(b for k in kept for b in _blocks(k))
+        found = "\n\n".join(_blocks(kept))
         # a second look has to find far more than the first one
         if not text or len(found) >= max(SHORT, 4 * len(text)):
             text = found
