@@ -186,6 +186,51 @@ def test_large_group_of_edited_copies(spark, monkeypatch):
     assert len(handed) == 2 and sum(handed) < 20 * 400
 
 
+def features_by_hand(text):
+    """Presence of words and their first letters, and shares of end signs, capitals and repeats."""
+    words = (text or "").split()
+    out = {}
+    for w in set(words):
+        core = w
+        while core and not core[-1].isalnum():
+            core = core[:-1]
+        end = w[len(core):]
+        while core and not core[0].isalnum():
+            core = core[1:]
+        low = core.lower()
+        if low:
+            out[quality._presence(quality.WORD, low.encode())] = 1.0
+        for k in (4, 5):
+            if len(low) > k:
+                out[quality._presence(quality.PREFIX[k], low[:k].encode())] = 1.0
+        n = words.count(w) * quality.SHARE / len(words)
+        if end:
+            at = quality._share(b"s", end.encode())
+            out[at] = out.get(at, 0) + n
+        if core and w.isupper():
+            at = quality._share(b"x", b"capitals")
+            out[at] = out.get(at, 0) + n
+    for at, n in ((quality._share(b"x", b"repeats"), len(words) - len(set(words))), (quality._share(b"x", b"capitals"), 0)):
+        out[at] = out.get(at, 0) + n * quality.SHARE / max(len(words), 1)
+    return {k: v for k, v in out.items() if v}
+
+
+def test_quality_features_and_rates_by_hand(spark):
+    texts = [None, "", "One word, TWO words! two (three) four; five?! five?!", "x" * 200 + "!!!", "x" * 200 + "abc", "Ünder ÄÖÜ 12.5 ... --- élan's", "A b C d " * 50]
+    for t in texts:
+        at, value = quality.features(t, {})
+        assert {int(a): round(float(v), 9) for a, v in zip(at, value) if v} == {k: round(v, 9) for k, v in features_by_hand(t).items()}, t
+    assert features_by_hand(texts[3]) != features_by_hand(texts[4])
+    rnd = np.random.default_rng(9)
+    model = quality.Ordinal(rnd.normal(size=quality.DIM), np.array([-.5, .7]), rnd.random(quality.DIM) * (rnd.random(quality.DIM) < .7))
+    docs = table(spark, list(enumerate(texts))).withColumn("tail", F.lit("mine"))
+    got = {r.doc_id: (r.g, r.p) for r in quality.rate(docs, model, 2, ("g", "p")).collect()}
+    for i, t in enumerate(texts):
+        score = sum(model.weights[k] * model.scale[k] * v for k, v in features_by_hand(t).items())
+        p = [1 / (1 + np.exp(x - score)) for x in model.thresholds]
+        assert np.allclose(got[i], (sum(p), p[1]))
+
+
 def test_components_of_a_chain(spark):
     e = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (5, 6)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(e, "u bigint, v bigint")).collect()}
@@ -269,19 +314,24 @@ def test_top_k_by_hand(spark):
     vec = [(i, [float(x) for x in rnd.normal(0, 0.2, 12).astype(np.float32)]) for i in range(400)]
     vec += [(400 + i, vec[20][1]) for i in range(60)]                                      # ties
     vec += [(1000, None), (1001, [1.0, None] + [0.0] * 10), (1002, [float("nan")] * 12), (1003, [float("inf")] * 12), (None, vec[0][1]), (1020, []), (1040, [1.0] * 3), (1041, [2.0] * 3),
-            (20, vec[20][1])]
+            (20, vec[20][1]), (20, vec[21][1]), (3, vec[9][1])]                                        # other rows of one id
     t = spark.createDataFrame([(i, v, 1) for i, v in vec], "vec_id bigint, embedding array<float>, score int")
     got = sorted(tuple(r) for r in topk.top_k(t, F.col("vec_id") % 20 == 0, queries=7, candidates=50).collect())
-    use = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in vec if i is not None and v and None not in v and np.isfinite(v).all()}
+    use = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in vec if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in use:
-        if q % 20 == 0:
-            s = sorted((-int(use[q] @ x), c) for c, x in use.items() if c != q and len(x) == len(use[q]))[:20]
-            want += [(q, k + 1, c, -a) for k, (a, c) in enumerate(s)]
+    for k, (i, q) in enumerate(use):
+        if i % 20 == 0:
+            s = sorted((-int(q @ x), c) for j, (c, x) in enumerate(use) if j != k and len(x) == len(q))[:20]
+            want += [(i, n + 1, c, -a) for n, (a, c) in enumerate(s)]
     assert got == sorted(want)
     assert topk.top_k(t.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_equal_ids(spark):
+    t = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (20, [1.0]), (3, [0.5])], "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(t, F.col("vec_id") % 20 == 0).collect()) == [(20, 1, 1, 8192), (20, 2, 1, 4096), (20, 3, 3, 2048)]
+
+
 def test_lists_stop_early():
     """Skewed vectors: a query with one strong weight needs only the head of the lists."""
     rnd = np.random.default_rng(7)
@@ -292,7 +342,7 @@ def test_lists_stop_early():
     topk.Lists.read_to = lambda self, depth: (reads.append(depth), old(self, depth))[1]
     try:
         q = np.array([[3, 0, 0, 0, 0, 0, 0, 0]])
-        i, j, s = topk.best_of_block(np.array([-1]), q, np.arange(2000), x, 5, depths=(0.01, 0.1, 1.0))
+        i, j, s = topk.best_of_block(np.array([-1]), q, np.arange(2000), np.arange(2000), x, 5, depths=(0.01, 0.1, 1.0))
     finally:
         topk.Lists.read_to = old
     assert sorted(s.tolist(), reverse=True) == [3 * v for v in range(1999, 1994, -1)] and reads == [20]
@@ -300,7 +350,7 @@ def test_lists_stop_early():
 
 def test_large_scores_stay_exact():
     x = np.array([[2 ** 30, 1], [2 ** 30, 2], [2 ** 30, 3]])
-    i, j, s = topk.best_of_block(np.array([-1]), x[:1], np.arange(3), x, 2)
+    i, j, s = topk.best_of_block(np.array([-1]), x[:1], np.arange(3), np.arange(3), x, 2)
     assert s.tolist() == [2 ** 60 + 3, 2 ** 60 + 2]
 
 

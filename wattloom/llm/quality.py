@@ -92,8 +92,8 @@ def features(text: str | None, cache: dict, scale: np.ndarray | None = None, mas
         if got == 0:
             if len(cache) >= CACHE:
                 cache.clear()
-            got = _word_places(w[:200], cache, mask)
-            if len(w) <= 200:
+            got = _word_places(w, cache, mask)
+            if len(w) <= 200:               # longer words are read whole too, only not remembered
                 cache[w] = got
             if got is None:
                 continue
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         move = RATE * mean / (1 - 0.9 ** i) / (np.sqrt(square / (1 - 0.99 ** i)) + 1e-8)
         weights, thresholds = weights - move[:DIM], np.sort(thresholds - move[DIM:])
-        state.unpersist()
+        state.destroy()
     return Ordinal(weights, thresholds, scale)
 
 
