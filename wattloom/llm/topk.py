@@ -35,11 +35,11 @@ DIMENSIONS = 128
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): integer vectors.  Null ids, null vectors and vectors with a null or non-finite component take no
-    part; an id given more than once keeps its least vector."""
+    part; rows of one id all stay."""
     x = F.col("embedding")
     fit = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    return vectors.filter(fit).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.filter(fit).select("vec_id", v.alias("v"))
 
 
 class Lists:
@@ -74,10 +74,11 @@ def _exact(kind, w, x):
     return (w.astype(kind) @ x.astype(kind).T)
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int = K, depths=DEPTHS):
-    """(query place, candidate place, score) of the best k of a block for each query, ties to the smaller id."""
-    order = np.argsort(cid, kind="stable")
-    cid, x = cid[order], x[order]
+def best_of_block(qkey: np.ndarray, q: np.ndarray, ckey: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int = K, depths=DEPTHS):
+    """(query place, candidate place, score) of the best k of a block for each query, ties to the smaller id; keys name rows,
+    and a query does not meet the row of its own key."""
+    order = np.lexsort((ckey, cid))
+    ckey, x = ckey[order], x[order]
     n = len(x)
     largest = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(x).max(initial=0))) * max(1, x.shape[1])
     # sums below 2**53 are exact in doubles; beyond them 64-bit integers, which wrap past 2**63
@@ -87,8 +88,9 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray
     todo = np.arange(len(q))
     out_q, out_c, out_s = [], [], []
     far = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-    own = np.searchsorted(cid, qid)
-    own = np.where((own < n) & (cid[np.minimum(own, n - 1)] == qid), own, -1)
+    by_key = np.argsort(ckey, kind="stable")
+    own = by_key[np.minimum(np.searchsorted(ckey[by_key], qkey), n - 1)]
+    own = np.where(ckey[own] == qkey, own, -1)
     for share in depths:
         lists.read_to(max(min(n, k + 1), math.ceil(share * n)))
         upper = _exact(kind, up[todo], lists.top_upper) + _exact(kind, down[todo], lists.bottom_upper)
@@ -121,25 +123,28 @@ def _matrix(column, width):
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCALE, queries: int = QUERIES, candidates: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with all other vectors of its length
-    (all, if fewer), ties to the smaller vec_id.  No query or no candidate gives no rows."""
-    v = cut(quantised(vectors, scale).withColumn("width", F.size("v")).filter("width > 0"), "vectors")
+    (all, if fewer), ties to the smaller vec_id.  Every row is a candidate of every query but its own, rows of the same vec_id
+    too; queries of one vec_id give k rows each.  No query or no candidate gives no rows."""
+    v = quantised(vectors, scale).withColumn("width", F.size("v")).filter("width > 0")
+    v = cut(v.withColumn("key", F.monotonically_increasing_id()), "vectors")
     nq, nc, width = v.agg(F.count(F.when(is_query, 1)), F.count("*"), F.max("width")).first()
     share = max(1.0, (width or 1) / DIMENSIONS)         # longer vectors, smaller blocks
     rows, cols = max(1, math.ceil(nq * share / queries)), max(1, math.ceil(nc * share / candidates))
-    mine = F.xxhash64("vec_id")
+    mine = F.xxhash64("key")
     q = v.filter(is_query).withColumn("row", F.pmod(mine, F.lit(rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     c = v.withColumn("col", F.pmod(mine, F.lit(cols)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["key", "query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
         width = a.column("width")[0].as_py()
         qid, cid = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
-        i, j, s = best_of_block(qid, _matrix(a.column("v"), width), cid, _matrix(b.column("v"), width), k)
-        return pa.table([pa.array(qid[i]), pa.array(cid[j]), pa.array(s)], names=names)
+        qkey = a.column("key").to_numpy()
+        i, j, s = best_of_block(qkey, _matrix(a.column("v"), width), b.column("key").to_numpy(), cid, _matrix(b.column("v"), width), k)
+        return pa.table([pa.array(qkey[i]), pa.array(qid[i]), pa.array(cid[j]), pa.array(s)], names=names)
 
     key = ["width", "row", "col"]
-    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(cell, "key long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
