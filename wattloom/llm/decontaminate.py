@@ -5,7 +5,7 @@ none, is one window as a whole.  The hashes of all windows are a broadcast set t
 window is probed against; hits are verified word by word before they count.
 
 The hashes are broadcast only while there are at most ``broadcast_windows`` of them (16 bytes each);
-beyond that the same semi-join shuffles.  Null texts have no words; repeated rows are answered alike.
+beyond that the same semi-join shuffles places and hashes, not texts, and the texts with hits are joined back to verify them.  Null texts have no words; repeated rows are answered alike.
 """
 from __future__ import annotations
 
@@ -36,8 +36,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, *, broadcast_windows: int =
     if not lengths:
         lengths = [1]
     hashes = windows.select("hash").distinct()
-    if hashes.count() <= broadcast_windows:
-        hashes = F.broadcast(hashes)
+    few = hashes.count() <= broadcast_windows
     d = docs.select("doc_id", "text", words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w")).withColumn("n", F.size("w"))
     # no filter on n: it would be pushed below the split and split every text twice
     d = d.withColumn("i", F.explode(F.when(F.col("n") >= min(lengths), F.sequence(F.lit(0), F.col("n") - min(lengths)))))
@@ -48,9 +47,18 @@ def occurrences(docs: DataFrame, windows: DataFrame, *, broadcast_windows: int =
     if len(lengths) > 1:
         d = d.withColumn("length", F.when(F.col("i") + F.col("length") <= F.col("n"), F.col("length")))   # else a null hash
     d = d.withColumn("hash", _window(F.col("w"), F.col("i"), F.col("length")))
-    hit = d.join(hashes, "hash", "left_semi")
-    hit = hit.select("doc_id", F.md5("text").alias("digest"), F.col("i").alias("start"), "length", "hash",
-                     F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("words")).distinct()
+    words = F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ").alias("words")
+    if few:
+        hit = d.join(F.broadcast(hashes), "hash", "left_semi").withColumn("start", F.col("i")).select("doc_id", F.md5("text").alias("digest"), "start", "length", "hash", words).distinct()
+    else:
+        key, own = ["doc_id", "digest"], ["_d", "_g"]
+        thin = d.select("doc_id", F.md5("text").alias("digest"), F.col("i").alias("start"), "length", "hash").filter("hash is not null and length is not null")
+        places = thin.join(hashes.hint("merge"), "hash", "left_semi").distinct()
+        places = places.groupBy(*key).agg(F.collect_list(F.struct("start", "length", "hash")).alias("_at")).toDF(*own, "_at")
+        again = docs.select("doc_id", F.md5("text").alias("digest"), "text")
+        again = again.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).dropDuplicates(key)
+        again = again.select(*key, words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w"), F.explode("_at").alias("_p"))
+        hit = again.select(*key, "_p.*", "w").select(*key, "start", "length", "hash", words)
     return hit.join(windows, ["length", "hash", "words"]).select("doc_id", "digest", "start", "length", "item_id")
 
 
