@@ -1,6 +1,8 @@
 """Model fits on pyspark.ml and closed-form ridges on grouped sums."""
 from __future__ import annotations
 
+import numpy as np
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -10,7 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranks import quantiles
+from ..session import cut
+from .ranks import prefix_weights, quantiles
 
 
 def winsorised(df: DataFrame, train: DataFrame, features: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
@@ -81,6 +84,42 @@ def shrunk_experts(train: DataFrame, rows: DataFrame, key: str, x: str, y: str,
     return d.withColumn("prediction", mix("_s", "_ps") * F.col(x) + mix("_i", "_pi")).drop("n", "_s", "_i", "_ps", "_pi", "_w")
 
 
+def normal_ridge(train: DataFrame, features: list[str], target: str, alpha: float) -> tuple[list[float], float]:
+    """Slopes and intercept of a ridge through the means, from sums over the rows without unknowns: one aggregate of (features + 2) ** 2 / 2 numbers."""
+    names = [*features, target]
+    known = F.lit(True)
+    for c in names:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    x = [F.col(c).cast("double") for c in names]
+    got = train.filter(known).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[(F.covar_pop(x[i], x[j]) * F.count("*")).alias(f"s{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]).first()
+    k = len(features)
+    if got["m0"] is None:
+        return [0.0] * k, 0.0
+    s = np.array([[got[f"s{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    slopes = np.linalg.lstsq(s[:k, :k] + alpha * np.eye(k), s[:k, k], rcond=None)[0].tolist() if k else []
+    return slopes, got[f"m{k}"] - sum(b * got[f"m{i}"] for i, b in enumerate(slopes))
+
+
+def residual_stage(train: DataFrame, rows: DataFrame, origin: str, base: list[str], correction: list[str], target: str, alpha: float, *, early: float = 0.75, gap: str = "8 days") -> DataFrame:
+    """rows with a prediction in two stages: a base, and a correction of what it leaves.
+
+    The base is first fitted on origins that end ``gap`` before the one at the ``early`` share of all different origins, so that no target
+    of it reaches the later ones; the correction is fitted on its residuals at that origin and later; then the base is refitted on all.  A row
+    with an unknown feature gets a null prediction.  Without training rows the prediction is 0."""
+    line = lambda fit, names: sum((F.col(c) * float(b) for c, b in zip(names, fit[0])), F.lit(float(fit[1])))      # noqa: E731
+    known = train.filter(F.col(target).isNotNull() & F.col(origin).isNotNull())
+    n = known.select(origin).distinct().count()
+    if not n:
+        return rows.withColumn("prediction", F.lit(0.0))
+    order = prefix_weights(known.select(origin).distinct().withColumn("_g", F.lit(0)), ["_g"], [origin])
+    split = order.filter(F.col("below") == int(n * early)).select(F.col(origin).alias("_split"))               # one row
+    dated = known.join(F.broadcast(split))
+    first = normal_ridge(dated.filter(F.col(origin) < F.col("_split") - F.expr(f"interval {gap}")), base, target, alpha)
+    late = dated.filter(F.col(origin) >= F.col("_split")).withColumn("_left", F.col(target) - line(first, base))
+    second = normal_ridge(late, correction, "_left", alpha)
+    return rows.withColumn("prediction", line(normal_ridge(known, base, target, alpha), base) + line(second, correction))
+
+
 def event_probability(train: DataFrame, calibrate: DataFrame, rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """Logistic warning then logistic recalibration of its logit; a one-class training set
     gives its constant rate."""
@@ -140,11 +179,9 @@ def chronological_search(train: DataFrame, select: DataFrame, features: list[str
     lr = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="prediction")
     prep = Pipeline(stages=_matrix(features, True)).fit(train)
     grid = ParamGridBuilder().addGrid(lr.regParam, alphas).build()
-    a, b = prep.transform(train).select("_x", target).cache(), prep.transform(select).select("_x", target).cache()
+    a, b = (cut(prep.transform(d).select("_x", target), "search") for d in (train, select))
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mae")
     rows = [(float(p[lr.regParam]), float(ev.evaluate(lr.copy(p).fit(a).transform(b)))) for p in grid]
-    a.unpersist()
-    b.unpersist()
     best = min(rows, key=lambda r: (r[1], r[0]))
     return train.sparkSession.createDataFrame([(x, m, int((x, m) == best)) for x, m in rows], "alpha double, mae double, chosen int")
 

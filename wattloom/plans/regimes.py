@@ -1,14 +1,21 @@
 """Conditional selection, clusters and model fits on the driver tables."""
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..operators import boosting as bo
 from ..operators import clusters as cl
 from ..operators import forecast as fo
+from ..operators import mixtures as mx
 from ..operators import models as ml
 from ..operators import ranks
 from ..operators import regimes as op
+from ..operators import spectral as sp
 from ..session import cut
 from . import constraints as con
 from .aggregates import rounded
@@ -113,6 +120,54 @@ def state_clusters(t):
     return cl.state_clusters(d.filter(F.col("month") < ts("1999-01-01")), d, ["mw", "disc", "tax"], 4)
 
 
+STATES = """d as (select l_suppkey, date_trunc('month', l_shipdate) as month, sum(l_quantity) as mw, avg(l_discount) as disc, avg(case when l_returnflag = 'R' then l_tax end) as tax from lineitem group by 1, 2),
+tr as (select * from d where month < '1999-01-01'), md as (select median(mw) as m1, median(disc) as m2, median(tax) as m3 from tr),
+im as (select l_suppkey, month, coalesce(mw, m1) as x1, coalesce(disc, m2) as x2, coalesce(tax, m3) as x3 from d, md),
+sc as (select quantile_cont(x1, 0.5) as c1, quantile_cont(x1, 0.75) - quantile_cont(x1, 0.25) as s1, quantile_cont(x2, 0.5) as c2, quantile_cont(x2, 0.75) - quantile_cont(x2, 0.25) as s2,
+  quantile_cont(x3, 0.5) as c3, quantile_cont(x3, 0.75) - quantile_cont(x3, 0.25) as s3 from im where month < '1999-01-01'),
+z as (select l_suppkey, month, greatest(least((x1 - c1) / s1, 10), -10) as z1, greatest(least((x2 - c2) / s2, 10), -10) / sqrt(2) as z2, greatest(least((x3 - c3) / s3, 10), -10) / sqrt(2) as z3 from im, sc)"""
+MIX = ((-1.0, -0.3, 0.2), (1.0, 0.4, -0.2), (0.0, 0.0, 1.0))
+LOGS = "ln(p) - 0.5 * (" + " + ".join(f"ln(2 * pi() * v{c}) + (z{c} - m{c}) ^ 2 / v{c}" for c in (1, 2, 3)) + ") as l"
+EM = ", ".join(f"""l{r} as (select l_suppkey, month, z1, z2, z3, k, {LOGS} from z, p{r} where month < '1999-01-01'), r{r} as (select *, exp(l - max(l) over w) / sum(exp(l)) over w * exp(max(l) over w) as r from l{r} window w as (partition by l_suppkey, month)),
+p{r + 1} as (select k, sum(r) / (select count(*) from z where month < '1999-01-01') as p, """ + ", ".join(f"sum(r * z{c}) / sum(r) as m{c}, sum(r * z{c} * z{c}) / sum(r) - (sum(r * z{c}) / sum(r)) ^ 2 + 1e-6 as v{c}" for c in (1, 2, 3)) + f" from r{r} group by k)" for r in range(2))
+
+
+def months(t):
+    d = t.lineitem.groupBy("l_suppkey", cal.month_start(F.col("l_shipdate")).alias("month")).agg(F.sum("l_quantity").alias("mw"), F.avg("l_discount").alias("disc"), F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_tax"))).alias("tax"))
+    return d.filter(F.col("month") < ts("1999-01-01")), d
+
+
+GROUPS = {"volume": ["mw"], "rates": ["disc", "tax"]}
+
+
+@query("g8_state_mixture", f"""with {STATES}, p0 as (select * from (values {", ".join(f"({k}, {1 / 3!r}, {a}, {b}, {c}, 1.0, 1.0, 1.0)" for k, (a, b, c) in enumerate(MIX))}) x(k, p, m1, m2, m3, v1, v2, v3)), {EM},
+f as (select l_suppkey, month, k, {LOGS}, (z1 - m1) ^ 2 / v1 + (z2 - m2) ^ 2 / v2 + (z3 - m3) ^ 2 / v3 as d2 from z, p2), g as (select *, exp(l - max(l) over w) / sum(exp(l - (select max(l) from f))) over w * exp(max(l) over w - (select max(l) from f)) as q from f window w as (partition by l_suppkey, month))
+select l_suppkey, month, round(max(q) filter (k = 0), 5) as p0, round(max(q) filter (k = 1), 5) as p1, round(max(q) filter (k = 2), 5) as p2, round(sqrt(arg_max(d2, l)), 5) as distance from g group by 1, 2""")
+def state_mixture(t):
+    """Two rounds of the diagonal mixture from stated centres, on exact medians and quartiles and equal weight of both feature groups."""
+    train, every = months(t)
+    model = mx.prepare(train, GROUPS)
+    model.means, model.variances, model.shares = np.array(MIX), np.ones((3, 3)), np.full(3, 1 / 3)
+    model, _ = mx.em_steps(cut(train.select(mx.scaled(model).alias("z")), "states"), model, 2)
+    d = mx.assign(every, model)
+    return d.select("l_suppkey", "month", *[F.round(F.get("probabilities", k), 5).alias(f"p{k}") for k in range(3)], F.round("distance", 5).alias("distance"))
+
+
+@query("g8_fitted_states")
+def fitted_states(t):
+    """The mixture fitted to its end from the best of three k-means starts; tests hold it against bounds."""
+    train, every = months(t)
+    d = mx.assign(every, mx.fit_states(train, GROUPS, 3, "mixture", steps=20))
+    return d.select("l_suppkey", "month", "cluster", F.round("distance", 4).alias("distance"), "out_of_range")
+
+
+@query("g9_cluster_stability")
+def cluster_stability(t):
+    """Agreement of supplier-month states over seeds and over refits on drawn months."""
+    train, _ = months(t)
+    return rounded(mx.stability(train, GROUPS, 3, "month", steps=15), ["ari"], 4)
+
+
 @query("g9_adjusted_rand", """with c as (select l_returnflag as a, (l_quantity > 25)::int + (l_discount > 0.05)::int as b, count(*)::double as n from lineitem group by 1, 2), s as (select sum(n * (n - 1) / 2) as ab, sum(n) as n from c),
 a as (select sum(n * (n - 1) / 2) as x from (select sum(n) as n from c group by a)), b as (select sum(n * (n - 1) / 2) as y from (select sum(n) as n from c group by b))
 select round((ab - x * y / (s.n * (s.n - 1) / 2)) / ((x + y) / 2 - x * y / (s.n * (s.n - 1) / 2)), 9) as ari from s, a, b""")
@@ -135,6 +190,14 @@ def unit_groups(t):
     return cl.unit_groups(con.sens(t).filter("sensitivity is not null"), w, "unit", "eq", 16, 3)
 
 
+@query("g11_unit_components")
+def unit_components(t):
+    """Signed components of units over exposure-weighted sensitivities; tests hold them against a dense decomposition."""
+    w = con.present(t).groupBy("eq").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    d = con.sens(t).filter("sensitivity is not null").join(w, "eq").withColumn("x", F.col("sensitivity") * F.col("weight"))
+    return rounded(sp.signed_components(d, "unit", "eq", "x", 3, rounds=8), ["loading", "singular_value"], 3)
+
+
 @query("g11_signed_pressure", f"""with {con.UNITS}, su as (select unit, avg(s) as s from sens group by 1) select unit % 3 as "group", month, round(sum(greatest(delta * s, 0)), 5) as relief, round(sum(greatest(-delta * s, 0)), 5) as tightening from mg join su using (unit) where delta is not null group by 1, 2""")
 def signed_pressure(t):
     g = t.supplier.select(F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") % 3).alias("group"))
@@ -159,6 +222,20 @@ def limit_regressor(t):
         "key", "origin", "lead", "actual", r6("prediction", 3).alias("prediction"))
 
 
+@query("l1_limit_targets")
+def limit_targets(t):
+    """Three targets on each key's own scale, in the same jobs; 12 trees of up to 23 leaves here."""
+    g = grid(t).select("key", "time", F.col("n").cast("double").alias("count_"), F.col("k").cast("double").alias("load"))
+    d = cut(fit_rows(t).join(g, ["key", "time"], "left"), "fit")
+    train = F.col("time") < ts(CUT)
+    names = {"p_actual": "actual", "p_count": "count_", "p_load": "load"}
+    scale = d.filter(train).groupBy("key").agg(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{c}") for c in names.values()])
+    d = d.join(scale, "key").withColumns({f"_y_{c}": F.col(c) / F.col(f"_s_{c}") for c in names.values()})
+    model = bo.fit(d.filter(train), ["persistence", "seasonal", "hour", "lead_h"], [bo.Target(n, f"_y_{c}") for n, c in names.items()], trees=12, rate=0.2, depth=5, leaves=23, leaf_rows=40, penalty=5.0)
+    out = bo.predict(d.filter(F.col("origin") >= ts(CUT)), model)
+    return out.select("key", "origin", "lead", "actual", *[F.round(F.col(n) * F.col(f"_s_{c}"), 3).alias(n) for n, c in names.items()])
+
+
 @query("l2_ridge_correction")
 def ridge_correction(t):
     d = cut(fit_rows(t), "fit")
@@ -176,6 +253,27 @@ def local_experts(t):
     return ml.shrunk_experts(d.filter(early), d.filter(~early), "l_suppkey", "x", "y", 5.0, 200, 100.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("prediction").alias("prediction"))
 
 
+def _ridge_sql(name, rows, xs, y, alpha):
+    """Slopes b1.. and intercept a of a ridge on one or two features by the closed form."""
+    n = len(xs)
+    s = lambda i, j: f"covar_pop({i}, {j}) * count(*)"      # noqa: E731
+    if n == 1:
+        return f"{name}_s as (select avg({xs[0]}) as m1, avg({y}) as my, {s(xs[0], xs[0])} + {alpha} as s11, {s(xs[0], y)} as t1 from {rows}), {name} as (select t1 / s11 as b1, my - t1 / s11 * m1 as a from {name}_s)"
+    return (f"{name}_s as (select avg({xs[0]}) as m1, avg({xs[1]}) as m2, avg({y}) as my, {s(xs[0], xs[0])} + {alpha} as s11, {s(xs[1], xs[1])} + {alpha} as s22, {s(xs[0], xs[1])} as s12, {s(xs[0], y)} as t1, {s(xs[1], y)} as t2 from {rows}), "
+            f"{name}_b as (select *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) as b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) as b2 from {name}_s), {name} as (select b1, b2, my - b1 * m1 - b2 * m2 as a from {name}_b)")
+
+
+@query("l3_residual_stage", f"""with {FC}, rw as (select *, sin(hour(time) * pi() / 12) as hs, cos(hour(time) * pi() / 12) as hc from fb where actual is not null and blend is not null), tr as (select * from rw where time < '{CUT}'),
+og as (select origin, row_number() over (order by origin) - 1 as i from (select distinct origin from tr)), sp as (select origin as split from og where i = floor((select count(*) from og) * 0.75)),
+ea as (select tr.* from tr, sp where origin < split - interval 8 days), {_ridge_sql("fa", "ea", ["blend"], "actual", 0.5)}, la as (select tr.*, actual - (a + b1 * blend) as rest from tr, sp, fa where origin >= split), {_ridge_sql("fb2", "la", ["hs", "hc"], "rest", 0.5)}, {_ridge_sql("fc2", "tr", ["blend"], "actual", 0.5)}
+select key, origin, lead, actual, round(fc2.a + fc2.b1 * blend + fb2.a + fb2.b1 * hs + fb2.b2 * hc, 5) as prediction from rw, fb2, fc2 where origin >= '{CUT}'""")
+def residual_stage(t):
+    d = blended(t).filter("actual is not null and blend is not null").withColumns({"hs": F.sin(F.hour("time") * (math.pi / 12)), "hc": F.cos(F.hour("time") * (math.pi / 12))})
+    d = cut(d, "fit")
+    out = ml.residual_stage(d.filter(F.col("time") < ts(CUT)), d.filter(F.col("origin") >= ts(CUT)), "origin", ["blend"], ["hs", "hc"], "actual", 0.5)
+    return out.select("key", "origin", "lead", "actual", r6("prediction", 5).alias("prediction"))
+
+
 def warn_rows(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_discount", "l_tax", ((F.col("l_extendedprice") > 60000) & (F.col("l_quantity") > 10)).cast("double").alias("y"))
 
@@ -232,3 +330,24 @@ def conditional_quantiles(t):
     own, pooled = fo.residual_adjustments(train, ["key", "part"], "actual", "blend", {"p10": 0.1, "p90": 0.9}, 20)
     out = fo.calibrated(d.filter(F.col("origin") >= ts(CUT)), own, pooled, ["key", "part"], "blend", ["p10", "p90"])
     return rounded(out.select("key", "origin", "lead", "p10", "p90"), ["p10", "p90"])
+
+
+@query("l10_boosted_quantiles")
+def boosted_quantiles(t):
+    """p10, p50 and p90 from conditions and the keys that stood high two hours before the origin, calibrated on the last days before the cut."""
+    g = grid(t).filter("v is not null")
+    mean = g.filter(F.col("time") < ts(CUT)).groupBy("key").agg(F.avg("v").alias("_m"))
+    high = g.join(mean, "key").filter("v > 1.25 * _m").groupBy((F.col("time") + F.expr("interval 2 hours")).alias("origin")).agg(F.array_sort(F.collect_set("key")).alias("high"))
+    d = blended(t).filter("blend is not null").join(high, "origin", "left").withColumns({"lead_h": F.col("lead").cast("double"), "high": F.coalesce("high", F.array().cast("array<string>")),
+        **{f"is_{k}": (F.col("key") == k).cast("int") for k in ("click", "error", "purchase", "signup", "view")}, "hour_sin": F.sin(F.hour("time") * (math.pi / 12)), "hour_cos": F.cos(F.hour("time") * (math.pi / 12))})
+    d = cut(d, "conditions")
+    known = F.col("actual").isNotNull() & (F.col("origin") < ts(CUT)) & (F.col("time") < ts(CUT))
+    late = F.col("origin") >= ts("2024-01-19")
+    found = bo.token_flags(d.filter(known & ~late), "high")
+    d, flags = bo.with_flags(d, "high", found)
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    features = ["persistence", "seasonal", "blend", "lead_h", "hour_sin", "hour_cos", "is_click", "is_error", "is_purchase", "is_signup", "is_view", *flags]
+    model = bo.fit(d.filter(known & (F.col("time") < ts("2024-01-19"))), features, [bo.Target(n, "actual", s) for n, s in shares.items()], trees=12, rate=0.2)
+    every = cut(bo.predict(d, model), "predicted")
+    out = bo.calibrated(every.filter(F.col("origin") >= ts(CUT)), every.filter(known & late), "actual", shares)
+    return rounded(out.select("key", "origin", "lead", "p10", "p50", "p90"), ["p10", "p50", "p90"])
