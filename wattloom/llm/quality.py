@@ -39,7 +39,8 @@ Z = 4.0
 SHARE = 18.0             # value of a share of 1, beside presences of about 1
 LETTERS = (4, 5)
 LONG = 4_000_000         # characters
-CACHE = 400_000          # words whose places a task remembers
+CACHE = 200_000          # words whose places a task remembers
+ROWS = 1_000             # rows whose features a task holds at one time
 KEEP = 0.3               # least P(grade >= 2) of a row that selection keeps
 
 
@@ -168,8 +169,8 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
 
     def encode(batches):
         cache: dict = {}
-        for b in batches:
-            both = [features(t, cache) for t in b.column("text").to_pylist()]
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            both = [features(t.as_py(), cache) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([x[0] for x in both], pa.list_(pa.int32())), pa.array([x[1] for x in both], pa.list_(pa.float64()))],
                                              names=["grade", "at", "value"])
 
