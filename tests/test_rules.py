@@ -295,6 +295,12 @@ def test_points_near_anywhere(spark):
     towns = spark.createDataFrame([("Alpha", 0.0, 0.0, "R1"), ("Beta", 10.0, 0.0, "R2")], "name string, plat double, plon double, region string")
     at = spark.createDataFrame([(1, 0.05, 0.0), (2, 3.0, 0.0), (3, 10.0, 60.0)], "i int, lat double, lon double")
     got = {r.i: (r.label, r.area) for r in nearest_place(at, towns, "i", "lat", "lon", "name", "plat", "plon", "region").collect()}
+    empty = nearest_place(at, towns.limit(0), "i", "lat", "lon", "name", "plat", "plon", "region").collect()
+    assert [(r.place, r.label, r.km) for r in empty] == [(None, None, None)] * 3
+    grid = spark.range(12_000).selectExpr("concat('p', id) as name", "-60 + (id % 120) as plat", "-50 + cast(id / 120 as int) as plon", "'R' as region")
+    odd = spark.createDataFrame([(1, 0.4, 0.3), (2, 85.0, 175.0), (3, None, 1.0), (1, 0.4, 0.3)], "i int, lat double, lon double")
+    want = {i: min((km(a, b, -60 + k % 120, -50 + k // 120), f"p{k}") for k in range(12_000))[1] for i, a, b in ((1, .4, .3), (2, 85., 175.))}
+    assert sorted((r.i, r.place) for r in nearest_place(odd, grid, "i", "lat", "lon", "name", "plat", "plon", "region").collect()) == [(1, want[1])] * 2 + [(2, want[2]), (3, None)]
     assert got[1] == ("central Alpha", "R1:Alpha") and got[2] == ("north of Alpha (334 km)", "R1:north Alpha") and got[3][1] == "R2:east Beta"
 
 

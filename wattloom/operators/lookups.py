@@ -265,23 +265,35 @@ def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat
     return p.join(s, ["_cy", "_cx"]).withColumn("km", d).filter(F.col("km") <= km).drop("_cy", "_cx")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, pid: str, lat: str, lon: str, name: str, plat: str, plon: str, region: str, *, most: int = 10_000) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, pid: str, lat: str, lon: str, name: str, plat: str, plon: str, region: str) -> DataFrame:
     """Points with the nearest reference place at any distance, its label and area.
 
-    Places are a gazetteer of at most ``most`` rows (checked), which each point is held against in one task without
-    a shuffle; ties go to the first name.  Within 15 km a point is central."""
+    The search goes outward: different coordinates meet the places of the cells within a reach, and those that find none go on
+    with twice the reach, up to half the globe.  The first reach follows the number of places, so that a point meets a few of them whatever
+    their number.  Ties go to the first name, then region and place.  Within 15 km a point is central.  A point without coordinates, or
+    without any place, has nulls."""
     from ..functions.maths import great_circle_km, octant
-    if places.count() > most:
-        raise ValueError(f"more than {most} reference places")
-    row = places.agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), F.col(plat).alias("y"), F.col(plon).alias("x"), F.col(region).alias("r")))).alias("_places"))
-    d = points.join(F.broadcast(row))                    # one row
-    near = F.array_min(F.transform("_places", lambda p: F.struct(great_circle_km(F.col(lat), F.col(lon), p["y"], p["x"]).alias("km"), p["n"].alias("n"),
-                                                                p["r"].alias("r"), p["y"].alias("y"), p["x"].alias("x"))))
-    d = d.withColumn("_n", near)
+    sites = cut(places.filter(F.col(plat).isNotNull() & F.col(plon).isNotNull()).select(
+        F.col(name).alias("_sn"), F.col(region).alias("_sr"), F.col(plat).cast("double").alias("_sy"), F.col(plon).cast("double").alias("_sx0")).distinct(), "places")
+    at = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("_y"), F.col(lon).cast("double").alias("_x")).distinct()
+    at = cut(at, "places-at")
+    n, found = sites.count(), None
+    reach = min(max((5.1e8 / max(n, 1)) ** 0.5, 1.0), 20_100.0)          # km; about one place in a square of this size
+    while n:
+        near = nearest_within(at, sites, "_y", "_x", "_sy", "_sx0", reach)
+        best = cut(near.groupBy("_y", "_x").agg(F.min(F.struct(F.col("km"), F.col("_sn").alias("n"), F.col("_sr").alias("r"), F.col("_sy").alias("y"), F.col("_sx0").alias("x"))).alias("_n")), "places-found")
+        found = best if found is None else found.unionByName(best)
+        at = cut(at.join(best.select("_y", "_x"), ["_y", "_x"], "left_anti"), "places-at")
+        if reach >= 20_100.0 or at.isEmpty():
+            break
+        reach = min(2 * reach, 20_100.0)
+    if found is None:
+        found = at.sparkSession.createDataFrame([], "_y double, _x double, _n struct<km: double, n: string, r: string, y: double, x: double>")
+    d = points.join(found, (F.col(lat).cast("double") == F.col("_y")) & (F.col(lon).cast("double") == F.col("_x")), "left")
     where = octant(F.pmod(F.degrees(F.atan2((F.col(lon) - F.col("_n.x")) * F.cos(F.radians(F.col("_n.y"))), F.col(lat) - F.col("_n.y"))), F.lit(360.0)))
     far = F.col("_n.km") >= 15
-    label = F.when(far, F.concat(where, F.lit(" of "), F.col("_n.n"), F.lit(" ("), F.format_string("%.0f", F.col("_n.km")), F.lit(" km)"))).otherwise(F.concat(F.lit("central "), F.col("_n.n")))
-    area = F.when(far, F.concat(F.col("_n.r"), F.lit(":"), where, F.lit(" "), F.col("_n.n"))).otherwise(F.concat(F.col("_n.r"), F.lit(":"), F.col("_n.n")))
+    label = F.when(far, F.concat(where, F.lit(" of "), F.col("_n.n"), F.lit(" ("), F.format_string("%.0f", F.col("_n.km")), F.lit(" km)"))).when(~far, F.concat(F.lit("central "), F.col("_n.n")))
+    area = F.when(far, F.concat(F.col("_n.r"), F.lit(":"), where, F.lit(" "), F.col("_n.n"))).when(~far, F.concat(F.col("_n.r"), F.lit(":"), F.col("_n.n")))
     return d.select(*points.columns, F.col("_n.n").alias("place"), label.alias("label"), area.alias("area"), F.col("_n.km").alias("km"))
 
 

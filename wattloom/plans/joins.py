@@ -292,6 +292,19 @@ def spatial_nearest(t):
         F.count(F.lit(1)).alias("sites"), r6(F.min("km"), 4).alias("nearest_km"), F.min_by("s_suppkey", "km").alias("nearest"))
 
 
+@query("j15_nearest_place", """
+with p as (select c_custkey, -44 + (c_acctbal * 37 % 2000) / 100 as lat, 130 + (c_custkey * 7.3::double) % 20 as lon from customer),
+s as (select s_name, 'area ' || s_nationkey % 4 as r, -44 + (s_acctbal * 53 % 2000) / 100 as slat, 130 + (s_suppkey * 3.7::double) % 20 as slon from supplier),
+d as (select p.*, s.*, 12742 * asin(sqrt(least(1, sin(radians(slat - lat) / 2) * sin(radians(slat - lat) / 2) + cos(radians(lat)) * cos(radians(slat)) * sin(radians(slon - lon) / 2) * sin(radians(slon - lon) / 2)))) as km from p, s),
+b as (select *, floor(((degrees(atan2((lon - slon) * cos(radians(slat)), lat - slat)) + 360 + 22.5) % 360) / 45)::int + 1 as o from d qualify row_number() over (partition by c_custkey order by km, s_name) = 1),
+n as (select *, ['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'][o] as w from b)
+select c_custkey, s_name as place, round(km, 4) as km, case when km >= 15 then r || ':' || w || ' ' || s_name else r || ':' || s_name end as area from n""")
+def nearest_place(t):
+    p = t.customer.select("c_custkey", ((F.col("c_acctbal") * 37 % 2000) / 100 - 44).alias("lat"), (F.col("c_custkey") * F.lit(7.3) % 20 + 130).alias("lon"))
+    s = t.supplier.select("s_name", F.concat(F.lit("area "), F.col("s_nationkey") % 4).alias("r"), ((F.col("s_acctbal") * 53 % 2000) / 100 - 44).alias("slat"), (F.col("s_suppkey") * F.lit(3.7) % 20 + 130).alias("slon"))
+    return lk.nearest_place(p, s, "c_custkey", "lat", "lon", "s_name", "slat", "slon", "r").select("c_custkey", "place", r6("km", 4).alias("km"), "area")
+
+
 @query("j16_name_crosswalk", """
 with pts as (select p_partkey as id, p_name as norm, p_size % 5 as region, p_brand, -30 + (p_retailprice % 7) / 10 as lat, 150.0::double as lon from part),
 best as (select norm, region, min_by(id, (p_brand, id)) as bid, min_by(lat, (p_brand, id)) as blat from pts group by 1, 2),
