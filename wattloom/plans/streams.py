@@ -40,7 +40,7 @@ select row_id, i, 1 as present from nx where p is null or p < i - 1 union all se
 def snapshot_changes(t):
     d = rules.table_stream(t.spark, t.folder, "events").filter("event_type = 'purchase'").select(
         F.col("user_id").alias("row_id"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("i"))
-    return rules.in_order(d, "i", 1, rules.presence_changes("row_id", "i"), "row_id long, last long", "r3")
+    return rules.in_order(d, "i", 1, rules.presence_changes("row_id", "i"), "row_id long, last long", "r3", keys=["row_id"])
 
 
 @query("r4_refractory_alarms", """with recursive cd as (select distinct event_type as key, time_bucket(interval '30 minutes', ts) as t from events where value > 20),
@@ -49,7 +49,7 @@ al as (select key, min(t) as t from cd group by 1 union all select al.key, nx.nt
 def refractory_alarms(t):
     half = F.floor(F.unix_micros("at") / 1_800_000_000) * 1_800_000_000
     d = stream(t).filter("value > 20").select(F.col("event_type").alias("key"), half.alias("us"))
-    out = rules.in_order(d, "us", LATE_US, rules.refractory("key", "us", 7_200_000_000), "key string, last long", "r4")
+    out = rules.in_order(d, "us", LATE_US, rules.refractory("key", "us", 7_200_000_000), "key string, last long", "r4", keys=["key"])
     return out.select("key", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"))
 
 
@@ -69,7 +69,7 @@ def first_receipts(t):
     received = (F.when(F.col("event_id") % 7 == 0, F.col("us") - minute).when(F.col("value") > 60, F.col("us") + 180 * minute)
                 .otherwise(F.col("us") + F.floor("value") * minute))
     d = stream(t).filter("value is not null").withColumn("us", F.unix_micros("at")).withColumn("received", received).select("user_id", "event_type", "event_id", "us", "received")
-    out = rules.in_order(d, "received", LATE_US, rules.first_receipts(["user_id", "event_type"], "us", "received", 60 * minute, "event_id"), "user_id long, event_type string", "r6")
+    out = rules.in_order(d, "received", LATE_US, rules.first_receipts(["user_id", "event_type"], "us", "received", 60 * minute, "event_id"), "user_id long, event_type string", "r6", keys=["user_id", "event_type"], append=True)
     return out.select("user_id", "event_type", "event_id", F.timestamp_micros("received").cast("timestamp_ntz").alias("received"))
 
 
@@ -86,7 +86,7 @@ with d as (select distinct event_type as key, ts, user_id % 4 as setter from eve
 s as (select *, last_value(case when sw then ts end ignore nulls) over (partition by key order by ts, setter rows unbounded preceding) as since from c) select key, ts as t, setter, date_diff('microsecond', since, ts) as age_us from s""")
 def setter_age(t):
     d = stream(t).select(F.col("event_type").alias("key"), F.unix_micros("at").alias("us"), (F.col("user_id") % 4).alias("setter"))
-    out = rules.in_order(d, "us", LATE_US, rules.switch_age("key", "us", "setter"), "key string, setter long, since long", "r8")
+    out = rules.in_order(d, "us", LATE_US, rules.switch_age("key", "us", "setter"), "key string, setter long, since long", "r8", keys=["key"])
     return out.select("key", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"), "setter", "age_us")
 
 

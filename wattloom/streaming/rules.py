@@ -7,6 +7,7 @@ Rules that need time order are run by ``in_order``, which holds rows until they
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.lookups import recently
 from ..operators.revisions import latest
 from ..operators.sequence import last_known, previous
-from ..session import shared_folder
+from ..session import cut, shared_folder
 
 BUCKETS = 64
+MERGE = 16               # epochs of a bucket that is appended to, before they become one
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int | None = None) -> DataFrame:
@@ -61,7 +63,8 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: str, late: str) -> Dat
 Rule = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def in_order(df: DataFrame, t: str, late: int, rule: Rule, kept: str, purpose: str, root: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, t: str, late: int, rule: Rule, kept: str, purpose: str, root: str | None = None, *, keys: list[str], append: bool = False,
+             buckets: int = BUCKETS) -> DataFrame:
     """Apply ``rule`` to the rows of a stream in the order of the long column t, however they arrive.
 
     Each batch joins the rows still waiting; those at most ``late`` below the newest stamp seen go on
@@ -69,37 +72,63 @@ def in_order(df: DataFrame, t: str, late: int, rule: Rule, kept: str, purpose: s
     ``kept``), which are one or few a key.  A row at or below the horizon of an earlier batch is too late
     and goes to the folder ``late``; rows with a null stamp too.  At the end of the input the waiting rows are flushed.
 
-    Horizon, waiting and kept rows are written by epoch in the shared folder; an epoch that is run again
-    starts from its forerunner's, so a restart with the same ``root`` changes nothing.
+    The cost of a batch follows the batch.  Waiting rows are written once, by the epoch they came in, and read
+    again only while the horizon passes them.  Kept rows lie in buckets of the hash of ``keys``; a batch reads and rewrites the
+    buckets that its ready rows touch.  With ``append`` the rule gives only what is new to keep, and a bucket's rows are those of its
+    epochs together; after MERGE of them they become one.
+
+    Horizon, waiting epochs and the epochs of the buckets (one small row) are written by epoch in the shared folder; an epoch that is
+    run again starts from its forerunner's, so a restart with the same ``root`` changes nothing.
     """
     spark = df.sparkSession
     root = root or shared_folder(spark, purpose)
+    empty = spark.createDataFrame([], kept)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def state(epoch: int) -> tuple[DataFrame, DataFrame, int | None]:
+    def state(epoch: int) -> tuple[int | None, dict[int, int], dict[int, list[int]]]:
+        """Horizon, newest stamp by waiting epoch, epochs by bucket."""
         if epoch < 0:
-            return spark.createDataFrame([], df.schema), spark.createDataFrame([], kept), None
-        at = f"{root}/state/epoch={epoch}"
-        horizon = spark.read.schema("horizon long, epoch_done long").parquet(f"{at}/horizon").first()[0]
-        return spark.read.schema(df.schema).parquet(f"{at}/waiting"), spark.read.schema(kept).parquet(f"{at}/kept"), horizon
+            return None, {}, {}
+        row = spark.read.schema("horizon long, waiting string, places string").parquet(f"{root}/state/epoch={epoch}").first()
+        return row[0], {int(k): v for k, v in json.loads(row[1]).items()}, {int(k): v for k, v in json.loads(row[2]).items()}
+
+    def carried(places: dict[int, list[int]], touched: list[int]) -> DataFrame:
+        paths = [f"{root}/kept/epoch={e}/_bucket={b}" for b in touched for e in places.get(b, [])]
+        return spark.read.schema(kept).parquet(*paths) if paths else empty
 
     def advance(rows: DataFrame, epoch: int, flush: bool) -> None:
-        waiting, carried, horizon = state(epoch - 1)
+        horizon, waiting, places = state(epoch - 1)
         past = F.lit(False) if horizon is None else F.col(t) <= horizon
         late_rows = F.col(t).isNull() | past
         rows.filter(late_rows).write.mode("overwrite").parquet(f"{root}/late/epoch={epoch}")
-        both = rows.filter(~F.coalesce(late_rows, F.lit(True))).unionByName(waiting)
-        newest = both.agg(F.max(t)).first()[0]
+        rows = rows.filter(~F.coalesce(late_rows, F.lit(True)))
+        newest = max([x for x in (rows.agg(F.max(t)).first()[0], *waiting.values()) if x is not None], default=None)
         if newest is None:
             until = horizon
         else:
             until = newest if flush else max(newest - late, horizon) if horizon is not None else newest - late
-        ready = both.filter(F.lit(False) if until is None else F.col(t) <= until)
-        out, keep = rule(ready, carried)
-        at = f"{root}/state/epoch={epoch}"
+        ready = rows.filter(F.lit(False) if until is None else F.col(t) <= until)
+        rest = rows.filter(F.lit(True) if until is None else F.col(t) > until)
+        if waiting and until is not None:
+            old = spark.read.schema(df.schema).parquet(*[f"{root}/waiting/epoch={e}" for e in waiting])
+            ready = ready.unionByName(old.filter((F.col(t) <= until) & (F.lit(True) if horizon is None else F.col(t) > horizon)))
+        ready = cut(ready, f"{purpose}-ready")
+        touched = sorted(r[0] for r in ready.select(bucket).distinct().collect())                  # at most ``buckets`` numbers
+        out, keep = rule(ready, carried(places, touched))
         out.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
-        keep.write.mode("overwrite").parquet(f"{at}/kept")
-        both.filter(F.lit(True) if until is None else F.col(t) > until).write.mode("overwrite").parquet(f"{at}/waiting")
-        spark.createDataFrame([(until, epoch)], "horizon long, epoch_done long").write.mode("overwrite").parquet(f"{at}/horizon")
+        merge = [b for b in touched if append and len(places.get(b, [])) >= MERGE]
+        if merge:
+            keep = keep.unionByName(carried(places, merge))
+        keep.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/kept/epoch={epoch}")
+        written = {r[0] for r in spark.read.schema(f"{kept}, _bucket int").parquet(f"{root}/kept/epoch={epoch}").select("_bucket").distinct().collect()}
+        for b in touched:
+            before = places.get(b, []) if append and b not in merge else []
+            places[b] = before + [epoch] * (b in written)
+        rest.write.mode("overwrite").parquet(f"{root}/waiting/epoch={epoch}")
+        top = spark.read.schema(df.schema).parquet(f"{root}/waiting/epoch={epoch}").agg(F.max(t)).first()[0]
+        waiting = {e: x for e, x in {**waiting, epoch: top}.items() if x is not None and (until is None or x > until)}
+        row = [(until, json.dumps(waiting), json.dumps(places))]
+        spark.createDataFrame(row, "horizon long, waiting string, places string").write.mode("overwrite").parquet(f"{root}/state/epoch={epoch}")
         seen["last"] = max(seen["last"], epoch)
 
     seen = {"last": -1}
@@ -109,17 +138,17 @@ def in_order(df: DataFrame, t: str, late: int, rule: Rule, kept: str, purpose: s
     if seen["last"] >= 0:
         advance(spark.createDataFrame([], df.schema), seen["last"] + 1, True)
         return spark.read.parquet(f"{root}/out").drop("epoch")
-    return rule(*state(-1)[:2])[0]
+    return rule(spark.createDataFrame([], df.schema), empty)[0]
 
 
 def first_receipts(keys: list[str], t: str, received: str, stale_us: int, tie: str) -> Rule:
     """The first receipt of a key stands, by (received, tie); receipts of the future or older than
-    ``stale_us`` when received are left out.  Kept: the keys that have one."""
+    ``stale_us`` when received are left out.  Kept, by appending: the keys that have one."""
     def rule(ready, kept):
         ok = ready.filter((F.col(t) <= F.col(received)) & (F.col(t) >= F.col(received) - stale_us))
         firsts = latest(ok.withColumns({"_r": -F.col(received), "_i": -F.col(tie)}), keys, ["_r", "_i"]).drop("_r", "_i")
         new = firsts.join(kept, keys, "left_anti")
-        return new, kept.unionByName(new.select(*keys))
+        return new, new.select(*keys)
     return rule
 
 
