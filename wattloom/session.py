@@ -47,15 +47,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back.
+def cut(df: DataFrame, purpose: str = "cut", codec: str | None = None) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back; codec is Parquet's, the session's own if None.
 
     Used where one result feeds several later scans, so that a lost executor
     replays a file read and not the whole upstream plan.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
