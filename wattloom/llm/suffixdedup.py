@@ -33,9 +33,15 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut as _cut
 from .common import free_names
 
+
+def cut(df: DataFrame, purpose: str) -> DataFrame:
+    """Texts and sorted keys are written by zstd, which halves them."""
+    return _cut(df, purpose, "zstd")
+
+
 LENGTH = 400
 ANCHOR = 160
 TRIGGER = 12
@@ -117,15 +123,14 @@ def anchors(data: np.ndarray, parts, length: int = LENGTH, anchor: int = ANCHOR)
 def _anchor_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            k1 = b.column("k1").to_numpy(zero_copy_only=False)
             body = (x.as_py() for x in b.column("text"))
             for data, parts in pieces(body, length):
-                own, place, h, first, last = anchors(data, parts, length, anchor)
+                own, place, h, _, _ = anchors(data, parts, length, anchor)
                 row = np.array([p[0] for p in parts])[own]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], place, h, first, last)],
-                                                 names=["k1", "k2", "place", "h", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], place, h)], names=["k1", "place", "h"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, place long, h long, first long, last long")
+    return texts.select("k1", "text").mapInArrow(run, "k1 long, place long, h long")
 
 
 def _runs(first, last):
@@ -148,7 +153,7 @@ def _shared(marks: DataFrame) -> DataFrame:
     """The rows of marks whose hash another place has too; those at the ends of tasks stay, where that is not known.
 
     Copies of one text stand next to each other and say nothing about one another: one row of them at least stays."""
-    order = ("h", "k1", "k2", "place")
+    order = ("h", "k1", "place")
 
     def run(batches):
         held, met = None, True                      # the last row so far, and whether it is known to stay
@@ -175,14 +180,22 @@ def triggers(text: bytes, trigger: int, every: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _stretches(found: DataFrame, length: int) -> DataFrame:
+def _stretches(found: DataFrame, length: int, anchor: int) -> DataFrame:
     """(u, start, body, lo, hi): candidate bytes of each text in disjoint stretches, and in each the ranges of candidate starts."""
     def run(batches):
         for b in batches:
             out = [[] for _ in range(5)]
             for i in range(b.num_rows):
-                u, text = b.column("u")[i].as_py(), b.column("text")[i].as_py()
-                a, z = _runs(b.column("first")[i].values.to_numpy(), b.column("last")[i].values.to_numpy())
+                u, text, shared = b.column("u")[i].as_py(), b.column("text")[i].as_py(), b.column("places")[i].values.to_numpy()
+                first, last = [], []
+                for data, parts in pieces([text], length):
+                    _, place, _, a, z = anchors(data, parts, length, anchor)
+                    mine = np.isin(place, shared)
+                    first.append(a[mine])
+                    last.append(z[mine])
+                if not sum(map(len, first)):
+                    continue
+                a, z = _runs(np.concatenate(first), np.concatenate(last))
                 begin, end = _merged(a, z, length)
                 cuts = np.searchsorted(a, begin).tolist() + [len(a)]
                 for k, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
@@ -191,7 +204,7 @@ def _stretches(found: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["u", "start", "body", "lo", "hi"])
 
-    return found.select("u", "text", "first", "last").mapInArrow(run, "u long, start long, body binary, lo array<long>, hi array<long>")
+    return found.select("u", "text", "places").mapInArrow(run, "u long, start long, body binary, lo array<long>, hi array<long>")
 
 
 def _phrases(parts: DataFrame, length: int, trigger: int, every: int) -> DataFrame:
@@ -433,7 +446,9 @@ def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
             x = [c[keep] for c in x]
             lone = ~(same_before | same_after)[keep]
             k = np.where(lone, kind[keep] | 4, kind[keep])         # 1: first of a partition, 2: last, 4: not yet repeated
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3], x[4], x[5], ~same_before[keep], k, x[0], x[1], x[2])], names=names)
+            # keys are of use at the ends of tasks and for cores only
+            use = [np.where((k > 0) | (x[5] < 0), c, 0) for c in (x[0], x[1], x[2])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3], x[4], x[5], ~same_before[keep], k, *use)], names=names)
 
         def flags(x):
             same = (x[0][1:] == x[0][:-1]) & (x[2][1:] == x[2][:-1])
@@ -513,14 +528,14 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trig
     assert every % fine == 0 and trigger < length // 2 and anchor < length
     texts = _keyed(docs.filter(F.octet_length("text") >= length)).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     marks = cut(_anchor_rows(texts, length, anchor), "anchors")
-    wanted = _shared(marks).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_s"))
-    wanted = cut(wanted, "wanted")
+    # a text that shares its first hash with another one only gets more candidates than it has
+    wanted = cut(_shared(marks).groupBy("k1").agg(F.array_sort(F.collect_set("place")).alias("places")), "wanted")
     if wanted.count() <= most_keys:
-        texts = texts.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
+        texts = texts.join(F.broadcast(wanted.select("k1")), "k1", "left_semi")
     once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    found = once.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", F.col("_s.first").alias("first"), F.col("_s.last").alias("last"))
+    found = once.join(wanted.hint("merge"), "k1").select("k1", "k2", "text", "places")
     found = cut(found.withColumn("u", F.monotonically_increasing_id()), "candidates")
-    parts = cut(_stretches(found, length).withColumn("v", F.monotonically_increasing_id()), "parts")
+    parts = cut(_stretches(found, length, anchor).withColumn("v", F.monotonically_increasing_id()), "parts")
 
     phrases = cut(_phrases(parts, length, trigger, every), "phrases")
     names = running(phrases.groupBy("phrase").agg(F.count("*").alias("c")), ["phrase"], ["c"], "sorted-phrases")
