@@ -79,19 +79,29 @@ def feature_screen(df: DataFrame, features: list[str], parents: dict[str, list[s
     """Drop mostly null, constant and near-duplicate features, then restore parents of
     what is kept.  The rank correlations are Spark jobs; the keep rule runs on the driver
     over one number per feature pair."""
-    from .ranks import rank_correlation
+    from ..session import cut
+    from .ranks import average_ranks, rank_correlation
     one = df.agg(*[F.avg(F.when(F.col(f).isNull(), 1.0).otherwise(0.0)).alias(f"n_{f}") for f in features],
                  *[(F.min(f) == F.max(f)).alias(f"c_{f}") for f in features]).first()
     usable = [f for f in features if one[f"n_{f}"] <= null_share and not one[f"c_{f}"]]
     keep: list[str] = []
     reason = {f: ("null" if one[f"n_{f}"] > null_share else "constant") for f in features if f not in usable}
     rho = {}
-    pairs = [(a, b) for i, b in enumerate(usable) for a in usable[:i]]
+    whole = [f for f in usable if one[f"n_{f}"] == 0]
+    if len(whole) > 1:
+        # features without nulls are ranked once: a row becomes a row a feature and comes back with its ranks
+        d = cut(df.select(*[F.col(f).cast("double").alias(f) for f in whole]).withColumn("_row", F.monotonically_increasing_id()), "screened")
+        long = d.unpivot(["_row"], whole, "_f", "_x")
+        ranked = long.join(average_ranks(long, ["_f"], "_x", "_rank"), ["_f", "_x"]).groupBy("_row").pivot("_f", whole).agg(F.first("_rank"))
+        both = [(a, b) for i, b in enumerate(whole) for a in whole[:i]]
+        got = ranked.agg(F.count("*").alias("n"), *[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"r{k}") for k, (a, b) in enumerate(both)]).first()
+        rho = {p: abs(got[f"r{k}"] or 0.0) if got["n"] >= 20 else 0.0 for k, p in enumerate(both)}
+    pairs = [(a, b) for i, b in enumerate(usable) for a in usable[:i] if (a, b) not in rho]
     if pairs:
-        # one long table keyed by pair, so the number of shuffles does not grow with the features
+        # ranks of the others are over the rows that a pair has in common: one long table keyed by pair
         cells = F.array(*[F.struct(F.lit(k).alias("_pair"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for k, (a, b) in enumerate(pairs)])
         long = df.select(F.explode(cells).alias("_s")).select("_s.*").filter("_x is not null and _y is not null")
-        rho = {pairs[r["_pair"]]: abs(r["rho"] or 0.0) for r in rank_correlation(long, ["_pair"], "_x", "_y").collect()}      # one number a pair
+        rho |= {pairs[r["_pair"]]: abs(r["rho"] or 0.0) for r in rank_correlation(long, ["_pair"], "_x", "_y").collect()}      # one number a pair
     for f in usable:
         twin = next((a for a in keep if rho.get((a, f), 0.0) > same), None)
         if twin is None:
