@@ -59,6 +59,19 @@ def test_contamination_by_hand(spark, bench):
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, list(r.items), r.contaminated) for r in other.collect())) == got
 
 
+def test_contamination_of_long_texts(spark, bench):
+    """A passage at the end of a text of 20,000 words, on both sides of the broadcast's size."""
+    items, bench = bench
+    items = dict(items)
+    item = 5
+    text = "filler " * 20_000 + items[item]
+    docs = table(spark, [(1, text), (2, "filler " * 20_000), (3, None)])
+    for most in (10 ** 6, 0):
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, broadcast_windows=most).collect()}
+        assert got[1].n_hit == len(WORD.findall(low(items[item]))) and str(item) in got[1]["items"] and not got[1].contaminated
+        assert got[2].n_hit == got[3].n_hit == 0 and got[3].n_words == 0
+
+
 def test_spans_are_cut(spark, bench):
     items, b = bench
     one = b.filter("item_id = 5")

@@ -562,7 +562,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trig
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = True, **options) -> DataFrame:
-    """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the bytes left, binary)."""
+    """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the bytes left, binary); without
+    keep_text the column text goes.  Columns of docs that have one of these names are replaced, all others stay."""
     k1, k2, sha, kept = free_names(docs, "_k1", "_k2", "_sha", "_kept")
     found = repeats(docs.select("text"), length=length, **options)
 
