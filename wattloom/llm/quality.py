@@ -189,9 +189,13 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
     for r in coded.coalesce(PARTS).mapInArrow(count, "c binary").collect():        # one table from each of PARTS tasks
         counts += np.frombuffer(r[0]).reshape(counts.shape)
     scale, n = scales(counts[:, :DIM], counts[:, DIM]), counts[:, DIM].sum()
-    weights, thresholds = np.zeros(DIM), np.linspace(-1.0, 1.0, top)
+    thresholds = np.linspace(-1.0, 1.0, top)
     if not n:
-        return Ordinal(weights, thresholds, scale)
+        return Ordinal(np.zeros(DIM), thresholds, scale)
+    # the fit is over the places that take part, numbered anew, so that a step's sums are small
+    active = np.nonzero(scale > 0)[0]
+    weights, number = np.zeros(len(active)), np.cumsum(scale > 0, dtype=np.int32) - 1
+    size = len(active)
 
     def select(batches):
         for b in batches:
@@ -200,17 +204,17 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
             keep = scale[flat] > 0
             row = np.repeat(np.arange(len(length)), length)[keep]
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(length)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[keep], (value * scale[flat])[keep])]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (number[flat[keep]], (value * scale[flat])[keep])]
             yield pa.RecordBatch.from_arrays([b.column("grade"), *lists], names=["grade", "at", "value"])
 
     few = cut(coded.coalesce(PARTS).mapInArrow(select, "grade int, at array<int>, value array<double>"), "rated")
-    mean, square = np.zeros(DIM + top), np.zeros(DIM + top)
+    mean, square = np.zeros(size + top), np.zeros(size + top)
     for i in range(1, steps + 1):
-        state = spark.sparkContext.broadcast((weights, thresholds))                # DIM + top doubles
+        state = spark.sparkContext.broadcast((weights, thresholds))                # at most DIM + top doubles
 
         def step(batches):
             w, t = state.value
-            total = np.zeros(DIM + top)
+            total = np.zeros(size + top)
             for b in batches:
                 if b.num_rows:
                     at, value = b.column("at"), b.column("value").flatten().to_numpy()
@@ -218,17 +222,19 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, *, sample: int = SAMPLE,
                     row = np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy())
                     score = np.bincount(row, w[flat] * value, minlength=b.num_rows)
                     by_score, by_t, _ = gradient(score, b.column("grade").to_numpy().astype(np.int64), t)
-                    total[:DIM] += np.bincount(flat, by_score[row] * value, minlength=DIM)
-                    total[DIM:] += by_t
+                    total[:size] += np.bincount(flat, by_score[row] * value, minlength=size)
+                    total[size:] += by_t
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["g"])
 
         g = sum(np.frombuffer(r[0]) for r in few.coalesce(PARTS).mapInArrow(step, "g binary").collect()) / n
-        g[:DIM] += PENALTY * weights
+        g[:size] += PENALTY * weights
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         move = RATE * mean / (1 - 0.9 ** i) / (np.sqrt(square / (1 - 0.99 ** i)) + 1e-8)
-        weights, thresholds = weights - move[:DIM], np.sort(thresholds - move[DIM:])
+        weights, thresholds = weights - move[:size], np.sort(thresholds - move[size:])
         state.destroy()
-    return Ordinal(weights, thresholds, scale)
+    whole = np.zeros(DIM)
+    whole[active] = weights
+    return Ordinal(whole, thresholds, scale)
 
 
 def rate(docs: DataFrame, model: Ordinal, tail: int, names: tuple[str, str] = ("expected_grade", "tail")) -> DataFrame:
