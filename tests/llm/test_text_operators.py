@@ -72,6 +72,18 @@ def test_contamination_of_long_texts(spark, bench):
         assert got[2].n_hit == got[3].n_hit == 0 and got[3].n_words == 0
 
 
+def test_contamination_of_texts_full_of_hits(spark, bench):
+    """Every word of 200,000 is hit; texts are split and hashed once, not once a place."""
+    items, bench = bench
+    item = dict(items)[5]
+    n = len(WORD.findall(low(item)))
+    times = 200_000 // n
+    docs = table(spark, [(1, (item + " ") * times)])
+    for most in (10 ** 6, 0):
+        r, = decontaminate.contamination(docs, bench.filter("item_id = 5"), broadcast_windows=most).collect()
+        assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n * times, n * times, ["5"], True)
+
+
 def test_spans_are_cut(spark, bench):
     items, b = bench
     one = b.filter("item_id = 5")

@@ -37,7 +37,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, *, broadcast_windows: int =
         lengths = [1]
     hashes = windows.select("hash").distinct()
     few = hashes.count() <= broadcast_windows
-    d = docs.select("doc_id", "text", words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w")).withColumn("n", F.size("w"))
+    # the digest is taken once a text, here: above the explode it would be taken once a window
+    d = docs.select("doc_id", F.md5("text").alias("digest"), words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w")).withColumn("n", F.size("w"))
     # no filter on n: it would be pushed below the split and split every text twice
     d = d.withColumn("i", F.explode(F.when(F.col("n") >= min(lengths), F.sequence(F.lit(0), F.col("n") - min(lengths)))))
     length = F.lit(lengths[0])
@@ -49,15 +50,16 @@ def occurrences(docs: DataFrame, windows: DataFrame, *, broadcast_windows: int =
     d = d.withColumn("hash", _window(F.col("w"), F.col("i"), F.col("length")))
     words = F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ").alias("words")
     if few:
-        hit = d.join(F.broadcast(hashes), "hash", "left_semi").withColumn("start", F.col("i")).select("doc_id", F.md5("text").alias("digest"), "start", "length", "hash", words).distinct()
+        hit = d.join(F.broadcast(hashes), "hash", "left_semi").withColumn("start", F.col("i")).select("doc_id", "digest", "start", "length", "hash", words).distinct()
     else:
         key, own = ["doc_id", "digest"], ["_d", "_g"]
-        thin = d.select("doc_id", F.md5("text").alias("digest"), F.col("i").alias("start"), "length", "hash").filter("hash is not null and length is not null")
+        thin = d.select("doc_id", "digest", F.col("i").alias("start"), "length", "hash").filter("hash is not null and length is not null")
         places = thin.join(hashes.hint("merge"), "hash", "left_semi").distinct()
         places = places.groupBy(*key).agg(F.collect_list(F.struct("start", "length", "hash")).alias("_at")).toDF(*own, "_at")
         again = docs.select("doc_id", F.md5("text").alias("digest"), "text")
         again = again.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).dropDuplicates(key)
-        again = again.select(*key, words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w"), F.explode("_at").alias("_p"))
+        # words below the explode, so that a text is split once and not once a place
+        again = again.select(*key, words_of(ascii_lower(F.col("text")), NO_ALNUM).alias("w"), "_at").select(*key, "w", F.explode("_at").alias("_p"))
         hit = again.select(*key, "_p.*", "w").select(*key, "start", "length", "hash", words)
     return hit.join(windows, ["length", "hash", "words"]).select("doc_id", "digest", "start", "length", "item_id")
 
