@@ -29,6 +29,16 @@ def month_start(t: Column) -> Column:
     return F.date_trunc("month", t).cast("timestamp_ntz")
 
 
+def month_number(t: Column) -> Column:
+    """Months since year 0 of a stamp."""
+    return F.year(t) * 12 + F.month(t) - 1
+
+
+def month_of_number(n: Column) -> Column:
+    """Start of the month with that number."""
+    return F.make_date(F.floor(n / 12).cast("int"), F.pmod(n, F.lit(12)) + 1, F.lit(1)).cast("timestamp_ntz")
+
+
 def quarter_start(t: Column) -> Column:
     return F.date_trunc("quarter", t).cast("timestamp_ntz")
 
