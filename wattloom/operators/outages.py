@@ -150,9 +150,9 @@ def key_levels(units: DataFrame, levels: dict[str, Column], episode: str, minimu
 
 
 def offset_profile(anchors: DataFrame, series: DataFrame, keys: list[str], t: str, value: str, lo: int, hi: int, step: str, by: list[str]) -> DataFrame:
-    """Mean value by offset around anchors."""
+    """Mean value by offset around anchors.  The planner sizes the anchors without their offsets, so a broadcast of them is ruled out."""
     a = anchors.withColumn("offset", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(t, F.col("anchor_time") + F.col("offset") * F.expr(f"interval {step}"))
-    d = a.join(series.select(*keys, t, value), [*keys, t])
+    d = a.hint("merge").join(series.select(*keys, t, value), [*keys, t])
     return d.groupBy(*by, "offset").agg(F.avg(value).alias("share"), F.count(value).alias("n"))
 
 
@@ -206,7 +206,7 @@ def isolated_effects(bookings: DataFrame, series: DataFrame, bid: str, keys: lis
     lone = bookings.join(busy, bid, "left_anti")
     lags = lone.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(cycles)))).withColumn("_o", F.explode(F.sequence(F.lit(-before), F.lit(after - 1))))
     at = F.col(start) - F.col("lag") * F.expr(f"interval {cycle}") + F.col("_o") * w
-    d = lags.withColumn(t, at).join(series.select(*keys, t, value), [*keys, t])
+    d = lags.withColumn(t, at).hint("merge").join(series.select(*keys, t, value), [*keys, t])   # sized without its windows, so never broadcast
     pre, post = F.when(F.col("_o") < 0, F.col(value)), F.when(F.col("_o") >= 0, F.col(value))
     win = d.groupBy(bid, "lag").agg(F.avg(pre).alias("_a"), F.avg(post).alias("_b")).filter("_a is not null and _b is not null").withColumn("_d", F.col("_b") - F.col("_a"))
     own = win.filter("lag = 0").select(bid, F.col("_d").alias("change"))

@@ -202,7 +202,7 @@ def episodes_touching(t):
 select fam, "offset", count(*) as n, round(quantile_cont(share, 0.25), 6) as p25, round(quantile_cont(share, 0.5), 6) as median, round(quantile_cont(share, 0.75), 6) as p75 from u group by 1, 2""")
 def event_curve_summary(t):
     a = t.orders.select(F.col("o_custkey").alias("link"), F.col("o_orderdate").alias("att"), F.explode(F.array(F.col("o_orderstatus"), F.lit("pooled"))).alias("fam")).withColumn("offset", F.explode(F.sequence(F.lit(-3), F.lit(3))))
-    d = a.withColumn("time", F.col("att") + F.make_dt_interval(days=F.col("offset"))).join(po.share_layer(t), ["link", "time"])
+    d = a.withColumn("time", F.col("att") + F.make_dt_interval(days=F.col("offset"))).hint("merge").join(po.share_layer(t), ["link", "time"])   # sized without its offsets
     return rounded(ranks.quantiles(d, ["fam", "offset"], "share", {"p25": 0.25, "median": 0.5, "p75": 0.75}).withColumnRenamed("n_values", "n"), ["p25", "median", "p75"])
 
 
