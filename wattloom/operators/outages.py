@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import joined
 from .lookups import covered
@@ -73,24 +73,25 @@ def matched_pairs(treated: DataFrame, controls: DataFrame, unit: list[str], link
     """Up to k controls per treated unit within ``days``, exact strata first, then coarser.
 
     treated: unit, link, t, slot, strata columns; controls: link, control_time, slot,
-    strata columns.  The join key is the whole stratum plus a time bucket, so candidates
-    per unit are bounded by the calendar, and each level only sees what the finer left."""
+    strata columns.  The join key is the strata that all levels share plus a time bucket, so candidates
+    per unit are bounded by the calendar; a candidate has the first level whose strata agree, and a unit keeps
+    those of its first level.  All levels share one join and one ranking."""
     step = 24 * days
-    left, out = treated, []
-    for name, on in levels.items():
-        t3 = left.withColumns({"_b": F.explode(F.sequence(time_chunk(F.col(t), step) - 1, time_chunk(F.col(t), step) + 1))}).withColumn("_off", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))))
-        t3 = t3.withColumn("_slot", F.pmod(F.col(slot) + F.col("_off"), F.lit(slots)))
-        strata = list(dict.fromkeys([link, *on, "fams"]))
-        c = controls.select(*[F.col(x).alias(f"_c_{x}") for x in strata], F.col("control_time"), F.col(slot).alias("_cslot"), time_chunk(F.col("control_time"), step).alias("_cb"))
-        cond = (F.col("_b") == F.col("_cb")) & (F.col("_slot") == F.col("_cslot")) & (F.col(link) == F.col(f"_c_{link}"))
-        for x in on:
-            cond = cond & (F.col(x) == F.col(f"_c_{x}"))
-        near = F.abs(micros(F.col(t)) - micros(F.col("control_time"))) <= days * 86_400_000_000
-        pairs = t3.join(c, cond).filter(near & extra).withColumn("_h", hash_order([*unit, "control_time"], seed))
-        best = top_k(pairs, unit, [F.abs("_off"), F.col("_h"), F.col("control_time")], k).select(*dict.fromkeys([*unit, link, t]), "control_time", F.lit(name).alias("match_type"))
-        out.append(best)
-        left = left.join(best.select(*unit).distinct(), unit, "left_anti")
-    return reduce(DataFrame.unionByName, out)
+    shared = [c for c in next(iter(levels.values())) if all(c in on for on in levels.values())]
+    strata = list(dict.fromkeys([link, *[c for on in levels.values() for c in on], "fams"]))
+    c = controls.select(*[F.col(x).alias(f"_c_{x}") for x in strata], F.col("control_time"), F.col(slot).alias("_cslot"), time_chunk(F.col("control_time"), step).alias("_cb"))
+    t3 = treated.withColumn("_b", F.explode(F.sequence(time_chunk(F.col(t), step) - 1, time_chunk(F.col(t), step) + 1)))
+    cond = F.col("_b") == F.col("_cb")
+    for x in dict.fromkeys([link, *shared]):
+        cond = cond & (F.col(x) == F.col(f"_c_{x}"))
+    off = F.when(F.col(slot) == F.col("_cslot"), 0).when((F.pmod(F.col(slot) + 1, F.lit(slots)) == F.col("_cslot")) | (F.pmod(F.col(slot) - 1, F.lit(slots)) == F.col("_cslot")), 1)
+    level = F.coalesce(*[F.when(reduce(Column.__and__, [F.col(x) == F.col(f"_c_{x}") for x in on], F.lit(True)), i) for i, on in enumerate(levels.values())])
+    near = F.abs(micros(F.col(t)) - micros(F.col("control_time"))) <= days * 86_400_000_000
+    pairs = t3.join(c, cond & near & extra).withColumns({"_off": off, "_l": level}).filter("_off is not null and _l is not null").withColumn(
+        "_h", hash_order([*unit, "control_time"], seed))
+    best = top_k(pairs, unit, [F.col("_l"), F.col("_off"), F.col("_h"), F.col("control_time")], k)
+    best = best.withColumn("_first", F.min("_l").over(Window.partitionBy(*unit))).filter(F.col("_l") == F.col("_first"))
+    return best.select(*dict.fromkeys([*unit, link, t]), "control_time", F.get(F.array(*[F.lit(n) for n in levels]), F.col("_l")).alias("match_type"))
 
 
 def unit_effects(pairs: DataFrame, values: DataFrame, unit: list[str], link: str, t: str, value: str) -> DataFrame:

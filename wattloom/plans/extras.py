@@ -224,7 +224,7 @@ def diurnal_effect(t):
 cb as (select pr.f, sum(anyb::int / nc) as c from pr join nc on nc.f = pr.f and nc.link = pr.link and nc.time = pr.time join ly on ly.link = pr.link and ly.time = control_time group by 1)
 select f, u as n_units, round(tb, 6) as any_treated, round(c / u, 6) as any_control, case when f <= 3 then 'relevant' else 'spillover' end as relation from tr2 join cb using (f)""")
 def any_binding_footprint(t):
-    pr = cut(po.pairs(t), "pairs")
+    pr = po.pairs(t)
     b = t.lineitem.groupBy(F.col("l_suppkey").alias("link"), F.col("l_shipdate").alias("time")).agg((F.max("l_tax") > 0.05).cast("double").alias("s")).withColumn("eq", F.lit(1))
     d = ou.family_shares(pr, b, ["f", "link", "time"], ["f"], "link", "time", "eq", "s", 1)
     n = pr.select("f", "link", "time").distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n_units"))
@@ -278,11 +278,8 @@ def pair_effects(t):
 @query("x36_embargo_confirmation", f"""with {po.PANEL}, t1 as (select * from tt where time <= timestamp '1999-01-01' - interval 21 days), {po.matched_sql('tt', 'a')}, {po.matched_sql('t1', 'b')}
 select a.f, quantile_cont(a.effect, 0.5) as full_effect, (select quantile_cont(effect, 0.5) from unb where unb.f = a.f) as embargoed, (select count(*) from unb where unb.f = a.f) as n_embargoed from una a group by 1""")
 def embargo_confirmation(t):
-    tr = po.treated_rows(t)
-    early = tr.filter(F.col("time") <= ts("1999-01-01") - F.expr("interval 21 days"))
-    p = po.panel(t)
-    a = ou.unit_effects(po.pairs(t, tr), p, ["f"], "link", "time", "v")
-    b = ou.unit_effects(po.pairs(t, early), p, ["f"], "link", "time", "v")
+    a = po.units(t)
+    b = a.filter(F.col("time") <= ts("1999-01-01") - F.expr("interval 21 days"))   # a unit is matched by itself, so early units keep their controls
     x = ranks.quantiles(a, ["f"], "effect", {"full_effect": 0.5}).drop("n_values")
     y = ranks.quantiles(b, ["f"], "effect", {"embargoed": 0.5}).withColumnRenamed("n_values", "n_embargoed")
     return x.join(y, "f", "left").withColumn("n_embargoed", F.coalesce("n_embargoed", F.lit(0)))

@@ -9,7 +9,6 @@ from ..operators import lookups as lk
 from ..operators import outages as op
 from ..operators import resample
 from ..operators import windows as win
-from ..session import cut
 from .aggregates import rounded
 from .cleaning import BOOK, bookings
 from .joins import CHAIN, chain
@@ -174,18 +173,24 @@ def control_rows(t):
     return p.withColumns({"sig": F.col("fams"), "cnt": _count("fams"), "control_time": F.col("time")})
 
 
-LEVELS = {"exact": ["season", "daytype", "sig"], "coarse": ["daytype", "cnt"]}
+# Equal signatures have equal counts; naming the count in both levels makes it part of their join.
+LEVELS = {"exact": ["season", "daytype", "sig", "cnt"], "coarse": ["daytype", "cnt"]}
 
 
 def pairs(t, treated=None):
-    tr = treated_rows(t) if treated is None else treated
+    """Matched pairs; those of all treated rows feed units and counts, so they are written once."""
+    return t.once("pairs", lambda t: _pairs(t, treated_rows(t))) if treated is None else _pairs(t, treated)
+
+
+def _pairs(t, tr):
     free = ~F.array_contains(F.split("_c_fams", r"\|"), F.col("f").cast("string"))
-    tr = tr.drop("fams")
+    tr = tr.select("f", "link", "time", "slot", *dict.fromkeys(c for on in LEVELS.values() for c in on))
     return op.matched_pairs(tr, control_rows(t), ["f", "link", "time"], "link", "time", 60, LEVELS, "slot", 7, 5, 17, free)
 
 
 def units(t):
-    return op.unit_effects(pairs(t), panel(t), ["f"], "link", "time", "v")
+    """Effects of all treated rows, written once."""
+    return t.once("units", lambda t: op.unit_effects(pairs(t), panel(t), ["f"], "link", "time", "v"))
 
 
 @query("o8_matched_effect", f"with {MATCH} select f, link, time, control, n_controls, match_type, treated, effect from un")
@@ -198,7 +203,7 @@ select n.f, n_treated, count(un.f) as n_matched, round(count(un.f) / n_treated,
   case when count(distinct un.link) >= 5 and count(un.f) >= 24 and count(un.f) / n_treated >= 0.6 then 'supported' when count(distinct un.link) >= 5 and count(un.f) / n_treated >= 0.6 then 'indicative' else 'unsupported' end as tier
 from n left join un using (f) group by 1, 2""")
 def effect_summary(t):
-    u = cut(units(t), "units")
+    u = units(t)
     d = op.effect_summary(u, treated_rows(t), ["f"]).join(u.groupBy("f").agg(F.countDistinct("link").alias("_e")), "f", "left")
     tier = op.evidence_tier(F.coalesce("_e", F.lit(0)), F.col("n_matched"), F.col("match_rate"), F.lit(True), F.lit(0))
     return rounded(d.withColumn("tier", tier).drop("_e"), ["match_rate", "exact_share"])
@@ -235,7 +240,7 @@ def placebo(t):
 w as (select key, r, idx, count(*) as w from dr group by 1, 2, 3), x as (select u.key, r, v, sum(w) as w from u join dx using (key, day) join w using (key, idx) group by 1, 2, 3), c as (select *, sum(w) over (partition by key, r order by v) as cum, sum(w) over (partition by key, r) as tot from x),
 m as (select key, r, min(v) as m from c where cum >= tot / 2 group by 1, 2) select key, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high, (quantile_cont(m, 0.025) <= 0 and quantile_cont(m, 0.975) >= 0)::int as contains_zero from m group by 1""".replace("range(0, 1000) b(s)", "range(0, 5000) b(s)"))
 def placebo_interval(t):
-    u = cut(units(t).select(F.col("f").alias("key"), F.col("time").alias("day"), F.col("effect").alias("v")), "effects")
+    u = units(t).select(F.col("f").alias("key"), F.col("time").alias("day"), F.col("effect").alias("v"))
     d = resample.weighted_median_ci(u, ["key"], "day", "v", 60, 7)
     return rounded(d.withColumn("contains_zero", ((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)).cast("int")), ["ci_low", "ci_high"])
 
@@ -269,7 +274,7 @@ d as (select coalesce(ta.f, ca.f) as f, coalesce(ta.eq, ca.eq) as eq, coalesce(t
 r as (select *, row_number() over (partition by f order by round(abs((ts - cs) * 100), 7) desc, eq) as rn from d)
 select f, eq, round(ts, 6) as treated_share, round(cs, 6) as control_share, round((ts - cs) * 100, 5) as diff_pp from r where rn <= 5""")
 def family_stats(t):
-    pr = cut(pairs(t), "pairs")
+    pr = pairs(t)
     d = op.family_shares(pr, share_layer(t), ["f", "link", "time"], ["f"], "link", "time", "eq", "share", 5)
     return rounded(rounded(d, ["treated_share", "control_share"]), ["diff_pp"], 5)
 
