@@ -3,7 +3,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from wattloom.operators import constraints, outages
+from wattloom.operators import constraints, lookups, market, outages, resample
+from wattloom.operators.forecast import draw_below, uniform
+from wattloom.plans import feeds
+from wattloom.session import Tables
+from wattloom.sources import records
 
 
 def plan_of(df):
@@ -50,3 +54,65 @@ def test_anchors_with_offsets_are_not_broadcast(spark):
     d = outages.offset_profile(a, s, ["link"], "time", "share", -5, 5, "1 day", ["anchor"])
     assert "BroadcastExchange" not in plan_of(d)
     assert sorted((r.offset, r.share, r.n) for r in d.collect()) == [(-1, 0.25, 1), (0, 0.5, 1)]
+
+
+def test_levels_of_matches_share_one_ranking(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)     # noqa: E731
+    tr = spark.createDataFrame([(1, 5, day(0), 0, "a", 1), (1, 5, day(7), 0, "b", 1), (1, 5, day(70), 0, "z", 9)], "f int, link int, time timestamp_ntz, slot int, sig string, cnt int")
+    ct = spark.createDataFrame([(5, day(14), 0, "a", 1, ""), (5, day(8), 1, "a", 1, ""), (5, day(6), 6, "c", 1, ""), (5, day(2), 2, "a", 1, ""), (6, day(1), 0, "a", 1, ""), (5, day(61), 0, "a", 1, "")],
+                               "link int, control_time timestamp_ntz, slot int, sig string, cnt int, fams string")
+    d = outages.matched_pairs(tr, ct, ["f", "link", "time"], "link", "time", 30, {"exact": ["sig", "cnt"], "coarse": ["cnt"]}, "slot", 7, 5, 17, F.lit(True))
+    assert plan_of(d).count("Join") == 1
+    got = sorted((r.time, r.match_type, r.control_time) for r in d.collect())
+    assert got == [(day(0), "exact", day(8)), (day(0), "exact", day(14)), (day(7), "coarse", day(6)), (day(7), "coarse", day(8)), (day(7), "coarse", day(14))]
+
+
+def test_draws_by_text_equal_draws_by_number(spark):
+    p = [-0.5, 0.0, 1e-12, 0.25, 0.3, 1 - 1e-12, 1.0, 1.5, None]
+    d = spark.range(400).withColumn("p", F.explode(F.array(*[F.lit(x) for x in p])))
+    same = draw_below(F.concat_ws("|", "id", F.lit(7)), F.col("p")).eqNullSafe(uniform(F.col("id"), F.lit(7)) < F.col("p"))
+    assert d.filter(~same).count() == 0
+
+
+def test_draws_are_dealt_over_tasks(spark):
+    e = spark.createDataFrame([("a", 50, 20), ("b", 3, 3)], "key string, n int, hits int")
+    d = resample.numbered_draws(e, ["key"], "n", 40, 7)
+    assert d.count() == 40 * 53
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_runs_of_one_moment_are_reduced_before_the_search(spark):
+    t0 = stamp("2024-01-01")
+    runs = spark.range(1000).select(F.lit(1).alias("k"), F.when(F.col("id") < 900, "O").otherwise("F").alias("product"), F.lit(t0).cast("timestamp_ntz").alias("available"), F.col("id").alias("run"))
+    req = spark.createDataFrame([(1, stamp("2024-01-02")), (1, stamp("2023-01-02"))], "k int, origin timestamp_ntz")
+    d = lookups.preferred_product(req, runs, ["k"], "product", ["O", "F"], "origin", "available", ["run"])
+    assert [(r.product, r.run) for r in d.collect()] == [("O", 899)]
+    plan = plan_of(d)
+    assert "max(struct" in plan or "max(named_struct" in plan
+
+
+def test_points_are_dealt_by_cell(spark):
+    p = spark.range(300).select("id", (F.col("id") / 10 - 40).alias("lat"), (F.col("id") % 7 + 140.0).alias("lon"))
+    s = spark.range(5).select(F.col("id").alias("sid"), (F.col("id") * 5 - 40.0).alias("slat"), (F.col("id") + 140.0).alias("slon"))
+    d = lookups.nearest_within(p, s, "lat", "lon", "slat", "slon", 50.0)
+    plan = plan_of(d)
+    assert "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_forecasts_are_made_once_for_auctions_of_a_day(spark):
+    q = [stamp(f"20{y}-{m:02d}-01") for y in (21, 22) for m in (1, 4, 7, 10)]
+    h = spark.createDataFrame([("d", t, (t.month - 1) // 3 + 1, float(i)) for i, t in enumerate(q)], "dir string, quarter_end timestamp_ntz, season int, per_unit double")
+    a = spark.range(500).select(F.col("id").alias("auction_id"), F.lit("d").alias("dir"), F.lit(stamp("2022-08-15")).cast("timestamp_ntz").alias("auction_date"), (F.col("id") % 2 + 1).cast("int").alias("season"))
+    d = market.walk_forward(a, h, ["dir"], "28 days")
+    rows = d.collect()
+    assert len(rows) == 500 and {(r.season, r.history, r.last_quarter, r.trailing_4q, r.same_season) for r in rows} == {(1, 7, 6.0, 4.5, 2.0), (2, 7, 6.0, 4.5, 3.0)}
+    assert "auction_id" not in "".join(x for x in plan_of(d).split("\n") if "Window [row_number" in x)
+
+
+def test_tagged_files_are_cut_by_lines(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines = records.tagged_lines(spark, feeds.tagged_folder(t, lines_per_file=500))
+    size = lines.groupBy("file").count().agg(F.count("count").alias("n"), F.max("count").alias("top")).first()
+    assert size["n"] >= 12 and size["top"] < 1000
+    d = records.tagged_scan(lines, "DISPATCH_LINE", ["ORDERKEY"])
+    assert d.filter("ORDERKEY is not null").count() == t.lineitem.count()

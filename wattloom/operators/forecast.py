@@ -19,6 +19,13 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def draw_below(text: Column, p: Column) -> Column:
+    """``uniform(...) < p`` for the joined parts, without turning the hash into a number: the first eight hex digits
+    are compared with those of p * 2 ** 32, rounded up, as text."""
+    bound = F.ceil(p * 4294967296.0)
+    return F.md5(text) < F.when(bound > 4294967295, "g").when(bound <= 0, "").otherwise(F.lpad(F.lower(F.hex(bound)), 8, "0"))
+
+
 def origin_lead_grid(origins: DataFrame, origin: str, leads: list[int], step: str, end: Column) -> DataFrame:
     """Every origin with every lead whose delivery lies inside the split."""
     d = origins.withColumn("lead", F.explode(F.array(*[F.lit(x) for x in leads])))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .forecast import uniform
+from .forecast import draw_below, uniform
 
 
 def day_index(days: DataFrame, keys: list[str], day: str, sums: list[str]) -> DataFrame:
@@ -64,12 +64,20 @@ def weighted_median_ci(units: DataFrame, keys: list[str], day: str, value: str,
     return med.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
+def numbered_draws(df: DataFrame, keys: list[str], n: str, reps: int, seed: int) -> DataFrame:
+    """A row for each replicate and number from 1 to n, with the text its draw is hashed from.  The rows before the numbers are few bytes
+    and all of the work, so they are dealt over a given number of tasks, which adaptive planning leaves alone."""
+    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    d = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys], F.col("rep"))
+    d = d.withColumn("_head", F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("rep"), F.lit("")))
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    return d.withColumn("_text", F.concat("_head", F.col("_i").cast("string"), F.lit(f"|{seed}")))
+
+
 def binomial_interval(df: DataFrame, keys: list[str], n: str, hits: str, reps: int, seed: int) -> DataFrame:
     """Recall interval: each replicate draws every incident's outcome by its hit rate."""
-    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*[F.col(k) for k in keys], F.col("rep"))   # spread replicates over tasks
-    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
-    u = uniform(*[F.col(k) for k in keys], F.col("rep"), F.col("_i"), F.lit(seed))
-    r = d.groupBy(*keys, "rep").agg(F.avg((u < F.col(hits) / F.col(n)).cast("double")).alias("_r"))
+    d = numbered_draws(df, keys, n, reps, seed)
+    r = d.groupBy(*keys, "rep").agg(F.avg(draw_below(F.col("_text"), F.col(hits) / F.col(n)).cast("double")).alias("_r"))
     ci = r.groupBy(*keys).agg(F.percentile("_r", F.lit(0.025)).alias("ci_low"), F.percentile("_r", F.lit(0.975)).alias("ci_high"))
     return df.withColumn("recall", F.col(hits) / F.col(n)).join(ci, keys)
 

@@ -5,9 +5,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .forecast import uniform
+from .forecast import draw_below
 from .lookups import asof_backward, points_in_intervals
 from .ranks import null_safe_join, prefix_weights, quantiles
+from .resample import numbered_draws
 from .revisions import top_k
 from .sequence import windowed
 
@@ -56,12 +57,10 @@ def paired_power(df: DataFrame, keys: list[str], n: str, base: str, gains: list[
     b, cand = F.col(base), F.least(F.col(base) + F.col("gain"), F.lit(0.99))
     both = b * cand + correlation * (F.least(b, cand) - b * cand)
     g = g.withColumns({"_p10": cand - both, "_p01": b - both})
-    d = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*[F.col(k) for k in keys], F.col("rep"))   # spread replicates over tasks
-    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
-    u = uniform(*[F.col(k) for k in keys], F.col("gain"), F.col("rep"), F.col("_i"), F.lit(seed))
-    d = d.withColumn("_u", u)
     by = [*keys, "gain"]
-    r = d.groupBy(*by, "rep").agg(F.count(F.when(F.col("_u") < F.col("_p10"), 1)).alias("_w"), F.count(F.when((F.col("_u") >= F.col("_p10")) & (F.col("_u") < F.col("_p10") + F.col("_p01")), 1)).alias("_l"))
+    won = draw_below(F.col("_text"), F.col("_p10"))
+    lost = ~won & draw_below(F.col("_text"), F.col("_p10") + F.col("_p01"))
+    r = numbered_draws(g, by, n, reps, seed).groupBy(*by, "rep").agg(F.count(F.when(won, 1)).alias("_w"), F.count(F.when(lost, 1)).alias("_l"))
     z = (F.col("_w") - F.col("_l")) / F.sqrt(F.col("_w") + F.col("_l"))
     return r.groupBy(*by).agg(F.avg(F.coalesce((z > 1.96).cast("double"), F.lit(0.0))).alias("power"))
 
