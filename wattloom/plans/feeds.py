@@ -16,16 +16,19 @@ from .registry import query
 from .standins import r6
 
 
-def tagged_folder(t):
-    """Record-tagged text: one folder per nation group, two table versions with different columns."""
+def tagged_folder(t, lines_per_file=250_000):
+    """Record-tagged text: one folder per nation group and table versions with different columns.  A group is cut into
+    files of about ``lines_per_file`` lines, each with its own headers, so that no task holds a whole group."""
     v1 = "concat_ws(',', 'D', 'DISPATCH', 'LINE', '1', l_orderkey, l_linenumber, concat('\"', l_partkey, ',x\"'), l_quantity)"
     v2 = "concat_ws(',', 'D', 'DISPATCH', 'LINE', '2', l_quantity, l_orderkey, l_suppkey)"
-    d = t.lineitem.selectExpr("l_suppkey % 4 as part", "2 as ord", f"case when l_linenumber <= 4 then {v1} else {v2} end as value")
-    other = t.orders.selectExpr("o_custkey % 4 as part", "2 as ord", "concat_ws(',', 'D', 'PRICE', 'REGION', '1', o_orderkey, o_totalprice) as value")
+    files_ = (t.lineitem.count() + t.orders.count()) // (4 * lines_per_file) + 1
+    d = t.lineitem.selectExpr("l_suppkey % 4 as part", f"pmod(xxhash64(l_orderkey, l_linenumber), {files_}) as piece", "2 as ord", f"case when l_linenumber <= 4 then {v1} else {v2} end as value")
+    other = t.orders.selectExpr("o_custkey % 4 as part", f"pmod(xxhash64(o_orderkey), {files_}) as piece", "2 as ord", "concat_ws(',', 'D', 'PRICE', 'REGION', '1', o_orderkey, o_totalprice) as value")
     lines = [(0, "C,EXPORT"), (1, "I,DISPATCH,LINE,1,ORDERKEY,LINENO,PART,QTY"), (1, "I,DISPATCH,LINE,2,QTY,ORDERKEY,SUPPLIER"), (1, "I,PRICE,REGION,1,ORDERKEY,PRICE"), (9, "C,END OF REPORT")]
     heads = t.spark.createDataFrame([(p, o, s) for p in range(4) for o, s in lines], "part long, ord int, value string")
+    heads = heads.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(files_ - 1).cast("long"))).alias("piece"), "ord", "value")
     path = shared_folder(t.spark, "tagged")
-    d.union(other).union(heads).repartition(4, "part").sortWithinPartitions("part", "ord").drop("ord").write.partitionBy("part").text(path)
+    d.union(other).union(heads).repartition(4 * files_, "part", "piece").sortWithinPartitions("part", "piece", "ord").drop("ord").write.partitionBy("part", "piece").text(path)
     return path
 
 
