@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import bachelier_call
-from .ranks import prefix_weights, quantiles
+from .ranks import null_safe_join, prefix_weights, quantiles
 from .revisions import latest, top_k
 
 
@@ -160,20 +160,22 @@ def top_share(df: DataFrame, keys: list[str], value: str, share: float) -> DataF
 
 def walk_forward(auctions: DataFrame, history: DataFrame, keys: list[str], wait: str) -> DataFrame:
     """Naive forecasts from quarters settled ``wait`` before each auction.  history has one
-    row per key and quarter (a calendar-sized table): quarter_end, season, per_unit."""
+    row per key and quarter (a calendar-sized table): quarter_end, season, per_unit.  Auctions of
+    one key, date and season share their forecasts, which are made once for them."""
     h = history.select(*keys, F.col("quarter_end").alias("_e"), F.col("season").alias("_s"), F.col("per_unit").alias("_v"))
-    j = auctions.join(h, keys).filter(F.col("_e") + F.expr(f"interval {wait}") < F.col("auction_date"))
-    w = Window.partitionBy(*keys, "auction_id").orderBy(F.desc("_e"))
-    ws = Window.partitionBy(*keys, "auction_id", "_s").orderBy(F.desc("_e"))
+    by = [*keys, "auction_date", "season"]
+    j = auctions.select(*by).distinct().join(h, keys).filter(F.col("_e") + F.expr(f"interval {wait}") < F.col("auction_date"))
+    w = Window.partitionBy(*by).orderBy(F.desc("_e"))
+    ws = Window.partitionBy(*by, "_s").orderBy(F.desc("_e"))
     j = j.withColumns({"_rk": F.row_number().over(w), "_rs": F.row_number().over(ws)})
 
     def mean(n):
         return F.avg(F.when(F.col("_rk") <= n, F.col("_v")))
-    d = j.groupBy(*keys, "auction_id").agg(
+    d = j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("history"), F.max(F.when(F.col("_rk") == 1, F.col("_v"))).alias("last_quarter"), mean(4).alias("trailing_4q"), mean(8).alias("trailing_8q"),
         mean(12).alias("trailing_12q"), F.avg(F.when((F.col("_s") == F.col("season")) & (F.col("_rs") <= 3), F.col("_v"))).alias("same_season"),
         F.collect_list(F.when(F.col("_rk") <= 8, F.col("_v"))).alias("members"))
-    return auctions.join(d.filter("history >= 4"), [*keys, "auction_id"])
+    return null_safe_join(auctions, d.filter("history >= 4"), by)
 
 
 def regime_option(df: DataFrame, keys: list[str], regime: str, period: str, spread: str, flow: str, back: int, sd_scale: float = 1.0) -> DataFrame:
