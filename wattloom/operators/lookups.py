@@ -139,10 +139,12 @@ def complete_runs(rows: DataFrame, run: list[str], region: str, n_regions: int)
 
 def preferred_product(requests: DataFrame, runs: DataFrame, keys: list[str], product: str, order: list[str],
                       origin: str, available: str, payload: list[str], *, hours: int = CHUNK_HOURS) -> DataFrame:
-    """Newest available run of the first product in ``order`` that has one."""
+    """Newest available run of the first product in ``order`` that has one.  Of runs available at one moment only the
+    highest can be taken, so the others are dropped before the search: a key then holds as many rows as moments."""
+    best = runs.groupBy(*keys, product, available).agg(F.max(F.struct(*payload)).alias("_best")).select(*keys, product, available, "_best.*")
     ranked = F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(p).alias(product)) for i, p in enumerate(order)])
     r = requests.withColumn("_p", F.explode(ranked)).select(*requests.columns, "_p.*")
-    hit = asof_backward(r, runs, [*keys, product], origin, available, payload, tie=payload, hours=hours)
+    hit = asof_backward(r, best, [*keys, product], origin, available, payload, tie=payload, hours=hours)
     hit = hit.filter(F.col(available).isNotNull())
     return top_k(hit, requests.columns, [F.col("_rank")], 1).drop("_rank")
 
@@ -247,7 +249,8 @@ def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat
 
     Cells are about as high as km.  A site is sent to the row above and below and, since a degree of
     longitude shrinks towards the poles, to as many cells to either side as km spans at the nearer pole end of
-    its reach; longitudes wrap, and a reach over a pole takes the whole ring."""
+    its reach; longitudes wrap, and a reach over a pole takes the whole ring.  The work is the pairs and not the bytes read, so the
+    points are dealt by cell over a given number of tasks, and the sites, sized without their cells, are never broadcast."""
     from ..functions.maths import great_circle_km
     per_degree = 111.0                                   # a little under a degree of latitude, so that reach errs to the far side
     reach = km / per_degree
@@ -262,7 +265,8 @@ def nearest_within(points: DataFrame, sites: DataFrame, lat: str, lon: str, slat
         F.transform(F.sequence(-span, span), lambda i: F.pmod(F.col("_sx") + i, F.lit(ring))))
     s = sites.withColumn("_sx", around(slon)).withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols)).drop("_sx")
     d = great_circle_km(F.col(lat), F.col(lon), F.col(slat), F.col(slon))
-    return p.join(s, ["_cy", "_cx"]).withColumn("km", d).filter(F.col("km") <= km).drop("_cy", "_cx")
+    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cy", "_cx")
+    return p.join(s.hint("merge"), ["_cy", "_cx"]).withColumn("km", d).filter(F.col("km") <= km).drop("_cy", "_cx")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, pid: str, lat: str, lon: str, name: str, plat: str, plon: str, region: str) -> DataFrame:

@@ -289,7 +289,7 @@ def spatial_nearest(t):
     s = t.supplier.select("s_suppkey", ((F.col("s_acctbal") * 53 % 2000) / 100 - 44).alias("slat"),
                           (F.col("s_suppkey") * F.lit(3.7) % 20 + 130).alias("slon"))
     return lk.nearest_within(p, s, "lat", "lon", "slat", "slon", 50.0).groupBy("c_custkey").agg(
-        F.count(F.lit(1)).alias("sites"), r6(F.min("km"), 4).alias("nearest_km"), F.min_by("s_suppkey", "km").alias("nearest"))
+        F.count(F.lit(1)).alias("sites"), r6(F.min("km"), 4).alias("nearest_km"), F.min_by("s_suppkey", F.struct("km", "s_suppkey")).alias("nearest"))
 
 
 @query("j15_nearest_place", """
