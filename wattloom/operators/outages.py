@@ -87,8 +87,8 @@ def matched_pairs(treated: DataFrame, controls: DataFrame, unit: list[str], link
     off = F.when(F.col(slot) == F.col("_cslot"), 0).when((F.pmod(F.col(slot) + 1, F.lit(slots)) == F.col("_cslot")) | (F.pmod(F.col(slot) - 1, F.lit(slots)) == F.col("_cslot")), 1)
     level = F.coalesce(*[F.when(reduce(Column.__and__, [F.col(x) == F.col(f"_c_{x}") for x in on], F.lit(True)), i) for i, on in enumerate(levels.values())])
     near = F.abs(micros(F.col(t)) - micros(F.col("control_time"))) <= days * 86_400_000_000
-    pairs = t3.join(c, cond & near & extra).withColumns({"_off": off, "_l": level}).filter("_off is not null and _l is not null").withColumn(
-        "_h", hash_order([*unit, "control_time"], seed))
+    # extra may be dear, so it is asked last
+    pairs = t3.join(c, cond & off.isNotNull() & near & level.isNotNull() & extra).withColumns({"_off": off, "_l": level, "_h": hash_order([*unit, "control_time"], seed)})
     best = top_k(pairs, unit, [F.col("_l"), F.col("_off"), F.col("_h"), F.col("control_time")], k)
     best = best.withColumn("_first", F.min("_l").over(Window.partitionBy(*unit))).filter(F.col("_l") == F.col("_first"))
     return best.select(*dict.fromkeys([*unit, link, t]), "control_time", F.get(F.array(*[F.lit(n) for n in levels]), F.col("_l")).alias("match_type"))
