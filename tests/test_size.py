@@ -1,11 +1,12 @@
 """Steps whose shuffles and broadcasts must not grow faster than their input."""
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
-from wattloom.operators import constraints, lookups, market, outages, resample
+from wattloom.operators import constraints, lookups, market, outages, ranks, resample
 from wattloom.operators.forecast import draw_below, uniform
-from wattloom.plans import feeds
+from wattloom.plans import feeds, regimes
 from wattloom.session import Tables
 from wattloom.sources import records
 
@@ -116,3 +117,12 @@ def test_tagged_files_are_cut_by_lines(spark):
     assert size["n"] >= 12 and size["top"] < 1000
     d = records.tagged_scan(lines, "DISPATCH_LINE", ["ORDERKEY"])
     assert d.filter("ORDERKEY is not null").count() == t.lineitem.count()
+
+
+def test_lost_weights_take_the_same_value_in_sql(spark):
+    rows = [("a", 1.0, 1, 1.0), ("a", 2.0, 2, 2.0), ("a", 3.0, 3, 1e-40), ("a", 4.0, 4, 1e-40), ("a", 9.0, 5, 1.0)]
+    want = ranks.weighted_quantiles(spark.createDataFrame(rows, "cid string, v double, rid int, w double"), ["cid"], "v", "w", "rid", regimes.PROBS).first()
+    con = duckdb.connect()
+    for order in (rows, rows[::-1]):
+        con.execute("create or replace table t as select * from (values " + ", ".join(f"('{c}', {v}::double, {i}, {w}::double)" for c, v, i, w in order) + ") x(cid, v, rid, w)")
+        assert con.execute(f"with {regimes.wq('t', 'q', ties=True)} select p10, p50, p90 from q").fetchone() == (want.p10, want.p50, want.p90)

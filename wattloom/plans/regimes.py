@@ -37,11 +37,13 @@ def conditions(t):
     return h.select(F.concat("key", F.lit("|"), F.date_format("time", "yyyyMMddHH")).alias("cid"), "key", "state", F.col("slot").alias("q_slot"), F.col("k").alias("q_k"))
 
 
-def wq(rows, name, cid="cid"):
-    """SQL of the mid-point weighted quantile over rows(cid, v, rid, w)."""
+def wq(rows, name, cid="cid", ties=False):
+    """SQL of the mid-point weighted quantile over rows(cid, v, rid, w).  With ties, rows whose weight is lost in the sum share a mid-point
+    and are told apart as in the query: the largest value at or below a probability, the smallest at or above it."""
+    mid = "(mid, v)" if ties else "mid"
     ps = (0.1, 0.5, 0.9)
-    cols = ", ".join(f"case when max(mid) filter (mid <= {p}) is null then min(v) when min(mid) filter (mid >= {p}) is null then max(v) when max(mid) filter (mid <= {p}) = min(mid) filter (mid >= {p}) then arg_min(v, mid) filter (mid >= {p}) "
-                     f"else arg_max(v, mid) filter (mid <= {p}) + (arg_min(v, mid) filter (mid >= {p}) - arg_max(v, mid) filter (mid <= {p})) * ({p} - max(mid) filter (mid <= {p})) / (min(mid) filter (mid >= {p}) - max(mid) filter (mid <= {p})) end as p{int(p * 100)}" for p in ps)
+    cols = ", ".join(f"case when max(mid) filter (mid <= {p}) is null then min(v) when min(mid) filter (mid >= {p}) is null then max(v) when max(mid) filter (mid <= {p}) = min(mid) filter (mid >= {p}) then arg_min(v, {mid}) filter (mid >= {p}) "
+                     f"else arg_max(v, {mid}) filter (mid <= {p}) + (arg_min(v, {mid}) filter (mid >= {p}) - arg_max(v, {mid}) filter (mid <= {p})) * ({p} - max(mid) filter (mid <= {p})) / (min(mid) filter (mid >= {p}) - max(mid) filter (mid <= {p})) end as p{int(p * 100)}" for p in ps)
     return f"""{name}m as (select {cid}, v, (sum(w) over (partition by {cid} order by v, rid) - w / 2) / sum(w) over (partition by {cid}) as mid from {rows}), {name} as (select {cid}, {cols} from {name}m group by 1)"""
 
 
@@ -61,7 +63,7 @@ def analogues(t, cond):
     return rounded(rounded(d, ["restricted_share"]), ["p10", "p50", "p90"], 5)
 
 
-@query("g1_analogue_select", f"with {HIST}, {ANALOGUE.format(cn='cn')}, {wq('wt', 'q')} {PICK.format(c='cn')}")
+@query("g1_analogue_select", f"with {HIST}, {ANALOGUE.format(cn='cn')}, {wq('wt', 'q', ties=True)} {PICK.format(c='cn')}")
 def analogue_select(t):
     return analogues(t, conditions(t))
 
