@@ -186,6 +186,30 @@ def test_large_group_of_edited_copies(spark, monkeypatch):
     assert len(handed) == 2 and sum(handed) < 20 * 400
 
 
+def test_copies_left_to_the_later_rounds(spark, monkeypatch):
+    """A group that the first round leaves apart collapses by a few pairs a copy, not by all of them, and loses no link."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))     # noqa: E731
+    base, texts = [word() for _ in range(120)], []
+    for k in range(150):
+        own = list(base)
+        own[rnd.randrange(120)] = word()
+        texts.append((k, " ".join(own)))
+    texts += [(200, " ".join(base[:108])), (201, " ".join(base[:60]))]
+    monkeypatch.setattr(nearcopies, "neighbours", lambda sets, share: sets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0))
+    handed, old = [], nearcopies.cut
+
+    def counted(df, purpose="cut"):
+        out = old(df, purpose)
+        if purpose.endswith("-pairs"):
+            handed.append(out.count())
+        return out
+    monkeypatch.setattr(nearcopies, "cut", counted)
+    kept = sorted(r.doc_id for r in nearcopies.one_of_each(table(spark, texts)).collect())
+    assert kept == [0, 201]
+    assert sum(handed) < 5 * 152
+
+
 def features_by_hand(text):
     """Presence of words and their first letters, and shares of end signs, capitals and repeats."""
     words = (text or "").split()

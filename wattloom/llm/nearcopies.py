@@ -4,7 +4,7 @@ A text's shingles are the XXH64 values of its runs of SHINGLE words, as a set (A
 shingle).  Texts whose sets have a Jaccard similarity of at least SHARE are linked, and linked texts form groups.
 
 A fingerprint of 64 bits cannot find them all: at a similarity of 0.8 two SimHashes differ in 10 bits on average and in 15
-at times, which no banding covers without comparing about everything.  So the work goes in two rounds, and no link is lost:
+at times, which no banding covers without comparing about everything.  So the work goes in three rounds, and no link is lost:
 
 1. Fingerprints within simhash.RADIUS bits (bit-sliced comparison), equal ones, and neighbours in the order of each of MINS least
    hashes of the sets (one is shared with the probability of the similarity itself) are verified on their whole sets.  A group of
@@ -13,7 +13,9 @@ at times, which no banding covers without comparing about everything.  So the wo
    a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1.  The order has frequent shingles last (by a table of 2 ** COUNTERS counts), so that common
    passages are seldom in a prefix.  Shingles of one group only are left out; a bucket is cut into blocks that meet pairwise;
    a pair is handed on if sizes, places and a SKETCH of the sets leave the similarity possible: the parities of the
-   sets' counts in SKETCH cells differ in no more cells than the sets differ in shingles.  Then pairs are verified.
+   sets' counts in SKETCH cells differ in no more cells than the sets differ in shingles.  Of these pairs tasks hand on spanning forests of
+   the groups, so that a large group of copies collapses by fewer pairs than it has rows.  Then pairs are verified.
+3. The same once more with the groups that are left, and with all their pairs.
 
 Null, empty and blank texts are copies of each other.  Repeated rows count as copies.  An empty table gives no rows.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import cut
 from .common import free_names
 from .graph import components
-from .simhash import SEED, _hashes, links
+from .simhash import SEED, _hashes, least_reached, links
 
 SHINGLE = 5
 SHARE = (4, 5)           # least similarity, as a fraction
@@ -36,6 +38,7 @@ COUNTERS = 18
 MINS = 4
 SKETCH = 512
 BLOCK = 1024
+EARLY = 16               # first shared shingles of a prefix that travel with its rows
 ROWS = 65_536            # rows of buckets a task holds at one time, at least
 MOST_KEYS = 2_000_000    # texts that are broadcast as two hashes each; beyond that the same join shuffles
 
@@ -136,7 +139,7 @@ def neighbours(sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """(u, v): sets(id, n, mins, sketch) next to each other in the order of one of their least hashes, where they may be similar.
 
     The order goes over all tasks with the id as its last key, so that thousands of sets with one least hash are dealt over tasks; a pair cut by
-    the end of a task is left to the second round."""
+    the end of a task is left to the later rounds."""
     rows = sets.select("id", "n", "sketch", "mins", F.posexplode("mins").alias("k", "m"))
     rows = rows.select("k", "m", F.get("mins", (F.col("k") + 1) % MINS).alias("o"), "id", "n", "sketch")
     order = ("k", "m", "o", "id")
@@ -187,24 +190,46 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
 
 
-def candidates(sets: DataFrame, *, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
-    """(u, v): pairs of sets(id, root, n, sketch, prefix) of different roots that share a shingle of their prefixes and may be similar."""
+def best_links(weight: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of a spanning forest of the links (u, v), u <> v, of least weight (ties by u, v and place), by Boruvka's rounds."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.lexsort((v, u, weight))
+    i, j = at[:len(u)][order], at[len(u):][order]
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(order)), np.zeros(0, dtype=np.int64)
+    while len(live):
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, label[i[live]], live)
+        np.minimum.at(best, label[j[live]], live)
+        chosen = np.union1d(chosen, best[best < len(order)])
+        label = least_reached(len(nodes), i[chosen], j[chosen])
+        live = live[label[i[live]] != label[j[live]]]
+    return order[chosen]
+
+
+def candidates(rows: DataFrame, sets: DataFrame, *, forest: bool, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
+    """(u, v): pairs of sets(id, root, n, sketch) of different roots that share a shingle of their prefixes, rows(token, root, id, place), and may be similar.
+
+    With ``forest`` a task gives back, of the pairs of each ROWS rows, a spanning forest of the roots by those that look most similar: fewer links than
+    rows, whatever the size of a group.  Else all pairs, each one where its first common shingle is, if that is among the first EARLY of both."""
     p, q = share
-    rows = sets.select("root", "id", F.posexplode("prefix").alias("place", "token")).select("token", "root", "id", "place")
-    rows = cut(shared_tokens(rows), "shared")
     full = rows.groupBy(F.col("token").alias("_t")).agg(F.min("root").alias("_a"), F.max("root").alias("_z"), F.count("*").alias("_m")).filter("_a <> _z")
-    rows = rows.join(full.hint("merge"), F.col("token") == F.col("_t")).select("token", "root", "id", "place", "_m")
-    rows = rows.join(sets.select(F.col("id").alias("_i"), "n", "sketch").hint("merge"), F.col("id") == F.col("_i")).drop("_i")
+    rows = rows.join(full.hint("merge"), F.col("token") == F.col("_t")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "token", "_m"))).alias("_l"))
+    rows = rows.join(sets.select(F.col("id").alias("_i"), "root", "n", "sketch").hint("merge"), F.col("id") == F.col("_i"))
+    few = F.slice(F.concat(F.col("_l.token"), F.array_repeat(F.lit(0).cast("long"), EARLY)), 1, EARLY)
+    rows = rows.select("id", "root", "n", "sketch", *([] if forest else [few.alias("early")]), F.posexplode("_l").alias("nth", "_p"))
+    rows = rows.select("*", "_p.*").drop("_p")
     parts = F.ceil(F.col("_m") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     cells = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
-    rows = rows.select("token", "n", "id", "root", "place", "sketch", own.alias("own"), parts.alias("parts"), F.explode(cells).alias("_c"))
-    rows = rows.select("token", "_c.i", "_c.j", "n", "id", "root", "place", "own", "parts", "sketch")
+    more = ["sketch"] if forest else ["sketch", "nth", "early"]
+    rows = rows.select("token", "n", "id", "root", "place", own.alias("own"), parts.alias("parts"), *more, F.explode(cells).alias("_c"))
+    rows = rows.select("token", "_c.i", "_c.j", "n", "id", "root", "place", "own", "parts", *more)
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
 
     def pairs(x):
-        token, i, j, n, ids, root, place, own, parts, sketch = x
+        """Places a, b in the rows x of the pairs, and in how many cells their sketches differ, one distance in the order at a time."""
+        token, i, j, n, ids, root, place, own, parts, sketch = x[:10]
         cell = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         at, lag = np.arange(1, len(token)), 1
         while len(at):
@@ -220,28 +245,62 @@ def candidates(sets: DataFrame, *, share: tuple[int, int] = SHARE, block: int =
             good &= (own[before] != own[at]) | (parts[at] == 1) | ((i[at] == np.minimum(own[at], after)) & (j[at] == np.maximum(own[at], after)))
             a, b = before[good], at[good]
             ok = _possible(n[a], n[b], sketch[a], sketch[b], share)
-            a, b = ids[a[ok]], ids[b[ok]]
+            if ok.any():
+                yield a[ok], b[ok]
+            lag += 1
+
+    def links_of(x):
+        n, ids, root, sketch = x[3], x[4], x[5], x[9]
+        held = [np.zeros(0, dtype=np.int64)] * 2
+        for a, b in pairs(x):
+            if forest:
+                held = [np.concatenate(y) for y in zip(held, (a, b))]
+                if len(held[0]) >= 2 * len(ids):
+                    held = least(held, n, root, sketch)
+                continue
+            # a pair stands at its first common shingle, as far as the first ones of both are at hand
+            for c in range(0, len(a), 4096):
+                k, m = a[c:c + 4096], b[c:c + 4096]
+                nth, early, place = x[10], x[11], np.arange(EARLY)
+                known = (place < nth[k][:, None])[:, :, None] & (place < nth[m][:, None])[:, None, :]
+                new = ~((early[k][:, :, None] == early[m][:, None, :]) & known).any(axis=(1, 2))
+                yield ids[k[new]], ids[m[new]]
+        if len(held[0]):
+            a, b = least(held, n, root, sketch)
+            yield ids[a], ids[b]
+
+    def least(held, n, root, sketch):
+        a, b = held
+        weight = np.zeros(len(a))
+        for c in range(0, len(a), ROWS):
+            k, m = a[c:c + ROWS], b[c:c + ROWS]
+            weight[c:c + ROWS] = np.bitwise_count(sketch[k] ^ sketch[m]).sum(axis=1, dtype=np.int64) / (n[k] + n[m])
+        chosen = best_links(weight, np.minimum(root[a], root[b]), np.maximum(root[a], root[b]))
+        return [a[chosen], b[chosen]]
+
+    def given(x):
+        for a, b in links_of(x):
             if len(a):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
-            lag += 1
 
     def run(batches):
         names, held, size = ("token", "i", "j", "n", "id", "root", "place", "own", "parts"), [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names), _sketches(b.column("sketch"))])
+            more = [] if forest else [b.column("nth").to_numpy(zero_copy_only=False).astype(np.int64), b.column("early").flatten().to_numpy(zero_copy_only=False).reshape(-1, EARLY)]
+            held.append([*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names), _sketches(b.column("sketch")), *more])
             size += b.num_rows
             if size >= ROWS:
                 x = [np.concatenate(c) for c in zip(*held)]
                 # the last cell, of at most about two blocks, may go on
                 other = np.nonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))[0]
                 end = int(other[-1]) + 1 if len(other) else 0
-                yield from pairs([c[:end] for c in x])
+                yield from given([c[:end] for c in x])
                 held, size = [[c[end:] for c in x]], len(x[0]) - end
         if held:
-            yield from pairs([np.concatenate(c) for c in zip(*held)])
+            yield from given([np.concatenate(c) for c in zip(*held)])
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -280,8 +339,10 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, in
     once = found.groupBy("s1", "s2").agg(F.min(first).alias("_k"), F.first(F.struct(*rest)).alias("_r"))
     once = cut(once.select("s1", "s2", "_k", *[f"_r.{c}" for c in rest]).withColumn("id", F.monotonically_increasing_id()), "sets")
 
+    def handed(near, name):
+        return cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-pairs")
+
     def links_of(near, name):
-        near = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-pairs")
         ids = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         wanted = cut(once.join(ids.hint("merge"), "id").select("id", F.col(f"_k.{k1}").alias(f"_{k1}"), F.col(f"_k.{k2}").alias(f"_{k2}")), f"{name}-wanted")
         rows = among(keyed.select(k1, k2, body.alias("text")), wanted, [k1, k2], "left_semi", most_keys)
@@ -292,10 +353,17 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, in
         label = components(edges).withColumnRenamed("node", "id")
         return once.join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    edges = links_of(neighbours(once, share).unionByName(fingerprint_links(once.filter("n > 0"))), "first")
+    edges = links_of(handed(neighbours(once, share).unionByName(fingerprint_links(once.filter("n > 0"))), "first"), "first")
     sets = cut(rooted(edges).select("id", "root", "n", "sketch", "prefix"), "rooted")
-    more = links_of(candidates(sets, share=share), "second")
-    group = cut(rooted(edges.unionByName(more)).select("s1", "s2", "root", "_k"), "groups")
+    rows = sets.select("root", "id", F.posexplode("prefix").alias("place", "token")).select("token", "root", "id", "place")
+    rows = cut(shared_tokens(rows), "shared")
+    near = handed(candidates(rows, sets, forest=True, share=share), "second")
+    if not near.isEmpty():          # without a forest there are no pairs either
+        edges = edges.unionByName(links_of(near, "second"))
+        sets = cut(rooted(edges).select("id", "root", "n", "sketch"), "rooted")
+        rows = rows.drop("root").join(sets.select("id", "root").hint("merge"), "id")
+        edges = edges.unionByName(links_of(handed(candidates(rows, sets, forest=False, share=share), "third"), "third"))
+    group = cut(rooted(edges).select("s1", "s2", "root", "_k"), "groups")
     best = group.groupBy(F.col("root").alias("_root")).agg(F.min("_k").alias("_b"))
     # the keys of all rows that go, and of rows that stay but are repeated
     rows = found.select("doc_id", k1, k2, "s1", "s2").join(group.select("s1", "s2", "root").join(best, F.col("root") == F.col("_root")).select("s1", "s2", "_b"), ["s1", "s2"])
