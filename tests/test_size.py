@@ -1,12 +1,15 @@
 """Steps whose shuffles and broadcasts must not grow faster than their input."""
 import datetime as dt
+import hashlib
+import random
+from types import SimpleNamespace
 
 import duckdb
 from pyspark.sql import functions as F
 
 from wattloom.operators import constraints, lookups, market, outages, ranks, resample
 from wattloom.operators.forecast import draw_below, uniform
-from wattloom.plans import feeds, regimes
+from wattloom.plans import feeds, outages as outage_plans, regimes
 from wattloom.session import Tables
 from wattloom.sources import records
 
@@ -68,6 +71,40 @@ def test_levels_of_matches_share_one_ranking(spark):
     assert got == [(day(0), "exact", day(8)), (day(0), "exact", day(14)), (day(7), "coarse", day(6)), (day(7), "coarse", day(8)), (day(7), "coarse", day(14))]
 
 
+def test_matches_are_ranked_where_they_are_joined(spark):
+    rng = random.Random(4)
+    days = sorted(rng.sample(range(400), 170)) + [1000, 1030, 1061]
+    rows = [(link, stamp("2024-01-01") + dt.timedelta(days=n), n % 7, rng.choice("ab"), 1, "", float(rng.randrange(90))) for link in (1, 2) for n in days]
+    ct = spark.createDataFrame(rows, "link int, control_time timestamp_ntz, slot int, sig string, cnt int, fams string, v double")
+    tr = ct.withColumnRenamed("control_time", "time").drop("fams").withColumn("f", F.lit(3))
+    args = (tr, ct, ["f", "link", "time"], "link", "time", 30, {"exact": ["sig", "cnt"], "coarse": ["cnt"]}, "slot", 7, 5, 17, F.col("time") != F.col("control_time"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, units = outages.matched_pairs(*args), outages.matched_effects(*args, "v")
+        assert [plan_of(d).count("Exchange hashpartitioning") for d in (pairs, units)] == [2, 2]
+        got = sorted((r.link, r.time, r.control_time, r.match_type) for r in pairs.collect())
+        effects = {(r.link, r.time): (r.control, r.n_controls, r.match_type, r.treated, r.effect) for r in units.collect()}
+        old = {(r.link, r.time): (r.control, r.n_controls, r.match_type, r.treated, r.effect) for r in outages.unit_effects(pairs, tr, ["f"], "link", "time", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = []
+    for link, t, slot, sig, *_ in rows:
+        near = [(c[3] != sig, c[2] != slot, hashlib.md5(f"3|{link}|{t}|{c[1]}|17".encode()).hexdigest(), c[1]) for c in rows
+                if c[0] == link and c[1] != t and abs((c[1] - t).days) <= 30 and (c[2] - slot) % 7 in (0, 1, 6)]
+        want += [(link, t, c[3], "coarse" if c[0] else "exact") for c in sorted(near)[:5] if c[0] == min(near)[0]]
+    assert got == sorted(want) and effects == old and len(effects) > 300
+
+
+def test_panel_collects_no_sets(spark):
+    rows = [(1, 9, 10, "R"), (1, 9, 2, "R"), (1, 9, 2, "R"), (1, 9, 3, "A"), (1, None, 7, "R"), (2, 9, 5, "N"), (2, 9, None, "R"), (2, 8, -4, "R")]
+    lines = spark.createDataFrame([(s, stamp(f"2024-01-{d:02d}") if d else None, n, f, 1.0, 2.0) for s, d, n, f in rows],
+                                  "l_suppkey int, l_shipdate timestamp_ntz, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double")
+    d = outage_plans._panel(SimpleNamespace(lineitem=lines))
+    assert "collect_set" not in plan_of(d)
+    assert {(r.link, r.time and r.time.day): (r.fams, r.v) for r in d.collect()} == {(1, 9): ("10|2", 4.0), (1, None): ("7", 1.0), (2, 9): ("", 2.0), (2, 8): ("-4", 1.0)}
+
+
 def test_draws_by_text_equal_draws_by_number(spark):
     p = [-0.5, 0.0, 1e-12, 0.25, 0.3, 1 - 1e-12, 1.0, 1.5, None]
     d = spark.range(400).withColumn("p", F.explode(F.array(*[F.lit(x) for x in p])))

@@ -68,30 +68,64 @@ def active_sets(panel: DataFrame, coverage: DataFrame, keys: list[str], t: str,
     return d.withColumn("state", F.when(F.col(t) > known_to, "unknown").when(F.col("active") != "", "invoked").when(F.col("partial") != "", "partial").otherwise("clear"))
 
 
-def matched_pairs(treated: DataFrame, controls: DataFrame, unit: list[str], link: str, t: str, days: int, levels: dict[str, list[str]], slot: str, slots: int, k: int, seed: int,
-                  extra: Column) -> DataFrame:
-    """Up to k controls per treated unit within ``days``, exact strata first, then coarser.
-
-    treated: unit, link, t, slot, strata columns; controls: link, control_time, slot,
-    strata columns.  The join key is the strata that all levels share plus a time bucket, so candidates
-    per unit are bounded by the calendar; a candidate has the first level whose strata agree, and a unit keeps
-    those of its first level.  All levels share one join and one ranking."""
-    step = 24 * days
+def _matches(treated: DataFrame, controls: DataFrame, unit: list[str], link: str, t: str, days: int, levels: dict[str, list[str]], slot: str, slots: int, k: int, seed: int,
+             extra: Column, value: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Ranked controls of each treated unit, and the columns that a unit's rows are dealt by.
+
+    The join key is the strata that all levels share plus a time bucket, and it is the controls that are copied into
+    the two buckets within reach: all candidates of a unit then meet in one task, and rankings and sums over units need no further shuffle."""
+    step = 48 * days
+    first = time_chunk(F.col("control_time") - F.make_dt_interval(days=F.lit(days)), step)
     shared = [c for c in next(iter(levels.values())) if all(c in on for on in levels.values())]
     strata = list(dict.fromkeys([link, *[c for on in levels.values() for c in on], "fams"]))
-    c = controls.select(*[F.col(x).alias(f"_c_{x}") for x in strata], F.col("control_time"), F.col(slot).alias("_cslot"), time_chunk(F.col("control_time"), step).alias("_cb"))
-    t3 = treated.withColumn("_b", F.explode(F.sequence(time_chunk(F.col(t), step) - 1, time_chunk(F.col(t), step) + 1)))
+    held = [F.col(value).alias("_cv")] if value else []
+    c = controls.select(*[F.col(x).alias(f"_c_{x}") for x in strata], F.col("control_time"), F.col(slot).alias("_cslot"), micros(F.col("control_time")).alias("_cm"), *held,
+                        F.explode(F.array(first, first + 1)).alias("_cb"))
+    # the text of the unit and a hash of it: sorting compares one number in place of the unit's columns
+    text = F.concat_ws("|", *[F.col(x).cast("string") for x in unit])
+    t1 = treated.withColumns({"_b": time_chunk(F.col(t), step), "_m": micros(F.col(t)), "_text": text, "_u": F.xxhash64(*unit)})
     cond = F.col("_b") == F.col("_cb")
     for x in dict.fromkeys([link, *shared]):
         cond = cond & (F.col(x) == F.col(f"_c_{x}"))
     off = F.when(F.col(slot) == F.col("_cslot"), 0).when((F.pmod(F.col(slot) + 1, F.lit(slots)) == F.col("_cslot")) | (F.pmod(F.col(slot) - 1, F.lit(slots)) == F.col("_cslot")), 1)
     level = F.coalesce(*[F.when(reduce(Column.__and__, [F.col(x) == F.col(f"_c_{x}") for x in on], F.lit(True)), i) for i, on in enumerate(levels.values())])
-    near = F.abs(micros(F.col(t)) - micros(F.col("control_time"))) <= days * 86_400_000_000
+    near = F.abs(F.col("_m") - F.col("_cm")) <= days * 86_400_000_000
     # extra may be dear, so it is asked last
-    pairs = t3.join(c, cond & off.isNotNull() & near & level.isNotNull() & extra).withColumns({"_off": off, "_l": level, "_h": hash_order([*unit, "control_time"], seed)})
-    best = top_k(pairs, unit, [F.col("_l"), F.col("_off"), F.col("_h"), F.col("control_time")], k)
-    best = best.withColumn("_first", F.min("_l").over(Window.partitionBy(*unit))).filter(F.col("_l") == F.col("_first"))
-    return best.select(*dict.fromkeys([*unit, link, t]), "control_time", F.get(F.array(*[F.lit(n) for n in levels]), F.col("_l")).alias("match_type"))
+    pairs = t1.join(c, cond & near & off.isNotNull() & level.isNotNull() & extra)
+    pairs = pairs.withColumns({"_off": off, "_l": level, "_h": hash_order(["_text", "control_time"], seed)})
+    keys = list(dict.fromkeys(["_u", link, "_b", *shared, *unit]))
+    w = Window.partitionBy(*keys).orderBy("_l", "_off", "_h", "control_time")
+    best = pairs.withColumns({"_place": F.row_number().over(w), "_first": F.min("_l").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return best.filter((F.col("_place") <= k) & (F.col("_l") == F.col("_first"))), keys
+
+
+def _match_type(levels: dict[str, list[str]]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in levels]), F.col("_l")).alias("match_type")
+
+
+def matched_pairs(treated: DataFrame, controls: DataFrame, unit: list[str], link: str, t: str, days: int, levels: dict[str, list[str]], slot: str, slots: int, k: int, seed: int,
+                  extra: Column) -> DataFrame:
+    """Up to k controls per treated unit within ``days``, exact strata first, then coarser.
+
+    treated: unit, link, t, slot, strata columns; controls: link, control_time, slot,
+    strata columns.  Candidates per unit are bounded by the calendar; a candidate has the first level whose strata
+    agree, and a unit keeps those of its first level.  All levels share one join and one ranking."""
+    best, _ = _matches(treated, controls, unit, link, t, days, levels, slot, slots, k, seed, extra)
+    return best.select(*dict.fromkeys([*unit, link, t]), "control_time", _match_type(levels))
+
+
+def matched_effects(treated: DataFrame, controls: DataFrame, unit: list[str], link: str, t: str, days: int, levels: dict[str, list[str]], slot: str, slots: int, k: int, seed: int,
+                    extra: Column, value: str) -> DataFrame:
+    """``unit_effects`` of ``matched_pairs`` where both sides carry the value: no pair is written or joined again.
+    unit names link and t."""
+    best, keys = _matches(treated, controls, unit, link, t, days, levels, slot, slots, k, seed, extra, value)
+    places = [F.max(F.when(F.col("_place") == i, F.col("_cv"))).alias(f"_v{i}") for i in range(1, k + 1)]
+    g = best.groupBy(*keys).agg(*places, F.count(F.lit(1)).alias("n_controls"), F.max("_l").alias("_l"), F.max(value).alias("treated"))
+    g = g.withColumn("_vs", F.array_sort(F.array_compact(F.array(*[F.col(f"_v{i}") for i in range(1, k + 1)]))))
+    last = F.size("_vs") - 1
+    low, high = (F.get("_vs", F.floor(x / 2).cast("int")) for x in (last, last + 1))
+    g = g.withColumn("control", F.when(last >= 0, F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)).cast("double"))
+    return g.select(link, t, *[x for x in unit if x not in (link, t)], "control", "n_controls", _match_type(levels), "treated", (F.col("treated") - F.col("control")).alias("effect"))
 
 
 def unit_effects(pairs: DataFrame, values: DataFrame, unit: list[str], link: str, t: str, value: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions import text
 from ..operators import lookups as lk
 from ..operators import outages as op
 from ..operators import resample
 from ..operators import windows as win
+from ..session import cut
 from .aggregates import rounded
 from .cleaning import BOOK, bookings
 from .joins import CHAIN, chain
@@ -149,22 +149,24 @@ def panel(t):
 
 
 def _panel(t):
-    fam = F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber").cast("string")))
+    # The families are line numbers, a handful.  Each is a flag of a plain sum, for sets of text are collected by sorting all rows.
+    n = F.col("l_linenumber")
+    on = sorted((r[0] for r in t.lineitem.filter((F.col("l_returnflag") == "R") & n.isNotNull()).select(n).distinct().collect()), key=str)
+    flags = [F.max(F.when((F.col("l_returnflag") == "R") & (n == f), 1)).alias(f"_f{i}") for i, f in enumerate(on)]
     time = F.col("time")
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("link"), F.col("l_shipdate").alias("time")).agg(
-        F.sum("l_quantity").alias("v"), F.avg("l_extendedprice").alias("x"), text.joined(fam).alias("fams")).withColumns(
-        {"season": cal.season(time), "daytype": (F.weekday(time) < 5).cast("int"), "slot": F.weekday(time)})
+    d = t.lineitem.groupBy(F.col("l_suppkey").alias("link"), F.col("l_shipdate").alias("time")).agg(F.sum("l_quantity").alias("v"), F.avg("l_extendedprice").alias("x"), *flags)
+    return d.select("link", "time", "v", "x", F.concat_ws("|", *[F.when(F.col(f"_f{i}") == 1, str(f)) for i, f in enumerate(on)]).alias("fams"),
+                    cal.season(time).alias("season"), (F.weekday(time) < 5).cast("int").alias("daytype"), F.weekday(time).alias("slot"))
 
 
 def _count(c):
-    return F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, r"\|")))
+    return F.when(F.col(c) == "", 0).otherwise(F.length(c) - F.length(F.translate(c, "|", "")) + 1)
 
 
 def treated_rows(t):
     p = panel(t)
     d = p.filter("fams <> ''").withColumn("f", F.explode(F.split("fams", r"\|")))
-    others = text.joined(F.filter(F.split("fams", r"\|"), lambda y: y != F.col("f")))
-    d = d.withColumn("others", others)
+    d = d.withColumn("others", F.array_join(F.array_remove(F.split("fams", r"\|"), F.col("f")), "|"))     # in order and distinct already
     return d.withColumns({"ocnt": _count("others"), "sig": F.col("others"), "cnt": _count("others"), "f": F.col("f").cast("int")})
 
 
@@ -177,20 +179,25 @@ def control_rows(t):
 LEVELS = {"exact": ["season", "daytype", "sig", "cnt"], "coarse": ["daytype", "cnt"]}
 
 
-def pairs(t, treated=None):
-    """Matched pairs; those of all treated rows feed units and counts, so they are written once."""
-    return t.once("pairs", lambda t: _pairs(t, treated_rows(t))) if treated is None else _pairs(t, treated)
+def pairs(t):
+    """Matched pairs of all treated rows; they feed units and counts, so they are written once."""
+    return t.once("pairs", lambda t: op.matched_pairs(*_matching(t, treated_rows(t))))
 
 
-def _pairs(t, tr):
-    free = ~F.array_contains(F.split("_c_fams", r"\|"), F.col("f").cast("string"))
-    tr = tr.select("f", "link", "time", "slot", *dict.fromkeys(c for on in LEVELS.values() for c in on))
-    return op.matched_pairs(tr, control_rows(t), ["f", "link", "time"], "link", "time", 60, LEVELS, "slot", 7, 5, 17, free)
+def _matching(t, tr):
+    """The arguments of the matching of treated rows with all panel rows."""
+    free = (F.col("_c_fams") == "") | ~F.array_contains(F.split("_c_fams", r"\|"), F.col("f").cast("string"))
+    tr = tr.select("f", "link", "time", "v", "slot", *dict.fromkeys(c for on in LEVELS.values() for c in on))
+    return tr, control_rows(t), ["f", "link", "time"], "link", "time", 60, LEVELS, "slot", 7, 5, 17, free
+
+
+def effects(t, tr):
+    return op.matched_effects(*_matching(t, tr), "v")
 
 
 def units(t):
     """Effects of all treated rows, written once."""
-    return t.once("units", lambda t: op.unit_effects(pairs(t), panel(t), ["f"], "link", "time", "v"))
+    return t.once("units", lambda t: effects(t, treated_rows(t)))
 
 
 @query("o8_matched_effect", f"with {MATCH} select f, link, time, control, n_controls, match_type, treated, effect from un")
@@ -231,7 +238,7 @@ def placebo(t):
     sh = treated_rows(t).select("f", "link", F.explode(F.array(F.col("time") + F.expr("interval 7 days"), F.col("time") - F.expr("interval 7 days"))).alias("time")).distinct()
     ps = sh.join(p, ["link", "time"]).filter(~F.array_contains(F.split("fams", r"\|"), F.col("f").cast("string")))
     ps = ps.withColumns({"others": F.col("fams"), "ocnt": _count("fams"), "sig": F.col("fams"), "cnt": _count("fams")})
-    u = op.unit_effects(pairs(t, ps), p, ["f"], "link", "time", "v")
+    u = cut(effects(t, ps), "placebo")      # its quantiles read it more than once
     q = quantiles(u, ["f"], "effect", {"placebo_effect": 0.5})
     return q.select("f", F.col("n_values").alias("placebo_n"), "placebo_effect")
 
