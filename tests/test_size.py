@@ -7,10 +7,10 @@ from types import SimpleNamespace
 import duckdb
 from pyspark.sql import functions as F
 
-from wattloom.operators import constraints, lookups, market, outages, ranks, resample
+from wattloom.operators import constraints, lookups, market, mixtures, outages, ranks, resample
 from wattloom.operators.forecast import draw_below, uniform
 from wattloom.plans import feeds, outages as outage_plans, regimes
-from wattloom.session import Tables
+from wattloom.session import Tables, cut
 from wattloom.sources import records
 
 
@@ -163,3 +163,17 @@ def test_lost_weights_take_the_same_value_in_sql(spark):
     for order in (rows, rows[::-1]):
         con.execute("create or replace table t as select * from (values " + ", ".join(f"('{c}', {v}::double, {i}, {w}::double)" for c, v, i, w in order) + ") x(cid, v, rid, w)")
         assert con.execute(f"with {regimes.wq('t', 'q', ties=True)} select p10, p50, p90 from q").fetchone() == (want.p10, want.p50, want.p90)
+
+
+def test_months_of_a_fit_are_written_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    train, every = regimes.months(t)
+    assert "Aggregate" not in plan_of(train) and "Aggregate" not in plan_of(every) and every.count() > train.count() > 0
+
+
+def test_distances_of_a_fit_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixtures, "cut", lambda df, purpose="cut", codec=None: written.append(purpose) or cut(df, purpose, codec))
+    d = spark.range(60).select((F.col("id") % 7 + F.when(F.col("id") % 2 == 0, 100).otherwise(0)).cast("double").alias("x"))
+    model = mixtures.fit_states(d, {"g": ["x"]}, 2)
+    assert written.count("distances") == 1 and model.limit > 0

@@ -241,7 +241,7 @@ def fit_states(train: DataFrame, groups: dict[str, list[str]], k: int, method: s
                             shares=np.array([got[j]["n"] / total if j in got else 1e-12 for j in range(k)]))
             model, _ = em_steps(rows, model, steps, tolerance=1e-3)
     model = _canonical(model)
-    apart = assign(train, model).select("distance")
+    apart = cut(assign(train, model).select("distance"), "distances")      # read by the count, the ranks and the limit
     n = apart.count()
     at = math.ceil(far * (n - 1))
     near = quantiles(apart.withColumn("_g", F.lit(0)), ["_g"], "distance", {"p": at / max(n - 1, 1)}).first()["p"]
