@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import duckdb
 from pyspark.sql import functions as F
 
-from wattloom.operators import constraints, lookups, market, mixtures, outages, ranks, resample
+from wattloom.operators import clusters, constraints, lookups, market, mixtures, outages, ranks, resample
 from wattloom.operators.forecast import draw_below, uniform
 from wattloom.plans import feeds, outages as outage_plans, regimes
 from wattloom.session import Tables, cut
@@ -177,3 +177,13 @@ def test_distances_of_a_fit_are_written_once(spark, monkeypatch):
     d = spark.range(60).select((F.col("id") % 7 + F.when(F.col("id") % 2 == 0, 100).otherwise(0)).cast("double").alias("x"))
     model = mixtures.fit_states(d, {"g": ["x"]}, 2)
     assert written.count("distances") == 1 and model.limit > 0
+
+
+def test_unit_groups_do_not_make_their_rows_again(spark):
+    sens = spark.createDataFrame([(e, u, float(e * (u % 3) + 1)) for e in range(6) for u in range(30)], "eq long, unit long, sensitivity double")
+    d = clusters.unit_groups(sens, spark.range(6).select(F.col("id").alias("eq"), F.lit(2.0).alias("weight")), "unit", "eq", 16, 3)
+    assert "Aggregate" not in plan_of(d)
+    groups = {}
+    for r in d.collect():
+        groups.setdefault(r["unit"] % 3, set()).add(r["group"])
+    assert sorted(len(g) for g in groups.values()) == [1, 1, 1] and len(set.union(*groups.values())) == 3

@@ -7,6 +7,7 @@ from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from .ranks import quantiles
 
 
@@ -68,7 +69,7 @@ def unit_groups(sens: DataFrame, exposure: DataFrame, unit: str, eq: str, dims:
     """k-means groups of units over exposure-weighted sensitivities, hashed to ``dims``
     columns so that the vector length does not follow the number of equations."""
     d = sens.join(exposure, eq).withColumn("_x", F.col("sensitivity") * F.col("weight")).withColumn("_j", F.pmod(F.xxhash64(F.col(eq)), F.lit(dims)).cast("int"))
-    v = d.groupBy(unit).pivot("_j", list(range(dims))).agg(F.sum("_x")).fillna(0.0)
+    v = cut(d.groupBy(unit).pivot("_j", list(range(dims))).agg(F.sum("_x")).fillna(0.0), "unit_columns")      # the fit and its result both read it
     x = VectorAssembler(inputCols=[str(i) for i in range(dims)], outputCol="_v").transform(v)
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="group").fit(x).transform(x).select(unit, "group")
 
