@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import empty, table
+from wattloom import session
 from wattloom.llm import suffixdedup
 
 
@@ -89,3 +90,27 @@ def test_long_text(spark, monkeypatch):
     assert (got[0].n_removed, got[0].n_spans) == (500_123, 1)
     assert got[1].n_removed == 500_123 and got[1].n_spans == 1 and bytes(got[1].kept) == b"!"
     assert got[2].n_removed == 0 and (got[3].n_removed, bytes(got[3].kept)) == (400, b"??")
+
+
+def test_disk(spark, tmp_path, monkeypatch):
+    """What is shuffled and written: texts, phrases and sorted rows are not moved or written more often than needed."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))      # noqa: E731
+    shared = [some(400) for _ in range(150)]
+    texts = [some(100) + " " + rnd.choice(shared) + " " + some(100) for _ in range(600)]
+    table(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: str(tmp_path / "shared" / f"{purpose}-{rnd.random()}"))
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    begun = max(stages(), default=-1)
+    suffixdedup.dedup(spark.read.parquet(str(tmp_path / "docs")).select("doc_id", "text"), keep_text=False).write.parquet(str(tmp_path / "out"))
+    moved = sum(n for k, n in stages().items() if k > begun)
+    kept = sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet"))
+    size = sum(map(len, texts))
+    assert moved + kept < 10.8 * size

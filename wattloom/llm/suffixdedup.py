@@ -430,13 +430,14 @@ def _single_keys(left: DataFrame, length: int, trigger: int, every: int, fine: i
 
 
 def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
-    """(u, at, last, first, tail, digest) of the rows whose neighbour in the order of (tail, rank) has the same digest; first: none like it before it.
+    """(u, at, last, first, key) of the rows whose neighbour in the order of (tail, rank) has the same digest; first: none like it before it;
+    key: for cores one hash of tail and digest, else 0.
 
     Equal rows stand together, and the place is the last key, so that many equal ones are dealt over partitions.  Rows at
     the ends of a partition are compared with those of the next one afterwards."""
     order = ["tail", "rank", "digest", "u", "at"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    names = ["u", "at", "last", "first", "kind", "tail", "rank", "digest"]
+    names = ["u", "at", "last", "first", "kind", "key", "tail", "rank", "digest"]
 
     def run(batches):
         held, begun = None, False
@@ -446,8 +447,9 @@ def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
             x = [c[keep] for c in x]
             lone = ~(same_before | same_after)[keep]
             k = np.where(lone, kind[keep] | 4, kind[keep])         # 1: first of a partition, 2: last, 4: not yet repeated
-            # keys are of use at the ends of tasks and for cores only
-            use = [np.where((k > 0) | (x[5] < 0), c, 0) for c in (x[0], x[1], x[2])]
+            key = _mix(x[0].view(np.uint64) * np.uint64(3) + _mix(x[2].view(np.uint64))).view(np.int64)
+            # what rows are sorted by is of use at the ends of tasks only, the key for cores
+            use = [np.where(x[5] < 0, key, 0), *(np.where(k > 0, c, 0) for c in (x[0], x[1], x[2]))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3], x[4], x[5], ~same_before[keep], k, *use)], names=names)
 
         def flags(x):
@@ -475,15 +477,15 @@ def adjacent(rows: DataFrame, purpose: str) -> DataFrame:
         if prev is not None:
             yield out(prev[0], np.array([prev[1]]), np.array([False]), np.array([prev[2] | 2]))
 
-    found = cut(sorted_.mapInArrow(run, "u long, at long, last long, first boolean, kind long, tail long, rank long, digest long"), purpose)
+    found = cut(sorted_.mapInArrow(run, "u long, at long, last long, first boolean, kind long, key long, tail long, rank long, digest long"), purpose)
     ends = found.filter("kind > 0")          # two rows for each partition at most
     w = Window.orderBy(*order)
     like = lambda c: (F.col(f"{c}.tail") == F.col("tail")) & (F.col(f"{c}.digest") == F.col("digest"))      # noqa: E731
     row = F.struct("tail", "digest")
     met = ends.withColumns({"p": F.lag(row).over(w), "n": F.lead(row).over(w)}).filter("kind >= 4")
     met = met.filter(F.coalesce(like("p"), F.lit(False)) | F.coalesce(like("n"), F.lit(False)))
-    out = ["u", "at", "last", "first", "tail", "digest"]
-    return found.filter("kind < 4").select(*out).unionByName(met.select(*out))
+    out = ["u", "at", "last", "first", "key"]
+    return found.filter("kind < 4").select(*out).unionByName(cut(met.select(*out), f"{purpose}-ends"))
 
 
 def _joined_runs(rows: DataFrame) -> DataFrame:
@@ -493,7 +495,8 @@ def _joined_runs(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = [b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "at", "last")]
+            x = [b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "at", "more")]
+            x[2] = x[1] + x[2]
             if u is not None:
                 x = [np.concatenate([[p], c]) for p, c in zip((u, a, z), x)]
             new = np.concatenate([[True], (x[0][1:] != x[0][:-1])])
@@ -510,7 +513,8 @@ def _joined_runs(rows: DataFrame) -> DataFrame:
         if u is not None:
             yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([a]), pa.array([z])], names=["u", "at", "last"])
 
-    return rows.repartition("u").sortWithinPartitions("u", "at").mapInArrow(run, "u long, at long, last long")
+    # most are single starts, and zeros pack better than a place told twice
+    return rows.select("u", "at", (F.col("last") - F.col("at")).alias("more")).repartition("u").sortWithinPartitions("u", "at").mapInArrow(run, "u long, at long, last long")
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
@@ -518,41 +522,46 @@ def _ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("u").agg(merged.alias("_r")).select("u", F.col("_r.at").alias("from"), F.col("_r.last").alias("to"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    body = F.col("text").cast("binary")
-    return docs.withColumns({"k1": F.xxhash64(body), "k2": F.xxhash64(F.lit(1), body)})
+def _hashes(column: str = "text", names=("k1", "k2")) -> dict:
+    """Two hashes that stand for the bytes of a column."""
+    body = F.col(column).cast("binary")
+    return {names[0]: F.xxhash64(body), names[1]: F.xxhash64(F.lit(1), body)}
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trigger: int = TRIGGER, every: int = EVERY, fine: int = FINE, most_keys: int = MOST_KEYS) -> DataFrame:
     """(k1, k2, text, from, to): for each different text with repeated strings, the ranges of their starts."""
     assert every % fine == 0 and trigger < length // 2 and anchor < length
-    texts = _keyed(docs.filter(F.octet_length("text") >= length)).select("k1", "k2", F.col("text").cast("binary").alias("text"))
+    texts = docs.filter(F.octet_length("text") >= length).select(_hashes()["k1"].alias("k1"), F.col("text").cast("binary").alias("text"))
     marks = cut(_anchor_rows(texts, length, anchor), "anchors")
     # a text that shares its first hash with another one only gets more candidates than it has
     wanted = cut(_shared(marks).groupBy("k1").agg(F.array_sort(F.collect_set("place")).alias("places")), "wanted")
     if wanted.count() <= most_keys:
         texts = texts.join(F.broadcast(wanted.select("k1")), "k1", "left_semi")
-    once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    found = once.join(wanted.hint("merge"), "k1").select("k1", "k2", "text", "places")
+    # copies go where they are read; by the first hash alone texts lie as the join needs them and move once
+    once = texts.groupBy("k1").agg(F.collect_set("text").alias("_t"))
+    found = once.join(wanted.hint("merge"), "k1").select("k1", F.explode("_t").alias("text"), "places").withColumn("k2", _hashes()["k2"])
     found = cut(found.withColumn("u", F.monotonically_increasing_id()), "candidates")
     parts = cut(_stretches(found, length, anchor).withColumn("v", F.monotonically_increasing_id()), "parts")
 
     phrases = cut(_phrases(parts, length, trigger, every), "phrases")
     names = running(phrases.groupBy("phrase").agg(F.count("*").alias("c")), ["phrase"], ["c"], "sorted-phrases")
-    ranks = suffix_ranks(phrases.join(names, "phrase").select("u", "t", "c", "n"), length)
+    p = ("p1", "p2")            # names go back to their phrases by two hashes, so that the bytes of phrases move for the sort only
+    hashes = _hashes("phrase", p)
+    ranks = suffix_ranks(phrases.withColumns(hashes).drop("phrase").join(names.withColumns(hashes).select(*p, "c"), [*p]).select("u", "t", "c", "n"), length)
     listed = ranks.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_list(F.struct("t", "rank"))).alias("_l")).select("v", F.col("_l.rank").alias("ranks"))
     none = F.array().cast("array<long>")
     ranked = cut(parts.select("v", "body", "lo", "hi").join(listed, "v", "left").withColumn("ranks", F.coalesce("ranks", none)), "ranked-parts")
 
-    met = cut(adjacent(_stretch_keys(ranked, length, trigger, every, fine), "stretches"), "met")
+    met = adjacent(_stretch_keys(ranked, length, trigger, every, fine), "stretches")
     whole = met.filter("last >= 0")
     settled = _ranges(_joined_runs(whole.filter("not first").select("u", "at", "last"))).withColumnRenamed("u", "v")
     # cores that a stretch has which is not repeated whole: its starts, and those of the stretches that share its core, go on
-    cores = met.filter("last < 0").select("u", "tail", "digest", F.col("at").alias("trigger"), F.floor((-2 - F.col("last")) / 4).alias("at"), F.pmod(-2 - F.col("last"), F.lit(4)).alias("kind"))
+    # (a chance match of keys lets a core go on that need not)
+    cores = met.filter("last < 0").select("u", "key", F.col("at").alias("trigger"), F.floor((-2 - F.col("last")) / 4).alias("at"), F.pmod(-2 - F.col("last"), F.lit(4)).alias("kind"))
     known = whole.select("u", "at").withColumn("whole", F.lit(True))
     cores = cut(cores.join(known, ["u", "at"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "cores")
-    unsettled = cores.filter("not whole").select("tail", "digest").distinct()
-    cores = cores.join(unsettled.hint("merge"), ["tail", "digest"], "left_semi")
+    unsettled = cores.filter("not whole").select("key").distinct()
+    cores = cores.join(unsettled.hint("merge"), "key", "left_semi")
     cores = cores.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_set(F.col("trigger") * 4 + F.col("kind"))).alias("cores"))
     left = ranked.join(settled, "v", "left").join(cores, "v", "left")
     single = adjacent(_single_keys(left, length, trigger, every, fine), "singles")
