@@ -560,7 +560,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, trig
     cores = met.filter("last < 0").select("u", "key", F.col("at").alias("trigger"), F.floor((-2 - F.col("last")) / 4).alias("at"), F.pmod(-2 - F.col("last"), F.lit(4)).alias("kind"))
     known = whole.select("u", "at").withColumn("whole", F.lit(True))
     cores = cut(cores.join(known, ["u", "at"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "cores")
-    unsettled = cores.filter("not whole").select("key").distinct()
+    # written, so that both sides of the join are plain exchanges and adaptive execution can split a key with very many cores
+    unsettled = cut(cores.filter("not whole").select("key").distinct(), "unsettled")
     cores = cores.join(unsettled.hint("merge"), "key", "left_semi")
     cores = cores.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_set(F.col("trigger") * 4 + F.col("kind"))).alias("cores"))
     left = ranked.join(settled, "v", "left").join(cores, "v", "left")
