@@ -187,3 +187,44 @@ def test_unit_groups_do_not_make_their_rows_again(spark):
     for r in d.collect():
         groups.setdefault(r["unit"] % 3, set()).add(r["group"])
     assert sorted(len(g) for g in groups.values()) == [1, 1, 1] and len(set.union(*groups.values())) == 3
+
+
+def shuffled_rows(spark, run):
+    """Result of run and the rows that its stages wrote for shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    before = {s.stageId() for s in _stages(store, none)}
+    out = run()
+    return out, sum(s.shuffleWriteRecords() for s in _stages(store, none) if s.stageId() not in before)
+
+
+def _stages(store, none):
+    found = store.stageList(None, False, False, none, None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_windows_of_bookings_are_not_shuffled_by_the_step(spark):
+    rng, zero = random.Random(8), stamp("2024-01-01")
+    hour = lambda n: zero + dt.timedelta(hours=n)     # noqa: E731
+    books = [(i, key, hour(6 * n + (i % 3 == 0)), hour(6 * n + 30)) for i, (key, n) in enumerate((k, n) for k in (1, 2, 3) for n in rng.sample(range(1200), 25))]
+    books += [(900, 1, None, hour(4)), (901, None, hour(8), hour(9))]
+    series = [(key, hour(6 * n + off), float(rng.randrange(50))) for key in (1, 2) for n in range(-300, 1200) for off in (0, 1) if rng.random() < 0.6] + [(1, hour(2), None), (2, None, 4.0)]
+    b = spark.createDataFrame(books, "id int, key int, s timestamp_ntz, e timestamp_ntz")
+    sr = spark.createDataFrame(series, "key int, time timestamp_ntz, v double")
+    for before, after, cycle, cycles in ((8, 6, 96, 7), (8, 8, 30, 9), (4, 5, 39, 8)):      # the second has windows that overlap, the third cycles off the step
+        d = outages.isolated_effects(b, sr, "id", ["key"], "s", "e", "time", "v", "6 hours", before, after, f"{cycle} hours", cycles, 3)
+        got, moved = shuffled_rows(spark, d.collect)
+        at, want, lone = {(k, m): v for k, m, v in series}, {}, 0
+        for i, key, s, _ in books[:-2]:
+            lo, hi = s - dt.timedelta(hours=6 * before), s + dt.timedelta(hours=6 * after)
+            if any(j != i and k == key and x and lo < y and x < hi for j, k, x, y in books):
+                continue
+            lone, change = lone + 1, []
+            for lag in range(cycles + 1):
+                vs = [[v for o in side if (v := at.get((key, s + dt.timedelta(hours=6 * o - cycle * lag)))) is not None] for side in (range(-before, 0), range(after))]
+                change.append(sum(vs[1]) / len(vs[1]) - sum(vs[0]) / len(vs[0]) if all(vs) else None)
+            ctl = [c for c in change[1:] if c is not None]
+            if change[0] is not None and len(ctl) >= 3:
+                want[i] = (change[0], sum(ctl) / len(ctl), len(ctl))
+        assert {r.id: (round(r.change, 9), round(r.control_change, 9), r.controls) for r in got} == {i: (round(a, 9), round(c, 9), n) for i, (a, c, n) in want.items()} and len(want) > 8
+        steps = lone * (cycles + 1) * (before + after)
+        assert moved < len(series) + 8 * len(books) + 3 * lone * (cycles + 1) and moved - len(series) < steps

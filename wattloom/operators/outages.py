@@ -232,16 +232,29 @@ def brier_skill(df: DataFrame, keys: list[str], outcome: str, forecast: str, bas
 def isolated_effects(bookings: DataFrame, series: DataFrame, bid: str, keys: list[str], start: str, end: str, t: str, value: str, step: str, before: int, after: int, cycle: str,
                      cycles: int, needed: int) -> DataFrame:
     """After-less-before change at isolated booking starts against the same clock windows
-    of earlier cycles; at least ``needed`` control windows."""
+    of earlier cycles; at least ``needed`` control windows.  Step and cycle have a fixed length.
+
+    Series are cut into chunks as long as all windows of a booking together, so a booking has two rows at most, however
+    many steps and cycles it has; the steps are told apart where the rows are joined."""
     from .lookups import overlapping
     w = F.expr(f"interval {step}")
     reach = bookings.select(F.col(bid).alias("_other"), *keys, F.col(start).alias("_os"), F.col(end).alias("_oe"))
     mine = bookings.withColumns({"_ws": F.col(start) - w * before, "_we": F.col(start) + w * after})
     busy = overlapping(mine.select(bid, *keys, "_ws", "_we"), reach, keys, ("_ws", "_we"), ("_os", "_oe"), hours=24 * 30, extra=F.col(bid) != F.col("_other")).select(bid).distinct()
-    lone = bookings.join(busy, bid, "left_anti")
-    lags = lone.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(cycles)))).withColumn("_o", F.explode(F.sequence(F.lit(-before), F.lit(after - 1))))
-    at = F.col(start) - F.col("lag") * F.expr(f"interval {cycle}") + F.col("_o") * w
-    d = lags.withColumn(t, at).hint("merge").join(series.select(*keys, t, value), [*keys, t])   # sized without its windows, so never broadcast
+    lone = bookings.join(busy, bid, "left_anti").select(bid, *[F.col(k).alias(f"_k_{k}") for k in keys], micros(F.col(start)).alias("_s"))
+    one, turn = (micros(F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"interval {x}")) for x in (step, cycle))
+    wide = turn * cycles + one * (before + after)
+    chunks = F.sequence(F.floor((F.col("_s") - turn * cycles - one * before) / wide), F.floor((F.col("_s") + one * (after - 1)) / wide))
+    lone = lone.withColumn("_kb", F.explode(chunks))
+    rows = series.select(*keys, micros(F.col(t)).alias("_m"), value).withColumn("_b", F.floor(F.col("_m") / wide))
+    # the cycles back in whose window a row lies
+    low = F.greatest(F.ceil((F.col("_s") - F.col("_m") - one * before) / turn), F.lit(0).cast("long"))
+    high = F.least(F.floor((F.col("_s") - F.col("_m") + one * (after - 1)) / turn), F.lit(cycles).cast("long"))
+    on = F.col("_b") == F.col("_kb")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    d = lone.hint("merge").join(rows, on & (low <= high))      # sized without its chunks, so never broadcast
+    d = d.withColumn("lag", F.explode(F.sequence(low, high))).withColumn("_o", F.col("_m") - F.col("_s") + F.col("lag") * turn).filter(F.pmod("_o", one) == 0)
     pre, post = F.when(F.col("_o") < 0, F.col(value)), F.when(F.col("_o") >= 0, F.col(value))
     win = d.groupBy(bid, "lag").agg(F.avg(pre).alias("_a"), F.avg(post).alias("_b")).filter("_a is not null and _b is not null").withColumn("_d", F.col("_b") - F.col("_a"))
     own = win.filter("lag = 0").select(bid, F.col("_d").alias("change"))
