@@ -49,6 +49,32 @@ def test_weighted_quantiles(spark, skewed):
         assert np.allclose(got.loc[g, ["a", "b"]].astype(float), np.interp([0.1, 0.5], mid, x.v))
 
 
+def test_analogue_weights_are_summed_in_the_order_of_values(spark):
+    """Rows that are lost in the sum share a mid-point, and where it meets a probability the total's last digit decides: it may not depend on the layout."""
+    rng = np.random.default_rng(3)
+    panel, shares = [], {}
+    for g in range(120):
+        v = [float(x) for x in rng.permutation(1000)[:40]]
+        for day in range(8):
+            near = rng.integers(5) if rng.random() < 0.4 else None     # far rows share a day equally, or a near one holds it all
+            for slot in range(5):
+                n = 5 * day + slot
+                panel.append((g, slot, 31.0 if slot == near else 1e6, v[n], f"d{day}", n))
+                shares.setdefault(g, []).append((v[n], 0.2 if near is None else 1.0 if slot == near else 1e-60))
+    h = spark.createDataFrame(panel, "key int, slot int, k double, v double, day string, rid int").repartition(7)
+    c = spark.range(120).select(F.col("id").alias("cid"), F.col("id").cast("int").alias("key"), F.lit(2).alias("q_slot"), F.lit(0.0).alias("q_k"))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.9}
+    got = regimes.select_analogues(c, h, "cid", ["key"], "slot", 24, 2, {"k": 30.0}, "v", "day", "rid", neighbour_days=8, min_days=3, threshold=20.0, probs=probs).collect()
+    assert len(got) == 120
+    for r in got:
+        v, w = np.array(sorted(shares[r.cid])).T
+        end = np.cumsum(w)
+        mid = (np.r_[0.0, end[:-1]] + w / 2) / end[-1]
+        for name, p in probs.items():
+            (l, a), (u, b) = max(y for y in zip(mid, v) if y[0] <= p), min(y for y in zip(mid, v) if y[0] >= p)
+            assert r[name] == pytest.approx(b if l == u else a + (b - a) * (p - l) / (u - l), abs=1e-6)
+
+
 def test_rank_correlation(spark, skewed):
     got = ranks.rank_correlation(spark.createDataFrame(skewed), ["g"], "v", "y", split_from=50).toPandas().set_index("g")
     for g, x in skewed.groupby("g"):

@@ -51,10 +51,11 @@ def value_ranges(df: DataFrame, keys: list[str], value: str, *, split_from: int
 
 
 def prefix_weights(df: DataFrame, keys: list[str], order: list[str], weight: Column | None = None,
-                   *, split_from: int = SPLIT_FROM) -> DataFrame:
+                   *, split_from: int = SPLIT_FROM, steady: bool = False) -> DataFrame:
     """One row per distinct (keys, order) with its weight, the weight strictly
     before it (``below``) and the group total (``total``).  Rows whose first
-    order column is null are left out."""
+    order column is null are left out.  With steady, totals are summed in the stated order
+    too, for one more shuffle: reruns and other layouts then give the same last digits."""
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     flat = (df.filter(F.col(order[0]).isNotNull()).groupBy(*keys, *order).agg(w.alias("weight"))
             .withColumn("_o", F.col(order[0]) if len(order) == 1 else F.struct(*order)))
@@ -63,15 +64,19 @@ def prefix_weights(df: DataFrame, keys: list[str], order: list[str], weight: Col
         flat, held = flat.withColumn("_all", F.lit(0)), ["_all"]
     ranged = value_ranges(flat, held, "_o", split_from=split_from)
     over_ranges = Window.partitionBy(*held).orderBy("_range")
-    sums = ranged.groupBy(*held, "_range").agg(F.sum("weight").alias("_rw"))
+    inside = Window.partitionBy(*held, "_range").orderBy("_o")
+    if steady:      # a range's sum is the end of its running sum
+        run = ranged.withColumn("_run", F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        sums = run.groupBy(*held, "_range").agg(F.max_by("_run", "_o").alias("_rw"))
+    else:
+        sums = ranged.groupBy(*held, "_range").agg(F.sum("weight").alias("_rw"))
     carried = (sums
                .withColumn("_before", F.coalesce(
                    F.sum("_rw").over(over_ranges.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0) * F.col("_rw")))
-               .withColumn("total", F.sum("_rw").over(Window.partitionBy(*held)))
+               .withColumn("total", F.sum("_rw").over(over_ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
                .drop("_rw"))
-    inside = (Window.partitionBy(*held, "_range").orderBy("_o")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     out = null_safe_join(ranged, carried, held + ["_range"])
     return (out.withColumn("below", F.col("_before") + F.coalesce(
                 F.sum("weight").over(inside), F.lit(0) * F.col("weight")))
@@ -126,9 +131,10 @@ def quantile_table(df: DataFrame, keys: list[str], measures: dict[str, dict[str,
 
 
 def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, tie: str,
-                       probs: dict[str, float], *, split_from: int = SPLIT_FROM) -> DataFrame:
-    """Quantiles by interpolating between the mid-points of cumulative weight."""
-    d = (prefix_weights(df, keys, [value, tie], F.col(weight), split_from=split_from)
+                       probs: dict[str, float], *, split_from: int = SPLIT_FROM, steady: bool = False) -> DataFrame:
+    """Quantiles by interpolating between the mid-points of cumulative weight.  Fractions of which many are lost in the
+    sum need steady: rows share a mid-point there, and its last digit decides on which side of a probability they are."""
+    d = (prefix_weights(df, keys, [value, tie], F.col(weight), split_from=split_from, steady=steady)
          .withColumn("_mid", (F.col("below") + F.col("weight") / 2) / F.col("total")))
     aggs = [F.min(value).alias("_min"), F.max(value).alias("_max")]
     for name, p in probs.items():

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import slot_distance
 from ..session import cut
@@ -41,11 +41,12 @@ def select_analogues(conditions: DataFrame, panel: DataFrame, cid: str, keys: li
     near = d.groupBy(cid, day).agg(F.min("_d2").alias("_m"))
     d = d.join(top_k(near, [cid], [F.round("_m", 9), F.col(day)], neighbour_days).select(cid, day), [cid, day], "left_semi")
     d = d.withColumn("_w", F.exp(-0.5 * F.least(F.sqrt("_d2"), F.lit(20.0)) ** 2))
-    tot = d.groupBy(cid, day).agg(F.sum("_w").alias("_t"))
-    d = cut(d.join(tot, [cid, day]).withColumn("_w", F.col("_w") / F.col("_t")).drop("_t"), "analogues")
+    # a day holds as many rows as slots in reach; in a fixed order their sum has the same last digits in every run
+    of_day = Window.partitionBy(cid, day).orderBy(rid, target).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = cut(d.withColumn("_w", F.col("_w") / F.sum("_w").over(of_day)), "analogues")
     s = d.groupBy(cid).agg(F.max("exact_days").alias("exact_days"), F.countDistinct(day).alias("analogue_days"),
                            (F.sum(F.when(F.col(target) < threshold, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("restricted_share"), F.count(F.lit(1)).alias("rows"))
-    q = weighted_quantiles(d, [cid], target, "_w", rid, probs)
+    q = weighted_quantiles(d, [cid], target, "_w", rid, probs, steady=True)
     ok = F.col("exact_days") >= min_days
     return conditions.select(cid).join(s.join(q, cid), cid, "left").withColumn(
         "status", F.when(F.col("rows").isNull(), "unavailable").when(ok, "supported_analogue").otherwise("broader_analogue"))
