@@ -7,9 +7,10 @@ from types import SimpleNamespace
 import duckdb
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
 from wattloom.operators import clusters, constraints, lookups, market, mixtures, outages, ranks, resample
 from wattloom.operators.forecast import draw_below, uniform
-from wattloom.plans import feeds, outages as outage_plans, regimes
+from wattloom.plans import ORACLE, feeds, outages as outage_plans, regimes, reshaping
 from wattloom.session import Tables, cut
 from wattloom.sources import records
 
@@ -228,3 +229,17 @@ def test_windows_of_bookings_are_not_shuffled_by_the_step(spark):
         assert {r.id: (round(r.change, 9), round(r.control_change, 9), r.controls) for r in got} == {i: (round(a, 9), round(c, 9), n) for i, (a, c, n) in want.items()} and len(want) > 8
         steps = lone * (cycles + 1) * (before + after)
         assert moved < len(series) + 8 * len(books) + 3 * lone * (cycles + 1) and moved - len(series) < steps
+
+
+def test_requests_of_levels_are_shuffled_once(spark):
+    rng = random.Random(5)
+    rows = [(i // 4, rng.randrange(200), rng.choice([1, 2, 3, None]), i % 4, rng.choice([None, float(rng.randrange(1, 51))]), rng.choice("ANRX") if i % 50 else None, rng.choice("OF")) for i in range(3000)]
+    rows += [(9000 + i, 7, 5, 1, None, "A", "O") for i in range(4)] + rows[:300]        # a finest key without any value, and repeats
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string")
+    d = reshaping.fallback_levels(SimpleNamespace(lineitem=lines))
+    con = duckdb.connect()
+    con.register("lineitem", lines.toPandas().astype({"l_partkey": "Int64", "l_suppkey": "Int64"}))
+    assert compare(d, con, ORACLE["t4_fallback_levels"]) == ""
+    assert {r.level for r in d.collect()} == {"K1", "K2", "K3", "none"}
+    _, moved = shuffled_rows(spark, d.collect)
+    assert moved < 2 * len(rows)

@@ -24,17 +24,19 @@ def one_per_stratum(df: DataFrame, strata: list[str], unique: list[str], seed: i
     return top_k(df, strata, [hash_order(unique, seed), *[F.col(c) for c in unique]], 1)
 
 
-def fallback_levels(requests: DataFrame, table: DataFrame, rid: list[str], levels: dict[str, list[str]], payload: list[str]) -> DataFrame:
-    """Look requests up on the finest key set first; what is left falls to the next one.
-    ``table`` has one row per (level, key columns of that level), other keys null."""
-    left, out = requests, []
+def fallback_levels(requests: DataFrame, table: DataFrame, levels: dict[str, list[str]], payload: list[str], fixed: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct requests with the row of the finest key set that has one, level 'none' where there is none.
+    ``table`` has one row per (level, key columns of that level), other keys null.
+
+    Requests are dealt once, by the finest keys: repeats meet there, and so do the rows of the first level.  The levels
+    named in ``fixed`` have a size that does not grow with the input and are broadcast, since few keys would share all requests."""
+    d = requests.repartition(*next(iter(levels.values()))).distinct()
     for name, keys in levels.items():
-        rows = table.filter(F.col("level") == name).select(*keys, *payload)
-        hit = left.join(rows, keys)
-        out.append(hit.withColumn("level", F.lit(name)))
-        left = left.join(hit.select(*rid), rid, "left_anti")
-    none = left.withColumns({p: F.lit(None).cast(table.schema[p].dataType) for p in payload} | {"level": F.lit("none")})
-    return reduce(DataFrame.unionByName, [*out, none])
+        rows = table.filter(F.col("level") == name).select(*keys, F.struct(*payload).alias(f"_{name}"))
+        d = d.join(F.broadcast(rows) if name in fixed else rows, keys, "left")
+    found = F.coalesce(*[F.col(f"_{n}") for n in levels])
+    level = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in levels], F.lit("none"))
+    return d.withColumns({"_found": found, "level": level}).select(*requests.columns, *[F.col(f"_found.{p}").alias(p) for p in payload], "level")
 
 
 def backoff_lookup(requests: DataFrame, effects: DataFrame, rid: list[str], levels: dict[str, list[str]], tiers: list[str],

@@ -70,8 +70,12 @@ def level_table(t):
     return k1.unionByName(k2, True).unionByName(k3, True).drop("n")
 
 
+def level_rows(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 20).alias("fam"), "l_returnflag")
+
+
 def level_requests(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 20).alias("fam"), "l_returnflag").distinct()
+    return level_rows(t).distinct()
 
 
 RID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
@@ -83,7 +87,8 @@ select l_orderkey, l_linenumber, l_partkey, q.l_suppkey, q.l_returnflag, case wh
   round(coalesce(a.v, b.v, c.v), 6) as v from q left join (select * from e where level = 'K1') a on a.l_suppkey = q.l_suppkey and a.fam = q.fam and a.l_returnflag = q.l_returnflag
   left join (select * from e where level = 'K2') b on b.fam = q.fam and b.l_returnflag = q.l_returnflag left join (select * from e where level = 'K3') c on c.l_returnflag = q.l_returnflag""")
 def fallback_levels(t):
-    d = op.fallback_levels(level_requests(t), level_table(t), RID, KEYS, ["v"])
+    # K2 has 20 families for each return flag, K3 one row for each
+    d = op.fallback_levels(level_rows(t), level_table(t).filter("v is not null"), KEYS, ["v"], ("K2", "K3"))
     return d.select(*RID, "level", r6("v").alias("v"))
 
 
